@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, sharding, token_counts, topk
+from . import bpe, fingerprints, packing, sharding, substrings, token_counts, topk
 from ._common import table, text_of
 
 
@@ -16,6 +16,14 @@ def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document: what remains of its text, and the stretches removed (code points, start-end, in order)."""
+    out = substrings.dedup_units(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    stretches = F.transform("removed", lambda r: F.concat_ws("-", r["start"], r["end"]))
+    gone = F.aggregate("removed", F.lit(0), lambda n, r: n + r["end"] - r["start"])
+    return out.select("doc_id", "text", gone.alias("removed_chars"), F.concat_ws(",", stretches).alias("removed_spans"))
+
+
 def op6_dual_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(table(spark, sf_dir, "embeddings"))
 
@@ -26,6 +34,10 @@ def op7_histogram_sort_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = token_counts.token_blocks(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return token_counts.count_tokens(blocks)
@@ -35,7 +47,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_harmonic_packing, op6_dual_tree_topk, op7_histogram_sort_shards, op9_token_counts, op10_byte_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_harmonic_packing, op5_unit_dedup, op6_dual_tree_topk, op7_histogram_sort_shards, op8_minhash_fingerprints, op9_token_counts, op10_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {
     "op6_dual_tree_topk": """
 WITH v AS (
