@@ -8,10 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, packing, sharding, substrings, token_counts, topk
+from . import bpe, fingerprints, languages, packing, sharding, substrings, token_counts, topk
 from ._common import table, text_of
 
 
+def op1_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", languages.held_out())
+    filters = languages.learn(docs.where(~F.col("held_out")))
+    return languages.predict(docs.select("doc_id", "held_out", "text"), filters).drop("text")
+
+
 def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -47,7 +53,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_harmonic_packing, op5_unit_dedup, op6_dual_tree_topk, op7_histogram_sort_shards, op8_minhash_fingerprints, op9_token_counts, op10_byte_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_filters, op2_harmonic_packing, op5_unit_dedup, op6_dual_tree_topk, op7_histogram_sort_shards, op8_minhash_fingerprints, op9_token_counts, op10_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {
     "op6_dual_tree_topk": """
 WITH v AS (
