@@ -102,8 +102,8 @@ def _bloom_words(ids: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate([(x >> np.uint64(s)) & np.uint64(bits - 1) for s in (0, 20, 40)]).astype(np.int64)
 
 
-def only_needed(docs: DataFrame, needed: DataFrame, key: str, bits: int = BLOOM_BITS) -> DataFrame:
-    """The rows of ``docs`` whose ``key`` is among ``needed`` (doc_id): a broadcast filter of fixed size, then a semi-join."""
+def _maybe(needed: DataFrame, column, bits: int):
+    """Whether ``column`` may be among the ids of ``needed`` (doc_id); never false for one that is."""
 
     def build(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = np.zeros(bits // 64, np.uint64)
@@ -113,11 +113,10 @@ def only_needed(docs: DataFrame, needed: DataFrame, key: str, bits: int = BLOOM_
         word = np.flatnonzero(table)
         yield pd.DataFrame({"word": word, "bits": table[word].view(np.int64)})
 
-    found = needed.select("doc_id").mapInPandas(build, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    table = np.zeros(bits // 64, np.int64)
-    for r in found.toPandas().itertuples():  # bits / 64 rows at most
-        table[r.word] = r.bits
-    shared = docs.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+    found = needed.select("doc_id").mapInPandas(build, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    table = np.zeros(bits // 64, np.int64)  # bits / 64 rows at most reach the driver
+    table[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    shared = needed.sparkSession.sparkContext.broadcast(table.view(np.uint64))
 
     @F.pandas_udf("boolean")
     def maybe(ids: pd.Series) -> pd.Series:
@@ -126,7 +125,20 @@ def only_needed(docs: DataFrame, needed: DataFrame, key: str, bits: int = BLOOM_
         hit = (shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
         return pd.Series(hit.reshape(3, -1).all(0) & have)
 
-    return docs.where(maybe(F.col(key).cast("long"))).join(needed.select(F.col("doc_id").alias(key)).distinct(), key, "left_semi")
+    return maybe(column)
+
+
+def only_needed(docs: DataFrame, needed: DataFrame, key: str, bits: int = BLOOM_BITS) -> DataFrame:
+    """The rows of ``docs`` whose ``key`` is among ``needed`` (doc_id): a broadcast filter of fixed size, then a semi-join."""
+    ids = needed.select(F.col("doc_id").alias(key)).distinct()
+    return docs.where(_maybe(needed, F.col(key).cast("long"), bits)).join(ids, key, "left_semi")
+
+
+def without_ids(docs: DataFrame, gone: DataFrame, key: str, bits: int = BLOOM_BITS) -> DataFrame:
+    """The rows of ``docs`` whose ``key`` isn't among ``gone`` (doc_id); rows that the filter clears aren't shuffled."""
+    maybe = _maybe(gone, F.col(key).cast("long"), bits)
+    ids = gone.select(F.col("doc_id").alias(key)).distinct()
+    return docs.where(~maybe).unionByName(docs.where(maybe).join(ids, key, "left_anti").select(docs.columns))
 
 
 class Links:
@@ -265,3 +277,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("joined", "node", "doc_id"))
     out = members.join(joined, "node", "left").withColumn("component_id", component)
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates, the one of the smallest doc_id."""
+    gone = stored(near_duplicates(docs, k, percent, key=key, text=text).where("NOT kept").select("doc_id").distinct(), "near-gone")
+    return without_ids(docs, gone, key)
