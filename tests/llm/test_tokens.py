@@ -41,6 +41,15 @@ def test_split_engines_agree_on_latin1():
         assert slow(t) == fast(t)
 
 
+def test_json_engines_agree(json_tok):
+    r = random.Random(7)
+    codec = tokens.JsonTokens(JSON)
+    texts = ["".join(chr(r.choice([r.randrange(256), r.randrange(32, 127), 32, 10, 39])) for _ in range(r.randrange(80))) for _ in range(3000)]
+    texts += ["".join(r.choice("aab 中é😀's\n") for _ in range(r.randrange(60))) for _ in range(1000)] + [t or "" for t in ODD] + ["ab " * 100_000]
+    want = json_tok.encode_batch(texts, add_special_tokens=False)
+    assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode(texts)] == [x.ids for x in want]
+
+
 def test_transducer_equals_library():
     codec = bpe.byte_bpe(RANKS)
     lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
