@@ -26,11 +26,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._common import text_of
-from .tokens import BYTE_LEVEL, WordCache, splitter
+from ._common import bound_batches, text_of
+from .tokens import BYTE_LEVEL, CACHED_WORDS, WordCache, splitter
 
-#: States that one worker keeps; the transducer starts anew beyond it.
-MAX_STATES = 400_000
+#: States and pairs that one worker keeps; the transducer starts anew beyond them.
+MAX_STATES, MAX_PAIRS = 400_000, 1_000_000
 _REPLACEMENT = "�"
 
 
@@ -138,6 +138,8 @@ class Feed:
         self.t, self.state, self.ends = transducer, 0, []
         if len(transducer.states) > MAX_STATES:
             transducer.restart()
+        if len(transducer.pairs) > MAX_PAIRS:
+            transducer.pairs.clear()
 
     def run(self, data: bytes) -> None:
         moves, state, add = self.t.moves, self.state, self.ends.append
@@ -237,7 +239,7 @@ class ByteBpe:
         self.ranks = read_ranks(path)
         self.transducer = Transducer(self.ranks)
         self.stream = Utf8Stream(self.transducer.bytes_of)
-        self.cache = WordCache(splitter(pattern), self._encode)
+        self.cache = WordCache(splitter(pattern), self._encode, 2 * CACHED_WORDS)
         top = max(self.ranks.values()) + 1
         self.pieces = [self.transducer.bytes_of.get(i, b"") for i in range(top)]
 
@@ -273,9 +275,10 @@ def byte_bpe(path: str, pattern: str = BYTE_LEVEL) -> ByteBpe:
 def _mapped(df: DataFrame, schema: T.StructType, step) -> DataFrame:
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            yield step(pdf)
+            for at in range(0, max(1, len(pdf)), 1000):
+                yield step(pdf.iloc[at : at + 1000])
 
-    return df.mapInPandas(batches, schema)
+    return bound_batches(df).mapInPandas(batches, schema)
 
 
 def encode_column(df: DataFrame, ranks_path: str, text: str = "text", ids: str = "ids", pattern: str = BYTE_LEVEL) -> DataFrame:
