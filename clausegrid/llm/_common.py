@@ -15,6 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that Spark hands to Python at once; texts are long, so the default of 10 000 would take much memory.
+BATCH_ROWS = 1000
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    """``df``, its session set to hand ``BATCH_ROWS`` rows at most to Python at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, BATCH_ROWS)
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
