@@ -45,7 +45,7 @@ def with_clauses(paragraphs: DataFrame) -> DataFrame:
     """
     whole, ordered = W.partitionBy("doc_id"), W.partitionBy("doc_id").orderBy("idx").rowsBetween(W.unboundedPreceding, 0)
     marks = {name: F.regexp_extract("text", unicode_pattern(p), 0) for name, p, _ in NUMBERING_MODES}
-    flagged = paragraphs.withColumns({f"_{name}": F.when(_opens(p), True).otherwise(False) for name, p, _ in NUMBERING_MODES})
+    flagged = paragraphs.withColumns({f"_{name}": _opens(p) for name, p, _ in NUMBERING_MODES})
     mode = _mode([F.count_if(f"_{name}").over(whole) for name, _, _ in NUMBERING_MODES])
     flagged = flagged.withColumn("_mode", mode)
     number = None

@@ -19,23 +19,31 @@ def _group(pattern: str, n: int, text: str = "text") -> Column:
 
 
 def _first(hit: Column, value: Column, quote: Column) -> Column:
-    return F.min_by(F.struct(value.alias("value"), F.col("idx").alias("idx"), quote.alias("quote")), F.when(hit, F.col("idx")))
+    """The struct of the first row with ``hit``; ``hit`` begins with a cheap test, so that patterns run on few rows."""
+    found = F.when(hit, F.struct(value.alias("value"), F.col("idx").alias("idx"), quote.alias("quote")))
+    return F.min_by(found, F.when(hit, F.col("idx")))
+
+
+def _has(*words: str) -> Column:
+    """A text without any of these words can't match the pattern that follows."""
+    return contains_any(F.col("text"), list(words))
 
 
 def _party(role: str) -> tuple[Column, Column, Column]:
     name = F.trim(_group(PARTY, 2))
-    return (F.col("block_type") == PARAGRAPH) & (_group(PARTY, 1) == role) & (name != ""), name, F.col("text")
+    return (F.col("block_type") == PARAGRAPH) & F.startswith("text", F.lit(role)) & (_group(PARTY, 1) == role) & (name != ""), name, F.col("text")
 
 
 def _amount() -> tuple[Column, Column, Column]:
     raw = F.coalesce(*(F.nullif(_group(AMOUNT, n), F.lit("")) for n in (1, 2, 3)))
     value = F.bround(F.replace(raw, F.lit(","), F.lit("")).try_cast("decimal(38,10)"), 2).cast("decimal(38,2)").cast("string")
-    return value.isNotNull(), value, _group(AMOUNT, 0)
+    marks = [t for _, tokens in CURRENCIES for t in tokens if t not in ("USD", "EUR", "HKD")]
+    return _has(*marks) & value.isNotNull(), value, _group(AMOUNT, 0)
 
 
-def _date(pattern: str) -> tuple[Column, Column, Column]:
+def _date(pattern: str, *words: str) -> tuple[Column, Column, Column]:
     y, m, d = (_group(pattern, n) for n in (1, 2, 3))
-    return y != "", F.concat_ws("-", F.lpad(y, 4, "0"), F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), _group(pattern, 0)
+    return _has(*words) & (y != ""), F.concat_ws("-", F.lpad(y, 4, "0"), F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), _group(pattern, 0)
 
 
 def _ratio() -> tuple[Column, Column, Column]:
@@ -62,21 +70,29 @@ def payment_terms(paragraphs: DataFrame) -> DataFrame:
     return units.where("hit IS NOT NULL").groupBy("doc_id").agg(F.min_by(F.struct("value", F.col("_start").alias("idx")), "hit").alias("m")).select("doc_id", "m.value", "m.idx")
 
 
-def wide_metadata(paragraphs: DataFrame) -> DataFrame:
-    """One row a document with a struct (value, idx, quote) a field, but for the payment terms."""
+def field_aggregates() -> list[Column]:
+    """The aggregates by document that give ``wide_metadata``."""
     amount_hit, amount, amount_quote = _amount()
-    found = paragraphs.groupBy("doc_id").agg(
+    return [
         _first(*_party("甲方")).alias("our_party_name"),
         _first(*_party("乙方")).alias("counterparty_name"),
-        _first(_group(CREDIT_CODE, 1) != "", _group(CREDIT_CODE, 1), _group(CREDIT_CODE, 0)).alias("credit_code"),
+        _first(_has("统一社会信用代码") & (_group(CREDIT_CODE, 1) != ""), _group(CREDIT_CODE, 1), _group(CREDIT_CODE, 0)).alias("credit_code"),
         _first(amount_hit, amount, amount_quote).alias("contract_amount"),
         _first(amount_hit, _currency(F.col("text")), F.col("text")).alias("currency"),
-        _first(*_date(SIGN_DATE)).alias("sign_date"),
-        _first(*_date(EFFECTIVE_DATE)).alias("effective_date"),
-        _first(*_date(EXPIRE_DATE)).alias("expire_date"),
+        _first(*_date(SIGN_DATE, "签订日期", "签署日期", "签约日期")).alias("sign_date"),
+        _first(*_date(EFFECTIVE_DATE, "起生效")).alias("effective_date"),
+        _first(*_date(EXPIRE_DATE, "有效期至", "到期日", "终止日期")).alias("expire_date"),
         _first(*_ratio()).alias("prepay_ratio"),
-    )
-    return found.withColumn("currency", F.when(F.col("currency.value").isNotNull(), F.col("currency")))
+    ]
+
+
+def known_currency(wide: DataFrame) -> DataFrame:
+    return wide.withColumn("currency", F.when(F.col("currency.value").isNotNull(), F.col("currency")))
+
+
+def wide_metadata(paragraphs: DataFrame) -> DataFrame:
+    """One row a document with a struct (value, idx, quote) a field, but for the payment terms."""
+    return known_currency(paragraphs.groupBy("doc_id").agg(*field_aggregates()))
 
 
 def fields(wide: DataFrame, keys: list[str]) -> DataFrame:

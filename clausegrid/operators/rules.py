@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..constants import CLAUSE_TYPES, METADATA_FIELDS, SEED_RULES
 from .clauses import with_clauses
-from .metadata import wide_metadata
+from .metadata import field_aggregates, known_currency, wide_metadata
 
 #: Rules of a catalogue that may come to the driver.
 MOST_RULES = 10_000
@@ -128,6 +128,10 @@ def _regex_hit(spark: SparkSession, rule: Rule) -> Column:
     return F.when(quote != "", F.struct(quote.alias("quote"), reason.alias("reason")))
 
 
+def _hit(spark: SparkSession, rule: Rule) -> Column:
+    return _keyword_hit(rule) if rule.rule_type == "KEYWORD" else _regex_hit(spark, rule)
+
+
 def _risk(rule: Rule, n: int, idx: Column, original: Column, quote: Column, reason: Column) -> Column:
     return F.struct(
         F.lit(n).alias("rule_ord"),
@@ -149,7 +153,7 @@ def paragraph_risks(paragraphs: DataFrame, rules: list[Rule]) -> DataFrame:
     hits = []
     for n, rule in enumerate(rules):
         if rule.failure() is None and rule.rule_type in ("KEYWORD", "REGEX"):
-            hit = _keyword_hit(rule) if rule.rule_type == "KEYWORD" else _regex_hit(spark, rule)
+            hit = _hit(spark, rule)
             hits.append(F.when(_in_scope(rule) & hit.isNotNull(), _risk(rule, n, F.col("idx"), F.col("text"), hit["quote"], hit["reason"])))
     placed = with_clauses(paragraphs)
     if not hits:
@@ -196,11 +200,13 @@ def _threshold_hit(rule: Rule, n: int) -> tuple[Column, Column]:
 
 def evaluate(paragraphs: DataFrame, rules: list[Rule]) -> DataFrame:
     """One row a document and rule: MATCHED, NOT_MATCHED or EVALUATION_FAILED with its reason, and the number of risks."""
-    counted = paragraph_risks(paragraphs, rules).groupBy("doc_id").agg(*(F.count_if(F.col("rule_ord") == n).alias(f"n{n}") for n in range(len(rules))))
-    docs = wide_metadata(paragraphs).join(counted, "doc_id", "left")
+    spark = paragraphs.sparkSession
+    counts = [F.count_if(_in_scope(r) & _hit(spark, r).isNotNull()).alias(f"n{n}") for n, r in enumerate(rules) if r.failure() is None and r.rule_type in ("KEYWORD", "REGEX")]
+    # metadata and hits in one aggregation, on the partitioning that the clauses have made
+    docs = known_currency(with_clauses(paragraphs).groupBy("doc_id").agg(*field_aggregates(), *counts))
     rows = []
     for n, rule in enumerate(rules):
-        failure, count = F.lit(rule.failure()).cast("string"), F.coalesce(F.col(f"n{n}"), F.lit(0))
+        failure, count = F.lit(rule.failure()).cast("string"), F.col(f"n{n}") if f"n{n}" in docs.columns else F.lit(0)
         if rule.failure() is None and rule.rule_type == "THRESHOLD":
             status, _ = _threshold_hit(rule, n)
             failure = F.when(status == "MISSING_INPUT", status)
