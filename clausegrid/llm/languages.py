@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import code_points, mix64
+from ._common import bound_batches, code_points, mix64
 
 #: Labelled texts to learn from, a language (expected number); n-grams a language; slots; hashes; letters in an n-gram.
 SAMPLE, GRAMS, SLOT_BITS, HASHES, ORDERS = 4000, 20_000, 18, 3, 4
@@ -149,7 +149,7 @@ class Filters:
 
 def learn(labelled: DataFrame, per_language: int = SAMPLE, grams: int = GRAMS, share: float = 0.5, least: int = 3, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Filters:
     """Filters from the rows of ``labelled`` whose text and label aren't null."""
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    rows = bound_batches(labelled).where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}  # one row a language
     if not sizes:
         return Filters([], [], np.zeros(0))
@@ -180,7 +180,7 @@ def learn(labelled: DataFrame, per_language: int = SAMPLE, grams: int = GRAMS, s
 
 def predict(docs: DataFrame, filters: Filters, text: str = "text", label: str = "lang_pred", score: str = "score") -> DataFrame:
     """``docs`` with the predicted label and its score; columns of these names are replaced."""
-    kept = docs.drop(label, score)
+    kept = bound_batches(docs).drop(label, score)
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # bounded by SLOT_BITS and the number of labels
 
     def task(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

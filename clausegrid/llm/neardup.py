@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import mix64, stored, text_of
+from ._common import bound_batches, mix64, stored, text_of
 from .components import connected_components
 from .shingles import MinHash, batches, shingle_hashes
 
@@ -77,7 +77,7 @@ def _sums(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def described(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n, s1, s2, bands): the set's size, its digest and its band keys."""
-    narrow = docs.select(docs[key].cast("long").alias("doc_id"), text_of(text).alias("text"))
+    narrow = bound_batches(docs).select(docs[key].cast("long").alias("doc_id"), text_of(text).alias("text"))
 
     def task(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = MinHash(HASHES, SEED)

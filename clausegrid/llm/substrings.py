@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import fresh_name, stored, text_of
+from ._common import bound_batches, fresh_name, stored, text_of
 
 #: Where a unit ends; what matches stays with the unit before it.
 UNITS = {
@@ -65,7 +65,7 @@ def without(text: str, gone: set[int], unit: str) -> tuple[str, list[tuple[int,
 
 def dedup_units(docs: DataFrame, unit: str = "sentence", least_words: int = 5, key: str = "doc_id", text: str = "text", removed: str = "removed") -> DataFrame:
     """``docs`` with later repeats of units taken out of ``text`` and their original stretches in ``removed``."""
-    docs = docs.drop(removed)
+    docs = bound_batches(docs).drop(removed)
     keyed = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("k"), F.xxhash64(text).alias("t"), text_of(text).alias("text"))
 
     def cut(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

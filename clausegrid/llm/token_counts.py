@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import text_of
+from ._common import bound_batches, text_of
 from .tokens import json_tokens
 
 #: Ids in a block.
@@ -30,7 +30,7 @@ BLOCK_IDS = 1 << 18
 
 
 def _encoded(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(docs[key].cast("long").alias("doc_id"), text_of(text).alias("text"))
+    return bound_batches(docs).select(docs[key].cast("long").alias("doc_id"), text_of(text).alias("text"))
 
 
 def token_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = 50256, block_ids: int = BLOCK_IDS, width: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
