@@ -23,7 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import text_of
+from ._common import bound_batches, text_of
+from .neardup import near_duplicates
 from .shingles import MinHash, batches, shingle_hashes
 
 _LOW = -(1 << 63)
@@ -55,7 +56,7 @@ def _parts(text: str, edited: str, k: int) -> tuple[bytes, bytes, bytes]:
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(pid, flag, doc_id, text) sorted in each partition: the rows of a range (flag 0) and then its context (1)."""
     spark = docs.sparkSession
-    narrow = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LOW)).alias("doc_id"), text_of(text).alias("text"))
+    narrow = bound_batches(docs).select(F.coalesce(F.col(key).cast("long"), F.lit(_LOW)).alias("doc_id"), text_of(text).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = 4 * parts  # ranges, dealt by hash; a few to a task even out
     found = narrow.agg(F.min("doc_id"), F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()
@@ -77,6 +78,11 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return placed.repartition(parts, "pid").sortWithinPartitions("pid", "flag", "doc_id", "text")
 
 
+def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept): documents whose signatures share a band and whose sets have the similarity, joined into groups."""
+    return near_duplicates(docs, k, percent, key=key, text=text)
+
+
 def fingerprint_edits(docs: DataFrame, n_hashes: int = 128, k: int = 5, seed: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
     def task(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = MinHash(n_hashes, seed)

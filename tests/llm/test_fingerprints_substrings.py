@@ -83,6 +83,14 @@ def test_fingerprints_brute_force(spark, parts):
         spark.conf.set("spark.sql.shuffle.partitions", 4)
 
 
+def test_near_groups(spark):
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base), " ".join([*base[:59], "x"]), " ".join(base[30:] + base[:30]), None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in fingerprints.near_groups(df).collect()}
+    assert got == {0: (56, 0), 1: (56, 0), 2: (56, 0), 3: (0, 3)}
+
+
 def test_op8_query(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     rows = registry.op8_minhash_fingerprints(spark, sf).collect()
