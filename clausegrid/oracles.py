@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .constants import CLAUSE_TYPE_WORDS, CURRENCIES, FILE_TYPES, LEXICON, METADATA_FIELDS, MIME_FALLBACK, MOST_BYTES, TASK_MOVES
+from .constants import BLOCK_REASONS, CLAUSE_TYPE_WORDS, CURRENCIES, ERRORS, FILE_TYPES, LEXICON, METADATA_FIELDS, MIME_FALLBACK, MOST_BYTES, TASK_MOVES
 from .sources import fixtures as fx
 from .sources.tables import CORPUS_SQL
 
@@ -258,4 +258,45 @@ SELECT c_custkey AS contract_id, c_name AS contract_no, l.task_id AS latest_task
     "workbench_flat": f"""{PLACED}, {_META}, {_RISKS} SELECT t.task_id AS doc_id, t.stage, CAST(18 AS BIGINT) AS n_blocks, (SELECT count(*) FROM clt WHERE clt.doc_id = t.task_id) AS n_clauses, (SELECT count(*) FROM meta WHERE meta.doc_id = t.task_id) AS n_metadata, (SELECT count(*) FROM rr WHERE rr.doc_id = t.task_id) AS n_risks FROM ({_TASKS}) t""",
     "report_markdown": f"{_REPORT} SELECT doc_id, content_md FROM report",
     "writeback_hash_key": f"{_REPORT} SELECT doc_id, sha256(content_md) AS content_hash, sha256(CAST(doc_id AS VARCHAR) || ':' || sha256(content_md)) AS idempotency_key FROM report",
+    "upload_gate": f"""SELECT run_id, m = '' AS file_valid, m AS missing, CASE WHEN error_code IS NOT NULL THEN error_code WHEN m <> '' THEN 'BACKEND_CONTRACT_INCOMPLETE' END AS gate_error FROM (
+  SELECT *, concat_ws(',', CASE WHEN error_code IS NOT NULL THEN 'upload' END, CASE WHEN contract_id IS NULL OR contract_id <= 0 THEN 'contract_id' END, CASE WHEN file_id <= 0 THEN 'file_id' END, CASE WHEN review_task_id <= 0 THEN 'review_task_id' END, CASE WHEN sha256 IS NULL OR sha256 = '' THEN 'sha256' END) AS m FROM ({fx.RUNS_SQL}) r) x""",
+    "workflow_routes": f"SELECT run_id, CASE WHEN file_valid IS TRUE THEN 'continue' ELSE 'stop' END AS after_validate, CASE WHEN parse_status IN ('EMPTY', 'PARSED') THEN 'continue' ELSE 'stop' END AS after_parse, CASE WHEN error_code IS NULL THEN 'continue' ELSE 'stop' END AS after_persist, CASE WHEN llm_error_code IS NULL AND has_findings IS TRUE THEN 'continue' ELSE 'fallback' END AS after_llm FROM ({fx.RUNS_SQL}) r",
+    "workflow_status": f"""SELECT run_id, CASE WHEN done THEN 'completed' ELSE 'rejected' END AS workflow_status, CASE WHEN NOT done AND coalesce(error_code, '') <> 'TASK_ALREADY_PERSISTED' THEN CASE error_code WHEN 'PARSE_FAILED' THEN 'FILE_CORRUPTED' WHEN 'PARSE_UNSUPPORTED_TYPE' THEN 'UNSUPPORTED_FORMAT' ELSE 'INTERNAL_ERROR' END END AS block_reason
+FROM (SELECT *, error_code IS NULL AND file_valid IS TRUE AND coalesce(parse_status, 'FAILED') <> 'FAILED' AS done FROM ({fx.RUNS_SQL}) r) x""",
+    "error_classification": f"SELECT r.run_id, r.error_code, s.http AS http_status, s.category, s.category = 'SYSTEM_ERROR' AS retryable, s.category IN ('USER_ERROR', 'FATAL') AS should_block FROM ({fx.RUNS_SQL}) r JOIN (VALUES {', '.join(map(str, ERRORS))}) s(code, http, category) ON s.code = CASE WHEN r.error_code IN ({', '.join(repr(e[0]) for e in ERRORS)}) THEN r.error_code ELSE 'INTERNAL_ERROR' END WHERE r.error_code IS NOT NULL",
+    "task_block": f"SELECT task_id, status, reason_code, error_code, CASE WHEN error_code IS NULL THEN 'blocked' ELSE status END AS next_status FROM (SELECT *, CASE WHEN status NOT IN ('pending', 'parsing', 'reviewing') THEN 'INVALID_STATE_TRANSITION' WHEN reason_code IS NULL OR reason_code NOT IN ({', '.join(map(repr, BLOCK_REASONS))}) THEN 'VALIDATION_ERROR' END AS error_code FROM ({fx.BLOCKS_SQL}) b) x",
+    "name_lookups": f"""SELECT row_id, CASE row_id % 6 WHEN 0 THEN 'DOCX' WHEN 2 THEN 'PDF' WHEN 3 THEN 'TIFF' END AS type_code, CASE WHEN row_id % 6 IN (0, 1) THEN 'PARAGRAPH' ELSE 'PAGE' END AS locator_type, CASE WHEN status = 'blocked' THEN 'blocked' WHEN stage = 'REVIEWED' THEN 'reviewed' ELSE 'processing' END AS phase,
+  CASE row_id % 10 WHEN 0 THEN 'uploads/1/a.docx' WHEN 7 THEN 'a..b/c' WHEN 9 THEN 'k' || CAST(row_id AS VARCHAR) END AS storage_key FROM ({fx.NAMES_SQL}) n""",
+    "rule_snapshot": f"""WITH s AS ({fx.RULE_SETS_SQL}), r AS ({fx.SET_RULES_SQL}), e AS (SELECT contract_type, max(set_id) AS set_id FROM s WHERE is_active GROUP BY contract_type)
+SELECT e.contract_type, s.version, count(r.rule_id) AS n_rules, 'OK' AS verdict FROM e JOIN s ON s.set_id = e.set_id LEFT JOIN (SELECT * FROM r WHERE is_active) r ON r.set_id = e.set_id GROUP BY e.contract_type, s.version""",
+    "rule_converge": f"SELECT coalesce(a.rule_code, b.rule_code) AS rule_code, CASE WHEN a.rule_code IS NULL THEN 'INSERT' WHEN b.rule_code IS NULL THEN 'DELETE' WHEN a.severity IS NOT DISTINCT FROM b.severity AND a.sort_order = b.sort_order THEN 'KEEP' ELSE 'UPDATE' END AS action FROM ({fx.OLD_RULES_SQL}) a FULL JOIN ({fx.NEW_RULES_SQL}) b ON a.rule_code = b.rule_code",
+    "approval_bind": f"WITH f AS (SELECT sha256, min(contract_id) AS found FROM ({fx.APPROVAL_CONTRACTS_SQL}) c GROUP BY sha256) SELECT instance_no, coalesce(contract_id, found) AS contract_id, contract_id IS NULL AND found IS NOT NULL AS newly_bound FROM ({fx.INSTANCES_SQL}) i LEFT JOIN f ON f.sha256 = i.sample_sha256",
+    "writeback_resolve": f"SELECT t.task_id, t.task_id AS contract_id, i.instance_no, CASE WHEN i.instance_no IS NULL THEN 'WRITEBACK_APPROVAL_NOT_READY' END AS error_code FROM ({fx.TASKS_SQL}) t LEFT JOIN ({fx.APPROVAL_CONTRACTS_SQL}) c ON c.contract_id = t.task_id LEFT JOIN ({fx.INSTANCES_SQL}) i ON i.instance_id = c.instance_id",
+    "document_batch": f"{CORPUS} SELECT doc_id, idx AS order_index, block_type, text, 0 AS char_start_in_block, CAST(length(text) AS INTEGER) AS char_end_in_block, CAST(e - length(text) AS BIGINT) AS char_start_global, CAST(e AS BIGINT) AS char_end_global FROM (SELECT *, sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS e FROM p) x",
+    # planted: block 17 is missing, order 3 became 2, the first clause begins at 18
+    "document_batch_violations": f"""{PLACED}, {_META}, bl AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 AND idx = 3 THEN 2 ELSE idx END AS i FROM p WHERE NOT (doc_id % 5 = 0 AND idx = 17)),
+cu AS (SELECT doc_id, CASE WHEN doc_id % 6 = 0 AND clause_index = 0 THEN 18 ELSE start_idx END AS a, end_idx AS b FROM clt)
+SELECT d.doc_id, CAST(CASE WHEN d.doc_id % 7 = 0 THEN 1 ELSE 0 END AS BIGINT) AS repeated_order, (SELECT count(*) FROM cu WHERE cu.doc_id = d.doc_id AND b < a) AS inverted_clauses,
+  (SELECT count(*) FROM (SELECT doc_id, a AS i FROM cu UNION ALL SELECT doc_id, b FROM cu) e WHERE e.doc_id = d.doc_id AND NOT EXISTS (SELECT 1 FROM bl WHERE bl.doc_id = e.doc_id AND bl.i = e.i)) AS dangling_clauses,
+  (SELECT count(*) FROM meta WHERE meta.doc_id = d.doc_id AND NOT EXISTS (SELECT 1 FROM bl WHERE bl.doc_id = meta.doc_id AND bl.i = meta.idx)) AS dangling_metadata
+FROM (SELECT DISTINCT doc_id FROM p) d""",
+    "risk_payload": f"SELECT doc_id, seq, risk_code, risk_title, dimension, risk_level, source, reason, legal_basis, quote AS original_text, paragraph_index, anchor_method FROM ({fx.RISKS_SQL}) r",
+    # only CLAUSED tasks without rows take risks; a batch with rule b's level (CRITICAL) is refused
+    "risk_persist": f"""{PLACED} SELECT r.doc_id, r.seq, CAST(CASE r.risk_code WHEN 'A' THEN 1 WHEN 'B' THEN 2 END AS BIGINT) AS rule_id, clt.clause_index, 'PENDING' AS review_status FROM ({fx.RISKS_SQL}) r JOIN clt ON clt.doc_id = r.doc_id AND r.paragraph_index BETWEEN clt.start_idx AND clt.end_idx
+WHERE r.seq NOT IN (1, 8) AND r.doc_id % 3 <> 0 AND r.doc_id % 4 = 2""",
+    "writeback_render": f"""WITH t AS ({fx.WRITEBACK_TASKS_SQL}), r AS ({fx.WRITEBACK_RISKS_SQL}),
+k AS (SELECT doc_id, count(*) AS total, count(*) FILTER (WHERE risk_level = 'HIGH') AS high, 0 AS medium, 0 AS low, count(*) FILTER (WHERE risk_level = 'ODD') AS other, string_agg('#### ' || nth || '. [' || risk_level || '] ' || risk_title || chr(10) || chr(10) || '| 项目 | 内容 |' || chr(10) || '| --- | --- |' || chr(10) || '| 风险编码 | ' || coalesce(risk_code, '—') || ' |' || chr(10) || '| 审查维度 | D |' || chr(10) || '| 风险来源 | RULE |' || chr(10) || '| 原文段落 | ' || coalesce('第 ' || paragraph_index || ' 段', '—') || ' |' || chr(10) || '| 人工复核 | ' || CASE review_status WHEN 'MODIFIED' THEN '已修改' ELSE '待复核' END || ' |' || chr(10) || chr(10) ||
+  concat_ws(chr(10), '- **风险原因**：why not', '- **法律依据**：' || legal_basis, '- **命中原文**：' || quote, CASE WHEN review_status = 'MODIFIED' THEN '- **人工风险等级**：' || risk_level END, '- **复核意见**：' || review_comment), chr(10) || chr(10) ORDER BY seq) AS blocks
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS nth FROM r) x GROUP BY doc_id),
+j AS (SELECT t.*, coalesce(total, 0) AS total, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(low, 0) AS low, coalesce(other, 0) AS other, blocks FROM t LEFT JOIN k ON k.doc_id = t.doc_id)
+SELECT doc_id, '## 合同审查意见' || chr(10) || chr(10) || '> 合同编号：' || coalesce(nullif(contract_no, ''), '—') || ' ｜ 合同名称：' || replace(title, '|', chr(92) || '|') || ' ｜ 审查任务：#' || doc_id || chr(10) || chr(10) || '### 一、合同信息' || chr(10) || chr(10) || '| 项目 | 内容 |' || chr(10) || '| --- | --- |' || chr(10) || '| 合同编号 | ' || coalesce(nullif(contract_no, ''), '—') || ' |' || chr(10) || '| 合同名称 | ' || replace(title, '|', chr(92) || '|') || ' |' || chr(10) || chr(10) ||
+  '### 二、审查任务' || chr(10) || chr(10) || '| 项目 | 内容 |' || chr(10) || '| --- | --- |' || chr(10) || '| 审查任务 | #' || doc_id || ' |' || chr(10) || '| 审查阶段 | ' || CASE stage WHEN 'REVIEWED' THEN '审查完成' ELSE stage END || '（' || stage || '） |' || chr(10) || '| 创建时间 | ' || strftime(created_at, '%Y-%m-%d %H:%M') || ' (UTC) |' || chr(10) || chr(10) || '### 三、风险清单' || chr(10) || chr(10) || {_sentence()} || coalesce(chr(10) || chr(10) || blocks, '') || chr(10) AS content_md FROM j""",
+    "prompt_render": f"""{PLACED}, {_META}, {_RISKS},
+ca AS (SELECT doc_id, count(*) AS n, string_agg('--- 条款 #' || clause_index || '（' || CASE WHEN clause_no IS NULL THEN '' ELSE concat_ws(' ', clause_no, title) || '·' END || clause_type || '）---' || chr(10) || text || chr(10), chr(10) ORDER BY clause_index) AS c FROM clt GROUP BY doc_id),
+ru AS (SELECT doc_id, string_agg('- rule_code=' || risk_code || ' | ' || {_TITLES} || ' | 维度=' || {_DIMS} || ' | 等级=' || risk_level || ' | 命中证据：' || quote, chr(10) ORDER BY seq) AS r FROM rr GROUP BY doc_id)
+SELECT ca.doc_id, '【合同类型】PURCHASE' || chr(10) || chr(10) || '【本批条款】（共 ' || n || ' 条，clause_index 请原样回显）' || chr(10) || c || chr(10) || coalesce('【规则已命中】（不要重复报告；相关的请在 related_rule_code 里回填对应编码）' || chr(10) || r, '【规则已命中】（无）') AS user_prompt FROM ca LEFT JOIN ru ON ru.doc_id = ca.doc_id""",
+    "evaluation_metrics": f"""{PLACED}, {_META}, {_RISKS}, d AS (SELECT DISTINCT doc_id FROM p), n AS (SELECT risk_code, count(*) AS n_risks, count(DISTINCT doc_id) AS matched FROM rr GROUP BY risk_code),
+f AS (SELECT (SELECT count(*) FROM d) - (SELECT count(*) FROM meta WHERE field_key = 'prepay_ratio') AS failed)
+SELECT c.rule_code, coalesce(n.matched, 0) AS matched, (SELECT count(*) FROM d) - coalesce(n.matched, 0) - CASE WHEN c.rule_code = 'PAY_PREPAY_RATIO_001' THEN f.failed ELSE 0 END AS not_matched, CASE WHEN c.rule_code = 'PAY_PREPAY_RATIO_001' THEN f.failed ELSE 0 END AS failed, coalesce(n.n_risks, 0) AS n_risks
+FROM (VALUES ('IP_OWNER_SUPPLIER_001'), ('LIAB_UNLIMITED_001'), ('PAY_PREPAY_RATIO_001')) c(rule_code) CROSS JOIN f LEFT JOIN n ON n.risk_code = c.rule_code""",
 }

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .constants import REVIEW_LABELS
-from .operators import clauses, findings, keywords, merge, metadata, paragraphs, persist, readmodels, render, rules
+from .operators import catalogue, clauses, findings, keywords, merge, metadata, paragraphs, persist, prompts, readmodels, render, rules, workflow
 from .sources import fixtures as fx
 from .sources.tables import contract_paragraphs, table
 
@@ -374,6 +374,105 @@ def writeback_hash_key(spark, sf_dir):
     return render.writeback_keys(_reports(spark, sf_dir))
 
 
+# workflow, catalogues, exchange ------------------------------------------------------------------
+
+
+@query
+def upload_gate(spark, sf_dir):
+    runs = fx.rows(spark, sf_dir, fx.RUNS_SQL).select("run_id", "contract_id", "file_id", "review_task_id", "sha256", "error_code")
+    return workflow.upload_gate(runs).select("run_id", "file_valid", "missing", "gate_error")
+
+
+@query
+def workflow_routes(spark, sf_dir):
+    return workflow.routes(fx.rows(spark, sf_dir, fx.RUNS_SQL)).select("run_id", "after_validate", "after_parse", "after_persist", "after_llm")
+
+
+@query
+def workflow_status(spark, sf_dir):
+    return workflow.workflow_status(fx.rows(spark, sf_dir, fx.RUNS_SQL)).select("run_id", "workflow_status", "block_reason")
+
+
+@query
+def error_classification(spark, sf_dir):
+    return workflow.classify_errors(fx.rows(spark, sf_dir, fx.RUNS_SQL).where("error_code IS NOT NULL").select("run_id", "error_code"))
+
+
+@query
+def task_block(spark, sf_dir):
+    return workflow.block_tasks(fx.rows(spark, sf_dir, fx.BLOCKS_SQL))
+
+
+@query
+def name_lookups(spark, sf_dir):
+    x = F.col("extension")
+    return fx.rows(spark, sf_dir, fx.NAMES_SQL).select("row_id", workflow.type_code(x).alias("type_code"), workflow.locator_type(x).alias("locator_type"), workflow.review_phase(F.col("status"), F.col("stage")).alias("phase"), workflow.normalised_key(F.col("raw_key")).alias("storage_key"))
+
+
+@query
+def rule_snapshot(spark, sf_dir):
+    return catalogue.check_snapshots(rules.effective_rule_sets(fx.rows(spark, sf_dir, fx.RULE_SETS_SQL), fx.rows(spark, sf_dir, fx.SET_RULES_SQL)))
+
+
+@query
+def rule_converge(spark, sf_dir):
+    return catalogue.converge(fx.rows(spark, sf_dir, fx.OLD_RULES_SQL), fx.rows(spark, sf_dir, fx.NEW_RULES_SQL), "rule_code", ["severity", "sort_order"])
+
+
+@query
+def approval_bind(spark, sf_dir):
+    return catalogue.bind_by_digest(fx.rows(spark, sf_dir, fx.INSTANCES_SQL), fx.rows(spark, sf_dir, fx.APPROVAL_CONTRACTS_SQL))
+
+
+@query
+def writeback_resolve(spark, sf_dir):
+    tasks = fx.rows(spark, sf_dir, fx.TASKS_SQL).select("task_id", F.col("task_id").alias("contract_id"))
+    return catalogue.approvals_of_tasks(tasks, fx.rows(spark, sf_dir, fx.APPROVAL_CONTRACTS_SQL), fx.rows(spark, sf_dir, fx.INSTANCES_SQL))
+
+
+@query
+def document_batch(spark, sf_dir):
+    return catalogue.document_batch(contract_paragraphs(spark, sf_dir))
+
+
+@query
+def document_batch_violations(spark, sf_dir):
+    p = contract_paragraphs(spark, sf_dir)
+    blocks = catalogue.document_batch(p.where("NOT (doc_id % 5 = 0 AND idx = 17)")).select("doc_id", F.when((F.col("doc_id") % 7 == 0) & (F.col("order_index") == 3), 2).otherwise(F.col("order_index")).alias("order_index"))
+    cut = clauses.segment_clauses(p).withColumn("start_idx", F.when((F.col("doc_id") % 6 == 0) & (F.col("clause_index") == 0), 18).otherwise(F.col("start_idx")))
+    return catalogue.batch_violations(blocks, cut, metadata.extract_metadata(p))
+
+
+@query
+def risk_payload(spark, sf_dir):
+    return catalogue.risk_payload(fx.rows(spark, sf_dir, fx.RISKS_SQL))
+
+
+@query
+def risk_persist(spark, sf_dir):
+    risks = fx.rows(spark, sf_dir, fx.RISKS_SQL).where("seq <> 1 AND (seq <> 8 OR doc_id % 3 = 0)").select("doc_id", "seq", "risk_code", "risk_level", "paragraph_index")
+    known = spark.createDataFrame([("A", 1), ("B", 2)], "rule_code string, rule_id long")
+    placed = persist.resolve_rules(persist.locate_risks_in_clauses(risks, clauses.segment_clauses(contract_paragraphs(spark, sf_dir))), known)
+    gates = persist.stage_gate(fx.rows(spark, sf_dir, fx.TASKS_SQL).select("task_id", "stage", "has_rows")).select(F.col("task_id").alias("doc_id"), "risk_gate")
+    return catalogue.persist_risks(gates, placed).select("doc_id", "seq", "rule_id", "clause_index", "review_status")
+
+
+@query
+def writeback_render(spark, sf_dir):
+    return render.render_writebacks(fx.rows(spark, sf_dir, fx.WRITEBACK_TASKS_SQL), fx.rows(spark, sf_dir, fx.WRITEBACK_RISKS_SQL))
+
+
+@query
+def prompt_render(spark, sf_dir):
+    p = contract_paragraphs(spark, sf_dir)
+    return prompts.render_prompts(clauses.segment_clauses(p), rules.rule_risks(p, rules.seed_rules()))
+
+
+@query
+def evaluation_metrics(spark, sf_dir):
+    return catalogue.evaluation_metrics(rules.evaluate(contract_paragraphs(spark, sf_dir), rules.seed_rules()))
+
+
 @cache
 def oracle_sql() -> dict[str, str]:
     from .oracles import ORACLE_SQL

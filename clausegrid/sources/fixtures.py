@@ -133,3 +133,41 @@ def rows(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
         sql = sql.replace(f"{{{name}}}", f"\x00{name}\x01")
     sql = sql.replace("{", "{{").replace("}", "}}").replace("\x00", "{").replace("\x01", "}")
     return spark.sql(sql, **used)
+
+#: (run_id, contract_id, file_id, review_task_id, sha256, error_code, file_valid, parse_status, llm_error_code, has_findings).
+RUNS_SQL = """
+SELECT o_orderkey AS run_id, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_custkey END AS contract_id, CASE WHEN o_orderkey % 7 = 0 THEN CAST(0 AS BIGINT) ELSE o_orderkey + 1 END AS file_id, CASE WHEN o_orderkey % 11 = 0 THEN CAST(-1 AS BIGINT) ELSE o_orderkey + 2 END AS review_task_id,
+  CASE o_orderkey % 13 WHEN 0 THEN '' WHEN 1 THEN CAST(NULL AS STRING) ELSE 'abc' END AS sha256,
+  CASE o_orderkey % 9 WHEN 0 THEN 'PARSE_FAILED' WHEN 1 THEN 'PARSE_UNSUPPORTED_TYPE' WHEN 2 THEN 'TASK_ALREADY_PERSISTED' WHEN 3 THEN 'OTHER_ERROR' WHEN 4 THEN 'OCR_LOW_QUALITY' WHEN 5 THEN 'LLM_TIMEOUT' END AS error_code,
+  CASE o_orderkey % 4 WHEN 0 THEN false WHEN 1 THEN CAST(NULL AS BOOLEAN) ELSE true END AS file_valid,
+  CASE o_orderkey % 6 WHEN 0 THEN 'FAILED' WHEN 1 THEN CAST(NULL AS STRING) WHEN 2 THEN 'EMPTY' ELSE 'PARSED' END AS parse_status,
+  CASE WHEN o_orderkey % 8 = 0 THEN 'LLM_UNAVAILABLE' END AS llm_error_code, CASE o_orderkey % 10 WHEN 0 THEN CAST(NULL AS BOOLEAN) WHEN 1 THEN false ELSE true END AS has_findings
+FROM orders"""
+
+#: (task_id, status, reason_code).
+BLOCKS_SQL = """
+SELECT o_orderkey AS task_id, CASE o_orderkey % 6 WHEN 0 THEN 'pending' WHEN 1 THEN 'parsing' WHEN 2 THEN 'reviewing' WHEN 3 THEN 'blocked' WHEN 4 THEN 'completed' ELSE 'lost' END AS status,
+  CASE o_orderkey % 5 WHEN 0 THEN 'FILE_CORRUPTED' WHEN 1 THEN 'TIMEOUT' WHEN 2 THEN 'NOT_A_REASON' WHEN 3 THEN CAST(NULL AS STRING) ELSE 'INTERNAL_ERROR' END AS reason_code
+FROM orders"""
+
+#: (row_id, extension, status, stage, raw_key).
+NAMES_SQL = """
+SELECT o_orderkey AS row_id, CASE o_orderkey % 6 WHEN 0 THEN '.docx' WHEN 1 THEN ' DOCX ' WHEN 2 THEN 'pdf' WHEN 3 THEN '.TIFF' WHEN 4 THEN 'exe' ELSE CAST(NULL AS STRING) END AS extension,
+  CASE o_orderkey % 3 WHEN 0 THEN 'blocked' ELSE 'pending' END AS status, CASE o_orderkey % 4 WHEN 0 THEN 'REVIEWED' ELSE 'PARSED' END AS stage,
+  CASE o_orderkey % 10 WHEN 0 THEN ' uploads/./1//a.docx ' WHEN 1 THEN '/abs/a' WHEN 2 THEN 'C:x' WHEN 3 THEN 'a/../b' WHEN 4 THEN '' WHEN 5 THEN CAST(NULL AS STRING) WHEN 6 THEN './/' WHEN 7 THEN 'a..b/c' WHEN 8 THEN replace('a#b', '#', chr(92)) ELSE 'k' || CAST(o_orderkey AS STRING) END AS raw_key
+FROM orders"""
+
+#: (rule_code, severity, sort_order): what is stored and what is wanted.
+OLD_RULES_SQL = "SELECT 'R' || CAST(p_partkey AS STRING) AS rule_code, CASE WHEN p_partkey % 4 = 0 THEN CAST(NULL AS STRING) ELSE p_brand END AS severity, p_size AS sort_order FROM part WHERE p_partkey % 3 <> 0"
+NEW_RULES_SQL = "SELECT 'R' || CAST(p_partkey AS STRING) AS rule_code, CASE WHEN p_partkey % 4 = 0 THEN CAST(NULL AS STRING) ELSE p_brand END AS severity, CASE WHEN p_partkey % 7 = 0 THEN p_size + 1 ELSE p_size END AS sort_order FROM part WHERE p_partkey % 5 <> 0"
+
+#: Approval instances, some bound, with the digest of their sample; contracts with their file's digest and instance.
+INSTANCES_SQL = "SELECT s_suppkey AS instance_id, 'AP-' || CAST(s_suppkey AS STRING) AS instance_no, 'd' || CAST(s_suppkey % 40 AS STRING) AS sample_sha256, CASE WHEN s_suppkey % 5 = 0 THEN s_suppkey * 1000 END AS contract_id FROM supplier WHERE s_suppkey % 9 <> 0"
+APPROVAL_CONTRACTS_SQL = "SELECT o_orderkey AS contract_id, 'd' || CAST(o_orderkey % 60 AS STRING) AS sha256, CASE WHEN o_orderkey % 6 = 0 THEN CAST(NULL AS BIGINT) ELSE o_orderkey % 120 END AS instance_id FROM orders WHERE o_orderkey % 8 <> 0"
+
+#: Write-back tasks and their risks with a human review.
+WRITEBACK_TASKS_SQL = "SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'HT-' || CAST(o_orderkey AS STRING) END AS contract_no, CASE WHEN o_orderkey % 3 = 0 THEN 'a|b' ELSE '合同' END AS title, CASE WHEN o_orderkey % 2 = 0 THEN 'REVIEWED' ELSE 'ODD' END AS stage, o_orderdate AS created_at FROM orders"
+WRITEBACK_RISKS_SQL = " UNION ALL ".join(
+    f"SELECT o_orderkey AS doc_id, {n} AS seq, '{level}' AS risk_level, 'T{n}' AS risk_title, {code} AS risk_code, 'D' AS dimension, 'RULE' AS source, {idx} AS paragraph_index, 'why' || chr(10) || ' not' AS reason, {law} AS legal_basis, 'q{n}' AS quote, '{status}' AS review_status, {comment} AS review_comment FROM orders WHERE o_orderkey % {m} = 0"
+    for n, level, code, idx, law, status, comment, m in [(0, "HIGH", "'A'", "3", "'law'", "MODIFIED", "'fine'", 2), (1, "ODD", "CAST(NULL AS STRING)", "CAST(NULL AS INT)", "CAST(NULL AS STRING)", "PENDING", "CAST(NULL AS STRING)", 3)]
+)
