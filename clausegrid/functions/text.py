@@ -14,6 +14,16 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACES, " "))
 
 
+def stripped(text: Column) -> Column:
+    """No white space of any kind at the ends."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
+def has_text(text: Column) -> Column:
+    """Whether a character isn't white space."""
+    return text.rlike(r"(?U)[^\s\x1c-\x1f]")
+
+
 def without_spaces_folded(text: Column) -> Column:
     """A title's identity: no white space, case folded."""
     return F.replace(F.lower(F.regexp_replace(text, SPACES, "")), F.lit("ß"), F.lit("ss"))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..constants import CLAUSE_TYPE_WORDS, NUMBERING_MODES, OTHER, PARAGRAPH
-from ..functions.text import contains_any, ordered_text, unicode_pattern
+from ..functions.text import contains_any, ordered_text, stripped, unicode_pattern
 
 
 def clause_type(heading: Column) -> Column:
@@ -67,7 +67,7 @@ def with_clauses(paragraphs: DataFrame) -> DataFrame:
 
 def segment_clauses(paragraphs: DataFrame) -> DataFrame:
     """One row a clause: number, title, type, first and last paragraph, text."""
-    title = F.trim(F.substr("heading", F.length("clause_no") + 1))
+    title = stripped(F.substr("heading", F.length("clause_no") + 1))
     return (
         with_clauses(paragraphs)
         .groupBy("doc_id", "clause_index")

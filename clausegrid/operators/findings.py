@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import DIMENSIONS, LEVELS, SUGGESTION_TYPES
-from ..functions.text import occurrences
+from ..functions.text import has_text, occurrences
 
 RISK_COLUMNS = ["doc_id", "seq", "source", "risk_code", "risk_title", "dimension", "risk_level", "reason", "legal_basis", "original_text", "quote", "paragraph_index", "anchor_method", "related_rule_code"]
 
@@ -105,7 +105,7 @@ def locate(findings: DataFrame, placed: DataFrame) -> DataFrame:
         *(F.first(c).alias(c) for c in keys),
         F.count_if("_hit").alias("_n"),
         F.min_by(here, F.when(F.col("_hit"), F.col("_idx"))).alias("_at"),
-        F.min_by(here, F.when(F.trim("_text") != "", F.col("_idx"))).alias("_first"),
+        F.min_by(here, F.when(has_text(F.col("_text")), F.col("_idx"))).alias("_first"),
     )
     scoped = F.col("_n") == 1
     at = F.when(scoped, F.col("_at")).otherwise(F.col("_first"))

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..constants import AMOUNT, CREDIT_CODE, CURRENCIES, EFFECTIVE_DATE, EXPIRE_DATE, METADATA_FIELDS, PARAGRAPH, PARTY, PERCENT, SIGN_DATE, TABLE_ROW
-from ..functions.text import contains_any, ordered_text, unicode_pattern
+from ..functions.text import contains_any, ordered_text, stripped, unicode_pattern
 
 
 def _group(pattern: str, n: int, text: str = "text") -> Column:
@@ -30,7 +30,7 @@ def _has(*words: str) -> Column:
 
 
 def _party(role: str) -> tuple[Column, Column, Column]:
-    name = F.trim(_group(PARTY, 2))
+    name = stripped(_group(PARTY, 2))
     return (F.col("block_type") == PARAGRAPH) & F.startswith("text", F.lit(role)) & (_group(PARTY, 1) == role) & (name != ""), name, F.col("text")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..constants import PARAGRAPH
-from ..functions.text import normalised
+from ..functions.text import has_text, normalised
 
 
 def split_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -35,5 +35,5 @@ def block_offsets(paragraphs: DataFrame) -> DataFrame:
 
 def parse_status(paragraphs: DataFrame) -> DataFrame:
     """PARSED if a paragraph has text, else EMPTY."""
-    has = F.max(F.length(F.trim("text")) > 0)
+    has = F.max(has_text(F.col("text")))
     return paragraphs.groupBy("doc_id").agg(F.when(has, "PARSED").otherwise("EMPTY").alias("status"), F.count("*").alias("n_paragraphs"))
