@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +69,24 @@ def fresh_name(taken: list[str], name: str) -> str:
     return name
 
 
+#: Stands for a null doc_id on the way through Python, where a column with nulls would become floats.
+NO_ID = -(1 << 63)
+
+
+def id_column(df: DataFrame, key: str):
+    return F.coalesce(df[key].cast("long"), F.lit(NO_ID)).alias("doc_id")
+
+
+def ids_back(df: DataFrame) -> DataFrame:
+    return df.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+
+
+def with_arrays(batch: pa.RecordBatch, **arrays: pa.Array) -> pa.RecordBatch:
+    """``batch`` with columns replaced or added; all others stay as they are."""
+    held = dict(zip(batch.schema.names, batch.columns)) | arrays
+    return pa.RecordBatch.from_arrays(list(held.values()), names=list(held))
+
+
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 

@@ -23,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._common import bound_batches, text_of
+from ._common import bound_batches, id_column, ids_back, text_of, with_arrays
 from .tokens import BYTE_LEVEL, CACHED_WORDS, WordCache, splitter
 
 #: States and pairs that one worker keeps; the transducer starts anew beyond them.
@@ -272,7 +273,7 @@ def byte_bpe(path: str, pattern: str = BYTE_LEVEL) -> ByteBpe:
     return _OPEN[path, pattern]
 
 
-def _mapped(df: DataFrame, schema: T.StructType, step) -> DataFrame:
+def _mapped(df: DataFrame, schema: str, step) -> DataFrame:
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             for at in range(0, max(1, len(pdf)), 1000):
@@ -286,11 +287,13 @@ def encode_column(df: DataFrame, ranks_path: str, text: str = "text", ids: str =
     kept = df.drop(ids) if ids != text else df
     schema = T.StructType([*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        texts = [x if isinstance(x, str) else "" for x in pdf[text]]
-        return pdf.assign(**{ids: [x.astype(np.int32) for x in byte_bpe(ranks_path, pattern).encode(texts)]})
+    def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            texts = [x or "" for x in batch.column(text).to_pylist()]
+            coded = [x.astype(np.int32) for x in byte_bpe(ranks_path, pattern).encode(texts)]
+            yield with_arrays(batch, **{ids: pa.array(coded, pa.list_(pa.int32()))})
 
-    return _mapped(kept, schema, step)
+    return bound_batches(kept).mapInArrow(task, schema)
 
 
 def decode_column(df: DataFrame, ranks_path: str, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -298,11 +301,13 @@ def decode_column(df: DataFrame, ranks_path: str, ids: str = "ids", text: str =
     kept = df.drop(text) if ids != text else df
     schema = T.StructType([*kept.schema.fields, T.StructField(text, T.StringType())])
 
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+    def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = byte_bpe(ranks_path)
-        return pdf.assign(**{text: [codec.decode(np.asarray(x, dtype=np.int64)) if x is not None else "" for x in pdf[ids]]})
+        for batch in it:
+            texts = [codec.stream.decode(x or []) for x in batch.column(ids).to_pylist()]
+            yield with_arrays(batch, **{text: pa.array(texts, pa.string())})
 
-    return _mapped(kept, schema, step)
+    return bound_batches(kept).mapInArrow(task, schema)
 
 
 def round_trip(df: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -311,7 +316,7 @@ def round_trip(df: DataFrame, ranks_path: str, key: str = "doc_id", text: str =
     ``valid_utf8`` is what the incremental UTF-8 machine says at the end of the ids.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, valid_utf8 boolean"
-    narrow = df.select(df[key].cast("long").alias("doc_id"), text_of(text).alias("text"))
+    narrow = df.select(id_column(df, key), text_of(text).alias("text"))
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
         codec = byte_bpe(ranks_path)
@@ -333,4 +338,4 @@ def round_trip(df: DataFrame, ranks_path: str, key: str = "doc_id", text: str =
             valid.append(ok and state == 0)
         return pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": n, "ids_sha256": ids_sha, "decoded_sha256": decoded_sha, "valid_utf8": valid})
 
-    return _mapped(narrow, T._parse_datatype_string(schema), step)
+    return ids_back(_mapped(narrow, schema, step))

@@ -25,17 +25,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import bound_batches, code_points, mix64
+from ._common import bound_batches, code_points, mix64, with_arrays
 
 #: Labelled texts to learn from, a language (expected number); n-grams a language; slots; hashes; letters in an n-gram.
 SAMPLE, GRAMS, SLOT_BITS, HASHES, ORDERS = 4000, 20_000, 18, 3, 4
 _LETTER: np.ndarray | None = None
-_BATCH = 1 << 20
+#: Characters looked up together: the arrays of a batch fit a core's cache.
+_BATCH = 1 << 17
 
 
 def _letters() -> np.ndarray:
@@ -183,14 +185,14 @@ def predict(docs: DataFrame, filters: Filters, text: str = "text", label: str =
     kept = bound_batches(docs).drop(label, score)
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # bounded by SLOT_BITS and the number of labels
 
-    def task(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            for start in range(0, len(pdf), 500):
-                some = pdf.iloc[start : start + 500]
-                labels, scores = shared.value.predict([x if isinstance(x, str) else "" for x in some[text]])
-                yield some.assign(**{label: labels, score: scores})
+    def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for start in range(0, batch.num_rows, 500):
+                some = batch.slice(start, 500)
+                labels, scores = shared.value.predict([x or "" for x in some.column(text).to_pylist()])
+                yield with_arrays(some, **{label: pa.array(labels, pa.string()), score: pa.array(scores, pa.float64())})
 
-    return kept.mapInPandas(task, T.StructType([*kept.schema.fields, T.StructField(label, T.StringType()), T.StructField(score, T.DoubleType())]))
+    return kept.mapInArrow(task, T.StructType([*kept.schema.fields, T.StructField(label, T.StringType()), T.StructField(score, T.DoubleType())]))
 
 
 def held_out(key: str = "doc_id"):

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bound_batches, mix64, stored, text_of
+from ._common import NO_ID, bound_batches, id_column, ids_back, mix64, stored, text_of
 from .components import connected_components
 from .shingles import MinHash, batches, shingle_hashes
 
@@ -77,7 +77,7 @@ def _sums(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def described(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n, s1, s2, bands): the set's size, its digest and its band keys."""
-    narrow = bound_batches(docs).select(docs[key].cast("long").alias("doc_id"), text_of(text).alias("text"))
+    narrow = bound_batches(docs).select(id_column(docs, key), text_of(text).alias("text"))
 
     def task(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = MinHash(HASHES, SEED)
@@ -94,7 +94,7 @@ def described(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text")
                 bands = [b if n else b[:0] for b, n in zip(keys.view(np.int64), counts)]
                 yield pd.DataFrame({"doc_id": some, "n": counts, "s1": _sums(h, counts).view(np.int64), "s2": _sums(mix64(h), counts).view(np.int64), "bands": bands})
 
-    return narrow.mapInPandas(task, "doc_id long, n long, s1 long, s2 long, bands array<long>")
+    return ids_back(narrow.mapInPandas(task, "doc_id long, n long, s1 long, s2 long, bands array<long>"))
 
 
 def _bloom_words(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -120,12 +120,12 @@ def _maybe(needed: DataFrame, column, bits: int):
 
     @F.pandas_udf("boolean")
     def maybe(ids: pd.Series) -> pd.Series:
-        have = ids.notna().to_numpy()
-        at = _bloom_words(ids.fillna(0).to_numpy(np.int64), bits)
+        have = (ids != NO_ID).to_numpy()
+        at = _bloom_words(ids.to_numpy(np.int64), bits)
         hit = (shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
         return pd.Series(hit.reshape(3, -1).all(0) & have)
 
-    return maybe(column)
+    return maybe(F.coalesce(column, F.lit(NO_ID)))
 
 
 def only_needed(docs: DataFrame, needed: DataFrame, key: str, bits: int = BLOOM_BITS) -> DataFrame:
@@ -218,14 +218,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     """(doc_id, n_shingles, component_id, kept), one row a document."""
     base = stored(described(docs, k, key, text), "near-described")
     known = base.where("doc_id IS NOT NULL AND n > 0")
-    classes = known.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"))
+    # stored, so that the join below has an exchange on either side and AQE may split a hot set of copies
+    classes = stored(known.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node")), "near-classes")
     members = stored(base.select("doc_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left").select("doc_id", "n", "node"), "near-members")
     several = members.where("doc_id IS NOT NULL AND node IS NOT NULL").groupBy("doc_id").agg(F.collect_set("node").alias("nodes")).where("size(nodes) > 1")  # a doc_id of several texts
     own_links = several.select(F.array_min("nodes").alias("a"), F.explode("nodes").alias("b"))
 
     nodes = members.where("doc_id = node").select("doc_id").distinct()
     banded = stored(known.join(nodes, "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("bucket")).distinct(), "near-bands")
-    shared = banded.groupBy("bucket").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last").select("bucket", "pivot")
+    shared = stored(banded.groupBy("bucket").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last").select("bucket", "pivot"), "near-shared")
     bucketed = stored(banded.join(shared, "bucket"), "near-buckets")
 
     needed = bucketed.select("doc_id").distinct()

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from ._common import bound_batches, text_of
+from ._common import bound_batches, id_column, ids_back, text_of
 from .tokens import json_tokens
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
@@ -93,7 +93,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
     """
     if capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
-    narrow = bound_batches(docs).select(docs[key].cast("long").alias("doc_id"), text_of(text).alias("text"))
+    narrow = bound_batches(docs).select(id_column(docs, key), text_of(text).alias("text"))
     end = end_id.to_bytes(4, "little")
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -133,4 +133,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
             close(done)
         yield out()
 
-    return narrow.mapInPandas(task, SCHEMA)
+    return ids_back(narrow.mapInPandas(task, SCHEMA))

@@ -22,11 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import fresh_name, stored, text_of
+from ._common import bound_batches, fresh_name, stored, text_of, with_arrays
 
 _LOW, _HIGH = -(1 << 63), (1 << 63) - 1
 Key = tuple[int, int]
@@ -109,9 +110,9 @@ def find_splitters(keys: DataFrame, targets: list[tuple[float, float]], probes:
 
 def shard_rows(docs: DataFrame, n_shards: int = 16, tolerance: float = 0.002, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``size``, ``shard`` and ``slot`` (gapless from 0 in each shard)."""
-    spark = docs.sparkSession
-    names = {c: fresh_name(docs.columns, c) for c in ("h", "d", "w", "range_no")}
-    h, d, w, r = (names[c] for c in ("h", "d", "w", "range_no"))
+    spark = bound_batches(docs).sparkSession
+    names = {c: fresh_name(docs.columns, c) for c in ("h", "d", "w", "range_no", "before")}
+    h, d, w, r, before = (names[c] for c in ("h", "d", "w", "range_no", "before"))
     for c in ("size", "shard", "slot"):
         docs = docs.drop(c)
     keyed = docs.withColumns({h: F.xxhash64(text_of(text)), d: F.coalesce(F.col(key).cast("long"), F.lit(_LOW)), w: (F.octet_length(text_of(text)) + 1).cast("long")})
@@ -133,12 +134,13 @@ def shard_rows(docs: DataFrame, n_shards: int = 16, tolerance: float = 0.002, ke
         ranges.append((b, shard, rows_below - start[shard]))
         rows_below += counts.get(b, 0)
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(**{r: _below(edges, pdf[h].to_numpy(np.int64), pdf[d].to_numpy(np.int64)) if edges else 0})
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _below(edges, batch.column(h).to_numpy(), batch.column(d).to_numpy()) if edges else np.zeros(batch.num_rows, np.int64)
+            yield with_arrays(batch, **{r: pa.array(at, pa.int64())})
 
-    placed = keyed.mapInPandas(place, keyed.withColumn(r, F.lit(0).cast("long")).schema)
-    of_range = F.broadcast(spark.createDataFrame(ranges, f"{r} long, shard int, before long"))  # one row a boundary
+    placed = keyed.mapInArrow(place, keyed.withColumn(r, F.lit(0).cast("long")).schema)
+    of_range = F.broadcast(spark.createDataFrame(ranges, f"{r} long, shard int, {before} long"))  # one row a boundary
     inside = F.row_number().over(W.partitionBy(r).orderBy(h, d))
-    out = placed.withColumn("slot", inside).join(of_range, r).withColumn("slot", F.col("slot") - 1 + F.col("before"))
+    out = placed.withColumn("slot", inside).join(of_range, r).withColumn("slot", F.col("slot") - 1 + F.col(before))
     return out.select(*docs.columns, F.col(w).alias("size"), "shard", F.col("slot").cast("long").alias("slot"))

@@ -23,13 +23,13 @@ _LOWERED = _BYTE.copy()
 _LOWERED[65:91] = _BYTE[97:123]
 _POWERS: dict[int, np.ndarray] = {}
 #: Bytes of text that are hashed together, unless one text is longer.
-BATCH = 1 << 20
+BATCH = 1 << 18
 
 
 def _powers(base: int, n: int) -> np.ndarray:
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        have = np.full(max(n, 2 * BATCH), base, np.uint64)
+        have = np.full(max(n, BATCH + BATCH // 2), base, np.uint64)
         have[0] = 1
         have = _POWERS[base] = np.multiply.accumulate(have)
     return have[:n]

@@ -23,11 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import bound_batches, fresh_name, stored, text_of
+from ._common import bound_batches, fresh_name, stored, text_of, with_arrays
 
 #: Where a unit ends; what matches stays with the unit before it.
 UNITS = {
@@ -82,7 +83,8 @@ def dedup_units(docs: DataFrame, unit: str = "sentence", least_words: int = 5, k
                 yield pd.DataFrame({"a": two[:, 0], "b": two[:, 1], "k": np.repeat(some["k"].to_numpy(), size), "t": np.repeat(some["t"].to_numpy(), size), "at": np.array(at, np.int32)})
 
     units = stored(keyed.mapInPandas(cut, "a long, b long, k long, t long, at int"), "units")
-    first = units.groupBy("a", "b").agg(F.min(F.struct("k", "t", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", "first")
+    repeated = units.groupBy("a", "b").agg(F.min(F.struct("k", "t", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", "first")
+    first = stored(repeated, "units-first")  # so that the join below has an exchange on either side and AQE may split it
     later = units.join(first, ["a", "b"]).where("struct(k, t, at) != first")
     gone = later.groupBy("k", "t").agg(F.sort_array(F.collect_set("at")).alias("at"))  # bounded by a document's units
 
@@ -91,17 +93,19 @@ def dedup_units(docs: DataFrame, unit: str = "sentence", least_words: int = 5, k
     marked = whole.join(gone.select(F.col("k").alias(k), F.col("t").alias(t), F.col("at").alias(at)), [k, t], "left").select(*docs.columns, at)
     spans = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
-    def rebuild(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
+    def rebuild(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
             texts, cuts = [], []
-            for one, places in zip(pdf[text], pdf[at]):
-                if places is None or not isinstance(one, str):
-                    texts.append(one if isinstance(one, str) else None)
+            for one, places in zip(batch.column(text).to_pylist(), batch.column(at).to_pylist()):
+                if places is None or one is None:
+                    texts.append(one)
                     cuts.append([])
                 else:
                     left, stretches = without(one, set(places), unit)
                     texts.append(left)
                     cuts.append([{"start": a, "end": b} for a, b in stretches])
-            yield pdf.drop(columns=[at]).assign(**{text: texts, removed: cuts})
+            kept = batch.select([c for c in batch.schema.names if c != at])
+            yield with_arrays(kept, **{text: pa.array(texts, pa.string()), removed: pa.array(cuts, stretch)})
 
-    return marked.mapInPandas(rebuild, T.StructType([*docs.schema.fields, T.StructField(removed, spans)]))
+    stretch = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    return marked.mapInArrow(rebuild, T.StructType([*docs.schema.fields, T.StructField(removed, spans)]))

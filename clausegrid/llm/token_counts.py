@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import bound_batches, text_of
+from ._common import bound_batches, id_column, ids_back, text_of
 from .tokens import json_tokens
 
 #: Ids in a block.
@@ -30,7 +30,7 @@ BLOCK_IDS = 1 << 18
 
 
 def _encoded(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return bound_batches(docs).select(docs[key].cast("long").alias("doc_id"), text_of(text).alias("text"))
+    return bound_batches(docs).select(id_column(docs, key), text_of(text).alias("text"))
 
 
 def token_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = 50256, block_ids: int = BLOCK_IDS, width: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -112,7 +112,7 @@ def count_tokens(blocks: DataFrame, end_id: int = 50256, width: int = 2) -> Data
         .withColumn("open_from", F.coalesce(F.max("last_end").over(before), F.lit(-1)) + 1)
         .withColumn("is_last", F.lead("block").over(ordered).isNull())
     )
-    rows = F.transform(
+    found_rows = F.transform(
         "ends",
         lambda e, i: F.struct(
             (F.col("ordinal") + i).alias("ordinal"),
@@ -125,5 +125,6 @@ def count_tokens(blocks: DataFrame, end_id: int = 50256, width: int = 2) -> Data
     after = F.coalesce(F.col("last_end") + 1, F.col("open_from"))
     total = F.col("base") + F.col("n")
     tail = F.struct((F.col("ordinal") + F.size("ends")).alias("ordinal"), after.alias("first_token"), total.alias("end"), F.lit(False).alias("terminated"), F.lit(None).cast("long").alias("doc_id"))
-    all_rows = F.concat(rows, F.when(F.col("is_last") & (total > after), F.array(tail)).otherwise(F.array().cast(f"array<struct<ordinal:bigint,first_token:bigint,end:bigint,terminated:boolean,doc_id:bigint>>")))
-    return placed.select("stream", F.explode(all_rows).alias("d")).select("stream", "d.ordinal", "d.first_token", (F.col("d.end") - F.col("d.first_token")).alias("n_tokens"), "d.terminated", "d.doc_id")
+    all_rows = F.concat(found_rows, F.when(F.col("is_last") & (total > after), F.array(tail)).otherwise(F.array().cast("array<struct<ordinal:bigint,first_token:bigint,end:bigint,terminated:boolean,doc_id:bigint>>")))
+    rows = placed.select("stream", F.explode(all_rows).alias("d"))
+    return ids_back(rows.select("stream", "d.ordinal", "d.first_token", (F.col("d.end") - F.col("d.first_token")).alias("n_tokens"), "d.terminated", "d.doc_id"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausegrid.llm import languages, neardup, packing, substrings
-from clausegrid.llm._common import stored, table
+from clausegrid.llm._common import fresh_name, stored, table
 
 #: A document of which fewer n-grams than this share belong to its best language is in none that was learned.
 LEAST_LANGUAGE_SCORE = 0.2
@@ -19,8 +19,9 @@ LEAST_LANGUAGE_SCORE = 0.2
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labelled documents; rejects those without letters or in no learned language."""
-    scored = languages.predict(docs, languages.learn(docs), label="_lang_pred", score="_lang_score")
-    kept = scored.where((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= LEAST_LANGUAGE_SCORE))
+    label, score = fresh_name(docs.columns, "lang_pred"), fresh_name(docs.columns, "lang_score")
+    scored = languages.predict(docs, languages.learn(docs), label=label, score=score)
+    kept = scored.where((F.col(label) != "und") & (F.col(score) >= LEAST_LANGUAGE_SCORE))
     return kept.select(docs.columns)
 
 
@@ -31,7 +32,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_units(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sentences that an earlier document (or place) has go; ``n_chars`` follows the text."""
-    out = substrings.dedup_units(docs, removed="_removed").drop("_removed")
+    removed = fresh_name(docs.columns, "removed")
+    out = substrings.dedup_units(docs, removed=removed).drop(removed)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out

@@ -41,3 +41,22 @@ def test_stages_and_run(spark, sf):
     assert check_packed(packed, ids, 2048) == 0
     whole = corpus_pipeline.run(spark, sf).collect()
     assert sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in whole) == sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in packed)
+
+
+def test_stages_with_odd_rows(spark, sf):
+    """Nulls in any column, repeated rows, very long and empty texts, ids beyond 2**53, columns that clash, no rows."""
+    big = (1 << 60) + 1
+    same = "the cat and the dog walk home over the hill and sleep there. "
+    rows = [(big, same * 3, "en", 1, "x", 2**62 + 1), (big + 2, same * 3, "en", 1, None, None), (None, same * 3, None, None, None, 5), (None, None, None, None, None, None), (7, "", "en", 1, "y", 7), (8, "a b " * 100_000, "en", 1, "z", 8), (8, "a b " * 100_000, "en", 1, "z", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long, lang_pred string, removed long").coalesce(1)
+    one = corpus_pipeline.identify_language(spark, docs, sf)
+    assert one.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.removed or 0) for r in one.collect()) == sorted([(big, 2**62 + 1), (big + 2, 0), (0, 5), (8, 8), (8, 8)])
+    two = corpus_pipeline.drop_near_duplicates(spark, one, sf)
+    assert sorted((r.doc_id or 0) for r in two.collect()) == [0, 8, 8, big]
+    three = corpus_pipeline.drop_repeated_units(spark, two, sf).collect()
+    assert {r.doc_id: r.removed for r in three if r.doc_id == big} == {big: 2**62 + 1} and all(r.n_chars == len(r.text) for r in three)
+    packed = corpus_pipeline.pack_sequences(spark, docs, sf).collect()
+    assert {r.doc_id for r in packed} == {big, big + 2, None, 7, 8}
+    for stage in (corpus_pipeline.identify_language, corpus_pipeline.drop_near_duplicates, corpus_pipeline.drop_repeated_units, corpus_pipeline.pack_sequences):
+        assert stage(spark, docs.limit(0), sf).count() == 0
