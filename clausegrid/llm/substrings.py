@@ -2,7 +2,9 @@
 
 A text is cut into units that together are the text again. A unit is normalised (lower case, white
 space runs to one space) and, if it has ``least_words`` words at least, digested to 128 bits. Digests
-are grouped over all documents; the occurrence of the smallest (doc_id, place) stays, all others go.
+are grouped over all documents; the occurrence of the smallest (doc_id, place) stays. All others go if
+they stand in a run of such repeats (units too short to count may stand between) of ``least_run`` words
+together, so a passage goes as a whole and a stock phrase in an otherwise new text stays.
 Documents keep what remains, in order and unchanged, and the removed stretches as offsets in the
 original text. The default unit is a sentence within a line, so a passage is found wherever it stands
 in a line.
@@ -49,10 +51,27 @@ def digests(text: str, unit: str, least_words: int) -> tuple[list[int], list[byt
     return at, out
 
 
-def without(text: str, gone: set[int], unit: str) -> tuple[str, list[tuple[int, int]]]:
-    """``text`` without the units at the places ``gone``, and their stretches, neighbours joined."""
+def in_runs(units: list[str], repeated: set[int], least_words: int, least_run: int) -> set[int]:
+    """Those of the places ``repeated`` whose run has ``least_run`` words; a unit that counts and isn't repeated ends a run."""
+    out, run, words = set(), [], 0
+    for i, u in enumerate(units):
+        n = len(u.split())
+        if i in repeated:
+            run.append(i)
+            words += n
+        elif n >= least_words:
+            out.update(run if words >= least_run else ())
+            run, words = [], 0
+    out.update(run if words >= least_run else ())
+    return out
+
+
+def without(text: str, repeated: set[int], unit: str, least_words: int = 1, least_run: int = 0) -> tuple[str, list[tuple[int, int]]]:
+    """``text`` without its repeated units that stand in a long enough run, and their stretches, neighbours joined."""
+    units = UNITS[unit].findall(text)
+    gone = in_runs(units, repeated, least_words, least_run)
     kept, spans, at = [], [], 0
-    for i, u in enumerate(UNITS[unit].findall(text)):
+    for i, u in enumerate(units):
         if i in gone:
             if spans and spans[-1][1] == at:
                 spans[-1] = (spans[-1][0], at + len(u))
@@ -64,7 +83,7 @@ def without(text: str, gone: set[int], unit: str) -> tuple[str, list[tuple[int,
     return "".join(kept), spans
 
 
-def dedup_units(docs: DataFrame, unit: str = "sentence", least_words: int = 5, key: str = "doc_id", text: str = "text", removed: str = "removed") -> DataFrame:
+def dedup_units(docs: DataFrame, unit: str = "sentence", least_words: int = 5, least_run: int = 20, key: str = "doc_id", text: str = "text", removed: str = "removed") -> DataFrame:
     """``docs`` with later repeats of units taken out of ``text`` and their original stretches in ``removed``."""
     docs = bound_batches(docs).drop(removed)
     keyed = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("k"), F.xxhash64(text).alias("t"), text_of(text).alias("text"))
@@ -101,7 +120,7 @@ def dedup_units(docs: DataFrame, unit: str = "sentence", least_words: int = 5, k
                     texts.append(one)
                     cuts.append([])
                 else:
-                    left, stretches = without(one, set(places), unit)
+                    left, stretches = without(one, set(places), unit, least_words, least_run)
                     texts.append(left)
                     cuts.append([{"start": a, "end": b} for a, b in stretches])
             kept = batch.select([c for c in batch.schema.names if c != at])

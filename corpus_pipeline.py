@@ -31,7 +31,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_units(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sentences that an earlier document (or place) has go; ``n_chars`` follows the text."""
+    """Runs of 20 words or more in sentences that an earlier document (or place) has go; ``n_chars`` follows the text."""
     removed = fresh_name(docs.columns, "removed")
     out = substrings.dedup_units(docs, removed=removed).drop(removed)
     if "n_chars" in docs.columns:

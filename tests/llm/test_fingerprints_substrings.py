@@ -111,18 +111,28 @@ def test_sentences():
     assert substrings.UNITS["sentence"].findall("A b. C d! e 1.5 f... g?\nh.\n\ni j") == ["A b. ", "C d! ", "e 1.5 f... ", "g?\n", "h.\n", "\n", "i j"]
 
 
-def brute_dedup(docs, unit, least):
+def brute_dedup(docs, unit, least, run=0):
+    """Each run of repeats is looked at on its own: from a repeat to the last one before a unit that counts and is new."""
     seen, out = set(), {}
     for i, t in sorted(set(docs), key=lambda x: (-1 if x[0] is None else x[0])):
         if t is None:
             out[i, t] = (None, [])
             continue
         kept, spans, at = "", [], 0
-        for u in substrings.UNITS[unit].findall(t):
+        units = substrings.UNITS[unit].findall(t)
+        kinds = []
+        for u in units:
             name = " ".join(u.lower().split())
-            gone = len(name.split()) >= least and name in seen
+            counts = len(name.split()) >= least
+            kinds.append("r" if counts and name in seen else "n" if counts else ".")
             seen.add(name)
-            if gone:
+        going = set()
+        for m in re.finditer("[r.]+", "".join(kinds)):
+            places = [i for i in range(*m.span()) if kinds[i] == "r"]
+            if sum(len(units[i].split()) for i in places) >= run:
+                going.update(places)
+        for i_, u in enumerate(units):
+            if i_ in going:
                 spans += range(at, at + len(u))
             else:
                 kept += u
@@ -131,18 +141,18 @@ def brute_dedup(docs, unit, least):
     return out
 
 
-@pytest.mark.parametrize("unit,least", [("line", 1), ("sentence", 3), ("paragraph", 2)])
-def test_dedup_brute_force(spark, unit, least):
-    r = random.Random(least)
+@pytest.mark.parametrize("unit,least,run", [("line", 1, 0), ("sentence", 3, 0), ("paragraph", 2, 0), ("sentence", 3, 9)])
+def test_dedup_brute_force(spark, unit, least, run):
+    r = random.Random(least + run)
     pool = ["One two three four.", "one  TWO three four.", "Alpha beta gamma! ", "x", "", "Unique", "a b c d e f\n\n", "hot line of all documents."]
     docs = [(i, "".join(r.choice(pool) + r.choice([" ", "\n", ""]) for _ in range(r.randrange(9)))) for i in range(80)]
     docs += [(100, None), (101, ""), (102, "One two three four. " * 300), (7, docs[7][1]), (None, "nothing like it in here")]
     df = spark.createDataFrame([(i, t, 1, "k") for i, t in docs], "doc_id long, text string, at int, k string")
-    got = substrings.dedup_units(df, unit, least)
+    got = substrings.dedup_units(df, unit, least, run)
     assert got.columns == ["doc_id", "text", "at", "k", "removed"]
     rows = got.collect()
     assert len(rows) == len(docs)
-    want = brute_dedup(docs, unit, least)
+    want = brute_dedup(docs, unit, least, run)
     original = {}
     for i, t in docs:
         original.setdefault(i, t)
@@ -154,7 +164,7 @@ def test_dedup_brute_force(spark, unit, least):
 
 def test_op5_query(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    want = brute_dedup(docs, "sentence", 5)
+    want = brute_dedup(docs, "sentence", 5, 20)
     rows = registry.op5_unit_dedup(spark, sf).collect()
     assert len(rows) == len(docs)
     for x in rows:

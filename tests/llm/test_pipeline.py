@@ -30,7 +30,7 @@ def test_stages_and_run(spark, sf):
 
     three = corpus_pipeline.drop_repeated_units(spark, two, sf)
     assert three.columns == docs.columns
-    left = brute_dedup(list(kept.items()), "sentence", 5)
+    left = brute_dedup(list(kept.items()), "sentence", 5, 20)
     rows = three.collect()
     assert {r.doc_id: r.text for r in rows} == {i: t for (i, _), (t, _) in left.items()} and all(r.n_chars == len(r.text) for r in rows)
 
