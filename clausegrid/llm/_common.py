@@ -44,9 +44,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{found}"
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables that ``stored`` made in this application; results that weren't written are lost."""
+    _delete(spark, _own_dir(spark))
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: cuts the lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -57,8 +71,7 @@ def forget(df: DataFrame) -> None:
     root = shared_dir(spark)
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if path.replace("file:///", "/").startswith(root.replace("file:///", "/").replace("file:/", "/")):
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
 
 
 def fresh_name(taken: list[str], name: str) -> str:
