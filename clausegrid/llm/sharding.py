@@ -18,6 +18,7 @@ gives an empty table. Extra columns are kept by ``shard_rows`` and left out by t
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,13 +90,13 @@ def find_splitters(keys: DataFrame, targets: list[tuple[float, float]], probes:
             break
         wanted = sorted({p for low, high in brackets.values() for p in (low, *_spread(low, high, probes))})
         seen = {b: (w, a, z) for b, w, _, a, z in histogram(keys, wanted)}
-        below = [0]
+        filled, below = sorted(seen), [0]
         for j in range(len(wanted) + 1):
             below.append(below[-1] + (seen[j][0] if j in seen else 0))
         for i in list(brackets):
             t, tolerance = targets[i]
             j = int(np.searchsorted(below, t, "right")) - 1
-            j = max((k for k in (min(j, len(wanted)), *range(min(j, len(wanted)), -1, -1)) if k in seen), default=min(seen))
+            j = filled[max(0, bisect_right(filled, j) - 1)]
             for k in (j, j + 1):  # the boundaries at both ends of the interval that holds the target
                 if 0 < k <= len(wanted) and (far := abs(below[k] - t)) < best[i][0]:
                     best[i] = far, wanted[k - 1]
@@ -129,7 +130,7 @@ def shard_rows(docs: DataFrame, n_shards: int = 16, tolerance: float = 0.002, ke
     rows_below, counts = 0, {b: n for b, _, n, _, _ in histogram(keys, edges)} if total else {}
     ranges, start = [], {}
     for b in range(len(edges) + 1):
-        shard = sum(1 for p in outer if b > 0 and p <= edges[b - 1])
+        shard = bisect_right(outer, edges[b - 1]) if b else 0
         start.setdefault(shard, rows_below)
         ranges.append((b, shard, rows_below - start[shard]))
         rows_below += counts.get(b, 0)
