@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..constants import FILE_TYPES, MIME_FALLBACK, MOST_BYTES, TASK_MOVES
+from ..constants import FILE_TYPES, MIME_FALLBACK, MOST_BYTES, MOST_RULES, TASK_MOVES
+from ..functions.joins import broadcast_if_small
 from ..functions.text import last_path_extension, sha_key
 
 
@@ -60,7 +61,7 @@ def locate_risks_in_clauses(risks: DataFrame, clauses: DataFrame) -> DataFrame:
 
 def resolve_rules(risks: DataFrame, rules: DataFrame) -> DataFrame:
     """Adds ``rule_id``; a document with a code that the set lacks is refused as a whole (``batch_error``)."""
-    found = risks.join(F.broadcast(rules.select(F.col("rule_code").alias("risk_code"), "rule_id")), "risk_code", "left")  # a rule set, 10 000 rows at most
+    found = risks.join(broadcast_if_small(rules.select(F.col("rule_code").alias("risk_code"), "rule_id"), MOST_RULES), "risk_code", "left")
     missing = F.max(F.col("risk_code").isNotNull() & F.col("rule_id").isNull()).over(W.partitionBy("doc_id"))
     return found.withColumn("batch_error", F.when(missing, "RULE_NOT_FOUND")).withColumn("rule_id", F.when(~missing, F.col("rule_id")))
 

@@ -16,12 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..constants import CLAUSE_TYPES, METADATA_FIELDS, SEED_RULES
+from ..constants import CLAUSE_TYPES, METADATA_FIELDS, MOST_RULES, SEED_RULES
 from .clauses import with_clauses
 from .metadata import field_aggregates, known_currency, wide_metadata
 
-#: Rules of a catalogue that may come to the driver.
-MOST_RULES = 10_000
 _OPS = {"gt": ">", "gte": ">=", "lt": "<", "lte": "<=", "eq": "=", "ne": "<>"}
 
 

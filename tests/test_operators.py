@@ -301,3 +301,23 @@ def test_keyword_lexicon(spark):
     got = keywords.keyword_hits(para(spark, "预付款\t30%", "知识产权与保密")).orderBy("idx", "ord").collect()
     assert [(r.idx, r.term) for r in got] == [(0, "预付款"), (0, "付款"), (1, "保密"), (1, "知识产权")]
     assert len(constants.LEXICON) == len(set(constants.LEXICON))
+
+
+def test_broadcast_only_what_is_small(spark):
+    from clausegrid.functions.joins import broadcast_if_small
+
+    text = lambda most: spark.range(100).join(broadcast_if_small(spark.range(50), most), "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in text(50) and "strategy=broadcast" not in text(49)
+
+
+def test_catalogue_comes_to_the_driver_checked(spark, monkeypatch):
+    import json
+
+    rows = [(r["rule_code"], r["rule_name"], r["dimension"], r["rule_type"], r["expression"], r["severity"], r["target_clause_types"], r["sort_order"]) for r in constants.SEED_RULES]
+    df = spark.createDataFrame(rows, "rule_code string, rule_name string, dimension string, rule_type string, expression string, severity string, target_clause_types array<string>, sort_order int")
+    assert rules.collect_rules(df) == rules.seed_rules()
+    monkeypatch.setattr(rules, "MOST_RULES", 2)
+    with pytest.raises(ValueError):
+        rules.collect_rules(df)
+    with pytest.raises(json.JSONDecodeError):
+        rules.collect_rules(df.limit(1).withColumn("expression", F.lit("{")))
