@@ -38,7 +38,7 @@ from .shingles import MinHash, batches, shingle_hashes
 
 HASHES, BANDS, ROWS, SEED = 128, 28, 4, 4
 #: Rows and shingles of a block; members of a pivot in one task; bits of the Bloom filter.
-BLOCK_ROWS, BLOCK_SHINGLES, PIVOT_ROWS, BLOOM_BITS = 1024, 1_500_000, 1024, 1 << 23
+BLOCK_ROWS, BLOCK_SHINGLES, PIVOT_ROWS, BLOOM_BITS = 512, 1_500_000, 512, 1 << 23
 #: Minima compared after each step.
 STEPS = (16, 32, 48, 64, 96, 128)
 
@@ -256,7 +256,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     placed = stored(placed.join(size, "doc_id"), "near-placed")
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m"), F.sum(F.shiftright(F.xxhash64("doc_id"), 24)).alias("x"), F.bit_xor(F.xxhash64("doc_id")).alias("y")).where("low < high")
     once = mixed.groupBy("m", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")  # buckets of the same members need one search
-    inside = placed.join(once, "bucket")
+    once = stored(once, "near-once")
+    inside = stored(placed.join(once, "bucket"), "near-inside")
     large = inside.groupBy("bucket", "component").agg(F.count("*").alias("m"), F.sum("shingles").alias("s"))
     large = large.select("bucket", "component", "m", "s", ((F.col("m") > BLOCK_ROWS) | (F.col("s") > BLOCK_SHINGLES)).alias("alone"))
     blocks_of = lambda m, s: F.ceil(F.greatest(m / BLOCK_ROWS, s / BLOCK_SHINGLES, F.lit(1.0)))
