@@ -66,7 +66,9 @@ def payment_terms(paragraphs: DataFrame) -> DataFrame:
     opens = (F.col("block_type") != TABLE_ROW) | F.coalesce(F.lag("block_type").over(ordered) != TABLE_ROW, F.lit(True))
     start = F.max(F.when(opens, F.col("idx"))).over(ordered.rowsBetween(W.unboundedPreceding, 0))
     has = F.contains("text", F.lit("%")) | F.contains("text", F.lit("百分之"))
-    units = paragraphs.withColumn("_opens", opens).withColumn("_start", start).groupBy("doc_id", "_start").agg(F.min(F.when(has, F.col("idx"))).alias("hit"), ordered_text("idx", "text").alias("value"))
+    # a paragraph is a unit of its own, so one without a percentage can go before the grouping
+    kept = paragraphs.withColumn("_start", start).where((F.col("block_type") == TABLE_ROW) | has)
+    units = kept.groupBy("doc_id", "_start").agg(F.min(F.when(has, F.col("idx"))).alias("hit"), ordered_text("idx", "text").alias("value"))
     return units.where("hit IS NOT NULL").groupBy("doc_id").agg(F.min_by(F.struct("value", F.col("_start").alias("idx")), "hit").alias("m")).select("doc_id", "m.value", "m.idx")
 
 
