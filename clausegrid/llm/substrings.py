@@ -4,7 +4,8 @@ A text is cut into units that together are the text again. A unit is normalised
 space runs to one space) and, if it has ``least_words`` words at least, digested to 128 bits. Digests
 are grouped over all documents; the occurrence of the smallest (doc_id, place) stays. All others go if
 they stand in a run of such repeats (units too short to count may stand between) of ``least_run`` words
-together, so a passage goes as a whole and a stock phrase in an otherwise new text stays.
+together, so a passage goes as a whole and a stock phrase in an otherwise new text stays. With ``whole``
+lines and paragraphs (of ``least_words`` words) are digested too; a later repeat of one goes whatever its run.
 Documents keep what remains, in order and unchanged, and the removed stretches as offsets in the
 original text. The default unit is a sentence within a line, so a passage is found wherever it stands
 in a line.
@@ -40,15 +41,36 @@ UNITS = {
 }
 
 
-def digests(text: str, unit: str, least_words: int) -> tuple[list[int], list[bytes]]:
-    """The places of the units that count, and their digests."""
-    at, out = [], []
-    for i, u in enumerate(UNITS[unit].findall(text)):
-        words = u.lower().split()
-        if len(words) >= least_words:
-            at.append(i)
-            out.append(hashlib.md5(" ".join(words).encode(), usedforsecurity=False).digest())
-    return at, out
+def pieces(units: list[str], least_words: int, least_run: int, whole: bool) -> list[tuple[int, int, bool]]:
+    """What is digested, in order: first and last unit, and whether it goes without regard to runs.
+
+    With ``whole`` these are also the lines and paragraphs, unless smaller pieces make them go anyway.
+    """
+    sizes = [len(u.split()) for u in units]
+    found = {(i, i): (i, i, False) for i, n in enumerate(sizes) if n >= least_words}  # by first and last unit with words
+    if whole:
+        begin, paragraph, short = 0, [], False
+        for i, u in enumerate(units):
+            if not u.endswith("\n") and i + 1 < len(units):
+                continue
+            line = [j for j in range(begin, i + 1) if sizes[j]]
+            words = sum(sizes[j] for j in line)
+            if words >= least_words and (len(line) == 1 or words < least_run or any(sizes[j] < least_words for j in line)):
+                found[line[0], line[-1]] = (begin, i, True)
+            if line:
+                paragraph += line
+                short |= words < least_words
+                last = i
+            if paragraph and (not line or i + 1 == len(units)):
+                if short and sum(sizes[j] for j in paragraph) >= least_words:
+                    found[paragraph[0], paragraph[-1]] = (paragraph[0], last, True)
+                paragraph, short = [], False
+            begin = i + 1
+    return [found[x] for x in sorted(found)]
+
+
+def digest(units: list[str]) -> bytes:
+    return hashlib.md5(" ".join("".join(units).lower().split()).encode(), usedforsecurity=False).digest()
 
 
 def in_runs(units: list[str], repeated: set[int], least_words: int, least_run: int) -> set[int]:
@@ -66,10 +88,14 @@ def in_runs(units: list[str], repeated: set[int], least_words: int, least_run: i
     return out
 
 
-def without(text: str, repeated: set[int], unit: str, least_words: int = 1, least_run: int = 0) -> tuple[str, list[tuple[int, int]]]:
-    """``text`` without its repeated units that stand in a long enough run, and their stretches, neighbours joined."""
+def without(text: str, repeated: list[int], unit: str, least_words: int = 1, least_run: int = 0, whole: bool = False) -> tuple[str, list[tuple[int, int]]]:
+    """``text`` without its repeated pieces that are whole or stand in a long enough run, and their stretches, neighbours joined."""
     units = UNITS[unit].findall(text)
-    gone = in_runs(units, repeated, least_words, least_run)
+    every = pieces(units, least_words, least_run, whole)
+    gone = in_runs(units, {i for p in repeated for i in range(every[p][0], every[p][1] + 1)}, least_words, least_run)
+    for p in repeated:
+        if every[p][2]:
+            gone.update(range(every[p][0], every[p][1] + 1))
     kept, spans, at = [], [], 0
     for i, u in enumerate(units):
         if i in gone:
@@ -83,7 +109,7 @@ def without(text: str, repeated: set[int], unit: str, least_words: int = 1, leas
     return "".join(kept), spans
 
 
-def dedup_units(docs: DataFrame, unit: str = "sentence", least_words: int = 5, least_run: int = 20, key: str = "doc_id", text: str = "text", removed: str = "removed") -> DataFrame:
+def dedup_units(docs: DataFrame, unit: str = "sentence", least_words: int = 5, least_run: int = 20, key: str = "doc_id", text: str = "text", removed: str = "removed", whole: bool = False) -> DataFrame:
     """``docs`` with later repeats of units taken out of ``text`` and their original stretches in ``removed``."""
     docs = bound_batches(docs).drop(removed)
     keyed = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("k"), F.xxhash64(text).alias("t"), text_of(text).alias("text"))
@@ -94,10 +120,11 @@ def dedup_units(docs: DataFrame, unit: str = "sentence", least_words: int = 5, l
                 some = pdf.iloc[start : start + 500]
                 at, found, size = [], [], []
                 for one in some["text"]:
-                    places, got = digests(one, unit, least_words)
-                    at += places
-                    found += got
-                    size.append(len(places))
+                    cuts = UNITS[unit].findall(one)
+                    got = pieces(cuts, least_words, least_run, whole)
+                    at += range(len(got))
+                    found += [digest(cuts[a : b + 1]) for a, b, _ in got]
+                    size.append(len(got))
                 two = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
                 yield pd.DataFrame({"a": two[:, 0], "b": two[:, 1], "k": np.repeat(some["k"].to_numpy(), size), "t": np.repeat(some["t"].to_numpy(), size), "at": np.array(at, np.int32)})
 
@@ -105,11 +132,11 @@ def dedup_units(docs: DataFrame, unit: str = "sentence", least_words: int = 5, l
     repeated = units.groupBy("a", "b").agg(F.min(F.struct("k", "t", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", "first")
     first = stored(repeated, "units-first")  # so that the join below has an exchange on either side and AQE may split it
     later = units.join(first, ["a", "b"]).where("struct(k, t, at) != first")
-    gone = later.groupBy("k", "t").agg(F.sort_array(F.collect_set("at")).alias("at"))  # bounded by a document's units
+    gone = later.groupBy("k", "t").agg(F.sort_array(F.collect_set("at")).alias("at"))  # bounded by a document's pieces
 
     k, t, at = (fresh_name([*docs.columns, removed], c) for c in ("k", "t", "at"))
-    whole = docs.withColumns({k: F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))), t: F.xxhash64(text)})
-    marked = whole.join(gone.select(F.col("k").alias(k), F.col("t").alias(t), F.col("at").alias(at)), [k, t], "left").select(*docs.columns, at)
+    keyed_docs = docs.withColumns({k: F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))), t: F.xxhash64(text)})
+    marked = keyed_docs.join(gone.select(F.col("k").alias(k), F.col("t").alias(t), F.col("at").alias(at)), [k, t], "left").select(*docs.columns, at)
     spans = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
     def rebuild(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +147,7 @@ def dedup_units(docs: DataFrame, unit: str = "sentence", least_words: int = 5, l
                     texts.append(one)
                     cuts.append([])
                 else:
-                    left, stretches = without(one, set(places), unit, least_words, least_run)
+                    left, stretches = without(one, places, unit, least_words, least_run, whole)
                     texts.append(left)
                     cuts.append([{"start": a, "end": b} for a, b in stretches])
             kept = batch.select([c for c in batch.schema.names if c != at])

@@ -171,3 +171,31 @@ def test_op5_query(spark, sf):
         stretches = [tuple(map(int, s.split("-"))) for s in x.removed_spans.split(",") if s]
         text, gone = want[x.doc_id, dict(docs)[x.doc_id]]
         assert x.text == text and x.removed_chars == len(gone) and [c for a, b in stretches for c in range(a, b)] == list(gone)
+
+
+def test_whole_lines_and_paragraphs_go(spark):
+    line = "the and attion to thanedble here.\n"  # 6 words: no run of 20
+    texts = [
+        f"{line}Only this document has these words.\n",
+        f"Another document begins with this text.\n{line}And it ends with other words again.\n",
+        "A b c d e f. Then this line goes on with words of its own.",
+        "A b c d e f. But here it goes on with quite other words.",
+        "One two.\nThree four five.\n\nA text that is new.",
+        "What comes before is new here.\n\nOne two.\nThree four five.\n",
+        "Red blue green. Up down. \n",
+        "Again something that is new here. Red up.\nred  blue GREEN. Up down.",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in substrings.dedup_units(df, whole=True).collect()}
+    want = [*texts[:1], texts[1].replace(line, ""), *texts[2:5], "What comes before is new here.\n\n", texts[6], "Again something that is new here. Red up.\n"]
+    assert [got[i].text for i in range(8)] == want
+    assert [(s.start, s.end) for s in got[1].removed] == [(40, 40 + len(line))]
+
+
+def test_op5_query_takes_repeated_lines_out(spark, sf):
+    seen = set()
+    for r in sorted(registry.op5_unit_dedup(spark, sf).collect(), key=lambda r: r.doc_id):
+        for line in (r.text or "").split("\n"):
+            words = line.lower().split()
+            assert len(words) < 5 or tuple(words) not in seen
+            seen.add(tuple(words))
