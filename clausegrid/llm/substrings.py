@@ -6,6 +6,9 @@ are grouped over all documents; the occurrence of the smallest (doc_id, place) s
 they stand in a run of such repeats (units too short to count may stand between) of ``least_run`` words
 together, so a passage goes as a whole and a stock phrase in an otherwise new text stays. With ``whole``
 lines and paragraphs (of ``least_words`` words) are digested too; a later repeat of one goes whatever its run.
+With ``short`` a unit too short to count is digested together with its neighbours, so that every stretch of
+``least_words`` words belongs to a digest, and goes in a run as others do. What is long without white space,
+or in a script that sets none, counts by its characters (``size``).
 Documents keep what remains, in order and unchanged, and the removed stretches as offsets in the
 original text. The default unit is a sentence within a line, so a passage is found wherever it stands
 in a line.
@@ -14,7 +17,7 @@ Counting by digest combines map-side; the join that finds the occurrences beyond
 AQE may split, so a line that a third of all rows share is no single task's work.
 
 Defined results: a null text stays null, an empty one empty. Rows that repeat (doc_id, text) are one
-document and get one result; null doc_ids rank first. Short units are never removed. A text may become
+document and get one result; null doc_ids rank first. A text of fewer than ``least_words`` words has no digest and stays. A text may become
 empty. Extra columns are kept. An empty table gives an empty table.
 """
 
@@ -37,19 +40,29 @@ from ._common import bound_batches, fresh_name, stored, text_of, with_arrays
 UNITS = {
     "line": re.compile(r"[^\n]*\n|[^\n]+"),
     "paragraph": re.compile(r"(?:(?!\n[ \t\r]*\n)[\s\S])*\n(?:[ \t\r]*\n)+|(?:(?!\n[ \t\r]*\n)[\s\S])+"),
-    "sentence": re.compile(r"(?:[^\n.!?]|[.!?](?![.!?\s]|$)|[.!?](?=[.!?]))*(?:[.!?][ \t\r]+|[.!?]?\n|[.!?]$)|[^\n]+"),
+    "sentence": re.compile(r"(?:[^\n.!?。！？｡]|[.!?](?![.!?\s]|$)|[.!?](?=[.!?]))*(?:[。！？｡]+[」』”’）]*[ \t\r\u3000]*\n?|[.!?][ \t\r]+|[.!?]?\n|[.!?]$)|[^\n。！？｡]+"),
 }
+#: Letters of scripts that set no space between words: Thai, Lao, Burmese, Khmer, Chinese, Japanese.
+_SPACELESS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
-def pieces(units: list[str], least_words: int, least_run: int, whole: bool) -> list[tuple[int, int, bool]]:
+def size(unit: str) -> int:
+    """Words; where that is more, one for every 12 characters or every 2 letters of scripts without spaces."""
+    words = unit.split()
+    n = max(len(words), sum(map(len, words)) // 12)
+    return n if unit.isascii() else max(n, len(_SPACELESS.findall(unit)) // 2)
+
+
+def pieces(units: list[str], least_words: int, least_run: int, whole: bool, short: bool) -> list[tuple[int, int, bool]]:
     """What is digested, in order: first and last unit, and whether it goes without regard to runs.
 
-    With ``whole`` these are also the lines and paragraphs, unless smaller pieces make them go anyway.
+    With ``whole`` these are also the lines and paragraphs, unless smaller pieces make them go anyway; with
+    ``short`` every unit too short to count with as many after it, and before it, as make ``least_words``.
     """
-    sizes = [len(u.split()) for u in units]
+    sizes = [size(u) for u in units]
     found = {(i, i): (i, i, False) for i, n in enumerate(sizes) if n >= least_words}  # by first and last unit with words
     if whole:
-        begin, paragraph, short = 0, [], False
+        begin, paragraph, lacking = 0, [], False
         for i, u in enumerate(units):
             if not u.endswith("\n") and i + 1 < len(units):
                 continue
@@ -59,13 +72,37 @@ def pieces(units: list[str], least_words: int, least_run: int, whole: bool) -> l
                 found[line[0], line[-1]] = (begin, i, True)
             if line:
                 paragraph += line
-                short |= words < least_words
+                lacking |= words < least_words
                 last = i
             if paragraph and (not line or i + 1 == len(units)):
-                if short and sum(sizes[j] for j in paragraph) >= least_words:
+                if lacking and sum(sizes[j] for j in paragraph) >= least_words:
                     found[paragraph[0], paragraph[-1]] = (paragraph[0], last, True)
-                paragraph, short = [], False
+                paragraph, lacking = [], False
             begin = i + 1
+    if short:
+        filled = [i for i, n in enumerate(sizes) if n]
+        spans = set()
+        for x, i in enumerate(filled):
+            if sizes[i] >= least_words:
+                continue
+            y, words = x, sizes[i]
+            while words < least_words and y + 1 < len(filled):
+                y += 1
+                words += sizes[filled[y]]
+            if words >= least_words:
+                spans.add((i, filled[y]))
+            y, words = x, sizes[i]
+            while words < least_words and y:
+                y -= 1
+                words += sizes[filled[y]]
+            if words >= least_words:
+                spans.add((filled[y], i))
+        ends: dict[bytes, int] = {}  # where a digest was last taken, so that a repeat never overlaps its original
+        for a, b in sorted(spans.difference(found)):
+            name = digest(units[a : b + 1])
+            if ends.get(name, -1) < a:
+                ends[name] = b
+                found[a, b] = (a, b, False)
     return [found[x] for x in sorted(found)]
 
 
@@ -73,26 +110,30 @@ def digest(units: list[str]) -> bytes:
     return hashlib.md5(" ".join("".join(units).lower().split()).encode(), usedforsecurity=False).digest()
 
 
-def in_runs(units: list[str], repeated: set[int], least_words: int, least_run: int) -> set[int]:
-    """Those of the places ``repeated`` whose run has ``least_run`` words; a unit that counts and isn't repeated ends a run."""
-    out, run, words = set(), [], 0
+def in_runs(units: list[str], repeated: set[int], least_words: int, least_run: int, short: bool) -> set[int]:
+    """Those of the places ``repeated`` whose run has ``least_run`` words; a unit that counts and isn't repeated ends a run.
+
+    With ``short`` so do several new ones that have ``least_words`` together.
+    """
+    out, run, words, new = set(), [], 0, 0
     for i, u in enumerate(units):
-        n = len(u.split())
+        n = size(u)
+        new = 0 if i in repeated else new + n if short else n
         if i in repeated:
             run.append(i)
             words += n
-        elif n >= least_words:
+        elif new >= least_words:
             out.update(run if words >= least_run else ())
             run, words = [], 0
     out.update(run if words >= least_run else ())
     return out
 
 
-def without(text: str, repeated: list[int], unit: str, least_words: int = 1, least_run: int = 0, whole: bool = False) -> tuple[str, list[tuple[int, int]]]:
+def without(text: str, repeated: list[int], unit: str, least_words: int = 1, least_run: int = 0, whole: bool = False, short: bool = False) -> tuple[str, list[tuple[int, int]]]:
     """``text`` without its repeated pieces that are whole or stand in a long enough run, and their stretches, neighbours joined."""
     units = UNITS[unit].findall(text)
-    every = pieces(units, least_words, least_run, whole)
-    gone = in_runs(units, {i for p in repeated for i in range(every[p][0], every[p][1] + 1)}, least_words, least_run)
+    every = pieces(units, least_words, least_run, whole, short)
+    gone = in_runs(units, {i for p in repeated for i in range(every[p][0], every[p][1] + 1)}, least_words, least_run, short)
     for p in repeated:
         if every[p][2]:
             gone.update(range(every[p][0], every[p][1] + 1))
@@ -109,7 +150,7 @@ def without(text: str, repeated: list[int], unit: str, least_words: int = 1, lea
     return "".join(kept), spans
 
 
-def dedup_units(docs: DataFrame, unit: str = "sentence", least_words: int = 5, least_run: int = 20, key: str = "doc_id", text: str = "text", removed: str = "removed", whole: bool = False) -> DataFrame:
+def dedup_units(docs: DataFrame, unit: str = "sentence", least_words: int = 5, least_run: int = 20, key: str = "doc_id", text: str = "text", removed: str = "removed", whole: bool = False, short: bool = False) -> DataFrame:
     """``docs`` with later repeats of units taken out of ``text`` and their original stretches in ``removed``."""
     docs = bound_batches(docs).drop(removed)
     keyed = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("k"), F.xxhash64(text).alias("t"), text_of(text).alias("text"))
@@ -121,7 +162,7 @@ def dedup_units(docs: DataFrame, unit: str = "sentence", least_words: int = 5, l
                 at, found, size = [], [], []
                 for one in some["text"]:
                     cuts = UNITS[unit].findall(one)
-                    got = pieces(cuts, least_words, least_run, whole)
+                    got = pieces(cuts, least_words, least_run, whole, short)
                     at += range(len(got))
                     found += [digest(cuts[a : b + 1]) for a, b, _ in got]
                     size.append(len(got))
@@ -147,7 +188,7 @@ def dedup_units(docs: DataFrame, unit: str = "sentence", least_words: int = 5, l
                     texts.append(one)
                     cuts.append([])
                 else:
-                    left, stretches = without(one, places, unit, least_words, least_run, whole)
+                    left, stretches = without(one, places, unit, least_words, least_run, whole, short)
                     texts.append(left)
                     cuts.append([{"start": a, "end": b} for a, b in stretches])
             kept = batch.select([c for c in batch.schema.names if c != at])

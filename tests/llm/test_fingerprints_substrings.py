@@ -199,3 +199,31 @@ def test_op5_query_takes_repeated_lines_out(spark, sf):
             words = line.lower().split()
             assert len(words) < 5 or tuple(words) not in seen
             seen.add(tuple(words))
+
+
+def test_passages_of_short_units_go(spark):
+    verse = "Rain falls. The wind. Cold night! Go home. Sit down. Light it. Warm hands. Old songs. Sleep now. All quiet. Snow."
+    chinese = "天气很好。我们今天去公园散步。孩子们在湖边玩水。老人坐在树下聊天喝茶。晚上大家一起回家吃饭看电视。"
+    menu = "Fish soup\nRed beans\nRice\nGreen tea\nWhite bread\nBlack coffee\nApple pie\nOld cheese\nFried eggs\nCold milk\nMint\nSalt\n"
+    few = "Yes. No. Of course. Well."
+    texts = [
+        f"Here is the first of the texts. {verse} That was all of it for today.\n{menu}{few} And then goes on with other things.",
+        f"A second text that is its own. {verse} After it come some other words here.\n",
+        f"Soups and other dishes of the house:\n{menu}Prices are on the other page.\n",
+        f"The third says nothing of the kind. {few} It answers in short and stays whole.",
+        "开头的句子是新的没有人写过。" + chinese,
+        "这里是另外一篇文章的新开头。" + chinese + "最后一句话也是新的没有出现过。",
+        "Yes. " * 40,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in substrings.dedup_units(df, whole=True, short=True).collect()}
+    assert got[0] == texts[0] and got[3] == texts[3] and got[4] == texts[4]
+    assert got[1] == texts[1].replace(verse + " ", "")
+    assert got[2] == texts[2].replace(menu, "")
+    assert got[5] == texts[5].replace(chinese, "")
+    assert got[6] == "Yes. " * 5
+
+
+def test_size_counts_characters_too():
+    assert [substrings.size(x) for x in ("", " \n", "a b c", "x" * 60, "中文字符语言中文字符")] == [0, 0, 3, 5, 5]
+    assert substrings.UNITS["sentence"].findall("你好。「再见！」走吧") == ["你好。", "「再见！」", "走吧"]
