@@ -15,13 +15,24 @@ from clausegrid.llm._common import fresh_name, stored, table
 
 #: A document of which fewer n-grams than this share belong to its best language is in none that was learned.
 LEAST_LANGUAGE_SCORE = 0.2
+#: So is one that scores less than all but this share of its language's labelled documents; a smaller share for texts shorter than ``SHORT``.
+LOWEST, LOWEST_SHORT, SHORT = 0.001, 0.0001, 200
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labelled documents; rejects those without letters or in no learned language."""
     label, score = fresh_name(docs.columns, "lang_pred"), fresh_name(docs.columns, "lang_score")
-    scored = languages.predict(docs, languages.learn(docs), label=label, score=score)
-    kept = scored.where((F.col(label) != "und") & (F.col(score) >= LEAST_LANGUAGE_SCORE))
+    scored = stored(languages.predict(docs, languages.learn(docs), label=label, score=score), "language-scored")
+    short = F.length("text") < SHORT
+    own = scored.where(F.col(label) == F.col("lang")).groupBy("lang")
+    at = lambda some, share: F.percentile_approx(F.when(some, F.col(score)), share, 100_000)
+    limits = own.agg(at(~short, LOWEST).alias("long"), at(short, LOWEST_SHORT).alias("short")).collect()  # one row a language
+    limit = F.lit(LEAST_LANGUAGE_SCORE)
+    for r in limits:
+        usual = max(LEAST_LANGUAGE_SCORE, r.short if r.long is None else r.long)
+        lower = usual if r.short is None else max(LEAST_LANGUAGE_SCORE, min(usual, r.short))
+        limit = F.when(F.col(label) == r.lang, F.when(short, lower).otherwise(usual)).otherwise(limit)
+    kept = scored.where((F.col(label) != "und") & (F.col(score) >= limit))
     return kept.select(docs.columns)
 
 

@@ -1,6 +1,9 @@
 """corpus_pipeline: each stage and the whole against brute-force versions."""
 
+import random
+
 import public_tokenizers as P
+from pyspark.sql import functions as F
 from test_fingerprints_substrings import brute_dedup
 from test_neardup import brute
 from test_tokens import check_packed
@@ -60,3 +63,17 @@ def test_stages_with_odd_rows(spark, sf):
     assert {r.doc_id for r in packed} == {big, big + 2, None, 7, 8}
     for stage in (corpus_pipeline.identify_language, corpus_pipeline.drop_near_duplicates, corpus_pipeline.drop_repeated_units, corpus_pipeline.pack_sequences):
         assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_unlearned_languages_and_random_letters_go(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) >= 200")
+    r = random.Random(5)
+    noise = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(600)) for _ in range(20)]
+    junk = spark.createDataFrame([(20_000 + i, t, len(t)) for i, t in enumerate(noise)], "doc_id long, text string, n_chars long")
+    foreign = {x.doc_id for x in docs.where("lang = 'de'").collect()}
+    known = {x.doc_id for x in docs.where("lang <> 'de'").collect()}
+    mixed = docs.withColumn("lang", F.expr("nullif(lang, 'de')")).unionByName(junk, allowMissingColumns=True)
+    kept = {x.doc_id for x in corpus_pipeline.identify_language(spark, mixed, sf).collect()}
+    print("kept", len(kept & foreign), len(foreign), len(kept & known), len(known), len([i for i in kept if i >= 20_000]))
+    assert len(foreign) > 5 and len(kept & foreign) <= 0.1 * len(foreign)
+    assert len(kept & known) >= 0.99 * len(known) and not any(i >= 20_000 for i in kept)
