@@ -282,6 +282,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates, the one of the smallest doc_id."""
+    """``docs`` with one document of each group of near-duplicates, the one of the smallest doc_id.
+
+    Documents are told apart by doc_id: rows that repeat the kept doc_id all stay, and so do all rows with a null one.
+    """
     gone = stored(near_duplicates(docs, k, percent, key=key, text=text).where("NOT kept").select("doc_id").distinct(), "near-gone")
     return without_ids(docs, gone, key)
