@@ -74,6 +74,5 @@ def test_unlearned_languages_and_random_letters_go(spark, sf):
     known = {x.doc_id for x in docs.where("lang <> 'de'").collect()}
     mixed = docs.withColumn("lang", F.expr("nullif(lang, 'de')")).unionByName(junk, allowMissingColumns=True)
     kept = {x.doc_id for x in corpus_pipeline.identify_language(spark, mixed, sf).collect()}
-    print("kept", len(kept & foreign), len(foreign), len(kept & known), len(known), len([i for i in kept if i >= 20_000]))
     assert len(foreign) > 5 and len(kept & foreign) <= 0.1 * len(foreign)
     assert len(kept & known) >= 0.99 * len(known) and not any(i >= 20_000 for i in kept)
