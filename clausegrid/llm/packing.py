@@ -11,7 +11,8 @@ of two. A sequence whose length is a power of two isn't padded.
 A task's rows and their order follow from the input files alone, so a task that runs again gives the
 same sequences. Open bins hold fewer than ``capacity`` tokens a class, whatever the input's size.
 
-Defined results: a null text is an empty one, its document is the end token alone. Repeated rows are
+Defined results: a null text is an empty one, its document is the end token alone. A special token's string in a
+text is that token, as ``tokenizers`` reads it (``special=False``: ordinary text). Repeated rows are
 packed each. Extra columns play no part. An empty table gives an empty table.
 """
 
@@ -85,11 +86,12 @@ class HarmonicBins:
         yield from bins
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, least: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, least: int = 1, key: str = "doc_id", text: str = "text", special: bool = True) -> DataFrame:
     """Tokenise, cut and pack the documents of ``docs``: one row a piece.
 
     ``sequence_id`` is unique, ``offset`` is the piece's place in its sequence, ``sequence_tokens``
-    the tokens of that sequence. ``least`` sets the smallest power of two to cut at.
+    the tokens of that sequence. ``least`` sets the smallest power of two to cut at. ``special``: whether the
+    strings of special tokens are those tokens, as the library reads them, or ordinary text.
     """
     if capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
@@ -97,7 +99,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
     end = end_id.to_bytes(4, "little")
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = json_tokens(tokenizer_path)
+        codec = json_tokens(tokenizer_path, special=special)
         bins = HarmonicBins(capacity)
         sequence = TaskContext.get().partitionId() * TASK_STEP
         rows: list[tuple] = []

@@ -7,7 +7,8 @@ the number of documents and the last separator across block borders, and the cou
 document may span any number of blocks. Only the places of separators pass the shuffle, never tokens.
 
 Defined results: two separators in a row are a document of 0 tokens; tokens after the last separator
-are a document with ``terminated`` false; an empty file has no documents; a null text is empty. A
+are a document with ``terminated`` false; an empty file has no documents; a null text is empty. The string of a
+special token is ordinary text, so no document holds a separator. A
 file whose size isn't a multiple of the id's width is an error. Repeated rows count each.
 """
 

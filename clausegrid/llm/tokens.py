@@ -75,24 +75,31 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class JsonTokens:
-    """Ids of a ``tokenizers`` file with byte-level pre-tokenization; strings of special tokens are ordinary text.
+    """Ids of a ``tokenizers`` file with byte-level pre-tokenization.
 
+    With ``special`` the strings of the file's added tokens (such as ``<|endoftext|>``) are those tokens wherever a
+    text has them, as the library itself reads them; without, they are ordinary text, so that no document can
+    hold the id of a separator.
     Texts of Latin-1 characters go through the ``tiktoken`` engine with the ranks of the file's own
     vocabulary, which gives the same ids several times faster; all others (where the engines' Unicode
     tables could differ) and very long ones go through ``tokenizers``, word by word and cached.
     """
 
-    def __init__(self, path: str, pattern: str = BYTE_LEVEL):
+    def __init__(self, path: str, pattern: str = BYTE_LEVEL, special: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark gives each task its core
         import tiktoken
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
+        if self.inner.normalizer is not None:
+            raise ValueError(f"{path}: texts can't be cut into words before they are normalised")
         self.inner.encode_special_tokens = True
         self.cache = WordCache(splitter(pattern), self._ids)
-        special = {t.content for t in self.inner.get_added_tokens_decoder().values()}
+        added = {t.content for t in self.inner.get_added_tokens_decoder().values()}
+        self.marked = re.compile("|".join(map(re.escape, sorted(added)))).search if special and added else None
+        self.whole = Tokenizer.from_file(path)
         alphabet = byte_alphabet()
-        ranks = {bytes(map(alphabet.__getitem__, t)): i for t, i in self.inner.get_vocab().items() if t not in special}
+        ranks = {bytes(map(alphabet.__getitem__, t)): i for t, i in self.inner.get_vocab().items() if t not in added}
         self.fast = tiktoken.Encoding("json", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
 
     def _ids(self, words: list[str]) -> list[bytes]:
@@ -112,6 +119,10 @@ class JsonTokens:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         out = []
         for text in texts:
+            if self.marked and self.marked(text):  # texts with a special token's string go to the library whole
+                ids = self.whole.encode(text, add_special_tokens=False).ids
+                out.append(struct.pack(f"<{len(ids)}I", *ids))
+                continue
             fine = len(text) <= FAST_CHARS
             if fine:
                 try:
@@ -122,11 +133,12 @@ class JsonTokens:
         return out
 
 
-_OPEN: dict[tuple[str, str], JsonTokens] = {}
+_OPEN: dict[tuple[str, str, bool], JsonTokens] = {}
 
 
-def json_tokens(path: str, pattern: str = BYTE_LEVEL) -> JsonTokens:
-    """One ``JsonTokens`` a Python worker and file."""
-    if (path, pattern) not in _OPEN:
-        _OPEN[path, pattern] = JsonTokens(path, pattern)
-    return _OPEN[path, pattern]
+def json_tokens(path: str, pattern: str = BYTE_LEVEL, special: bool = False) -> JsonTokens:
+    """One ``JsonTokens`` a Python worker, file and reading of special tokens."""
+    name = (path, pattern, special)
+    if name not in _OPEN:
+        _OPEN[name] = JsonTokens(*name)
+    return _OPEN[name]

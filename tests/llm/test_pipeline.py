@@ -38,7 +38,6 @@ def test_stages_and_run(spark, sf):
     assert {r.doc_id: r.text for r in rows} == {i: t for (i, _), (t, _) in left.items()} and all(r.n_chars == len(r.text) for r in rows)
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     ids = {r.doc_id: [*t.encode(r.text, add_special_tokens=False).ids, 1] for r in rows}
     packed = corpus_pipeline.pack_sequences(spark, three, sf).collect()
     assert check_packed(packed, ids, 2048) == 0

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 from clausegrid.llm import bpe, packing, registry, token_counts, tokens
 
 JSON, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")
-ODD = [None, "", " ", "\n\n  x", "a" * 5000, "<|endoftext|> don't", "é中文😀\x00\x1c²Ⅷ", "tie", "tie", "l’été  \t\r\n12³"]
+ODD = [None, "", " ", "\n\n  x", "a" * 5000, "<|endoftext|> don't", "Only <|endoftext|> here", "<|endoftext|><|endoftext|>", "ab " * 70_000 + "<|endoftext|>", "中<|endoftext|> <|endoftext |>", "é中文😀\x00\x1c²Ⅷ", "tie", "tie", "l’été  \t\r\n12³"]
 
 
 @pytest.fixture(scope="module")
@@ -50,6 +50,16 @@ def test_json_engines_agree(json_tok):
     assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode(texts)] == [x.ids for x in want]
 
 
+def test_special_tokens_as_the_library_reads_them():
+    plain, r = Tokenizer.from_file(JSON), random.Random(9)
+    codec = tokens.JsonTokens(JSON, special=True)
+    parts = ["<|endoftext|>", "<|endof", "text|>", " ", "ab", "é", "中", "\n", "'s", "<|", "12"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(12))) for _ in range(3000)] + ["ab " * 80_000 + "<|endoftext|>"]
+    want = [x.ids for x in plain.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode(texts)] == want
+    assert any(50256 in ids for ids in want) or any(0 in ids for ids in want)
+
+
 def test_transducer_equals_library():
     codec = bpe.byte_bpe(RANKS)
     lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
@@ -124,9 +134,12 @@ def check_packed(rows, want, capacity):
 
 def test_op2_rows(spark, sf, odd, json_tok):
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
-    want = {d.doc_id: [*json_tok.encode(d.text, add_special_tokens=False).ids, 1] for d in docs}
+    plain = Tokenizer.from_file(JSON)  # as the contract calls it, without flags
+    want = {d.doc_id: [*plain.encode(d.text, add_special_tokens=False).ids, 1] for d in docs}
     assert check_packed(registry.op2_harmonic_packing(spark, sf).collect(), want, 2048) == 0
     want = {i: [*json_tok.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(ODD)}
+    assert check_packed(packing.pack_documents(odd, JSON, special=False).collect(), want, 2048) == 0
+    want = {i: [*plain.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(ODD)}
     assert check_packed(packing.pack_documents(odd, JSON).collect(), want, 2048) == 0
     assert check_packed(packing.pack_documents(odd, JSON, capacity=64, least=8).collect(), want, 64) < 0.5
     assert packing.pack_documents(odd.limit(0), JSON).count() == 0
