@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,3 +119,38 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def text_of(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+#: Bits of the Bloom filter that tells which documents a step needs.
+BLOOM_BITS = 1 << 23
+
+
+def _bloom_words(ids: np.ndarray, bits: int) -> np.ndarray:
+    x = mix64(ids.astype(np.int64).view(np.uint64))
+    return np.concatenate([(x >> np.uint64(s)) & np.uint64(bits - 1) for s in (0, 20, 40)]).astype(np.int64)
+
+
+def maybe_among(needed: DataFrame, column, bits: int):
+    """Whether ``column`` may be among the ids of ``needed`` (doc_id); never false for one that is."""
+
+    def build(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = np.zeros(bits // 64, np.uint64)
+        for pdf in it:
+            at = _bloom_words(pdf["doc_id"].to_numpy(np.int64), bits)
+            np.bitwise_or.at(table, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+        word = np.flatnonzero(table)
+        yield pd.DataFrame({"word": word, "bits": table[word].view(np.int64)})
+
+    found = needed.select("doc_id").mapInPandas(build, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    table = np.zeros(bits // 64, np.int64)  # bits / 64 rows at most reach the driver
+    table[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    shared = needed.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+
+    @F.pandas_udf("boolean")
+    def maybe(ids: pd.Series) -> pd.Series:
+        have = (ids != NO_ID).to_numpy()
+        at = _bloom_words(ids.to_numpy(np.int64), bits)
+        hit = (shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
+        return pd.Series(hit.reshape(3, -1).all(0) & have)
+
+    return maybe(F.coalesce(column, F.lit(NO_ID)))

@@ -32,13 +32,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import NO_ID, bound_batches, id_column, ids_back, mix64, stored, text_of
+from ._common import BLOOM_BITS, bound_batches, id_column, ids_back, maybe_among, mix64, stored, text_of
 from .components import connected_components
 from .shingles import MinHash, batches, shingle_hashes
 
 HASHES, BANDS, ROWS, SEED = 128, 28, 4, 4
-#: Rows and shingles of a block; members of a pivot in one task; bits of the Bloom filter.
-BLOCK_ROWS, BLOCK_SHINGLES, PIVOT_ROWS, BLOOM_BITS = 512, 1_500_000, 512, 1 << 23
+#: Rows and shingles of a block; members of a pivot in one task.
+BLOCK_ROWS, BLOCK_SHINGLES, PIVOT_ROWS = 512, 1_500_000, 512
 #: Minima compared after each step.
 STEPS = (16, 32, 48, 64, 96, 128)
 
@@ -97,46 +97,15 @@ def described(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text")
     return ids_back(narrow.mapInPandas(task, "doc_id long, n long, s1 long, s2 long, bands array<long>"))
 
 
-def _bloom_words(ids: np.ndarray, bits: int) -> np.ndarray:
-    x = mix64(ids.astype(np.int64).view(np.uint64))
-    return np.concatenate([(x >> np.uint64(s)) & np.uint64(bits - 1) for s in (0, 20, 40)]).astype(np.int64)
-
-
-def _maybe(needed: DataFrame, column, bits: int):
-    """Whether ``column`` may be among the ids of ``needed`` (doc_id); never false for one that is."""
-
-    def build(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = np.zeros(bits // 64, np.uint64)
-        for pdf in it:
-            at = _bloom_words(pdf["doc_id"].to_numpy(np.int64), bits)
-            np.bitwise_or.at(table, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
-        word = np.flatnonzero(table)
-        yield pd.DataFrame({"word": word, "bits": table[word].view(np.int64)})
-
-    found = needed.select("doc_id").mapInPandas(build, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    table = np.zeros(bits // 64, np.int64)  # bits / 64 rows at most reach the driver
-    table[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-    shared = needed.sparkSession.sparkContext.broadcast(table.view(np.uint64))
-
-    @F.pandas_udf("boolean")
-    def maybe(ids: pd.Series) -> pd.Series:
-        have = (ids != NO_ID).to_numpy()
-        at = _bloom_words(ids.to_numpy(np.int64), bits)
-        hit = (shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
-        return pd.Series(hit.reshape(3, -1).all(0) & have)
-
-    return maybe(F.coalesce(column, F.lit(NO_ID)))
-
-
 def only_needed(docs: DataFrame, needed: DataFrame, key: str, bits: int = BLOOM_BITS) -> DataFrame:
     """The rows of ``docs`` whose ``key`` is among ``needed`` (doc_id): a broadcast filter of fixed size, then a semi-join."""
     ids = needed.select(F.col("doc_id").alias(key)).distinct()
-    return docs.where(_maybe(needed, F.col(key).cast("long"), bits)).join(ids, key, "left_semi")
+    return docs.where(maybe_among(needed, F.col(key).cast("long"), bits)).join(ids, key, "left_semi")
 
 
 def without_ids(docs: DataFrame, gone: DataFrame, key: str, bits: int = BLOOM_BITS) -> DataFrame:
     """The rows of ``docs`` whose ``key`` isn't among ``gone`` (doc_id); rows that the filter clears aren't shuffled."""
-    maybe = _maybe(gone, F.col(key).cast("long"), bits)
+    maybe = maybe_among(gone, F.col(key).cast("long"), bits)
     ids = gone.select(F.col("doc_id").alias(key)).distinct()
     return docs.where(~maybe).unionByName(docs.where(maybe).join(ids, key, "left_anti").select(docs.columns))
 

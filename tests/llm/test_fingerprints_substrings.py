@@ -111,60 +111,107 @@ def test_sentences():
     assert substrings.UNITS["sentence"].findall("A b. C d! e 1.5 f... g?\nh.\n\ni j") == ["A b. ", "C d! ", "e 1.5 f... ", "g?\n", "h.\n", "\n", "i j"]
 
 
-def brute_dedup(docs, unit, least, run=0):
-    """Each run of repeats is looked at on its own: from a repeat to the last one before a unit that counts and is new."""
+def ranked(docs):
+    return sorted(set(docs), key=lambda x: (-1 if x[0] is None else x[0]))
+
+
+def rebuilt(units, gone):
+    spans, at = [], 0
+    for i, u in enumerate(units):
+        spans += range(at, at + len(u)) if i in gone else ()
+        at += len(u)
+    return "".join(u for i, u in enumerate(units) if i not in gone), spans
+
+
+def brute_dedup(docs, unit):
+    """Every unit that isn't blank and was seen before goes."""
+    seen, out = set(), {}
+    for i, t in ranked(docs):
+        units, gone = substrings.UNITS[unit].findall(t or ""), set()
+        for j, u in enumerate(units):
+            name = tuple(u.lower().split())
+            if name and name in seen:
+                gone.add(j)
+            seen.add(name)
+        out[i, t] = (None, []) if t is None else rebuilt(units, gone)
+    return out
+
+
+def brute_passages(docs, run):
+    """Lines seen before, and runs of ``run`` words of sentences (short ones with their neighbours) seen before."""
     seen, out = set(), {}
-    for i, t in sorted(set(docs), key=lambda x: (-1 if x[0] is None else x[0])):
-        if t is None:
-            out[i, t] = (None, [])
-            continue
-        kept, spans, at = "", [], 0
-        units = substrings.UNITS[unit].findall(t)
-        kinds = []
-        for u in units:
-            name = " ".join(u.lower().split())
-            counts = len(name.split()) >= least
-            kinds.append("r" if counts and name in seen else "n" if counts else ".")
+    for i, t in ranked(docs):
+        units = substrings.UNITS["sentence"].findall(t or "")
+        n = [substrings.size(u) for u in units]
+        held = {}  # first and last unit with words: (kind, units from, to)
+        for j, k in enumerate(n):
+            if 0 < k < 5:
+                b = next((b for b in range(j, len(n)) if sum(n[j : b + 1]) >= 5), None)
+                a = next((a for a in range(j, -1, -1) if sum(n[a : j + 1]) >= 5), None)
+                held |= {(j, b): ("span", j, b)} if b is not None else {}
+                held |= {(a, j): ("span", a, j)} if a is not None else {}
+            elif k >= 5:
+                held[j, j] = ("sentence", j, j)
+        begin = 0
+        for j, u in enumerate(units):
+            if u.endswith("\n") or j + 1 == len(units):
+                words = [x for x in range(begin, j + 1) if n[x]]
+                if words:
+                    held[words[0], words[-1]] = ("line", begin, j)
+                begin = j + 1
+        gone, repeated, ends = set(), set(), {}
+        for key in sorted(held):
+            kind, a, b = held[key]
+            name = tuple("".join(units[a : b + 1]).lower().split())
+            if kind == "span" and ends.get(name, -1) >= a:
+                continue
+            if kind == "span":
+                ends[name] = b
+            if name in seen:
+                repeated.update(range(a, b + 1))
+                gone.update(range(a, b + 1) if kind == "line" else ())
             seen.add(name)
-        going = set()
-        for m in re.finditer("[r.]+", "".join(kinds)):
-            places = [i for i in range(*m.span()) if kinds[i] == "r"]
-            if sum(len(units[i].split()) for i in places) >= run:
-                going.update(places)
-        for i_, u in enumerate(units):
-            if i_ in going:
-                spans += range(at, at + len(u))
-            else:
-                kept += u
-            at += len(u)
-        out[i, t] = (kept, spans)
+        runs, new = [[]], 0
+        for j in range(len(units)):
+            new = 0 if j in repeated else new + n[j]
+            if new >= 5:
+                runs.append([])
+            elif j in repeated:
+                runs[-1].append(j)
+        for one in runs:
+            gone.update(one if sum(n[j] for j in one) >= run else ())
+        out[i, t] = (None, []) if t is None else rebuilt(units, gone)
     return out
 
 
-@pytest.mark.parametrize("unit,least,run", [("line", 1, 0), ("sentence", 3, 0), ("paragraph", 2, 0), ("sentence", 3, 9)])
-def test_dedup_brute_force(spark, unit, least, run):
-    r = random.Random(least + run)
+def hostile_docs(seed):
+    r = random.Random(seed)
     pool = ["One two three four.", "one  TWO three four.", "Alpha beta gamma! ", "x", "", "Unique", "a b c d e f\n\n", "hot line of all documents."]
     docs = [(i, "".join(r.choice(pool) + r.choice([" ", "\n", ""]) for _ in range(r.randrange(9)))) for i in range(80)]
-    docs += [(100, None), (101, ""), (102, "One two three four. " * 300), (7, docs[7][1]), (None, "nothing like it in here")]
+    return docs + [(100, None), (101, ""), (102, "One two three four. " * 300), (7, docs[7][1]), (None, "nothing like it in here"), (103, "\n \n\n")]
+
+
+@pytest.mark.parametrize("unit,passages", [("line", 0), ("sentence", 0), ("paragraph", 0), ("line", 9), ("line", 20)])
+def test_dedup_brute_force(spark, unit, passages):
+    docs = hostile_docs(len(unit) + passages)
     df = spark.createDataFrame([(i, t, 1, "k") for i, t in docs], "doc_id long, text string, at int, k string")
-    got = substrings.dedup_units(df, unit, least, run)
+    got = substrings.dedup_units(df, unit, passages)
     assert got.columns == ["doc_id", "text", "at", "k", "removed"]
     rows = got.collect()
     assert len(rows) == len(docs)
-    want = brute_dedup(docs, unit, least, run)
+    want = brute_passages(docs, passages) if passages else brute_dedup(docs, unit)
     original = {}
     for i, t in docs:
         original.setdefault(i, t)
     for x in rows:
         text, gone = want[x.doc_id, original[x.doc_id]]
         assert x.text == text and [c for s in x.removed for c in range(s.start, s.end)] == list(gone)
-    assert substrings.dedup_units(df.limit(0)).count() == 0
+    assert substrings.dedup_units(df.limit(0), unit, passages).count() == 0
 
 
 def test_op5_query(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    want = brute_dedup(docs, "sentence", 5, 20)
+    want = brute_passages(docs, 20)
     rows = registry.op5_unit_dedup(spark, sf).collect()
     assert len(rows) == len(docs)
     for x in rows:
@@ -173,7 +220,7 @@ def test_op5_query(spark, sf):
         assert x.text == text and x.removed_chars == len(gone) and [c for a, b in stretches for c in range(a, b)] == list(gone)
 
 
-def test_whole_lines_and_paragraphs_go(spark):
+def test_whole_lines_go(spark):
     line = "the and attion to thanedble here.\n"  # 6 words: no run of 20
     texts = [
         f"{line}Only this document has these words.\n",
@@ -184,11 +231,15 @@ def test_whole_lines_and_paragraphs_go(spark):
         "What comes before is new here.\n\nOne two.\nThree four five.\n",
         "Red blue green. Up down. \n",
         "Again something that is new here. Red up.\nred  blue GREEN. Up down.",
+        "Yes.\nThe sun is up.\n",
+        "yes.\nThe moon is up.\nYES.",
     ]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r for r in substrings.dedup_units(df, whole=True).collect()}
-    want = [*texts[:1], texts[1].replace(line, ""), *texts[2:5], "What comes before is new here.\n\n", texts[6], "Again something that is new here. Red up.\n"]
-    assert [got[i].text for i in range(8)] == want
+    got = {r.doc_id: r for r in substrings.dedup_units(df, passages=20).collect()}
+    want = [*texts[:1], texts[1].replace(line, ""), *texts[2:5], "What comes before is new here.\n\n", texts[6], "Again something that is new here. Red up.\n", texts[8], "The moon is up.\n"]
+    assert [got[i].text for i in range(10)] == want
+    plain = {r.doc_id: r.text for r in substrings.dedup_units(df).collect()}
+    assert [plain[i] for i in range(10)] == want
     assert [(s.start, s.end) for s in got[1].removed] == [(40, 40 + len(line))]
 
 
@@ -197,7 +248,7 @@ def test_op5_query_takes_repeated_lines_out(spark, sf):
     for r in sorted(registry.op5_unit_dedup(spark, sf).collect(), key=lambda r: r.doc_id):
         for line in (r.text or "").split("\n"):
             words = line.lower().split()
-            assert len(words) < 5 or tuple(words) not in seen
+            assert not words or tuple(words) not in seen
             seen.add(tuple(words))
 
 
@@ -216,7 +267,7 @@ def test_passages_of_short_units_go(spark):
         "Yes. " * 40,
     ]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.text for r in substrings.dedup_units(df, whole=True, short=True).collect()}
+    got = {r.doc_id: r.text for r in substrings.dedup_units(df, passages=20).collect()}
     assert got[0] == texts[0] and got[3] == texts[3] and got[4] == texts[4]
     assert got[1] == texts[1].replace(verse + " ", "")
     assert got[2] == texts[2].replace(menu, "")

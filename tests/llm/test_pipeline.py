@@ -4,7 +4,7 @@ import random
 
 import public_tokenizers as P
 from pyspark.sql import functions as F
-from test_fingerprints_substrings import brute_dedup
+from test_fingerprints_substrings import brute_passages
 from test_neardup import brute
 from test_tokens import check_packed
 from tokenizers import Tokenizer
@@ -33,7 +33,7 @@ def test_stages_and_run(spark, sf):
 
     three = corpus_pipeline.drop_repeated_units(spark, two, sf)
     assert three.columns == docs.columns
-    left = brute_dedup(list(kept.items()), "sentence", 5, 20)
+    left = brute_passages(list(kept.items()), 20)
     rows = three.collect()
     assert {r.doc_id: r.text for r in rows} == {i: t for (i, _), (t, _) in left.items()} and all(r.n_chars == len(r.text) for r in rows)
 
