@@ -42,9 +42,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_units(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines, paragraphs and runs of 20 words or more in sentences that an earlier document (or place) has go; ``n_chars`` follows the text."""
+    """Lines, and runs of 20 words or more in sentences, that an earlier document (or place) has go; ``n_chars`` follows the text."""
     removed = fresh_name(docs.columns, "removed")
-    out = substrings.dedup_units(docs, removed=removed, whole=True, short=True).drop(removed)
+    out = substrings.dedup_units(docs, unit="line", passages=20, removed=removed).drop(removed)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out
