@@ -17,6 +17,8 @@ from clausegrid.llm._common import fresh_name, stored, table
 LEAST_LANGUAGE_SCORE = 0.2
 #: So is one that scores less than all but this share of its language's labelled documents; a smaller share for texts shorter than ``SHORT``.
 LOWEST, LOWEST_SHORT, SHORT = 0.001, 0.0001, 200
+#: The smallest power of two at which documents are cut for packing: most keep two or three pieces, for about 1 % of padding.
+LEAST_CUT = 256
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +53,7 @@ def drop_repeated_units(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), least=LEAST_CUT)
 
 
 STAGES = [
