@@ -3,18 +3,26 @@
 Data and queries are cut into blocks of near vectors: a net of centres from a bounded sample names the
 cells, cells larger than a block are split by hash. Each block gets a cover tree: a node's children are
 a greedy net of its points at half its scale, the first child being the node's own centre, so children
-cover within the scale and lie apart by more than it. A pair of nodes (Q, D) can't hold a score above
-<cq,cd> + |cq| rd + |cd| rq + rq rd; the pair is pruned when that is below the worst k-th score of the
-queries in Q. Each query first meets its own cell, which sets its k-th score; then blocks of queries
-meet all blocks of data, and a last window takes the best k of what the blocks found.
+cover within the scale and lie apart by more than it. Where such a net would need nearly as many centres
+as there are points the node is a leaf, since no child would be smaller. A pair of nodes (Q, D) can't hold
+a score above <cq,cd> + |cq| rd + |cd| rq + rq rd; the pair is pruned when that is below the worst k-th
+score of the queries in Q.
+
+1. Each query meets one block of its own cell, which sets its k-th score.
+2. The bound is taken for pairs of whole blocks, from their centres and radii alone. Blocks that are pruned
+   for a group of the other side never travel to it.
+3. Groups of query blocks meet the groups of data blocks that are left, pruning pairs of nodes as k-th
+   scores rise; a last window takes the best k of what the groups found.
 
 Every row is indexed and the search is exact; the sample only shapes the blocks. Scores are integer
 inner products (in doubles where they are exact there, else in 64-bit integers).
 
-Defined results: vectors that are null, empty or hold null or non-finite components take no part. Equal
-vectors keep their k + 1 smallest ids in the index, more can't enter a result. A repeated (id, vector)
-counts once; ties go to the smaller id; a query has fewer rows if there are fewer candidates of its
-dimension. Extra columns play no part. An empty table gives an empty table.
+Defined results: vectors that are null, empty or hold null or non-finite components take no part; nor do
+those with a scaled squared norm of 2**62 or more, whose scores wouldn't fit 64 bits. Equal vectors keep
+their k + 1 smallest ids in the index, more can't enter a result. A repeated (id, vector) counts once.
+Different vectors of one id are one query with the k best scores of them all, and as many candidates. Ties
+go to the smaller id; a query has fewer rows if there are fewer candidates of its dimension. Extra columns
+play no part. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,16 +32,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.accumulators import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._common import stored
 
-#: Rows of the sample that shapes the cells; vectors in a block; queries in a block; points in a leaf.
-SAMPLE, BLOCK, QUERY_BLOCK, LEAF = 4096, 4096, 512, 64
-#: Query blocks and data blocks that one search task holds.
-QUERY_GROUP, DATA_GROUP = 32, 8
+#: Rows of the sample that shapes the cells; cells at most; vectors in a block; queries in a block; points in a leaf.
+SAMPLE, CELLS, BLOCK, QUERY_BLOCK, LEAF = 4096, 1024, 4096, 512, 64
+#: Query blocks and data blocks that one search task holds; groups of either whose bounds one task takes.
+QUERY_GROUP, DATA_GROUP, BOUND_GROUPS = 128, 32, 64
 _NONE = np.iinfo(np.int64).min
 
 
@@ -41,7 +50,8 @@ def scaled(df: DataFrame, vector: str = "embedding", scale: int = 256):
     """``vector`` as floor(scale * x) longs, null where it takes no part."""
     x = F.col(vector)
     fine = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf")))
-    return F.when(fine, F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("long")))
+    square = F.aggregate(x, F.lit(0.0), lambda n, v: n + F.pow(F.floor(v.cast("double") * scale).cast("double"), 2))
+    return F.when(fine & (square < 2.0**62), F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("long")))
 
 
 class CoverTree:
@@ -68,20 +78,20 @@ class CoverTree:
             else:
                 half = min(scale, self.radius[me]) / 2
                 near, owner, centers = dist.copy(), np.zeros(len(at), np.int64), [center]
-                while near.max() > half and len(centers) < 256:
+                most = max(8, int(4 * len(at) ** 0.5))
+                while near.max() > half and len(centers) <= most:
                     c = at[int(near.argmax())]
                     d = np.sqrt(((f[at] - f[c]) ** 2).sum(1))
                     owner[d < near] = len(centers)
                     near = np.minimum(near, d)
                     centers.append(c)
-                if len(centers) > len(at) // 4:  # points nearly all apart: halves by the two farthest centres
-                    a, b = centers[0], centers[1]
-                    owner = (((f[at] - f[b]) ** 2).sum(1) < ((f[at] - f[a]) ** 2).sum(1)).astype(np.int64)
-                    centers = [a, b]
-                    half = self.radius[me]
-                for k, c in enumerate(centers):
-                    if (owner == k).any():
-                        self.kids[me].append(build(at[owner == k], c, half))
+                if near.max() > half:  # points nearly all apart: no net of half the scale is much smaller than they are
+                    order.append(at)
+                    size += len(at)
+                else:
+                    for k, c in enumerate(centers):
+                        if (owner == k).any():
+                            self.kids[me].append(build(at[owner == k], c, half))
             self.hi[me] = size
             return me
 
@@ -96,7 +106,9 @@ class CoverTree:
     def dump(self) -> bytes:
         out = io.BytesIO()
         kids = np.array([k for ks in self.kids for k in ks], np.int64)
-        np.savez(out, ids=self.ids, x=self.x, center=self.center, norm=self.norm, radius=np.array(self.radius), lo=np.array(self.lo), hi=np.array(self.hi), kids=kids, n_kids=np.array([len(k) for k in self.kids], np.int64))
+        most = int(np.abs(self.x).max(initial=0))
+        small = next(t for t in (np.int16, np.int32, np.int64) if most <= np.iinfo(t).max)  # what travels
+        np.savez(out, ids=self.ids, x=self.x.astype(small), center=self.center, norm=self.norm, radius=np.array(self.radius), lo=np.array(self.lo), hi=np.array(self.hi), kids=kids, n_kids=np.array([len(k) for k in self.kids], np.int64))
         return out.getvalue()
 
     @classmethod
@@ -105,6 +117,7 @@ class CoverTree:
         got = np.load(io.BytesIO(data))
         for name in ("ids", "x", "center", "norm", "radius", "lo", "hi"):
             setattr(self, name, got[name])
+        self.x = self.x.astype(np.int64)
         self.kids = [x.tolist() for x in np.split(got["kids"], np.cumsum(got["n_kids"])[:-1])]
         return self
 
@@ -134,6 +147,13 @@ class Best:
         self.score[rows], self.id[rows] = np.take_along_axis(s, at, 1), np.take_along_axis(i, at, 1)
 
 
+def bounds(qc: np.ndarray, qr: np.ndarray, dc: np.ndarray, dr: np.ndarray) -> np.ndarray:
+    """What no inner product exceeds of a point within ``qr`` of ``qc`` and one within ``dr`` of ``dc``, for all pairs."""
+    qn, dn = np.sqrt((qc**2).sum(1)), np.sqrt((dc**2).sum(1))
+    v = qc @ dc.T + qn[:, None] * dr[None] + qr[:, None] * (dn + dr)[None]
+    return v + 1e-9 * (np.abs(v) + qn[:, None] * dn[None]) + 1e-6
+
+
 def dual_search(q: CoverTree, d: CoverTree, best: Best, floor: np.ndarray) -> int:
     """Fill ``best`` with candidates from ``d``; ``floor`` has k-th scores known from elsewhere. Returns the products made."""
     if not len(q.ids) or not len(d.ids):
@@ -142,7 +162,7 @@ def dual_search(q: CoverTree, d: CoverTree, best: Best, floor: np.ndarray) -> in
 
     def bound(a: int, b: int) -> float:
         v = float(q.center[a] @ d.center[b]) + q.norm[a] * d.radius[b] + d.norm[b] * q.radius[a] + q.radius[a] * d.radius[b]
-        return v + 1e-9 * abs(v) + 1e-6
+        return v + 1e-9 * (abs(v) + q.norm[a] * d.norm[b]) + 1e-6
 
     stack = [(bound(0, 0), 0, 0)]
     while stack:
@@ -167,20 +187,33 @@ def dual_search(q: CoverTree, d: CoverTree, best: Best, floor: np.ndarray) -> in
 
 
 def _net(x: np.ndarray, n: int) -> np.ndarray:
-    """``n`` rows of ``x`` by farthest-first traversal."""
+    """``n`` rows of ``x`` by farthest-first traversal, near ones one after the other."""
     chosen, near = [0], ((x - x[0]) ** 2).sum(1)
     while len(chosen) < n and near.max() > 0:
         chosen.append(int(near.argmax()))
         near = np.minimum(near, ((x - x[chosen[-1]]) ** 2).sum(1))
-    return x[chosen]
+
+    def halves(at: np.ndarray) -> list[int]:
+        if len(at) < 3:
+            return at.tolist()
+        c = x[at]
+        a = c[((c - c[0]) ** 2).sum(1).argmax()]
+        b = c[((c - a) ** 2).sum(1).argmax()]
+        side = np.argsort(c @ (b - a), kind="stable")
+        return halves(at[side[: len(at) // 2]]) + halves(at[side[len(at) // 2 :]])
+
+    return x[halves(np.array(chosen))]
 
 
 def _vectors(pdf: pd.DataFrame, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(pdf["x"]), "<i8").reshape(len(pdf), dim)
 
 
-def exact_topk(df: DataFrame, k: int = 5, query_every: int = 50, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score) for the rows whose id is divisible by ``query_every``, against all rows."""
+def exact_topk(df: DataFrame, k: int = 5, query_every: int = 50, key: str = "vec_id", vector: str = "embedding", made: Accumulator | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score) for the rows whose id is divisible by ``query_every``, against all rows.
+
+    ``made`` counts the inner products that the search makes (tasks that run again count again).
+    """
     spark = df.sparkSession
     found = df.select(df[key].cast("long").alias("vec_id"), scaled(df, vector).alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL")
 
@@ -196,8 +229,7 @@ def exact_topk(df: DataFrame, k: int = 5, query_every: int = 50, key: str = "vec
     sample: dict[int, list[bytes]] = {}
     for r in data.select("dim", "x", F.xxhash64("x", "vec_id").alias("h")).orderBy("h").limit(SAMPLE).collect():
         sample.setdefault(r.dim, []).append(bytes(r.x))
-    n_rows = max(1, rows.count())
-    cells = min(256, max(2, -(-2 * n_rows // BLOCK)))
+    cells = min(CELLS, max(2, -(-2 * found.count() // BLOCK)))
     centers = {dim: _net(np.frombuffer(b"".join(x), "<i8").reshape(-1, dim).astype(np.float64), cells) for dim, x in sample.items()}
 
     def cell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -210,6 +242,8 @@ def exact_topk(df: DataFrame, k: int = 5, query_every: int = 50, key: str = "vec
                 at[part] = (((c**2).sum(1)[None] - 2 * x @ c.T).argmin(1)).astype(np.int64)
             yield pdf.assign(cell=at)
 
+    block_schema = "dim int, cell long, part long, center binary, radius double, tree binary"
+
     def blocks(part: DataFrame, size: int, label: str) -> DataFrame:
         celled = part.mapInPandas(cell, "vec_id long, dim int, x binary, cell long")
         sizes = celled.groupBy("dim", "cell").agg(F.ceil(F.count("*") * 1.25 / size).alias("parts"))
@@ -219,48 +253,82 @@ def exact_topk(df: DataFrame, k: int = 5, query_every: int = 50, key: str = "vec
             dim = int(name[0])
             pdf = pdf.sort_values("vec_id")
             tree = CoverTree(pdf["vec_id"].to_numpy(np.int64), _vectors(pdf, dim))
-            return pd.DataFrame({"dim": [dim], "cell": [name[1]], "part": [name[2]], "tree": [tree.dump()]})
+            return pd.DataFrame({"dim": [dim], "cell": [name[1]], "part": [name[2]], "center": [tree.center[0].tobytes()], "radius": [tree.radius[0]], "tree": [tree.dump()]})
 
-        made = split.groupBy("dim", "cell", "part").applyInPandas(build, "dim int, cell long, part long, tree binary")
-        return stored(made.withColumn("block", F.xxhash64("dim", "cell", "part")), label)
+        return stored(split.groupBy("dim", "cell", "part").applyInPandas(build, block_schema), label)
 
-    of_data, of_queries = blocks(data, BLOCK, "topk-data"), blocks(queries, QUERY_BLOCK, "topk-queries")
-    n_data, n_queries = of_data.count(), of_queries.count()
-    data_groups, query_groups = max(1, -(-n_data // DATA_GROUP)), max(1, -(-n_queries // QUERY_GROUP))
+    of_data = _numbered(blocks(data, BLOCK, "topk-data"), DATA_GROUP)
+    of_queries = _numbered(blocks(queries, QUERY_BLOCK, "topk-queries"), QUERY_GROUP)
 
     def first(name: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """The k-th score of each query within its own cell."""
         out = []
         for r in left.itertuples():
-            q, floor = CoverTree.load(r.tree), None
+            q = CoverTree.load(r.tree)
             best = Best(len(q.ids), k)
-            floor = np.full(len(q.ids), _NONE)
             for t in right["tree"]:
-                dual_search(q, CoverTree.load(t), best, floor)
-            out.append((r.dim, r.cell, r.part, r.tree, r.block, best.score[:, -1].tobytes()))
-        return pd.DataFrame(out, columns=["dim", "cell", "part", "tree", "block", "floor"])
+                n = dual_search(q, CoverTree.load(t), best, np.full(len(q.ids), _NONE))
+                if made is not None:
+                    made.add(n)
+            floor = best.score[:, -1]
+            out.append((r.dim, r.block, r.grp, r.center, r.radius, r.tree, floor.tobytes(), int(floor.min())))
+        return pd.DataFrame(out, columns=["dim", "block", "grp", "center", "radius", "tree", "floor", "worst"])
 
     home = of_data.where("part = 0")
-    ready = of_queries.groupBy("dim", "cell").cogroup(home.groupBy("dim", "cell")).applyInPandas(first, "dim int, cell long, part long, tree binary, block long, floor binary")
+    ready = of_queries.groupBy("dim", "cell").cogroup(home.groupBy("dim", "cell")).applyInPandas(first, "dim int, block long, grp long, center binary, radius double, tree binary, floor binary, worst long")
     ready = stored(ready, "topk-ready")
 
+    def left_over(name: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """Which blocks still have to meet a group of the other side."""
+        out = set()
+        for dim in set(left["dim"]) & set(right["dim"]):
+            q, d = left[left["dim"] == dim], right[right["dim"] == dim]
+            qc, dc = (np.frombuffer(b"".join(x["center"]), np.float64).reshape(len(x), dim) for x in (q, d))
+            keep = bounds(qc, q["radius"].to_numpy(), dc, d["radius"].to_numpy()) >= q["worst"].to_numpy()[:, None]
+            i, j = np.nonzero(keep)
+            qb, qg, db, dg = (x.to_numpy() for x in (q["block"], q["grp"], d["block"], d["grp"]))
+            out.update(zip(qg[i].tolist(), dg[j].tolist(), [0] * len(i), qb[i].tolist()))
+            out.update(zip(qg[i].tolist(), dg[j].tolist(), [1] * len(j), db[j].tolist()))
+        return pd.DataFrame(sorted(out), columns=["qg", "dg", "side", "block"]).astype("int64")
+
+    # summaries of blocks, in large groups: a few hundred bytes a block
+    groups = lambda df: max(1, -(-(1 + (df.agg(F.max("grp")).first()[0] or 0)) // BOUND_GROUPS))
+    n_left, n_right = groups(ready), groups(of_data)
+    all_of = lambda n: F.explode(F.expr(f"sequence(0L, {n - 1}L)"))
+    q_short = ready.select("dim", "block", "grp", "center", "radius", "worst", F.expr(f"grp div {BOUND_GROUPS}").alias("a"), all_of(n_right).alias("b"))
+    d_short = of_data.select("dim", "block", "grp", "center", "radius", F.expr(f"grp div {BOUND_GROUPS}").alias("b"), all_of(n_left).alias("a"))
+    needed = stored(q_short.groupBy("a", "b").cogroup(d_short.groupBy("a", "b")).applyInPandas(left_over, "qg long, dg long, side long, block long"), "topk-needed")
+
     def meet(name: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
-        if len(left) and len(right):
-            trees = [CoverTree.load(t) for t in right["tree"]]
-            for r in left.itertuples():
-                q, floor = CoverTree.load(r.tree), np.frombuffer(r.floor, np.int64)
-                best = Best(len(q.ids), k)
-                for d in sorted((d for d in trees if d.x.shape[1] == q.x.shape[1]), key=lambda d: -float(q.center[0] @ d.center[0])):
-                    dual_search(q, d, best, floor)
-                for nth in range(k):
-                    have = best.score[:, nth] != _NONE
-                    out.append(pd.DataFrame({"query_id": q.ids[have], "vec_id": best.id[have, nth], "score": best.score[have, nth]}))
+        trees = [CoverTree.load(t) for t in right["tree"]]
+        for r in left.itertuples():
+            q, floor = CoverTree.load(r.tree), np.frombuffer(r.floor, np.int64)
+            best = Best(len(q.ids), k)
+            for d in sorted((d for d in trees if d.x.shape[1] == q.x.shape[1]), key=lambda d: -float(q.center[0] @ d.center[0])):
+                n = dual_search(q, d, best, floor)
+                if made is not None:
+                    made.add(n)
+            for nth in range(k):
+                have = best.score[:, nth] != _NONE
+                out.append(pd.DataFrame({"query_id": q.ids[have], "vec_id": best.id[have, nth], "score": best.score[have, nth]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
 
-    # the stated query set against all rows, in blocks: each group of query blocks meets each group of data blocks once
-    left = ready.withColumn("qg", F.pmod("block", F.lit(query_groups))).withColumn("dg", F.explode(F.expr(f"sequence(0L, {data_groups - 1}L)")))
-    right = of_data.withColumn("dg", F.pmod("block", F.lit(data_groups))).withColumn("qg", F.explode(F.expr(f"sequence(0L, {query_groups - 1}L)")))
+    # the stated query set against all rows, in blocks
+    left = needed.where("side = 0").select("qg", "dg", "block").join(ready.select("block", "tree", "floor"), "block")
+    right = needed.where("side = 1").select(*(F.col(c).alias(c) for c in ("qg", "dg", "block"))).join(of_data.select("block", "tree"), "block")
     met = left.groupBy("qg", "dg").cogroup(right.groupBy("qg", "dg")).applyInPandas(meet, "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _numbered(blocks: DataFrame, size: int) -> DataFrame:
+    """``blocks`` with a unique ``block`` and ``grp``: runs of ``size`` or fewer of them, near cells together."""
+    per_cell = blocks.groupBy("dim", "cell").agg((F.max("part") + 1).alias("n")).orderBy("dim", "cell").collect()  # as many rows as cells and dimensions
+    begin, total = [], 0
+    for r in per_cell:
+        begin.append((r.dim, r.cell, total))
+        total += r.n
+    at = blocks.sparkSession.createDataFrame(begin, "dim int, cell long, begin long")
+    block = F.col("begin") + F.col("part")
+    return blocks.join(F.broadcast(at), ["dim", "cell"]).withColumn("block", block).withColumn("grp", F.expr(f"(begin + part) div {size}")).drop("begin")

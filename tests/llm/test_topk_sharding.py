@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from clausegrid.llm import registry, sharding, topk
@@ -14,13 +15,14 @@ def brute_topk(rows, k, every):
     for i, v in rows:
         if i is None or not v or any(x is None or not np.isfinite(x) for x in v):
             continue
-        seen[i, tuple(int(np.floor(256 * float(np.float32(x)))) for x in v)] = None
-    out = []
+        x = tuple(int(np.floor(256 * float(np.float32(x)))) for x in v)
+        if sum(a * a for a in x) < 2**62:
+            seen[i, x] = None
+    near = {}
     for q, qx in seen:
         if q % every == 0:
-            near = sorted((-sum(a * b for a, b in zip(qx, x)), i) for i, x in seen if i != q and len(x) == len(qx))[:k]
-            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(near)]
-    return sorted(out)
+            near.setdefault(q, []).extend((-sum(a * b for a, b in zip(qx, x)), i) for i, x in seen if i != q and len(x) == len(qx))
+    return sorted((q, r + 1, i, -s) for q, some in near.items() for r, (s, i) in enumerate(sorted(some)[:k]))
 
 
 def small(monkeypatch):
@@ -29,6 +31,7 @@ def small(monkeypatch):
     monkeypatch.setattr(topk, "LEAF", 4)
     monkeypatch.setattr(topk, "QUERY_GROUP", 2)
     monkeypatch.setattr(topk, "DATA_GROUP", 2)
+    monkeypatch.setattr(topk, "BOUND_GROUPS", 2)
 
 
 def test_topk_brute_force(spark, monkeypatch):
@@ -37,6 +40,8 @@ def test_topk_brute_force(spark, monkeypatch):
     rows = [(i, [r.choice([-0.5, 0.1, 0.25, 0.6]) for _ in range(3)]) for i in range(120)]
     rows += [(200 + i, [0.1, 0.2, 0.3]) for i in range(40)]  # a large group of equal vectors
     rows += [(300, None), (301, []), (302, [None, 1.0, 2.0]), (303, [float("nan"), 0.0, 0.0]), (304, [float("inf"), 0.0, 0.0]), (310, [1.0, 2.0]), (300, [0.5, 0.5, 0.5]), (None, [0.5, 0.5, 0.5]), rows[0], rows[10]]
+    rows += [(400, [0.9, 0.1, -0.3]), (400, [-0.8, 0.3, 0.3]), (60, [0.3, -0.3, 0.9])]  # ids with two vectors
+    rows += [(410, [3.0e38, 1.0, 1.0]), (420, [5.0e6, 4.0e6, -3.0e6]), (421, [-4.0e6, 6.0e6, 1.0])]  # too large, and large
     df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<float>, score int, rank int")
     got = sorted(map(tuple, topk.exact_topk(df, k=5, query_every=10).collect()))
     assert got == brute_topk(rows, 5, 10)
@@ -59,6 +64,36 @@ def test_cover_tree_covers_and_prunes():
     assert (np.sort(best.score, 1) == np.sort(np.sort(s, 1)[:, -3:], 1)).all() and made < 360_000
 
 
+def clustered(n, dim, seed=2):
+    """Points of 12 far and narrow clusters of different sizes."""
+    rng = np.random.default_rng(seed)
+    centers = rng.normal(0, 4, (12, dim))
+    of = rng.choice(12, n, p=np.arange(1, 13) / 78)
+    return centers[of] + rng.normal(0, 0.02, (n, dim))
+
+
+def searched(spark, x, **options):
+    made = spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}))
+    rows = topk.exact_topk(df, made=made, **options).collect()
+    return sorted(map(tuple, rows)), made.value
+
+
+def test_blocks_are_pruned_before_they_meet(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 128)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 16)
+    monkeypatch.setattr(topk, "DATA_GROUP", 2)
+    monkeypatch.setattr(topk, "QUERY_GROUP", 2)
+    x = clustered(4000, 8)
+    got, made = searched(spark, x)
+    f = np.floor(256 * x).astype(np.int64)
+    s = f[::50] @ f.T
+    s[np.arange(80), np.arange(80) * 50] = -(2**62)
+    order = np.lexsort((np.broadcast_to(np.arange(4000), s.shape), -s), axis=-1)[:, :5]
+    assert got == sorted((50 * q, r + 1, int(i), int(s[q, i])) for q in range(80) for r, i in enumerate(order[q]))
+    assert made < 0.35 * 80 * 4000
+
+
 def test_op6_query(spark, sf):
     rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     assert sorted(map(tuple, registry.op6_dual_tree_topk(spark, sf).collect())) == brute_topk(rows, 5, 50)
