@@ -50,6 +50,11 @@ def _own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
 
 
+def own_folder(spark: SparkSession, label: str) -> str:
+    """A new folder below the shared one, which ``clean`` deletes."""
+    return f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
@@ -62,7 +67,7 @@ def clean(spark: SparkSession) -> None:
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: cuts the lineage, survives lost executors."""
-    path = f"{_own_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = own_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

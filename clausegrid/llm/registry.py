@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, fingerprints, languages, masked_lm, neardup, packing, sharding, substrings, token_counts, topk
-from ._common import table, text_of
+from ._common import own_folder, table, text_of
 
 
 def op1_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +53,9 @@ def op8_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = token_counts.token_blocks(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    return token_counts.count_tokens(blocks)
+    """One row a document of the flat token files that are written for all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return token_counts.document_tokens(docs, own_folder(spark, "token-files"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

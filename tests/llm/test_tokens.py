@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from clausegrid.llm import bpe, packing, registry, token_counts, tokens
@@ -174,22 +175,39 @@ def test_separator_scan_brute_force(spark, block):
     rows = []
     for k, ids in streams.items():
         data = np.array(ids, dtype="<u2").tobytes()
-        rows += [(k, j, data[at : at + 2 * block], None) for j, at in enumerate(range(0, len(data), 2 * block))]
-    blocks = spark.createDataFrame(rows, "stream string, block long, tokens binary, doc_ids array<long>")
+        rows += [(k, j, data[at : at + 2 * block]) for j, at in enumerate(range(0, len(data), 2 * block))]
+    blocks = spark.createDataFrame(rows, "stream string, block long, tokens binary")
     got = {}
-    for x in token_counts.count_tokens(blocks, end_id=9).orderBy("stream", "ordinal").collect():
+    for x in token_counts.count_tokens(token_counts.scan_blocks(blocks, end_id=9)).orderBy("stream", "ordinal").collect():
         got.setdefault(x.stream, []).append((x.n_tokens, x.terminated))
     assert got == {k: b for k, ids in streams.items() if (b := brute_counts(ids, 9))}
 
 
-def test_op9_files_and_rows(spark, sf, odd, json_tok, tmp_path):
+@pytest.mark.parametrize("width,step", [(2, 7), (4, 1000)])
+def test_files_of_any_origin(spark, tmp_path, width, step):
+    """Files by byte ranges against their ids; one is empty, one ends without a separator."""
+    r = random.Random(width)
+    files = {f"part-{k}": [r.choice([9, 1, 2, 0x0900, 300]) for _ in range(r.randrange(1, 400))] for k in range(5)} | {"part-none": [], "part-open": [9, 9, 5]}
+    for name, ids in files.items():
+        (tmp_path / name).write_bytes(np.array(ids, dtype=f"<u{width}").tobytes())
+    got = {}
+    for x in token_counts.count_tokens(token_counts.scan_files(spark, f"file://{tmp_path}", 9, width, step)).orderBy("stream", "ordinal").collect():
+        got.setdefault(x.stream, []).append((x.n_tokens, x.terminated))
+    assert got == {k: b for k, ids in files.items() if (b := brute_counts(ids, 9))}
+    (tmp_path / "part-odd").write_bytes(b"12345")
+    with pytest.raises(Exception, match="no multiple"):
+        token_counts.scan_files(spark, f"file://{tmp_path}", 9, width, step).collect()
+
+
+def test_op9_rows(spark, sf, odd, json_tok, tmp_path):
     want = [len(json_tok.encode(t or "", add_special_tokens=False).ids) for t in ODD]
-    token_counts.write_token_files(odd.coalesce(1), f"file://{tmp_path}/flat", JSON)
-    got = token_counts.count_tokens(token_counts.read_token_files(spark, f"file://{tmp_path}/flat", block_ids=5, pattern="part-*")).orderBy("ordinal").collect()
-    assert [x.n_tokens for x in got] == want and all(x.terminated and x.doc_id is None for x in got)
-    for ids in (4, 1 << 18):
-        rows = token_counts.count_tokens(token_counts.token_blocks(odd, JSON, block_ids=ids)).collect()
-        assert sorted((x.doc_id, x.n_tokens) for x in rows) == list(enumerate(want))
-    assert token_counts.count_tokens(token_counts.token_blocks(odd.limit(0), JSON)).count() == 0
+    for ids in (4000, 1 << 18):
+        rows = token_counts.document_tokens(odd, f"file://{tmp_path}/{ids}", JSON, range_ids=ids).collect()
+        assert sorted((x.doc_id, x.n_tokens) for x in rows) == list(enumerate(want)) and all(x.terminated for x in rows)
+    twice = odd.select(F.expr("nullif(doc_id, 3)").alias("doc_id"), "text").where("length(text) < 100 OR text IS NULL")
+    rows = token_counts.document_tokens(twice.unionByName(twice), f"file://{tmp_path}/twice", JSON, range_ids=4).collect()
+    few = [n for n, t in zip(want, ODD) if t is None or len(t) < 100]
+    assert sorted(x.n_tokens for x in rows) == sorted(few * 2) and sum(x.doc_id is None for x in rows) == 2
+    assert token_counts.document_tokens(odd.limit(0), f"file://{tmp_path}/none", JSON).count() == 0
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
     assert {x.doc_id: x.n_tokens for x in registry.op9_token_counts(spark, sf).collect()} == {d.doc_id: len(json_tok.encode(d.text, add_special_tokens=False).ids) for d in docs}
