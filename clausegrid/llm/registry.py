@@ -23,7 +23,7 @@ def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return masked_lm.pseudo_likelihood(table(spark, sf_dir, "documents"))
+    return masked_lm.pseudo_likelihood(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op4_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
