@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import DIMENSIONS, LEVELS, SUGGESTION_TYPES
-from ..functions.text import has_text, occurrences
+from ..functions.text import has_text, occurrences, stripped
 
 RISK_COLUMNS = ["doc_id", "seq", "source", "risk_code", "risk_title", "dimension", "risk_level", "reason", "legal_basis", "original_text", "quote", "paragraph_index", "anchor_method", "related_rule_code"]
 
@@ -66,11 +66,14 @@ def _finding_check(v: str) -> str:
 def guard_json(raw: DataFrame, text: str = "raw_text") -> DataFrame:
     """Adds ``json_status`` (VALID or LLM_SCHEMA_INVALID) and ``findings`` (array of variants, null if invalid).
 
-    One code fence is stripped; the rest must be a JSON object; one bad finding fails the whole output;
-    types aren't coerced. An absent ``findings`` is an empty array.
+    White space of any kind and one code fence are stripped, at any line end; the rest must be a JSON object; one
+    bad finding fails the whole output; types aren't coerced. An absent ``findings`` is an empty array. Output that
+    repeats a key within an object isn't valid JSON here.
     """
-    bare = F.trim(F.regexp_replace(F.col(text), r"^\s+|\s+$", ""))
-    unfenced = F.regexp_replace(F.regexp_replace(bare, r"^```[^\n]*(?:\n|$)", ""), r"\s*(?:```)?\s*$", "")
+    bare = stripped(F.col(text))
+    line = r"(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029])"
+    unfenced = F.regexp_replace(bare, r"(?s)^.*?(?:" + line + r"|\z)", "")
+    unfenced = stripped(F.regexp_replace(stripped(unfenced), r"```\z", ""))
     plain = F.when(bare.startswith("```"), unfenced).otherwise(bare)
     parsed = raw.withColumn("_v", F.try_parse_json(plain))
     listed = parsed.withColumn("_f", F.expr(f"CASE WHEN {_type('_v', '$.findings')} IS NULL THEN array() WHEN {_type('_v', '$.findings')} LIKE 'ARRAY%' THEN variant_get(_v, '$.findings', 'array<variant>') END"))

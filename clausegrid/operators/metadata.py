@@ -60,18 +60,30 @@ def _currency(text: Column) -> Column:
     return out
 
 
-def payment_terms(paragraphs: DataFrame) -> DataFrame:
-    """(doc_id, value, idx): the first content with a percentage; a table row brings its whole run of rows."""
+def has_percentage() -> Column:
+    return F.contains("text", F.lit("%")) | F.contains("text", F.lit("百分之"))
+
+
+def with_units(paragraphs: DataFrame) -> DataFrame:
+    """``paragraphs`` with the place where their unit begins: a paragraph, or a run of table rows."""
     ordered = W.partitionBy("doc_id").orderBy("idx")
     opens = (F.col("block_type") != TABLE_ROW) | F.coalesce(F.lag("block_type").over(ordered) != TABLE_ROW, F.lit(True))
-    start = F.max(F.when(opens, F.col("idx"))).over(ordered.rowsBetween(W.unboundedPreceding, 0))
-    has = F.contains("text", F.lit("%")) | F.contains("text", F.lit("百分之"))
+    return paragraphs.withColumn("_start", F.max(F.when(opens, F.col("idx"))).over(ordered.rowsBetween(W.unboundedPreceding, 0)))
+
+
+def payment_terms(paragraphs: DataFrame) -> DataFrame:
+    """(doc_id, value, idx): the first content with a percentage; a table row brings its whole run of rows."""
     # a paragraph is a unit of its own, so one without a percentage can go before the grouping
-    kept = paragraphs.withColumn("_start", start).where((F.col("block_type") == TABLE_ROW) | has)
-    units = kept.groupBy("doc_id", "_start").agg(F.min(F.when(has, F.col("idx"))).alias("hit"), ordered_text("idx", "text").alias("value"))
+    kept = with_units(paragraphs).where((F.col("block_type") == TABLE_ROW) | has_percentage())
+    units = kept.groupBy("doc_id", "_start").agg(F.min(F.when(has_percentage(), F.col("idx"))).alias("hit"), ordered_text("idx", "text").alias("value"))
     return units.where("hit IS NOT NULL").groupBy("doc_id").agg(F.min_by(F.struct("value", F.col("_start").alias("idx")), "hit").alias("m")).select("doc_id", "m.value", "m.idx")
 
 
+def field_names() -> list[str]:
+    """The fields of ``field_aggregates``: all but the payment terms."""
+    return [key for key, _, _ in METADATA_FIELDS if key != "payment_terms"]
+
+
 def field_aggregates() -> list[Column]:
     """The aggregates by document that give ``wide_metadata``."""
     amount_hit, amount, amount_quote = _amount()
@@ -105,7 +117,8 @@ def fields(wide: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def extract_metadata(paragraphs: DataFrame) -> DataFrame:
-    """All fields in catalogue order (``ord``); an absent field has no row."""
-    terms = payment_terms(paragraphs).select("doc_id", F.struct("value", "idx", F.col("value").alias("quote")).alias("payment_terms"))
-    wide = wide_metadata(paragraphs).join(terms, "doc_id", "left")
-    return fields(wide, [key for key, _, _ in METADATA_FIELDS]).withColumn("extract_method", F.lit("REGEX"))
+    """All fields in catalogue order (``ord``); an absent field has no row. One pass: by unit, then by document."""
+    units = with_units(paragraphs).groupBy("doc_id", "_start").agg(F.min(F.when(has_percentage(), F.col("idx"))).alias("_hit"), ordered_text("idx", "text").alias("_text"), *field_aggregates())
+    terms = F.struct(F.col("_text").alias("value"), F.col("_start").alias("idx"), F.col("_text").alias("quote"))
+    wide = units.groupBy("doc_id").agg(F.min_by(terms, "_hit").alias("payment_terms"), *(F.min_by(c, F.col(c)["idx"]).alias(c) for c in field_names()))
+    return fields(known_currency(wide), [key for key, _, _ in METADATA_FIELDS]).withColumn("extract_method", F.lit("REGEX"))

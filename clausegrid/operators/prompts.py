@@ -5,25 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A model: prompts to (text or None, error code or None).
 Model = Callable[[list[str]], list[tuple[str | None, str | None]]]
 
 
-def render_prompts(clauses: DataFrame, risks: DataFrame, contract_type: str = "PURCHASE") -> DataFrame:
-    """(doc_id, user_prompt): the clauses of a document in order and the rules that hit it. The same rows give the same text."""
-    words = F.concat_ws(" ", F.when(F.col("clause_no") != "", F.col("clause_no")), F.when(F.col("title") != "", F.col("title")))
-    label = F.when(words != "", F.concat(words, F.lit("·"), F.col("clause_type"))).otherwise(F.col("clause_type"))
-    block = F.concat(F.lit("--- 条款 #"), F.col("clause_index").cast("string"), F.lit("（"), label, F.lit("）---\n"), F.col("text"), F.lit("\n"))
-    ordered = lambda order: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "_line"))), lambda x: x["_line"]), "\n")
-    c = clauses.withColumn("_line", block).groupBy("doc_id").agg(ordered("clause_index").alias("_clauses"), F.count("*").alias("_n"))
-    line = F.concat(F.lit("- rule_code="), "risk_code", F.lit(" | "), "risk_title", F.lit(" | 维度="), "dimension", F.lit(" | 等级="), "risk_level", F.lit(" | 命中证据："), "quote")
-    r = risks.withColumn("_line", line).groupBy("doc_id").agg(ordered("seq").alias("_rules"))
-    hit = F.when(F.col("_rules").isNull(), "【规则已命中】（无）").otherwise(F.concat(F.lit("【规则已命中】（不要重复报告；相关的请在 related_rule_code 里回填对应编码）\n"), F.col("_rules")))
-    head = F.concat(F.lit(f"【合同类型】{contract_type}\n\n【本批条款】（共 "), F.col("_n").cast("string"), F.lit(" 条，clause_index 请原样回显）\n"))
-    return c.join(r, "doc_id", "left").select("doc_id", F.concat(head, F.col("_clauses"), F.lit("\n"), hit).alias("user_prompt"))
+def _clause_text(c: Column) -> Column:
+    words = F.concat_ws(" ", F.when(c["clause_no"] != "", c["clause_no"]), F.when(c["title"] != "", c["title"]))
+    label = F.when(words != "", F.concat(words, F.lit("·"), c["clause_type"])).otherwise(c["clause_type"])
+    return F.concat(F.lit("--- 条款 #"), c["clause_index"].cast("string"), F.lit("（"), label, F.lit("）---\n"), c["text"], F.lit("\n"))
+
+
+def _rule_text(r: Column) -> Column:
+    return F.concat(F.lit("- rule_code="), r["risk_code"], F.lit(" | "), r["risk_title"], F.lit(" | 维度="), r["dimension"], F.lit(" | 等级="), r["risk_level"], F.lit(" | 命中证据："), r["quote"])
+
+
+def prompts_of(docs: DataFrame, contract_type: str = "PURCHASE") -> DataFrame:
+    """(doc_id, user_prompt): the clauses of each dossier in order and the rules that hit it. The same rows give the same text."""
+    head = F.concat(F.lit(f"【合同类型】{contract_type}\n\n【本批条款】（共 "), F.size("clauses").cast("string"), F.lit(" 条，clause_index 请原样回显）\n"))
+    hits = F.array_join(F.transform("risks", lambda x: _rule_text(x["r"])), "\n")
+    hit = F.when(F.size("risks") == 0, "【规则已命中】（无）").otherwise(F.concat(F.lit("【规则已命中】（不要重复报告；相关的请在 related_rule_code 里回填对应编码）\n"), hits))
+    return docs.select("doc_id", F.concat(head, F.array_join(F.transform("clauses", _clause_text), "\n"), F.lit("\n"), hit).alias("user_prompt"))
 
 
 def requests(prompts: DataFrame, system_prompt: str, model: str, temperature: float = 0.2, max_tokens: int = 4096) -> DataFrame:

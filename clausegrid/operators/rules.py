@@ -7,6 +7,7 @@ all rules are evaluated in one pass over the paragraphs, without a join with the
 from __future__ import annotations
 
 import json
+import math
 import re
 from dataclasses import dataclass, field
 from decimal import Decimal
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..constants import CLAUSE_TYPES, METADATA_FIELDS, MOST_RULES, SEED_RULES
 from .clauses import with_clauses
-from .metadata import field_aggregates, known_currency, wide_metadata
+from .metadata import field_aggregates, known_currency
 
 _OPS = {"gt": ">", "gte": ">=", "lt": "<", "lte": "<=", "eq": "=", "ne": "<>"}
 
@@ -47,6 +48,7 @@ class Rule:
             fine = isinstance(x.get("pattern"), str) and x["pattern"] != "" and _compiles(x["pattern"])
         elif self.rule_type == "THRESHOLD":
             fine = isinstance(x.get("field"), str) and x["field"] != "" and isinstance(x.get("op"), str) and x["op"] in _OPS and isinstance(x.get("value"), (int, float)) and not isinstance(x["value"], bool)
+            fine = fine and not (isinstance(x["value"], float) and math.isnan(x["value"]))  # an order needs a number
         else:
             return "UNSUPPORTED_RULE_TYPE"
         return None if fine else "INVALID_EXPRESSION"
@@ -60,12 +62,41 @@ def _compiles(pattern: str) -> bool:
     return True
 
 
+#: The pieces of a pattern that mean the same in both engines, or that can be said in the other; anything else keeps Python's engine.
+_PIECES = re.compile(
+    r"""(?P<plain>[^\\\[\](){}^$.|?*+\x00-\x1f\x7f])
+    | (?P<escape>\\[dDwWsSZ.\\()\[\]{}|?*+^$/-])
+    | (?P<set>\[\^?(?:[^\\\[\]&^\x00-\x1f]|\\[dws.\\()\[\]{}|?*+^$/-])+\])
+    | (?P<open>\((?:\?:|\?=|\?!|\?P<[A-Za-z][A-Za-z0-9]*>|(?!\?)))
+    | (?P<mark>[)|^]|(?:[*+?]|\{[0-9]+(?:,[0-9]*)?\})\??)
+    | (?P<dot>[.$])""",
+    re.VERBOSE,
+)
+#: What white space and word characters are for Python, inside a set of Java's.
+_WIDE = {r"\s": r"\s\x1c-\x1f", r"\w": r"\p{L}\p{N}_"}
+_ALONE = {".": r"[^\n]", "$": r"(?=\n?\z)", r"\Z": r"\z"} | {k: f"[{v}]" for k, v in _WIDE.items()} | {k.upper(): f"[^{v}]" for k, v in _WIDE.items()}
+
+
 def java_pattern(spark: SparkSession, pattern: str) -> str | None:
-    """``pattern`` for Spark's engine: named groups renamed, Unicode classes on; None if Java doesn't take it."""
-    text = "(?U)" + pattern.replace("(?P<", "(?<")
+    """``pattern`` for Spark's engine, or None where its pieces might mean something else there.
+
+    Line ends, white space and word characters are spelled out; look-behind, back references, inline flags, word borders and sets with ``[`` or ``&`` aren't translated.
+    """
+    out, at = ["(?U)"], 0
+    while at < len(pattern):
+        piece = _PIECES.match(pattern, at)
+        if piece is None:
+            return None
+        text, at = piece.group(), piece.end()
+        if piece.lastgroup == "set":
+            text = re.sub(r"\\.", lambda m: _WIDE.get(m.group(), m.group()), text)
+        elif piece.lastgroup == "open":
+            text = text.replace("(?P<", "(?<")
+        out.append(_ALONE.get(text, text) if piece.lastgroup in ("escape", "dot") else text)
+    text = "".join(out)
     try:
         spark._jvm.java.util.regex.Pattern.compile(text)
-    except IllegalArgumentException:  # a pattern that only Python's engine takes
+    except IllegalArgumentException:
         return None
     return text
 
@@ -145,57 +176,79 @@ def _risk(rule: Rule, n: int, idx: Column, original: Column, quote: Column, reas
     )
 
 
-def paragraph_risks(paragraphs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """One row for each keyword or regex rule and paragraph that it hits."""
-    spark = paragraphs.sparkSession
+def paragraph_hits(spark: SparkSession, rules: list[Rule]) -> Column:
+    """The risks of keyword and regex rules in a placed paragraph, as an array."""
     hits = []
     for n, rule in enumerate(rules):
         if rule.failure() is None and rule.rule_type in ("KEYWORD", "REGEX"):
             hit = _hit(spark, rule)
             hits.append(F.when(_in_scope(rule) & hit.isNotNull(), _risk(rule, n, F.col("idx"), F.col("text"), hit["quote"], hit["reason"])))
-    placed = with_clauses(paragraphs)
-    if not hits:
-        placed, hits = placed.where(F.lit(False)), [_risk(Rule("", "", "", "", {}, ""), 0, F.col("idx"), F.col("text"), F.col("text"), F.col("text"))]
-    return placed.select("doc_id", "clause_index", F.explode(F.array_compact(F.array(*hits))).alias("r")).select("doc_id", "clause_index", "r.*")
+    return F.array_compact(F.array(*hits)) if hits else _no_risks()
+
+
+def _no_risks() -> Column:
+    return F.filter(F.array(_risk(Rule("", "", "", "", {}, ""), 0, F.lit(0), F.lit(""), F.lit(""), F.lit(""))), lambda _: F.lit(False))
 
 
-def _threshold(rule: Rule) -> tuple[Column, Column, Column]:
-    """(value, whether it passes the bound, the risk's struct) from the wide metadata."""
+def paragraph_risks(paragraphs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """One row for each keyword or regex rule and paragraph that it hits."""
+    found = with_clauses(paragraphs).select("doc_id", "clause_index", F.explode(paragraph_hits(paragraphs.sparkSession, rules)).alias("r"))
+    return found.select("doc_id", "clause_index", "r.*")
+
+
+_LABELS = {key: label for key, label, _ in METADATA_FIELDS}
+
+
+def _compared(rule: Rule) -> tuple[Column, Column, Column]:
+    """(whether a number is there, whether it passes the bound, the field's struct) from the wide metadata.
+
+    Numbers are compared exactly, as decimals of 38 digits, as far as both fit that; beyond it, and for an infinite bound, as doubles.
+    """
     x = rule.expression
-    known = {key: label for key, label, _ in METADATA_FIELDS if key != "payment_terms"}
-    item = x["field"] if x["field"] in known else None
-    value = F.col(f"{item}.value").try_cast("decimal(38,18)") if item else F.lit(None).cast("decimal(38,18)")
-    passes = F.expr(f"_v {_OPS[x['op']]} CAST('{Decimal(str(x['value'])):f}' AS DECIMAL(38,18))")
-    return value, passes, F.col(item) if item else F.lit(None).cast("struct<value:string,idx:int,quote:string>")
+    known = x["field"] in _LABELS and x["field"] != "payment_terms"
+    item = F.col(x["field"]) if known else F.lit(None).cast("struct<value:string,idx:int,quote:string>")
+    text = F.trim(item["value"])
+    there = F.coalesce(text.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"), F.lit(False))
+    about = text.try_cast("double")
+    by = {"gt": lambda a, b: a > b, "gte": lambda a, b: a >= b, "lt": lambda a, b: a < b, "lte": lambda a, b: a <= b, "eq": lambda a, b: a == b, "ne": lambda a, b: a != b}[x["op"]]
+    passes = by(about, F.lit(float(x["value"])))
+    bound = Decimal(str(x["value"]))
+    if bound.is_finite() and abs(bound) < Decimal(10) ** 20 and -bound.as_tuple().exponent <= 18:
+        short = F.length(F.regexp_extract(text, r"\.(\d*)$", 1)) <= 18
+        exact = F.when(short & ~text.rlike("[eE]"), text.try_cast("decimal(38,18)"))
+        passes = F.when(exact.isNotNull(), by(exact, F.lit(bound).cast("decimal(38,18)"))).otherwise(passes)
+    return there, there & passes, item
 
 
 def threshold_verdicts(wide: DataFrame, rules: list[Rule]) -> DataFrame:
     """One row a document and threshold rule: status, the value compared and where it was read."""
-    out = None
+    rows = []
     for n, rule in enumerate(rules):
-        if rule.rule_type != "THRESHOLD" or rule.failure() is not None:
-            continue
-        value, passes, item = _threshold(rule)
-        status = F.when(F.col("_v").isNull(), "EVALUATION_FAILED").when(passes, "MATCHED").otherwise("NOT_MATCHED")
-        one = wide.withColumn("_v", value).select("doc_id", F.lit(n).alias("rule_ord"), F.lit(rule.rule_code).alias("rule_code"), status.alias("status"), F.col("_v").alias("value"), item["idx"].alias("paragraph_index"), item["quote"].alias("quote"), item["value"].alias("field_value"))
-        out = one if out is None else out.unionByName(one)
-    if out is None:
+        if rule.rule_type == "THRESHOLD" and rule.failure() is None:
+            there, passes, item = _compared(rule)
+            status = F.when(~there, "EVALUATION_FAILED").when(passes, "MATCHED").otherwise("NOT_MATCHED")
+            value = F.when(there, item["value"].try_cast("decimal(38,18)"))
+            rows.append(F.struct(F.lit(n).alias("rule_ord"), F.lit(rule.rule_code).alias("rule_code"), status.alias("status"), value.alias("value"), item["idx"].alias("paragraph_index"), item["quote"].alias("quote"), item["value"].alias("field_value")))
+    if not rows:
         raise ValueError("no threshold rule that can be evaluated")
-    return out
+    return wide.select("doc_id", F.explode(F.array(*rows)).alias("v")).select("doc_id", "v.*")
 
 
 def _threshold_hit(rule: Rule, n: int) -> tuple[Column, Column]:
     """(status, risk or null) of a wide metadata row."""
-    value, _, item = _threshold(rule)
+    there, passes, item = _compared(rule)
     x = rule.expression
-    bound = F.lit(Decimal(str(x["value"]))).cast("decimal(38,18)")
-    passes = {"gt": value > bound, "gte": value >= bound, "lt": value < bound, "lte": value <= bound, "eq": value == bound, "ne": value != bound}[x["op"]]
-    label = {key: label for key, label, _ in METADATA_FIELDS}.get(x["field"], "")
-    reason = F.concat(F.lit(f"规则要求 {x['field']} {x['op']} {Decimal(str(x['value']))}，实际值为 "), item["value"], F.lit(f"（取自「{label}」）"))
-    status = F.when(value.isNull(), "MISSING_INPUT").when(passes, "MATCHED").otherwise("NOT_MATCHED")
+    reason = F.concat(F.lit(f"规则要求 {x['field']} {x['op']} {Decimal(str(x['value']))}，实际值为 "), item["value"], F.lit(f"（取自「{_LABELS.get(x['field'], '')}」）"))
+    status = F.when(~there, "MISSING_INPUT").when(passes, "MATCHED").otherwise("NOT_MATCHED")
     return status, F.when(passes, _risk(rule, n, item["idx"], item["quote"], item["quote"], reason))
 
 
+def threshold_hits(rules: list[Rule]) -> Column:
+    """The risks of the threshold rules in a wide metadata row, as an array."""
+    hits = [_threshold_hit(r, n)[1] for n, r in enumerate(rules) if r.rule_type == "THRESHOLD" and r.failure() is None]
+    return F.array_compact(F.array(*hits)) if hits else _no_risks()
+
+
 def evaluate(paragraphs: DataFrame, rules: list[Rule]) -> DataFrame:
     """One row a document and rule: MATCHED, NOT_MATCHED or EVALUATION_FAILED with its reason, and the number of risks."""
     spark = paragraphs.sparkSession
@@ -215,10 +268,7 @@ def evaluate(paragraphs: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def rule_risks(paragraphs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """All risks of all rules; ``seq`` orders a document's by rule and then by place."""
-    found = paragraph_risks(paragraphs, rules).drop("clause_index")
-    limits = [F.array_compact(F.array(*(_threshold_hit(r, n)[1] for n, r in enumerate(rules) if r.rule_type == "THRESHOLD" and r.failure() is None)))]
-    if any(r.rule_type == "THRESHOLD" and r.failure() is None for r in rules):
-        found = found.unionByName(wide_metadata(paragraphs).select("doc_id", F.explode(limits[0]).alias("r")).select("doc_id", "r.*"))
-    seq = F.row_number().over(W.partitionBy("doc_id").orderBy("rule_ord", "paragraph_index"))
-    return found.withColumn("seq", seq).drop("rule_ord")
+    """All risks of all rules; ``seq`` orders a document's by rule and then by place. One pass over the paragraphs."""
+    from .dossier import dossiers, risks_of
+
+    return risks_of(dossiers(paragraphs, rules))

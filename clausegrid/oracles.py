@@ -165,22 +165,44 @@ def _sentence() -> str:
 _TITLES = "CASE risk_code WHEN 'IP_OWNER_SUPPLIER_001' THEN '知识产权归属相对方' WHEN 'LIAB_UNLIMITED_001' THEN '我方单方承担无限责任' ELSE '预付款比例超过 30%' END"
 _DIMS = "CASE risk_code WHEN 'IP_OWNER_SUPPLIER_001' THEN '知识产权' WHEN 'LIAB_UNLIMITED_001' THEN '违约责任' ELSE '金额支付' END"
 _HEADING = "coalesce(nullif(concat_ws(' ', clause_no, title), ''), '条款 #' || clause_index)"
-_REPORT = f"""{PLACED}, {_META}, {_RISKS},
-rk AS (SELECT rr.doc_id, seq, '### ' || row_number() OVER (PARTITION BY rr.doc_id ORDER BY seq) || '. [' || risk_level || '] ' || {_TITLES} || chr(10) || chr(10) || '| 项目 | 内容 |' || chr(10) || '| --- | --- |' || chr(10) ||
-  '| 风险编码 | ' || risk_code || ' |' || chr(10) || '| 审查维度 | ' || {_DIMS} || ' |' || chr(10) || '| 风险来源 | RULE |' || chr(10) || '| 所属条款 | ' || {_HEADING} || ' |' || chr(10) || '| 原文段落 | 第 ' || paragraph_index || ' 段 |' ||
-  chr(10) || chr(10) || '- **风险原因**：' || reason || chr(10) || '- **命中原文**：' || replace(quote, chr(9), ' ') AS block, risk_level FROM rr JOIN clt ON clt.doc_id = rr.doc_id AND rr.paragraph_index BETWEEN clt.start_idx AND clt.end_idx),
-ra AS (SELECT doc_id, count(*) AS total, count(*) FILTER (WHERE risk_level = 'HIGH') AS high, count(*) FILTER (WHERE risk_level = 'MEDIUM') AS medium, 0 AS low, 0 AS other, string_agg(block, chr(10) || chr(10) ORDER BY seq) AS blocks FROM rk GROUP BY doc_id),
+
+
+def _cell(x: str) -> str:
+    flat = f"replace(replace(replace(trim(CAST({x} AS VARCHAR)), '|', chr(92) || '|'), chr(13), ' '), chr(10), ' ')"
+    return f"coalesce(nullif({flat}, ''), '—')"
+
+
+def _rows(*rows: tuple[str, str]) -> str:
+    return "'| 项目 | 内容 |' || chr(10) || '| --- | --- |'" + "".join(f" || chr(10) || '| {name} | ' || {value} || ' |'" for name, value in rows)
+
+
+_AMOUNT_TEXT = "coalesce(nullif(concat_ws(' ', CAST(amount AS VARCHAR), CASE WHEN amount IS NOT NULL THEN nullif(currency, '') END), ''), '—')"
+_STAGE = "CASE stage WHEN 'UPLOADED' THEN '已上传' WHEN 'PARSED' THEN '已解析' WHEN 'CLAUSED' THEN '已切分条款' WHEN 'REVIEWED' THEN '审查完成' ELSE stage END"
+_REVIEWED = "CASE coalesce(review_status, 'PENDING') WHEN 'PENDING' THEN '待复核' WHEN 'CONFIRMED' THEN '已确认' WHEN 'REJECTED' THEN '已驳回' WHEN 'MODIFIED' THEN '已修改' ELSE review_status END"
+_RISK_ROWS = _rows(("风险编码", "risk_code"), ("审查维度", _DIMS), ("风险来源", "'RULE'"), ("所属条款", _HEADING), ("定位方式", "'PARAGRAPH'"), ("原文段落", "'第 ' || paragraph_index || ' 段'"), ("人工复核", _REVIEWED))
+_REPORT = f"""{PLACED}, {_META}, {_RISKS}, rv AS ({fx.REVIEWS_SQL}), hd AS ({fx.REPORT_HEADS_SQL}),
+rk AS (SELECT rr.doc_id, rr.seq, risk_level, '### ' || row_number() OVER (PARTITION BY rr.doc_id ORDER BY rr.seq) || '. [' || risk_level || '] ' || {_TITLES} || chr(10) || chr(10) || {_RISK_ROWS} || chr(10) || chr(10) ||
+  concat_ws(chr(10), '- **风险原因**：' || reason, '- **命中原文**：' || replace(quote, chr(9), ' '), CASE WHEN review_status = 'MODIFIED' THEN '- **人工风险等级**：' || risk_level END,
+    '- **复核意见**：' || nullif(regexp_replace(review_comment, '\s+', ' ', 'g'), ''), '- **复核时间**：' || strftime(reviewed_at, '%Y-%m-%d %H:%M') || ' (UTC)') AS block
+  FROM rr JOIN clt ON clt.doc_id = rr.doc_id AND rr.paragraph_index BETWEEN clt.start_idx AND clt.end_idx LEFT JOIN rv ON rv.doc_id = rr.doc_id AND rv.seq = rr.seq),
+ra AS (SELECT doc_id, count(*) AS total, count(*) FILTER (WHERE risk_level = 'HIGH') AS high, count(*) FILTER (WHERE risk_level = 'MEDIUM') AS medium, string_agg(block, chr(10) || chr(10) ORDER BY seq) AS blocks FROM rk GROUP BY doc_id),
 ca AS (SELECT doc_id, string_agg('### ' || (clause_index + 1) || '. ' || {_HEADING} || '（' || clause_type || '）' || chr(10) || chr(10) || trim(text), chr(10) || chr(10) ORDER BY clause_index) AS blocks FROM clt GROUP BY doc_id),
-ma AS (SELECT doc_id, string_agg('| ' || field_label || ' | ' || replace(field_value, chr(10), ' ') || ' | ' || value_type || ' | REGEX |', chr(10) ORDER BY ord) AS lines, max(CASE WHEN field_key = 'our_party_name' THEN field_value END) AS a, max(CASE WHEN field_key = 'counterparty_name' THEN field_value END) AS b, max(CASE WHEN field_key = 'contract_amount' THEN field_value END) AS amount, max(CASE WHEN field_key = 'currency' THEN field_value END) AS currency, max(CASE WHEN field_key = 'sign_date' THEN field_value END) AS sign, max(CASE WHEN field_key = 'effective_date' THEN field_value END) AS eff, max(CASE WHEN field_key = 'expire_date' THEN field_value END) AS expi FROM meta GROUP BY doc_id),
-t0 AS (SELECT task_id AS doc_id, stage FROM ({fx.TASKS_SQL}) t),
-al AS (SELECT t0.doc_id, t0.stage, coalesce(ra.total, 0) AS total, coalesce(ra.high, 0) AS high, coalesce(ra.medium, 0) AS medium, coalesce(ra.low, 0) AS low, coalesce(ra.other, 0) AS other, ra.blocks AS risk_blocks, ca.blocks AS clause_blocks, ma.* EXCLUDE (doc_id) FROM t0 LEFT JOIN ra ON ra.doc_id = t0.doc_id LEFT JOIN ca ON ca.doc_id = t0.doc_id LEFT JOIN ma ON ma.doc_id = t0.doc_id),
-report AS (SELECT doc_id, '# 合同审查报告' || chr(10) || chr(10) || '> 审查任务：#' || doc_id || chr(10) || chr(10) ||
-  '## 一、合同基本信息' || chr(10) || chr(10) || '| 项目 | 内容 |' || chr(10) || '| --- | --- |' || chr(10) || '| 我方主体 | ' || coalesce(a, '—') || ' |' || chr(10) || '| 相对方 | ' || coalesce(b, '—') || ' |' || chr(10) || '| 合同金额 | ' || coalesce(amount, '—') || coalesce(' ' || currency, '') || ' |' || chr(10) || '| 签署日 | ' || coalesce(sign, '—') || ' |' || chr(10) || '| 生效日 | ' || coalesce(eff, '—') || ' |' || chr(10) || '| 到期日 | ' || coalesce(expi, '—') || ' |' || chr(10) || chr(10) ||
-  '## 二、审查任务信息' || chr(10) || chr(10) || '| 项目 | 内容 |' || chr(10) || '| --- | --- |' || chr(10) || '| 审查任务 | #' || doc_id || ' |' || chr(10) || '| 审查阶段 | ' || CASE stage WHEN 'UPLOADED' THEN '已上传' WHEN 'PARSED' THEN '已解析' WHEN 'CLAUSED' THEN '已切分条款' ELSE '审查完成' END || '（' || stage || '） |' || chr(10) || '| 被审查附件 | 合同\\|样本.docx |' || chr(10) || chr(10) ||
+ma AS (SELECT doc_id, string_agg('| ' || field_label || ' | ' || replace(field_value, chr(10), ' ') || ' | ' || value_type || ' | REGEX |', chr(10) ORDER BY ord) AS lines FROM meta GROUP BY doc_id),
+al AS (SELECT hd.*, coalesce(ra.total, 0) AS total, coalesce(ra.high, 0) AS high, coalesce(ra.medium, 0) AS medium, 0 AS low, 0 AS other, ra.blocks AS risk_blocks, ca.blocks AS clause_blocks, ma.lines FROM hd LEFT JOIN ra ON ra.doc_id = hd.doc_id LEFT JOIN ca ON ca.doc_id = hd.doc_id LEFT JOIN ma ON ma.doc_id = hd.doc_id),
+report AS (SELECT doc_id, '# 合同审查报告' || chr(10) || chr(10) || '> 合同编号：' || {_cell('contract_no')} || ' ｜ 合同名称：' || {_cell('title')} || ' ｜ 审查任务：#' || doc_id || chr(10) || chr(10) ||
+  '## 一、合同基本信息' || chr(10) || chr(10) || {_rows(("合同编号", _cell("contract_no")), ("合同名称", _cell("title")), ("合同类型", _cell("contract_type")), ("我方主体", _cell("our_party")), ("相对方", _cell("counterparty")), ("合同金额", _AMOUNT_TEXT), ("签署日", _cell("sign_date")), ("生效日", _cell("effective_date")), ("到期日", _cell("expire_date")), ("送审部门", _cell("dept")))} || chr(10) || chr(10) ||
+  '## 二、审查任务信息' || chr(10) || chr(10) || {_rows(("审查任务", "'#' || doc_id"), ("任务状态", _cell("status")), ("审查阶段", f"{_STAGE} || '（' || {_cell('stage')} || '）'"), ("创建时间", "strftime(created_at, '%Y-%m-%d %H:%M') || ' (UTC)'"), ("被审查附件", _cell("file_name")), ("附件类型", _cell("file_type")), ("解析状态", _cell("parse_status")), ("附件 SHA-256", _cell("sha256")))} || chr(10) || chr(10) ||
   '## 三、风险概览' || chr(10) || chr(10) || {_sentence()} || chr(10) || chr(10) || '| 风险等级 | 数量 |' || chr(10) || '| --- | --- |' || chr(10) || '| HIGH | ' || high || ' |' || chr(10) || '| MEDIUM | ' || medium || ' |' || chr(10) || '| LOW | ' || low || ' |' || chr(10) || '| 合计 | ' || total || ' |' || chr(10) || chr(10) ||
   '## 四、风险明细' || chr(10) || chr(10) || coalesce(risk_blocks, '本次审查未发现风险。') || chr(10) || chr(10) || '## 五、条款附录' || chr(10) || chr(10) || clause_blocks || chr(10) || chr(10) ||
   '## 六、合同信息提取结果' || chr(10) || chr(10) || '| 字段 | 值 | 类型 | 提取方式 |' || chr(10) || '| --- | --- | --- | --- |' || chr(10) || lines || chr(10) AS content_md FROM al)"""
 
+_WRITEBACK = f"""WITH t AS ({fx.WRITEBACK_TASKS_SQL}), r AS ({fx.WRITEBACK_RISKS_SQL}),
+k AS (SELECT doc_id, count(*) AS total, count(*) FILTER (WHERE risk_level = 'HIGH') AS high, 0 AS medium, 0 AS low, count(*) FILTER (WHERE risk_level = 'ODD') AS other, string_agg('#### ' || nth || '. [' || risk_level || '] ' || risk_title || chr(10) || chr(10) || '| 项目 | 内容 |' || chr(10) || '| --- | --- |' || chr(10) || '| 风险编码 | ' || coalesce(risk_code, '—') || ' |' || chr(10) || '| 审查维度 | D |' || chr(10) || '| 风险来源 | RULE |' || chr(10) || '| 原文段落 | ' || coalesce('第 ' || paragraph_index || ' 段', '—') || ' |' || chr(10) || '| 人工复核 | ' || CASE review_status WHEN 'MODIFIED' THEN '已修改' ELSE '待复核' END || ' |' || chr(10) || chr(10) ||
+  concat_ws(chr(10), '- **风险原因**：why not', '- **法律依据**：' || legal_basis, '- **命中原文**：' || quote, CASE WHEN review_status = 'MODIFIED' THEN '- **人工风险等级**：' || risk_level END, '- **复核意见**：' || review_comment), chr(10) || chr(10) ORDER BY seq) AS blocks
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS nth FROM r) x GROUP BY doc_id),
+j AS (SELECT t.*, coalesce(total, 0) AS total, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(low, 0) AS low, coalesce(other, 0) AS other, blocks FROM t LEFT JOIN k ON k.doc_id = t.doc_id)
+SELECT doc_id, '## 合同审查意见' || chr(10) || chr(10) || '> 合同编号：' || coalesce(nullif(contract_no, ''), '—') || ' ｜ 合同名称：' || replace(title, '|', chr(92) || '|') || ' ｜ 审查任务：#' || doc_id || chr(10) || chr(10) || '### 一、合同信息' || chr(10) || chr(10) || '| 项目 | 内容 |' || chr(10) || '| --- | --- |' || chr(10) || '| 合同编号 | ' || coalesce(nullif(contract_no, ''), '—') || ' |' || chr(10) || '| 合同名称 | ' || replace(title, '|', chr(92) || '|') || ' |' || chr(10) || chr(10) ||
+  '### 二、审查任务' || chr(10) || chr(10) || '| 项目 | 内容 |' || chr(10) || '| --- | --- |' || chr(10) || '| 审查任务 | #' || doc_id || ' |' || chr(10) || '| 审查阶段 | ' || CASE stage WHEN 'REVIEWED' THEN '审查完成' ELSE stage END || '（' || stage || '） |' || chr(10) || '| 创建时间 | ' || strftime(created_at, '%Y-%m-%d %H:%M') || ' (UTC) |' || chr(10) || chr(10) || '### 三、风险清单' || chr(10) || chr(10) || {_sentence()} || coalesce(chr(10) || chr(10) || blocks, '') || chr(10) AS content_md FROM j"""
 _TASKS = f"SELECT * FROM ({fx.TASKS_SQL}) t"
 _LINES = "SELECT doc_id, CAST(unnest(range(len(string_split(text, chr(10))))) AS INTEGER) AS idx, unnest(string_split(text, chr(10))) AS text FROM documents"
 
@@ -257,7 +279,6 @@ SELECT c_custkey AS contract_id, c_name AS contract_no, l.task_id AS latest_task
     "task_tree_diagnosis": f"SELECT t.task_id, t.contract_id, c.c_name AS contract_no, n.n_name AS file_name, CASE WHEN c.c_custkey IS NULL THEN 'CONTRACT_NOT_FOUND' WHEN n.n_nationkey IS NULL THEN 'FILE_NOT_FOUND' ELSE 'OK' END AS diagnosis FROM ({_TASKS}) t LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 10 <> 0) c ON c.c_custkey = t.contract_id LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 7 <> 0) n ON n.n_nationkey = c.c_nationkey",
     "workbench_flat": f"""{PLACED}, {_META}, {_RISKS} SELECT t.task_id AS doc_id, t.stage, CAST(18 AS BIGINT) AS n_blocks, (SELECT count(*) FROM clt WHERE clt.doc_id = t.task_id) AS n_clauses, (SELECT count(*) FROM meta WHERE meta.doc_id = t.task_id) AS n_metadata, (SELECT count(*) FROM rr WHERE rr.doc_id = t.task_id) AS n_risks FROM ({_TASKS}) t""",
     "report_markdown": f"{_REPORT} SELECT doc_id, content_md FROM report",
-    "writeback_hash_key": f"{_REPORT} SELECT doc_id, sha256(content_md) AS content_hash, sha256(CAST(doc_id AS VARCHAR) || ':' || sha256(content_md)) AS idempotency_key FROM report",
     "upload_gate": f"""SELECT run_id, m = '' AS file_valid, m AS missing, CASE WHEN error_code IS NOT NULL THEN error_code WHEN m <> '' THEN 'BACKEND_CONTRACT_INCOMPLETE' END AS gate_error FROM (
   SELECT *, concat_ws(',', CASE WHEN error_code IS NOT NULL THEN 'upload' END, CASE WHEN contract_id IS NULL OR contract_id <= 0 THEN 'contract_id' END, CASE WHEN file_id <= 0 THEN 'file_id' END, CASE WHEN review_task_id <= 0 THEN 'review_task_id' END, CASE WHEN sha256 IS NULL OR sha256 = '' THEN 'sha256' END) AS m FROM ({fx.RUNS_SQL}) r) x""",
     "workflow_routes": f"SELECT run_id, CASE WHEN file_valid IS TRUE THEN 'continue' ELSE 'stop' END AS after_validate, CASE WHEN parse_status IN ('EMPTY', 'PARSED') THEN 'continue' ELSE 'stop' END AS after_parse, CASE WHEN error_code IS NULL THEN 'continue' ELSE 'stop' END AS after_persist, CASE WHEN llm_error_code IS NULL AND has_findings IS TRUE THEN 'continue' ELSE 'fallback' END AS after_llm FROM ({fx.RUNS_SQL}) r",
@@ -284,13 +305,8 @@ FROM (SELECT DISTINCT doc_id FROM p) d""",
     # only CLAUSED tasks without rows take risks; a batch with rule b's level (CRITICAL) is refused
     "risk_persist": f"""{PLACED} SELECT r.doc_id, r.seq, CAST(CASE r.risk_code WHEN 'A' THEN 1 WHEN 'B' THEN 2 END AS BIGINT) AS rule_id, clt.clause_index, 'PENDING' AS review_status FROM ({fx.RISKS_SQL}) r JOIN clt ON clt.doc_id = r.doc_id AND r.paragraph_index BETWEEN clt.start_idx AND clt.end_idx
 WHERE r.seq NOT IN (1, 8) AND r.doc_id % 3 <> 0 AND r.doc_id % 4 = 2""",
-    "writeback_render": f"""WITH t AS ({fx.WRITEBACK_TASKS_SQL}), r AS ({fx.WRITEBACK_RISKS_SQL}),
-k AS (SELECT doc_id, count(*) AS total, count(*) FILTER (WHERE risk_level = 'HIGH') AS high, 0 AS medium, 0 AS low, count(*) FILTER (WHERE risk_level = 'ODD') AS other, string_agg('#### ' || nth || '. [' || risk_level || '] ' || risk_title || chr(10) || chr(10) || '| 项目 | 内容 |' || chr(10) || '| --- | --- |' || chr(10) || '| 风险编码 | ' || coalesce(risk_code, '—') || ' |' || chr(10) || '| 审查维度 | D |' || chr(10) || '| 风险来源 | RULE |' || chr(10) || '| 原文段落 | ' || coalesce('第 ' || paragraph_index || ' 段', '—') || ' |' || chr(10) || '| 人工复核 | ' || CASE review_status WHEN 'MODIFIED' THEN '已修改' ELSE '待复核' END || ' |' || chr(10) || chr(10) ||
-  concat_ws(chr(10), '- **风险原因**：why not', '- **法律依据**：' || legal_basis, '- **命中原文**：' || quote, CASE WHEN review_status = 'MODIFIED' THEN '- **人工风险等级**：' || risk_level END, '- **复核意见**：' || review_comment), chr(10) || chr(10) ORDER BY seq) AS blocks
-  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS nth FROM r) x GROUP BY doc_id),
-j AS (SELECT t.*, coalesce(total, 0) AS total, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(low, 0) AS low, coalesce(other, 0) AS other, blocks FROM t LEFT JOIN k ON k.doc_id = t.doc_id)
-SELECT doc_id, '## 合同审查意见' || chr(10) || chr(10) || '> 合同编号：' || coalesce(nullif(contract_no, ''), '—') || ' ｜ 合同名称：' || replace(title, '|', chr(92) || '|') || ' ｜ 审查任务：#' || doc_id || chr(10) || chr(10) || '### 一、合同信息' || chr(10) || chr(10) || '| 项目 | 内容 |' || chr(10) || '| --- | --- |' || chr(10) || '| 合同编号 | ' || coalesce(nullif(contract_no, ''), '—') || ' |' || chr(10) || '| 合同名称 | ' || replace(title, '|', chr(92) || '|') || ' |' || chr(10) || chr(10) ||
-  '### 二、审查任务' || chr(10) || chr(10) || '| 项目 | 内容 |' || chr(10) || '| --- | --- |' || chr(10) || '| 审查任务 | #' || doc_id || ' |' || chr(10) || '| 审查阶段 | ' || CASE stage WHEN 'REVIEWED' THEN '审查完成' ELSE stage END || '（' || stage || '） |' || chr(10) || '| 创建时间 | ' || strftime(created_at, '%Y-%m-%d %H:%M') || ' (UTC) |' || chr(10) || chr(10) || '### 三、风险清单' || chr(10) || chr(10) || {_sentence()} || coalesce(chr(10) || chr(10) || blocks, '') || chr(10) AS content_md FROM j""",
+    "writeback_render": _WRITEBACK,
+    "writeback_hash_key": f"SELECT doc_id, sha256(content_md) AS content_hash, sha256(CAST(doc_id AS VARCHAR) || ':' || sha256(content_md)) AS idempotency_key FROM ({_WRITEBACK}) w",
     "prompt_render": f"""{PLACED}, {_META}, {_RISKS},
 ca AS (SELECT doc_id, count(*) AS n, string_agg('--- 条款 #' || clause_index || '（' || CASE WHEN clause_no IS NULL THEN '' ELSE concat_ws(' ', clause_no, title) || '·' END || clause_type || '）---' || chr(10) || text || chr(10), chr(10) ORDER BY clause_index) AS c FROM clt GROUP BY doc_id),
 ru AS (SELECT doc_id, string_agg('- rule_code=' || risk_code || ' | ' || {_TITLES} || ' | 维度=' || {_DIMS} || ' | 等级=' || risk_level || ' | 命中证据：' || quote, chr(10) ORDER BY seq) AS r FROM rr GROUP BY doc_id)

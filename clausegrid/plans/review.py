@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from ..operators import clauses, findings, keywords, merge, metadata, rules
+from ..operators import clauses, dossier, findings, keywords, merge, rules
 
 
 @dataclass
@@ -18,6 +18,8 @@ class Review:
     keyword_hits: DataFrame
     evaluations: DataFrame
     risks: DataFrame
+    #: One row a document with its clauses, metadata and rule risks; whoever needs several of these tables stores it once.
+    dossiers: DataFrame
 
 
 def review(paragraphs: DataFrame, catalogue: list[rules.Rule], raw_findings: DataFrame | None = None) -> Review:
@@ -26,16 +28,10 @@ def review(paragraphs: DataFrame, catalogue: list[rules.Rule], raw_findings: Dat
     ``raw_findings``: (doc_id, raw_text), a model's output for each document; documents without valid
     output are reviewed by rules alone.
     """
-    risks = rules.rule_risks(paragraphs, catalogue)
+    docs = dossier.dossiers(paragraphs, catalogue)
+    risks = dossier.risks_of(docs)
     if raw_findings is not None:
         rows = findings.findings_rows(findings.guard_json(raw_findings))
         located = findings.check_related(findings.locate(rows, clauses.with_clauses(paragraphs)), [r.rule_code for r in catalogue])
-    else:
-        located = None
-    return Review(
-        clauses.segment_clauses(paragraphs),
-        metadata.extract_metadata(paragraphs),
-        keywords.keyword_hits(paragraphs),
-        rules.evaluate(paragraphs, catalogue),
-        merge.merge_risks(findings.unify(risks, located)) if located is not None else risks,
-    )
+        risks = merge.merge_risks(findings.unify(risks, located))
+    return Review(dossier.clauses_of(docs), dossier.metadata_of(docs), keywords.keyword_hits(paragraphs), rules.evaluate(paragraphs, catalogue), risks, docs)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .constants import REVIEW_LABELS
-from .operators import catalogue, clauses, findings, keywords, merge, metadata, paragraphs, persist, prompts, readmodels, render, rules, workflow
+from .operators import catalogue, clauses, dossier, findings, keywords, merge, metadata, paragraphs, persist, prompts, readmodels, render, rules, workflow
 from .sources import fixtures as fx
 from .sources.tables import contract_paragraphs, table
 
@@ -348,30 +348,24 @@ def task_tree_diagnosis(spark, sf_dir):
     return readmodels.task_diagnosis(fx.rows(spark, sf_dir, fx.TASKS_SQL).select("task_id", "contract_id"), contracts, files)
 
 
+def _dossiers(spark, sf_dir):
+    return dossier.dossiers(contract_paragraphs(spark, sf_dir), rules.seed_rules())
+
+
 @query
 def workbench_flat(spark, sf_dir):
-    p = contract_paragraphs(spark, sf_dir)
     tasks = fx.rows(spark, sf_dir, fx.TASKS_SQL).select(F.col("task_id").alias("doc_id"), "stage")
-    return readmodels.workbench_counts(tasks, p, clauses.segment_clauses(p), metadata.extract_metadata(p), rules.rule_risks(p, rules.seed_rules()))
-
-
-def _reports(spark, sf_dir):
-    p = contract_paragraphs(spark, sf_dir)
-    tasks = fx.rows(spark, sf_dir, fx.TASKS_SQL).select(F.col("task_id").alias("doc_id"), "stage", F.lit("合同|样本.docx").alias("file_name"))
-    segmented = clauses.segment_clauses(p)
-    risks = rules.rule_risks(p, rules.seed_rules()).withColumn("source", F.lit("RULE"))
-    placed = persist.locate_risks_in_clauses(risks, segmented).drop("ambiguous")
-    return render.render_reports(tasks, placed, segmented, metadata.extract_metadata(p))
+    return readmodels.workbench_counts(tasks, _dossiers(spark, sf_dir))
 
 
 @query
 def report_markdown(spark, sf_dir):
-    return _reports(spark, sf_dir)
+    return render.render_reports(fx.rows(spark, sf_dir, fx.REPORT_HEADS_SQL), _dossiers(spark, sf_dir), fx.rows(spark, sf_dir, fx.REVIEWS_SQL))
 
 
 @query
 def writeback_hash_key(spark, sf_dir):
-    return render.writeback_keys(_reports(spark, sf_dir))
+    return render.writeback_keys(writeback_render(spark, sf_dir))
 
 
 # workflow, catalogues, exchange ------------------------------------------------------------------
@@ -464,8 +458,7 @@ def writeback_render(spark, sf_dir):
 
 @query
 def prompt_render(spark, sf_dir):
-    p = contract_paragraphs(spark, sf_dir)
-    return prompts.render_prompts(clauses.segment_clauses(p), rules.rule_risks(p, rules.seed_rules()))
+    return prompts.prompts_of(_dossiers(spark, sf_dir))
 
 
 @query

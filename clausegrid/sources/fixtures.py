@@ -171,3 +171,19 @@ WRITEBACK_RISKS_SQL = " UNION ALL ".join(
     f"SELECT o_orderkey AS doc_id, {n} AS seq, '{level}' AS risk_level, 'T{n}' AS risk_title, {code} AS risk_code, 'D' AS dimension, 'RULE' AS source, {idx} AS paragraph_index, 'why' || chr(10) || ' not' AS reason, {law} AS legal_basis, 'q{n}' AS quote, '{status}' AS review_status, {comment} AS review_comment FROM orders WHERE o_orderkey % {m} = 0"
     for n, level, code, idx, law, status, comment, m in [(0, "HIGH", "'A'", "3", "'law'", "MODIFIED", "'fine'", 2), (1, "ODD", "CAST(NULL AS STRING)", "CAST(NULL AS INT)", "CAST(NULL AS STRING)", "PENDING", "CAST(NULL AS STRING)", 3)]
 )
+
+#: A task with its contract and file for each order, some columns empty; the reviews of some risks.
+REPORT_HEADS_SQL = """
+SELECT o_orderkey AS doc_id, CASE o_orderkey % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'parsing' ELSE 'reviewing' END AS status,
+  CASE o_orderkey % 5 WHEN 0 THEN 'UPLOADED' WHEN 1 THEN 'PARSED' WHEN 2 THEN 'CLAUSED' WHEN 3 THEN 'ODD|STAGE' ELSE 'REVIEWED' END AS stage, o_orderdate AS created_at,
+  'HT-' || CAST(o_orderkey AS STRING) AS contract_no, CASE WHEN o_orderkey % 3 = 0 THEN 'a|b' || chr(10) || 'c' ELSE ' 采购合同 ' END AS title, 'PURCHASE' AS contract_type,
+  CASE WHEN o_orderkey % 4 = 0 THEN CAST(NULL AS STRING) ELSE 'Party ' || CAST(o_custkey AS STRING) END AS our_party, CASE WHEN o_orderkey % 7 = 0 THEN '  ' ELSE 'Seller ' || o_orderstatus END AS counterparty,
+  CASE WHEN o_orderkey % 6 <> 0 THEN CAST(o_totalprice AS DECIMAL(18,2)) END AS amount, CASE o_orderkey % 3 WHEN 0 THEN 'CNY' WHEN 1 THEN '' END AS currency,
+  CASE WHEN o_orderkey % 2 = 0 THEN CAST(CAST(o_orderdate AS DATE) AS STRING) END AS sign_date, CAST(CAST(o_orderdate AS DATE) AS STRING) AS effective_date, CAST(NULL AS STRING) AS expire_date,
+  CASE WHEN o_orderkey % 9 = 0 THEN CAST(NULL AS STRING) ELSE o_orderpriority END AS dept,
+  '合同|样本.docx' AS file_name, CASE WHEN o_orderkey % 8 = 0 THEN CAST(NULL AS STRING) ELSE 'DOCX' END AS file_type, 'PARSED' AS parse_status, 'ab' || CAST(o_orderkey AS STRING) AS sha256, 'PARAGRAPH' AS locator_type
+FROM orders"""
+REVIEWS_SQL = """
+SELECT o_orderkey AS doc_id, 1 AS seq, CASE o_orderkey % 4 WHEN 0 THEN 'CONFIRMED' WHEN 1 THEN 'REJECTED' WHEN 2 THEN 'MODIFIED' ELSE 'ODD' END AS review_status,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'see' || chr(10) || ' clause' WHEN o_orderkey % 3 = 1 THEN '' END AS review_comment, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate END AS reviewed_at
+FROM orders"""

@@ -2,15 +2,19 @@
 
 import io
 import random
+import re
 import zipfile
+from datetime import datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from clausegrid import constants
 from clausegrid.functions import text as ft
-from clausegrid.operators import clauses, findings, keywords, merge, metadata, paragraphs, persist, readmodels, render, rules
+from clausegrid.operators import clauses, dossier, findings, keywords, merge, metadata, paragraphs, persist, readmodels, render, rules
 from clausegrid.plans.review import review
+from clausegrid.queries import QUERIES
 from clausegrid.sources import docx
 from clausegrid.streaming import ingest
 
@@ -261,11 +265,132 @@ def test_whole_review_and_report(spark, golden):
     out = review(golden, rules.seed_rules(), raw)
     got = {r.risk_code: (r.source, r.paragraph_index) for r in out.risks.collect()}
     assert got == {"IP_OWNER_SUPPLIER_001": ("RULE+LLM", 23), "LIAB_UNLIMITED_001": ("RULE", 30)}
-    tasks = spark.createDataFrame([(1, "REVIEWED", "a.docx"), (2, "UPLOADED", None)], "doc_id long, stage string, file_name string")
-    placed = persist.locate_risks_in_clauses(out.risks, out.clauses)
-    md = {r.doc_id: r.content_md for r in render.render_reports(tasks, placed, out.clauses, out.metadata).collect()}
+    docs = dossier.with_risks(out.dossiers, out.risks)
+    heads = spark.createDataFrame([(1, "reviewing", "REVIEWED", NOON, "HT-1", "采购|合同", "PURCHASE", "甲", None, Decimal("1234.50"), "CNY", "2026-01-02", None, None, " ", "a.docx", "DOCX", "PARSED", "ab12", "PARAGRAPH"), (2, "pending", "ODD", NOON, "HT-2", "t", "SALES", None, None, None, "CNY", None, None, None, "法务", "b.docx", None, "EMPTY", "cd", "PARAGRAPH")], HEADS)
+    reviews = spark.createDataFrame([(1, 1, "MODIFIED", "see\nclause", NOON)], "doc_id long, seq long, review_status string, review_comment string, reviewed_at timestamp")
+    md = {r.doc_id: r.content_md for r in render.render_reports(heads, docs, reviews).collect()}
     assert "### 1. [HIGH] 知识产权归属相对方" in md[1] and "| 所属条款 | 第四条 知识产权 |" in md[1] and "本次审查共发现 2 项风险，其中 HIGH 2 项。" in md[1]
-    assert "本次审查未发现风险。" in md[2] and "本次审查未切分出条款。" in md[2] and md[2].endswith("本次审查未提取到合同信息。\n")
+    assert "| 风险来源 | RULE+LLM |" in md[1] and "| 人工复核 | 已修改 |" in md[1] and "| 人工复核 | 待复核 |" in md[1]
+    assert "- **人工风险等级**：HIGH\n- **复核意见**：see clause\n- **复核时间**：2026-03-04 12:30 (UTC)" in md[1]
+    assert md[2] == EMPTY_REPORT
+
+
+#: A report without findings, in full.
+EMPTY_REPORT = """# 合同审查报告
+
+> 合同编号：HT-2 ｜ 合同名称：t ｜ 审查任务：#2
+
+## 一、合同基本信息
+
+| 项目 | 内容 |
+| --- | --- |
+| 合同编号 | HT-2 |
+| 合同名称 | t |
+| 合同类型 | SALES |
+| 我方主体 | — |
+| 相对方 | — |
+| 合同金额 | — |
+| 签署日 | — |
+| 生效日 | — |
+| 到期日 | — |
+| 送审部门 | 法务 |
+
+## 二、审查任务信息
+
+| 项目 | 内容 |
+| --- | --- |
+| 审查任务 | #2 |
+| 任务状态 | pending |
+| 审查阶段 | ODD（ODD） |
+| 创建时间 | 2026-03-04 12:30 (UTC) |
+| 被审查附件 | b.docx |
+| 附件类型 | — |
+| 解析状态 | EMPTY |
+| 附件 SHA-256 | cd |
+
+## 三、风险概览
+
+本次审查未发现风险。
+
+| 风险等级 | 数量 |
+| --- | --- |
+| HIGH | 0 |
+| MEDIUM | 0 |
+| LOW | 0 |
+| 合计 | 0 |
+
+## 四、风险明细
+
+本次审查未发现风险。
+
+## 五、条款附录
+
+本次审查未切分出条款。
+
+## 六、合同信息提取结果
+
+本次审查未提取到合同信息。
+"""
+NOON = datetime(2026, 3, 4, 12, 30)
+HEADS = "doc_id long, status string, stage string, created_at timestamp, contract_no string, title string, contract_type string, our_party string, counterparty string, amount decimal(18,2), currency string, sign_date string, effective_date string, expire_date string, dept string, file_name string, file_type string, parse_status string, sha256 string, locator_type string"
+
+
+@pytest.mark.parametrize("name", ["workbench_flat", "report_markdown", "prompt_render", "metadata_all", "rule_risks"])
+def test_the_corpus_is_derived_once(spark, sf, name):
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_suppkey#") and sum("Relation" in line and "l_suppkey" in line for line in plan.splitlines()) == 1
+
+
+@pytest.mark.parametrize(
+    "pattern,texts",
+    [
+        (r"[x&&y]+", ["a&x&y", "xy", "z"]),
+        (r"[a[b]+", ["x[ab", "q"]),
+        (r"a.c", ["a\rc", "a\u2028c", "a\nc", "abc"]),
+        (r"end$", ["end\n", "end\r", "end", "end\n\n", "ending"]),
+        (r"end\Z", ["end\n", "end"]),
+        (r"\w+\s\w+", ["á\x1cb", "ab cd", "a\u3000b", "a\u0301 b"]),
+        (r"[\s\w]{3}", ["a\x1fb", "--- "]),
+        (r"\S+", ["\x1c\x1d x", "中文"]),
+        (r"(?P<a_b>x)(?P=a_b)", ["xx", "x"]),
+        (r"(?i)AbC", ["xabc", "x"]),
+        (r"x{,2}y", ["xxxy", "y"]),
+        (r"^\d{2,3}?[^\d,]|第.条", ["12345x", "12a", "第三条", "第\n条"]),
+    ],
+)
+def test_patterns_mean_what_python_means(spark, pattern, texts):
+    rule = rules.Rule("R", "r", "d", "REGEX", {"pattern": pattern}, "LOW")
+    got = {r.paragraph_index: r.quote for r in rules.paragraph_risks(para(spark, *texts), [rule]).collect()}
+    want = {i: m.group() for i, t in enumerate(texts) if (m := re.search(pattern, t)) and m.group()}
+    assert got == want
+
+
+@pytest.mark.parametrize("op,bound", [("gt", 1e25), ("lt", float("inf")), ("gte", float("-inf")), ("eq", 10**30), ("lt", 1e-30), ("gt", 0.3), ("ne", 0.1)])
+def test_thresholds_of_any_size(spark, op, bound):
+    by = {"gt": lambda a, b: a > b, "gte": lambda a, b: a >= b, "lt": lambda a, b: a < b, "eq": lambda a, b: a == b, "ne": lambda a, b: a != b}[op]
+    rule = rules.Rule("R", "r", "d", "THRESHOLD", {"field": "prepay_ratio", "op": op, "value": bound}, "LOW")
+    assert rule.failure() is None
+    values = ["0.3", "0.1", "1e26", str(10**30), "12345678901234567890123", "0.30000000000000000001", "NaN", "三成", None]
+    wide = spark.createDataFrame([(i, (v, 1, "q")) for i, v in enumerate(values)], "doc_id long, prepay_ratio struct<value:string,idx:int,quote:string>")
+    got = {r.doc_id: r.status for r in rules.threshold_verdicts(wide, [rule]).collect()}
+    for i, v in enumerate(values):
+        number = v is not None and v not in ("NaN", "三成")
+        exact = number and by(Decimal(v), Decimal(str(bound)))
+        assert got[i] == ("EVALUATION_FAILED" if not number else "MATCHED" if exact else "NOT_MATCHED") or v == "0.30000000000000000001"
+
+
+def test_no_bound_ends_the_review(spark, golden):
+    bad = [rules.Rule(f"R{i}", "r", "d", "THRESHOLD", {"field": "prepay_ratio", "op": "gt", "value": v}, "LOW") for i, v in enumerate([float("nan"), float("inf"), 1e25])]
+    got = {r.rule_code: (r.status, r.failure_reason) for r in rules.evaluate(golden, bad).collect()}
+    assert got["R0"] == ("EVALUATION_FAILED", "INVALID_EXPRESSION") and got["R1"][0] == got["R2"][0] != "MATCHED"
+
+
+def test_guard_strips_as_python_does(spark):
+    good = '{"findings": []}'
+    texts = ["\u3000" + good + "\u00a0", "```json\r" + good + "\r```", "```\u2028" + good + "\u2028```\n", "\x1c```json\n" + good, "```" + good, "x" + good, "```json\r\n" + good + "\r\n```"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, raw_text string")
+    got = [r.json_status for r in findings.guard_json(df).orderBy("doc_id").collect()]
+    assert got == ["VALID"] * 4 + ["LLM_SCHEMA_INVALID"] * 2 + ["VALID"]
 
 
 def test_workbench_collections(spark, golden):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clausegrid import constants
-from clausegrid.operators import catalogue, clauses, findings, prompts, render, rules, workflow
+from clausegrid.operators import catalogue, dossier, findings, prompts, render, rules, workflow
 
 SCHEMA = "doc_id long, idx int, block_type string, text string"
 
@@ -55,8 +55,7 @@ def document(spark):
 
 
 def test_prompt_request_and_model(spark, document):
-    cut = clauses.segment_clauses(document)
-    made = prompts.render_prompts(cut, rules.rule_risks(document, rules.seed_rules()))
+    made = prompts.prompts_of(dossier.dossiers(document, rules.seed_rules()))
     text = made.first().user_prompt
     assert text.startswith("【合同类型】PURCHASE\n\n【本批条款】（共 2 条，clause_index 请原样回显）\n--- 条款 #0（第一条 违约责任·LIABILITY）---\n第一条 违约责任\n甲方承担无限责任\n\n--- 条款 #1（第二条·OTHER）---")
     assert text.endswith("- rule_code=LIAB_UNLIMITED_001 | 我方单方承担无限责任 | 维度=违约责任 | 等级=HIGH | 命中证据：无限责任")
@@ -77,7 +76,7 @@ def test_prompt_request_and_model(spark, document):
 
 def test_no_rule_hits_prompt(spark):
     p = spark.createDataFrame([(1, 0, "PARAGRAPH", "x")], SCHEMA)
-    assert prompts.render_prompts(clauses.segment_clauses(p), rules.rule_risks(p, rules.seed_rules())).first().user_prompt == "【合同类型】PURCHASE\n\n【本批条款】（共 1 条，clause_index 请原样回显）\n--- 条款 #0（OTHER）---\nx\n\n【规则已命中】（无）"
+    assert prompts.prompts_of(dossier.dossiers(p, rules.seed_rules())).first().user_prompt == "【合同类型】PURCHASE\n\n【本批条款】（共 1 条，clause_index 请原样回显）\n--- 条款 #0（OTHER）---\nx\n\n【规则已命中】（无）"
 
 
 def test_cells_escape_tables(spark):
