@@ -9,12 +9,23 @@ from pyspark.sql import functions as F
 from .paragraphs import block_offsets
 
 
+#: What a rule of a snapshot must have, each a text that isn't empty.
+RULE_TEXTS = ["rule_code", "rule_name", "dimension", "rule_type", "severity"]
+
+
 def check_snapshots(sets: DataFrame) -> DataFrame:
-    """(contract_type, version, n_rules, verdict): a set without rules is fine, rules without a set or an empty version aren't.
+    """(contract_type, version, n_rules, verdict): a set without rules is fine, rules without a set, a set without a version, or one malformed rule fail the whole snapshot.
 
-    ``sets``: one row a contract type and rule, as ``effective_rule_sets`` gives them, or null rule_id without rules.
+    ``sets``: one row a contract type and rule (contract_type, set_id, version, rule_id and what rules have), or a null rule_id without rules.
+    Of ``RULE_TEXTS`` the columns that are there are checked, and ``expression``, which must be a JSON object.
     """
-    grouped = sets.groupBy("contract_type").agg(F.max("set_id").alias("set_id"), F.max("version").alias("version"), F.count("rule_id").alias("n_rules"), F.count_if(F.col("rule_id").isNotNull() & (F.coalesce("rule_code", F.lit("")) == "")).alias("bad"))
+    missing = [F.coalesce(F.col(c), F.lit("")) == "" for c in RULE_TEXTS if c in sets.columns]
+    if "expression" in sets.columns:
+        missing.append(~F.coalesce(F.expr("schema_of_variant(try_parse_json(expression)) LIKE 'OBJECT%'"), F.lit(False)))
+    bad = F.lit(False)
+    for m in missing:
+        bad = bad | m
+    grouped = sets.groupBy("contract_type").agg(F.max("set_id").alias("set_id"), F.max("version").alias("version"), F.count("rule_id").alias("n_rules"), F.count_if(F.col("rule_id").isNotNull() & bad).alias("bad"))
     verdict = F.when(F.col("set_id").isNotNull() & (F.coalesce("version", F.lit("")) == ""), "VERSION_MISSING").when(F.col("set_id").isNull() & (F.col("n_rules") > 0), "RULES_WITHOUT_SET").when(F.col("bad") > 0, "MALFORMED_RULE").otherwise("OK")
     return grouped.select("contract_type", "version", "n_rules", verdict.alias("verdict"))
 
@@ -47,15 +58,19 @@ def document_batch(paragraphs: DataFrame) -> DataFrame:
 
 
 def batch_violations(blocks: DataFrame, clauses: DataFrame, metadata: DataFrame) -> DataFrame:
-    """(doc_id, ...) counts of what makes a batch unfit: repeated order, dangling or inverted references."""
+    """(doc_id, ...) counts of what makes a batch unfit: repeated order, dangling or inverted references, offsets that end before they begin."""
     known = blocks.select("doc_id", F.col("order_index").alias("_i")).distinct()
     repeated = blocks.groupBy("doc_id", "order_index").count().groupBy("doc_id").agg(F.count_if(F.col("count") > 1).alias("repeated_order"))
     inverted = clauses.groupBy("doc_id").agg(F.count_if(F.col("end_idx") < F.col("start_idx")).alias("inverted_clauses"))
+    if "char_start_in_block" in blocks.columns:
+        offsets = blocks.groupBy("doc_id").agg(F.count_if((F.col("char_end_in_block") < F.col("char_start_in_block")) | (F.col("char_end_global") < F.col("char_start_global"))).alias("inverted_offsets"))
+    else:
+        offsets = blocks.select("doc_id").distinct().withColumn("inverted_offsets", F.lit(0).cast("long"))
     ends = clauses.select("doc_id", F.explode(F.array("start_idx", "end_idx")).alias("_i"))
     dangling = ends.join(known, ["doc_id", "_i"], "left_anti").groupBy("doc_id").agg(F.count("*").alias("dangling_clauses"))
     sources = metadata.select("doc_id", F.col("idx").alias("_i")).join(known, ["doc_id", "_i"], "left_anti").groupBy("doc_id").agg(F.count("*").alias("dangling_metadata"))
-    out = repeated.join(inverted, "doc_id", "full").join(dangling, "doc_id", "full").join(sources, "doc_id", "full")
-    return out.select("doc_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("repeated_order", "inverted_clauses", "dangling_clauses", "dangling_metadata")))
+    out = repeated.join(inverted, "doc_id", "full").join(dangling, "doc_id", "full").join(sources, "doc_id", "full").join(offsets, "doc_id", "full")
+    return out.select("doc_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("repeated_order", "inverted_clauses", "inverted_offsets", "dangling_clauses", "dangling_metadata")))
 
 
 def risk_payload(risks: DataFrame) -> DataFrame:
@@ -78,3 +93,15 @@ def evaluation_metrics(evaluations: DataFrame) -> DataFrame:
     """How often each rule matched, didn't match or couldn't be evaluated."""
     n = lambda s: F.count_if(F.col("status") == s)
     return evaluations.groupBy("rule_code").agg(n("MATCHED").alias("matched"), n("NOT_MATCHED").alias("not_matched"), n("EVALUATION_FAILED").alias("failed"), F.sum("n_risks").cast("long").alias("n_risks"))
+
+
+def merge_metrics(merged: DataFrame) -> DataFrame:
+    """Documents' merged risks counted by source, over the whole corpus."""
+    return merged.groupBy("source").agg(F.count("*").alias("n_risks"), F.countDistinct("doc_id").alias("n_documents"))
+
+
+def anchor_metrics(findings: DataFrame, located: DataFrame) -> DataFrame:
+    """One row: findings, those that got a place, those that were dropped, and those placed by their clause alone."""
+    n = findings.agg(F.count("*").alias("findings"))
+    m = located.agg(F.count("*").alias("resolved"), F.count_if(F.col("anchor_method") == "CLAUSE_FALLBACK").alias("fallback"))
+    return n.crossJoin(m).select("findings", "resolved", (F.col("findings") - F.col("resolved")).alias("dropped"), "fallback")  # one row each

@@ -51,12 +51,11 @@ def block_conflicts(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def locate_risks_in_clauses(risks: DataFrame, clauses: DataFrame) -> DataFrame:
-    """Adds ``clause_index`` (null outside of all ranges) and ``ambiguous`` if several ranges hold the paragraph."""
-    c = clauses.select(F.col("doc_id").alias("_doc"), F.col("clause_index"), F.col("start_idx").alias("_s"), F.col("end_idx").alias("_e"))
-    met = risks.join(c, (risks["doc_id"] == F.col("_doc")) & risks["paragraph_index"].between(F.least("_s", "_e"), F.greatest("_s", "_e")), "left")
-    n = F.count("clause_index")
-    keys = risks.columns
-    return met.groupBy(*keys).agg(n.alias("_n"), F.min("clause_index").alias("_c")).select(*keys, F.when(F.col("_n") == 1, F.col("_c")).alias("clause_index"), (F.col("_n") > 1).alias("ambiguous"))
+    """Adds ``clause_index`` (null outside of all ranges) and ``ambiguous`` if several ranges hold the paragraph. Repeated risks stay as they are."""
+    ranges = clauses.groupBy("doc_id").agg(F.collect_list(F.struct("clause_index", F.least("start_idx", "end_idx").alias("s"), F.greatest("start_idx", "end_idx").alias("e"))).alias("_ranges"))
+    inside = F.filter("_ranges", lambda r: F.col("paragraph_index").between(r["s"], r["e"]))  # bounded by a document's clauses
+    met = risks.join(ranges, "doc_id", "left").withColumn("_in", inside)
+    return met.select(*risks.columns, F.when(F.size("_in") == 1, F.col("_in")[0]["clause_index"]).alias("clause_index"), (F.coalesce(F.size("_in"), F.lit(0)) > 1).alias("ambiguous"))
 
 
 def resolve_rules(risks: DataFrame, rules: DataFrame) -> DataFrame:

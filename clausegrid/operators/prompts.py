@@ -5,13 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A model: prompts to (text or None, error code or None).
 Model = Callable[[list[str]], list[tuple[str | None, str | None]]]
 
 
+#: Versions of the review prompt, oldest first; a version is the name of its file and is never overwritten.
+PROMPT_VERSIONS = ["clause_review.v1", "clause_review.v2", "clause_review.v3"]
+CURRENT_PROMPT = PROMPT_VERSIONS[-1]
+
+
+def load_prompt(spark: SparkSession, folder: str, name: str = CURRENT_PROMPT) -> str:
+    """The text of a version, read from ``folder``/``name``.md without white space at its ends; a missing or empty one is an error."""
+    found = spark.read.text(f"{folder}/{name}.md", wholetext=True).first()
+    if found is None or not found.value.strip():
+        raise ValueError(f"prompt {name} is empty")
+    return found.value.strip()
+
+
 def _clause_text(c: Column) -> Column:
     words = F.concat_ws(" ", F.when(c["clause_no"] != "", c["clause_no"]), F.when(c["title"] != "", c["title"]))
     label = F.when(words != "", F.concat(words, F.lit("·"), c["clause_type"])).otherwise(c["clause_type"])

@@ -253,7 +253,7 @@ WHERE o_orderkey % 13 > 10 OR (kind = 'a' AND o_orderkey % 13 = 1) OR (kind = 'b
     "risk_merge_ambiguous": _merge("seq IN (0, 2, 4, 7)"),
     "risk_merge_full": _merge("true"),
     "risk_clause_interval_join": f"{PLACED} SELECT r.doc_id, r.seq, r.paragraph_index, clt.clause_index, false AS ambiguous FROM ({fx.RISKS_SQL}) r LEFT JOIN clt ON clt.doc_id = r.doc_id AND r.paragraph_index BETWEEN clt.start_idx AND clt.end_idx",
-    "risk_rule_resolve": f"WITH r AS (SELECT * FROM ({fx.RISKS_SQL}) x WHERE risk_code IS NULL OR NOT (risk_code = 'B' AND doc_id % 2 = 0)) SELECT doc_id, seq, CASE WHEN doc_id % 2 = 0 AND risk_code = 'A' THEN CAST(1 AS BIGINT) END AS rule_id, CASE WHEN doc_id % 2 <> 0 THEN 'RULE_NOT_FOUND' END AS batch_error FROM r",
+    "risk_rule_resolve": f"WITH r AS (SELECT doc_id, seq, CASE WHEN risk_code = 'B' AND doc_id % 2 = 0 THEN 'A' ELSE risk_code END AS risk_code FROM ({fx.RISKS_SQL}) x) SELECT doc_id, seq, CASE WHEN doc_id % 2 = 0 AND risk_code = 'A' THEN CAST(1 AS BIGINT) END AS rule_id, CASE WHEN doc_id % 2 <> 0 THEN 'RULE_NOT_FOUND' END AS batch_error FROM r",
     "file_type_validate": f"""WITH f AS (SELECT *, lower({_EXT}) AS e, lower(trim(split_part(coalesce(content_type, ''), ';', 1))) AS m FROM ({fx.FILES_SQL}) x),
 g AS (SELECT f.*, s.code, t.of_code, s.heads FROM f LEFT JOIN {_FILE_SPECS} ON s.ext = f.e LEFT JOIN {_MIMES} ON t.mime = f.m),
 h AS (SELECT *, CASE WHEN size <= 0 THEN 'FILE_CORRUPTED' WHEN size > {MOST_BYTES} THEN 'FILE_TOO_LARGE' WHEN code IS NULL THEN 'UNSUPPORTED_FORMAT'
@@ -273,10 +273,10 @@ FROM ({fx.OPEN_RISKS_SQL}) r LEFT JOIN d ON d.risk_id = r.risk_id AND d.nth = 1"
     "writeback_transition": f"SELECT record_id, status, attempt, CASE WHEN status IN ('writing', 'success') THEN status ELSE 'writing' END AS next_status, CAST(CASE WHEN status IS NULL THEN 1 WHEN status IN ('failed', 'not_written') THEN attempt + 1 ELSE attempt END AS INTEGER) AS next_attempt, status IS NULL OR status IN ('failed', 'not_written') AS started, CASE WHEN status = 'success' THEN 'WRITEBACK_ALREADY_SUCCESS' END AS error_code FROM ({fx.RECORDS_SQL}) x",
     "approval_comment_dedupe": f"SELECT instance_id, idempotency_key, comment_id, content, 'MOCK-CMT-' || CAST(comment_id AS VARCHAR) AS external_id FROM (SELECT *, row_number() OVER (PARTITION BY instance_id, idempotency_key ORDER BY comment_id) AS nth FROM ({fx.COMMENTS_SQL}) x) y WHERE nth = 1",
     "risk_overview": _OVERVIEW.format(sql=fx.RISKS_SQL),
-    "overview_sentence": f"SELECT doc_id, {_sentence()} AS sentence FROM ({_OVERVIEW.format(sql=f'SELECT * FROM ({fx.RISKS_SQL}) q WHERE seq <= doc_id % 10')}) o",
+    "overview_sentence": f"SELECT doc_id, {_sentence()} AS sentence FROM ({_OVERVIEW.format(sql=f'SELECT CASE WHEN seq <= doc_id % 10 THEN doc_id ELSE doc_id + 1000000000 END AS doc_id, risk_level FROM ({fx.RISKS_SQL}) q')}) o",
     "contract_list_latest_task": f"""WITH t AS ({_TASKS}), l AS (SELECT * FROM t WHERE task_id IN (SELECT max(task_id) FROM t GROUP BY contract_id))
 SELECT c_custkey AS contract_id, c_name AS contract_no, l.task_id AS latest_task_id, l.stage, l.status, CAST(CASE l.stage WHEN 'UPLOADED' THEN 0 WHEN 'PARSED' THEN 30 WHEN 'CLAUSED' THEN 60 WHEN 'REVIEWED' THEN 100 END AS INTEGER) AS progress FROM customer LEFT JOIN l ON l.contract_id = c_custkey""",
-    "task_tree_diagnosis": f"SELECT t.task_id, t.contract_id, c.c_name AS contract_no, n.n_name AS file_name, CASE WHEN c.c_custkey IS NULL THEN 'CONTRACT_NOT_FOUND' WHEN n.n_nationkey IS NULL THEN 'FILE_NOT_FOUND' ELSE 'OK' END AS diagnosis FROM ({_TASKS}) t LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 10 <> 0) c ON c.c_custkey = t.contract_id LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 7 <> 0) n ON n.n_nationkey = c.c_nationkey",
+    "task_tree_diagnosis": f"SELECT t.task_id, t.contract_id, c.c_name AS contract_no, n.n_name AS file_name, CASE WHEN c.c_custkey IS NULL THEN 'CONTRACT_NOT_FOUND' WHEN n.n_nationkey IS NULL THEN 'FILE_NOT_FOUND' ELSE 'OK' END AS diagnosis FROM ({_TASKS}) t LEFT JOIN customer c ON c.c_custkey = t.contract_id AND c.c_custkey % 10 <> 0 LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey AND n.n_nationkey % 7 <> 0",
     "workbench_flat": f"""{PLACED}, {_META}, {_RISKS} SELECT t.task_id AS doc_id, t.stage, CAST(18 AS BIGINT) AS n_blocks, (SELECT count(*) FROM clt WHERE clt.doc_id = t.task_id) AS n_clauses, (SELECT count(*) FROM meta WHERE meta.doc_id = t.task_id) AS n_metadata, (SELECT count(*) FROM rr WHERE rr.doc_id = t.task_id) AS n_risks FROM ({_TASKS}) t""",
     "report_markdown": f"{_REPORT} SELECT doc_id, content_md FROM report",
     "upload_gate": f"""SELECT run_id, m = '' AS file_valid, m AS missing, CASE WHEN error_code IS NOT NULL THEN error_code WHEN m <> '' THEN 'BACKEND_CONTRACT_INCOMPLETE' END AS gate_error FROM (
@@ -290,6 +290,29 @@ FROM (SELECT *, error_code IS NULL AND file_valid IS TRUE AND coalesce(parse_sta
   CASE row_id % 10 WHEN 0 THEN 'uploads/1/a.docx' WHEN 7 THEN 'a..b/c' WHEN 9 THEN 'k' || CAST(row_id AS VARCHAR) END AS storage_key FROM ({fx.NAMES_SQL}) n""",
     "rule_snapshot": f"""WITH s AS ({fx.RULE_SETS_SQL}), r AS ({fx.SET_RULES_SQL}), e AS (SELECT contract_type, max(set_id) AS set_id FROM s WHERE is_active GROUP BY contract_type)
 SELECT e.contract_type, s.version, count(r.rule_id) AS n_rules, 'OK' AS verdict FROM e JOIN s ON s.set_id = e.set_id LEFT JOIN (SELECT * FROM r WHERE is_active) r ON r.set_id = e.set_id GROUP BY e.contract_type, s.version""",
+    "rule_snapshot_malformed": f"""SELECT contract_type, max(version) AS version, count(rule_id) AS n_rules, CASE WHEN max(set_id) IS NOT NULL AND coalesce(max(version), '') = '' THEN 'VERSION_MISSING' WHEN max(set_id) IS NULL AND count(rule_id) > 0 THEN 'RULES_WITHOUT_SET'
+  WHEN count(*) FILTER (WHERE rule_id IS NOT NULL AND (rule_code = '' OR severity IS NULL OR expression IS NULL OR expression NOT LIKE '{{%')) > 0 THEN 'MALFORMED_RULE' ELSE 'OK' END AS verdict FROM ({fx.SNAPSHOTS_SQL}) x GROUP BY contract_type""",
+    "merge_metrics": f"SELECT source, count(*) AS n_risks, count(DISTINCT doc_id) AS n_documents FROM ({_merge('true')}) m GROUP BY source",
+    "anchor_metrics": f"{_LOCATED} SELECT (SELECT count(*) FROM fi) AS findings, count(*) AS resolved, (SELECT count(*) FROM fi) - count(*) AS dropped, count(*) FILTER (WHERE anchor_method = 'CLAUSE_FALLBACK') AS fallback FROM lo",
+    "workbench_nested": f"""{PLACED}, {_META}, {_RISKS},
+jc AS (SELECT doc_id, '[' || string_agg('{{"clause_index":' || clause_index || coalesce(',"clause_no":' || to_json(clause_no), '') || coalesce(',"title":' || to_json(title), '') || ',"clause_type":"' || clause_type || '","start":' || start_idx || ',"end":' || end_idx || '}}', ',' ORDER BY clause_index) || ']' AS clauses FROM clt GROUP BY doc_id),
+jr AS (SELECT rr.doc_id, '[' || string_agg('{{"seq":' || seq || ',"risk_code":"' || risk_code || '","risk_level":"' || risk_level || '","clause_index":' || clause_index || ',"paragraph_index":' || paragraph_index || ',"quote":' || to_json(quote) || '}}', ',' ORDER BY seq) || ']' AS risks FROM rr JOIN clt ON clt.doc_id = rr.doc_id AND rr.paragraph_index BETWEEN clt.start_idx AND clt.end_idx GROUP BY rr.doc_id),
+jm AS (SELECT doc_id, '[' || string_agg('{{"field_key":"' || field_key || '","field_value":' || to_json(field_value) || ',"idx":' || idx || '}}', ',' ORDER BY ord) || ']' AS metadata FROM meta GROUP BY doc_id)
+SELECT t.task_id AS doc_id, t.stage, coalesce(jc.clauses, '[]') AS clauses, coalesce(jr.risks, '[]') AS risks, coalesce(jm.metadata, '[]') AS metadata FROM ({_TASKS}) t LEFT JOIN jc ON jc.doc_id = t.task_id LEFT JOIN jr ON jr.doc_id = t.task_id LEFT JOIN jm ON jm.doc_id = t.task_id""",
+    "contract_number_conflict": f"SELECT upload_id, contract_no, CASE WHEN contract_no IN (SELECT contract_no FROM ({fx.STORED_CONTRACTS_SQL}) c) OR row_number() OVER (PARTITION BY contract_no ORDER BY upload_id) > 1 THEN 'CONFLICT' ELSE 'OK' END AS verdict FROM ({fx.UPLOADS_SQL}) u",
+    "task_reuse": f"""WITH q AS (SELECT *, sha256(concat_ws(chr(31), contract_id, sha256, coalesce(version, 'NONE'), 'ingest-v1')) AS task_key FROM ({fx.REQUESTS_SQL}) r),
+t AS (SELECT task_id, sha256(concat_ws(chr(31), contract_id, 's1', 'NONE', 'ingest-v1')) AS task_key FROM ({fx.TASKED_SQL}) x),
+m AS (SELECT q.*, t.task_id, t.task_id IS NOT NULL OR row_number() OVER (PARTITION BY q.task_key ORDER BY request_id) > 1 AS task_reused FROM q LEFT JOIN t ON t.task_key = q.task_key)
+SELECT request_id, task_key, task_id, task_reused, NOT (reused AND task_reused) AS created FROM m""",
+    "clause_block_ranges": f"SELECT c.clause_id, least(a.paragraph_index, b.paragraph_index) AS paragraph_start, greatest(a.paragraph_index, b.paragraph_index) AS paragraph_end FROM ({fx.BLOCK_CLAUSES_SQL}) c JOIN ({fx.PARAGRAPH_BLOCKS_SQL}) a ON a.block_id = c.start_block_id JOIN ({fx.PARAGRAPH_BLOCKS_SQL}) b ON b.block_id = c.end_block_id",
+    "block_paragraphs": f"SELECT r.doc_id, r.ord, r.block_id, (SELECT paragraph_index FROM ({fx.PARAGRAPH_BLOCKS_SQL}) b WHERE b.block_id = r.block_id) AS paragraph_index FROM ({fx.BLOCK_ROWS_SQL}) r",
+    "parse_state": f"SELECT *, CASE WHEN parse_status = 'PARSED' AND incoming = 'FAILED' THEN 'PARSE_STATUS_ALREADY_FINAL' ELSE 'OK' END AS verdict, CASE WHEN parse_status = 'PARSED' THEN 'PARSED' ELSE incoming END AS next_status FROM ({fx.PARSES_SQL}) f",
+    "review_patch_verdicts": f"""SELECT p.*, CASE WHEN NOT coalesce(CASE review_status WHEN 'MODIFIED' THEN new_level IN ('HIGH', 'MEDIUM', 'LOW') WHEN 'CONFIRMED' THEN new_level IS NULL WHEN 'REJECTED' THEN new_level IS NULL ELSE false END, false) THEN 'INVALID_REVIEW' WHEN t.task_id IS NULL THEN 'TASK_NOT_FOUND' WHEN t.stage <> 'REVIEWED' THEN 'RISK_REVIEW_NOT_READY'
+  WHEN NOT EXISTS (SELECT 1 FROM ({fx.TASK_RISKS_SQL}) r WHERE r.risk_id = p.risk_id AND r.task_id = p.task_id) THEN 'RISK_NOT_FOUND' ELSE 'OK' END AS verdict FROM ({fx.PATCHES_SQL}) p LEFT JOIN ({fx.TASKS_SQL}) t ON t.task_id = p.task_id""",
+    "comment_recovery": f"""WITH e AS (SELECT instance_id, idempotency_key, min(comment_id) AS comment_id FROM ({fx.COMMENTS_SQL}) c GROUP BY instance_id, idempotency_key)
+SELECT record_id, CASE WHEN w.instance_id IS NULL THEN 'REFUSED' WHEN e.comment_id IS NOT NULL THEN 'RECOVERED' ELSE 'POSTED' END AS action, e.comment_id, CASE WHEN w.instance_id IS NOT NULL AND (e.comment_id IS NOT NULL OR outcome = 'ok') THEN 'success' ELSE 'failed' END AS next_status
+FROM ({fx.WRITES_SQL}) w LEFT JOIN e ON e.instance_id = w.instance_id AND e.idempotency_key = w.idempotency_key""",
+    "display_labels": "SELECT doc_id, left(sha256(text), 8) || '…' || right(sha256(text), 8) AS short, lang AS lang_short, CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 5 = doc_id % 4 THEN '第 ' || (doc_id % 5) || ' 段' ELSE '第 ' || (doc_id % 5) || '–' || (doc_id % 4) || ' 段' END AS range FROM documents",
     "rule_converge": f"SELECT coalesce(a.rule_code, b.rule_code) AS rule_code, CASE WHEN a.rule_code IS NULL THEN 'INSERT' WHEN b.rule_code IS NULL THEN 'DELETE' WHEN a.severity IS NOT DISTINCT FROM b.severity AND a.sort_order = b.sort_order THEN 'KEEP' ELSE 'UPDATE' END AS action FROM ({fx.OLD_RULES_SQL}) a FULL JOIN ({fx.NEW_RULES_SQL}) b ON a.rule_code = b.rule_code",
     "approval_bind": f"WITH f AS (SELECT sha256, min(contract_id) AS found FROM ({fx.APPROVAL_CONTRACTS_SQL}) c GROUP BY sha256) SELECT instance_no, coalesce(contract_id, found) AS contract_id, contract_id IS NULL AND found IS NOT NULL AS newly_bound FROM ({fx.INSTANCES_SQL}) i LEFT JOIN f ON f.sha256 = i.sample_sha256",
     "writeback_resolve": f"SELECT t.task_id, t.task_id AS contract_id, i.instance_no, CASE WHEN i.instance_no IS NULL THEN 'WRITEBACK_APPROVAL_NOT_READY' END AS error_code FROM ({fx.TASKS_SQL}) t LEFT JOIN ({fx.APPROVAL_CONTRACTS_SQL}) c ON c.contract_id = t.task_id LEFT JOIN ({fx.INSTANCES_SQL}) i ON i.instance_id = c.instance_id",
@@ -298,6 +321,7 @@ SELECT e.contract_type, s.version, count(r.rule_id) AS n_rules, 'OK' AS verdict
     "document_batch_violations": f"""{PLACED}, {_META}, bl AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 AND idx = 3 THEN 2 ELSE idx END AS i FROM p WHERE NOT (doc_id % 5 = 0 AND idx = 17)),
 cu AS (SELECT doc_id, CASE WHEN doc_id % 6 = 0 AND clause_index = 0 THEN 18 ELSE start_idx END AS a, end_idx AS b FROM clt)
 SELECT d.doc_id, CAST(CASE WHEN d.doc_id % 7 = 0 THEN 1 ELSE 0 END AS BIGINT) AS repeated_order, (SELECT count(*) FROM cu WHERE cu.doc_id = d.doc_id AND b < a) AS inverted_clauses,
+  CAST(CASE WHEN d.doc_id % 9 = 0 THEN 2 ELSE 0 END AS BIGINT) AS inverted_offsets,
   (SELECT count(*) FROM (SELECT doc_id, a AS i FROM cu UNION ALL SELECT doc_id, b FROM cu) e WHERE e.doc_id = d.doc_id AND NOT EXISTS (SELECT 1 FROM bl WHERE bl.doc_id = e.doc_id AND bl.i = e.i)) AS dangling_clauses,
   (SELECT count(*) FROM meta WHERE meta.doc_id = d.doc_id AND NOT EXISTS (SELECT 1 FROM bl WHERE bl.doc_id = meta.doc_id AND bl.i = meta.idx)) AS dangling_metadata
 FROM (SELECT DISTINCT doc_id FROM p) d""",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .constants import REVIEW_LABELS
-from .operators import catalogue, clauses, dossier, findings, keywords, merge, metadata, paragraphs, persist, prompts, readmodels, render, rules, workflow
+from .operators import catalogue, clauses, dossier, findings, intake, keywords, merge, metadata, paragraphs, persist, prompts, readmodels, render, rules, workflow
 from .sources import fixtures as fx
 from .sources.tables import contract_paragraphs, table
 
@@ -267,7 +267,7 @@ def risk_clause_interval_join(spark, sf_dir):
 
 @query
 def risk_rule_resolve(spark, sf_dir):
-    risks = fx.rows(spark, sf_dir, fx.RISKS_SQL).where("NOT (risk_code = 'B' AND doc_id % 2 = 0) OR risk_code IS NULL").select("doc_id", "seq", "risk_code")
+    risks = fx.rows(spark, sf_dir, fx.RISKS_SQL).selectExpr("doc_id", "seq", "CASE WHEN risk_code = 'B' AND doc_id % 2 = 0 THEN 'A' ELSE risk_code END AS risk_code")
     known = spark.createDataFrame([("A", 1), ("C", 3)], "rule_code string, rule_id long")
     return persist.resolve_rules(risks, known).select("doc_id", "seq", "rule_id", "batch_error")
 
@@ -331,7 +331,8 @@ def risk_overview(spark, sf_dir):
 
 @query
 def overview_sentence(spark, sf_dir):
-    counts = readmodels.risk_overview(fx.rows(spark, sf_dir, fx.RISKS_SQL).where("seq <= doc_id % 10"))
+    dealt = fx.rows(spark, sf_dir, fx.RISKS_SQL).withColumn("doc_id", F.expr("CASE WHEN seq <= doc_id % 10 THEN doc_id ELSE doc_id + 1000000000 END"))
+    counts = readmodels.risk_overview(dealt)
     return counts.select("doc_id", readmodels.overview_sentence(*(F.col(c) for c in ("total", "high", "medium", "low", "other"))).alias("sentence"))
 
 
@@ -343,8 +344,8 @@ def contract_list_latest_task(spark, sf_dir):
 
 @query
 def task_tree_diagnosis(spark, sf_dir):
-    contracts = table(spark, sf_dir, "customer").where("c_custkey % 10 <> 0").select(F.col("c_custkey").alias("contract_id"), F.col("c_name").alias("contract_no"), F.col("c_nationkey").alias("file_id"))
-    files = table(spark, sf_dir, "nation").where("n_nationkey % 7 <> 0").select(F.col("n_nationkey").alias("file_id"), F.col("n_name").alias("file_name"))
+    contracts = table(spark, sf_dir, "customer").select(F.expr("CASE WHEN c_custkey % 10 = 0 THEN c_custkey + 1000000000 ELSE c_custkey END").alias("contract_id"), F.col("c_name").alias("contract_no"), F.col("c_nationkey").alias("file_id"))
+    files = table(spark, sf_dir, "nation").select(F.expr("CASE WHEN n_nationkey % 7 = 0 THEN n_nationkey + 1000 ELSE n_nationkey END").alias("file_id"), F.col("n_name").alias("file_name"))
     return readmodels.task_diagnosis(fx.rows(spark, sf_dir, fx.TASKS_SQL).select("task_id", "contract_id"), contracts, files)
 
 
@@ -432,7 +433,8 @@ def document_batch(spark, sf_dir):
 @query
 def document_batch_violations(spark, sf_dir):
     p = contract_paragraphs(spark, sf_dir)
-    blocks = catalogue.document_batch(p.where("NOT (doc_id % 5 = 0 AND idx = 17)")).select("doc_id", F.when((F.col("doc_id") % 7 == 0) & (F.col("order_index") == 3), 2).otherwise(F.col("order_index")).alias("order_index"))
+    order = F.when((F.col("doc_id") % 7 == 0) & (F.col("order_index") == 3), 2).when((F.col("doc_id") % 5 == 0) & (F.col("order_index") == 17), 99).otherwise(F.col("order_index"))
+    blocks = catalogue.document_batch(p).withColumn("char_end_in_block", F.when((F.col("doc_id") % 9 == 0) & (F.col("order_index") < 2), -1).otherwise(F.col("char_end_in_block"))).withColumn("order_index", order)
     cut = clauses.segment_clauses(p).withColumn("start_idx", F.when((F.col("doc_id") % 6 == 0) & (F.col("clause_index") == 0), 18).otherwise(F.col("start_idx")))
     return catalogue.batch_violations(blocks, cut, metadata.extract_metadata(p))
 
@@ -444,7 +446,7 @@ def risk_payload(spark, sf_dir):
 
 @query
 def risk_persist(spark, sf_dir):
-    risks = fx.rows(spark, sf_dir, fx.RISKS_SQL).where("seq <> 1 AND (seq <> 8 OR doc_id % 3 = 0)").select("doc_id", "seq", "risk_code", "risk_level", "paragraph_index")
+    risks = fx.rows(spark, sf_dir, fx.RISKS_SQL).select(F.expr("CASE WHEN seq <> 1 AND (seq <> 8 OR doc_id % 3 = 0) THEN doc_id ELSE doc_id + 1000000000 END").alias("doc_id"), "seq", "risk_code", "risk_level", "paragraph_index")
     known = spark.createDataFrame([("A", 1), ("B", 2)], "rule_code string, rule_id long")
     placed = persist.resolve_rules(persist.locate_risks_in_clauses(risks, clauses.segment_clauses(contract_paragraphs(spark, sf_dir))), known)
     gates = persist.stage_gate(fx.rows(spark, sf_dir, fx.TASKS_SQL).select("task_id", "stage", "has_rows")).select(F.col("task_id").alias("doc_id"), "risk_gate")
@@ -466,6 +468,73 @@ def evaluation_metrics(spark, sf_dir):
     return catalogue.evaluation_metrics(rules.evaluate(contract_paragraphs(spark, sf_dir), rules.seed_rules()))
 
 
+@query
+def rule_snapshot_malformed(spark, sf_dir):
+    return catalogue.check_snapshots(fx.rows(spark, sf_dir, fx.SNAPSHOTS_SQL))
+
+
+@query
+def merge_metrics(spark, sf_dir):
+    return catalogue.merge_metrics(_merged(spark, sf_dir))
+
+
+@query
+def anchor_metrics(spark, sf_dir):
+    return catalogue.anchor_metrics(fx.rows(spark, sf_dir, fx.FINDINGS_SQL), _located(spark, sf_dir))
+
+
+@query
+def workbench_nested(spark, sf_dir):
+    tasks = fx.rows(spark, sf_dir, fx.TASKS_SQL).select(F.col("task_id").alias("doc_id"), "stage")
+    return readmodels.workbench_rows(tasks, _dossiers(spark, sf_dir))
+
+
+# intake ------------------------------------------------------------------------------------------
+
+
+@query
+def contract_number_conflict(spark, sf_dir):
+    return intake.contract_numbers(fx.rows(spark, sf_dir, fx.UPLOADS_SQL), fx.rows(spark, sf_dir, fx.STORED_CONTRACTS_SQL))
+
+
+@query
+def task_reuse(spark, sf_dir):
+    stored = fx.rows(spark, sf_dir, fx.TASKED_SQL).select("task_id", persist.task_key(F.col("contract_id"), F.lit("s1"), F.lit(None).cast("string")).alias("task_key"))
+    return intake.ensure_tasks(fx.rows(spark, sf_dir, fx.REQUESTS_SQL), stored).select("request_id", "task_key", "task_id", "task_reused", "created")
+
+
+@query
+def clause_block_ranges(spark, sf_dir):
+    return intake.clause_ranges(fx.rows(spark, sf_dir, fx.BLOCK_CLAUSES_SQL), fx.rows(spark, sf_dir, fx.PARAGRAPH_BLOCKS_SQL))
+
+
+@query
+def block_paragraphs(spark, sf_dir):
+    return intake.with_paragraph(fx.rows(spark, sf_dir, fx.BLOCK_ROWS_SQL), fx.rows(spark, sf_dir, fx.PARAGRAPH_BLOCKS_SQL))
+
+
+@query
+def parse_state(spark, sf_dir):
+    return intake.parse_state(fx.rows(spark, sf_dir, fx.PARSES_SQL))
+
+
+@query
+def review_patch_verdicts(spark, sf_dir):
+    patches, risks = fx.rows(spark, sf_dir, fx.PATCHES_SQL), fx.rows(spark, sf_dir, fx.TASK_RISKS_SQL)
+    return intake.review_patches(patches, risks, fx.rows(spark, sf_dir, fx.TASKS_SQL).select("task_id", "stage"))
+
+
+@query
+def comment_recovery(spark, sf_dir):
+    return intake.post_comments(fx.rows(spark, sf_dir, fx.WRITES_SQL), fx.rows(spark, sf_dir, fx.COMMENTS_SQL).select("comment_id", "instance_id", "idempotency_key"))
+
+
+@query
+def display_labels(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", intake.short_hash(F.sha2("text", 256)).alias("short"), intake.short_hash(F.col("lang")).alias("lang_short"), (F.col("doc_id") % 5).alias("a"), F.expr("CASE WHEN doc_id % 3 > 0 THEN doc_id % 4 END").alias("b"))
+    return docs.select("doc_id", "short", "lang_short", intake.paragraph_range(F.col("a"), F.col("b")).alias("range"))
+
+
 @cache
 def oracle_sql() -> dict[str, str]:
     from .oracles import ORACLE_SQL

@@ -94,17 +94,17 @@ SELECT o_orderkey AS file_no,
 FROM orders"""
 
 #: (file_id, order_index) of blocks that are stored and of blocks that come in.
-OLD_BLOCKS_SQL = "SELECT l_orderkey AS file_id, l_linenumber AS order_index FROM lineitem WHERE l_orderkey % 3 <> 0"
-NEW_BLOCKS_SQL = "SELECT l_orderkey AS file_id, CASE WHEN l_orderkey % 5 = 0 THEN l_linenumber + 1 ELSE l_linenumber END AS order_index FROM lineitem WHERE l_orderkey % 4 <> 0"
+OLD_BLOCKS_SQL = "SELECT CASE WHEN l_orderkey % 3 = 0 THEN l_orderkey + 1000000000 ELSE l_orderkey END AS file_id, l_linenumber AS order_index FROM lineitem"
+NEW_BLOCKS_SQL = "SELECT CASE WHEN l_orderkey % 4 = 0 THEN l_orderkey + 2000000000 ELSE l_orderkey END AS file_id, CASE WHEN l_orderkey % 5 = 0 THEN l_linenumber + 1 ELSE l_linenumber END AS order_index FROM lineitem"
 
 #: (risk_id, risk_level) and decisions (risk_id, seq, review_status, review_comment, new_level).
 OPEN_RISKS_SQL = "SELECT o_orderkey AS risk_id, CASE o_orderkey % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level FROM orders"
 DECISIONS_SQL = """
-SELECT l_orderkey AS risk_id, l_partkey * 10 + l_linenumber AS seq,
+SELECT CASE WHEN l_orderkey % 2 = 0 THEN l_orderkey ELSE l_orderkey + 1000000000 END AS risk_id, l_partkey * 10 + l_linenumber AS seq,
   CASE l_partkey % 5 WHEN 0 THEN 'CONFIRMED' WHEN 1 THEN 'REJECTED' WHEN 2 THEN 'MODIFIED' WHEN 3 THEN 'MODIFIED' ELSE 'PENDING' END AS review_status,
   'c' || CAST(l_partkey AS STRING) AS review_comment,
   CASE WHEN l_partkey % 5 = 2 THEN 'LOW' WHEN l_partkey % 10 = 0 THEN 'HIGH' END AS new_level
-FROM (SELECT DISTINCT l_orderkey, l_partkey, l_linenumber FROM lineitem) l WHERE l_orderkey % 2 = 0"""
+FROM (SELECT DISTINCT l_orderkey, l_partkey, l_linenumber FROM lineitem) l"""
 
 #: (record_id, status, attempt).
 RECORDS_SQL = """
@@ -123,16 +123,27 @@ SET_RULES_SQL = "SELECT p_partkey AS rule_id, p_partkey % 150 AS set_id, 'R' ||
 
 
 def rows(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """A derived table; it reads orders, lineitem, supplier and part only."""
-    for name in ("orders", "lineitem", "supplier", "part"):
-        if f"FROM {name}" in sql:
-            sql = sql.replace(f"FROM {name}", f"FROM {{{name}}}")
-    used = {name: table(spark, sf_dir, name) for name in ("orders", "lineitem", "supplier", "part") if f"{{{name}}}" in sql}
-    # braces of JSON texts aren't names of tables
-    for name in used:
+    """A derived table; it reads orders, lineitem, supplier, part and customer only, each once.
+
+    A UNION ALL of selects from orders, as the other engine runs it, is one scan here, its rows made by ``inline``.
+    """
+    parts = [p.removesuffix(" FROM orders").removeprefix("SELECT ") for p in sql.split(" UNION ALL ")]
+    if len(parts) > 1 and sql.endswith(" FROM orders") and " WHERE " not in sql:
+        names = ("orders",)
+        sql = "SELECT r.* FROM (SELECT inline(array(" + ", ".join(f"struct(struct({p}) AS r)" for p in parts) + ")) FROM {orders})"
+        return spark.sql(_escaped(sql, names), orders=table(spark, sf_dir, "orders"))
+    names = tuple(n for n in ("orders", "lineitem", "supplier", "part", "customer") if f"FROM {n}" in sql)
+    for name in names:
+        sql = sql.replace(f"FROM {name}", f"FROM {{{name}}}")
+    return spark.sql(_escaped(sql, names), **{name: table(spark, sf_dir, name) for name in names})
+
+
+def _escaped(sql: str, names: tuple[str, ...]) -> str:
+    """Braces of JSON texts doubled, as they aren't names of tables."""
+    for name in names:
         sql = sql.replace(f"{{{name}}}", f"\x00{name}\x01")
-    sql = sql.replace("{", "{{").replace("}", "}}").replace("\x00", "{").replace("\x01", "}")
-    return spark.sql(sql, **used)
+    return sql.replace("{", "{{").replace("}", "}}").replace("\x00", "{").replace("\x01", "}")
+
 
 #: (run_id, contract_id, file_id, review_task_id, sha256, error_code, file_valid, parse_status, llm_error_code, has_findings).
 RUNS_SQL = """
@@ -158,12 +169,12 @@ SELECT o_orderkey AS row_id, CASE o_orderkey % 6 WHEN 0 THEN '.docx' WHEN 1 THEN
 FROM orders"""
 
 #: (rule_code, severity, sort_order): what is stored and what is wanted.
-OLD_RULES_SQL = "SELECT 'R' || CAST(p_partkey AS STRING) AS rule_code, CASE WHEN p_partkey % 4 = 0 THEN CAST(NULL AS STRING) ELSE p_brand END AS severity, p_size AS sort_order FROM part WHERE p_partkey % 3 <> 0"
-NEW_RULES_SQL = "SELECT 'R' || CAST(p_partkey AS STRING) AS rule_code, CASE WHEN p_partkey % 4 = 0 THEN CAST(NULL AS STRING) ELSE p_brand END AS severity, CASE WHEN p_partkey % 7 = 0 THEN p_size + 1 ELSE p_size END AS sort_order FROM part WHERE p_partkey % 5 <> 0"
+OLD_RULES_SQL = "SELECT CASE WHEN p_partkey % 3 = 0 THEN 'OLD' ELSE 'R' END || CAST(p_partkey AS STRING) AS rule_code, CASE WHEN p_partkey % 4 = 0 THEN CAST(NULL AS STRING) ELSE p_brand END AS severity, p_size AS sort_order FROM part"
+NEW_RULES_SQL = "SELECT CASE WHEN p_partkey % 5 = 0 THEN 'NEW' ELSE 'R' END || CAST(p_partkey AS STRING) AS rule_code, CASE WHEN p_partkey % 4 = 0 THEN CAST(NULL AS STRING) ELSE p_brand END AS severity, CASE WHEN p_partkey % 7 = 0 THEN p_size + 1 ELSE p_size END AS sort_order FROM part"
 
 #: Approval instances, some bound, with the digest of their sample; contracts with their file's digest and instance.
-INSTANCES_SQL = "SELECT s_suppkey AS instance_id, 'AP-' || CAST(s_suppkey AS STRING) AS instance_no, 'd' || CAST(s_suppkey % 40 AS STRING) AS sample_sha256, CASE WHEN s_suppkey % 5 = 0 THEN s_suppkey * 1000 END AS contract_id FROM supplier WHERE s_suppkey % 9 <> 0"
-APPROVAL_CONTRACTS_SQL = "SELECT o_orderkey AS contract_id, 'd' || CAST(o_orderkey % 60 AS STRING) AS sha256, CASE WHEN o_orderkey % 6 = 0 THEN CAST(NULL AS BIGINT) ELSE o_orderkey % 120 END AS instance_id FROM orders WHERE o_orderkey % 8 <> 0"
+INSTANCES_SQL = "SELECT CASE WHEN s_suppkey % 9 = 0 THEN s_suppkey + 1000000000 ELSE s_suppkey END AS instance_id, 'AP-' || CAST(s_suppkey AS STRING) AS instance_no, 'd' || CAST(s_suppkey % 40 AS STRING) AS sample_sha256, CASE WHEN s_suppkey % 5 = 0 THEN s_suppkey * 1000 END AS contract_id FROM supplier"
+APPROVAL_CONTRACTS_SQL = "SELECT CASE WHEN o_orderkey % 8 = 0 THEN o_orderkey + 1000000000 ELSE o_orderkey END AS contract_id, 'd' || CAST(o_orderkey % 60 AS STRING) AS sha256, CASE WHEN o_orderkey % 6 = 0 THEN CAST(NULL AS BIGINT) ELSE o_orderkey % 120 END AS instance_id FROM orders"
 
 #: Write-back tasks and their risks with a human review.
 WRITEBACK_TASKS_SQL = "SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'HT-' || CAST(o_orderkey AS STRING) END AS contract_no, CASE WHEN o_orderkey % 3 = 0 THEN 'a|b' ELSE '合同' END AS title, CASE WHEN o_orderkey % 2 = 0 THEN 'REVIEWED' ELSE 'ODD' END AS stage, o_orderdate AS created_at FROM orders"
@@ -187,3 +198,36 @@ REVIEWS_SQL = """
 SELECT o_orderkey AS doc_id, 1 AS seq, CASE o_orderkey % 4 WHEN 0 THEN 'CONFIRMED' WHEN 1 THEN 'REJECTED' WHEN 2 THEN 'MODIFIED' ELSE 'ODD' END AS review_status,
   CASE WHEN o_orderkey % 3 = 0 THEN 'see' || chr(10) || ' clause' WHEN o_orderkey % 3 = 1 THEN '' END AS review_comment, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate END AS reviewed_at
 FROM orders"""
+
+#: Uploads and the contracts that are stored.
+UPLOADS_SQL = "SELECT o_orderkey AS upload_id, 'HT-' || CAST(o_custkey AS STRING) AS contract_no FROM orders"
+STORED_CONTRACTS_SQL = "SELECT 'HT-' || CAST(c_custkey * 3 AS STRING) AS contract_no FROM customer"
+
+#: Requests for tasks; the contracts that have a task of content s1 without a rule set.
+REQUESTS_SQL = "SELECT o_orderkey AS request_id, o_custkey AS contract_id, 's' || CAST(o_orderkey % 3 AS STRING) AS sha256, CASE WHEN o_orderkey % 4 = 0 THEN 'v4' END AS version, o_orderkey % 2 = 0 AS reused FROM orders"
+TASKED_SQL = "SELECT c_custkey * 10 AS task_id, CASE WHEN c_custkey % 2 = 0 THEN c_custkey ELSE c_custkey + 1000000000 END AS contract_id FROM customer"
+
+#: Clauses with their blocks, rows that name a block, and blocks with their paragraph.
+BLOCK_CLAUSES_SQL = "SELECT l_orderkey * 10 + l_linenumber AS clause_id, l_partkey AS start_block_id, CASE WHEN l_linenumber = 7 THEN l_suppkey + 1000000000 ELSE l_suppkey END AS end_block_id FROM lineitem"
+BLOCK_ROWS_SQL = "SELECT l_orderkey AS doc_id, l_linenumber AS ord, CASE WHEN l_partkey % 9 = 0 THEN CAST(NULL AS BIGINT) WHEN l_partkey % 9 = 1 THEN l_partkey + 1000000000 ELSE l_partkey END AS block_id FROM lineitem"
+PARAGRAPH_BLOCKS_SQL = "SELECT p_partkey AS block_id, p_size AS paragraph_index FROM part"
+
+#: (file_id, parse_status, incoming).
+PARSES_SQL = "SELECT o_orderkey AS file_id, CASE o_orderkey % 3 WHEN 0 THEN 'PENDING' WHEN 1 THEN 'PARSED' ELSE 'FAILED' END AS parse_status, CASE WHEN o_orderkey % 2 = 0 THEN 'PARSED' ELSE 'FAILED' END AS incoming FROM orders"
+
+#: Patches of risks; each risk is one of its order's task.
+PATCHES_SQL = """
+SELECT CASE WHEN l_partkey % 11 = 0 THEN l_orderkey + 1000000000 ELSE l_orderkey END AS task_id, CASE WHEN l_partkey % 7 = 0 THEN l_orderkey * 10 + 1 ELSE l_orderkey * 10 END AS risk_id, l_partkey AS seq,
+  CASE l_partkey % 5 WHEN 0 THEN 'CONFIRMED' WHEN 1 THEN 'REJECTED' WHEN 2 THEN 'MODIFIED' WHEN 3 THEN 'PENDING' END AS review_status, 'c' AS review_comment, CASE l_partkey % 6 WHEN 2 THEN 'LOW' WHEN 3 THEN 'ODD' END AS new_level
+FROM lineitem"""
+TASK_RISKS_SQL = "SELECT o_orderkey * 10 AS risk_id, o_orderkey AS task_id FROM orders"
+
+#: Write-backs with what their post would give.
+WRITES_SQL = "SELECT o_orderkey AS record_id, CASE WHEN o_orderkey % 6 <> 0 THEN o_custkey % 150 END AS instance_id, 'key-' || CAST(o_custkey % 9 AS STRING) AS idempotency_key, CASE o_orderkey % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'business error' ELSE 'no answer' END AS outcome FROM orders"
+
+#: Snapshots of rule sets, one row a rule, some malformed.
+SNAPSHOTS_SQL = """
+SELECT 'T' || CAST(p_partkey % 40 AS STRING) AS contract_type, CASE WHEN p_partkey % 40 = 3 THEN CAST(NULL AS BIGINT) ELSE p_partkey % 40 END AS set_id, CASE p_partkey % 40 WHEN 4 THEN '' WHEN 5 THEN CAST(NULL AS STRING) ELSE 'v1' END AS version,
+  CASE WHEN p_partkey % 40 = 6 THEN CAST(NULL AS BIGINT) ELSE p_partkey END AS rule_id, CASE WHEN p_partkey % 40 = 7 AND p_partkey % 3 = 0 THEN '' ELSE 'R' END AS rule_code, CASE WHEN p_partkey % 40 = 8 THEN CAST(NULL AS STRING) ELSE 'HIGH' END AS severity,
+  CASE p_partkey % 40 WHEN 9 THEN '[1]' WHEN 10 THEN 'no json' WHEN 11 THEN CAST(NULL AS STRING) ELSE '{"pattern": "x"}' END AS expression
+FROM part"""

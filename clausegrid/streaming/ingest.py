@@ -15,11 +15,14 @@ def read_documents(spark: SparkSession, path: str, schema: StructType, files_per
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def review_stream(docs: DataFrame, rules: list[Rule], out: str, checkpoint: str, watermark: str = "1 day", event_time: str | None = None) -> StreamingQuery:
+def review_stream(docs: DataFrame, rules: list[Rule], out: str, checkpoint: str, watermark: str = "1 day", event_time: str | None = None, bounded: bool = True) -> StreamingQuery:
     """Writes the risks of each new content to ``out``/risks, a folder a batch, so that a batch that runs again replaces its own rows.
 
-    With ``event_time`` contents are remembered for ``watermark`` only.
+    Contents are remembered for ``watermark`` after their ``event_time``, so the state stays bounded. A stream that ends by
+    itself (a back-fill) may go without event time, remembering all contents, if it says ``bounded=False``.
     """
+    if event_time is None and bounded:
+        raise ValueError("without an event time the state of the stream would grow for ever")
     hashed = docs.withColumn("sha256", F.sha2(F.col("text").cast("binary"), 256))
     fresh = hashed.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark(["sha256"]) if event_time else hashed.dropDuplicates(["sha256"])
 

@@ -413,7 +413,7 @@ def test_stream_reviews_each_content_once(spark, tmp_path):
     docs((1, bad), (2, "第一条 保密\nx"), (3, bad)).write.parquet(src)
 
     def run():
-        q = ingest.review_stream(ingest.read_documents(spark, src, spark.read.parquet(src).schema), rules.seed_rules(), out, str(tmp_path / "cp"))
+        q = ingest.review_stream(ingest.read_documents(spark, src, spark.read.parquet(src).schema), rules.seed_rules(), out, str(tmp_path / "cp"), bounded=False)
         q.awaitTermination()
         return sorted((r.risk_code, r.paragraph_index) for r in spark.read.parquet(f"{out}/risks").collect())
 
