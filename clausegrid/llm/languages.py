@@ -14,7 +14,7 @@ at most. The table is broadcast; its size is SLOTS times the bits of all languag
 Defined results: a text that is null or has no letter is ``und`` with score 0. Texts without a hit get
 the label most frequent in the sample. Ties go to the label more frequent there, then to the smaller
 one. Without any labelled text every prediction is ``und``. Repeated rows are predicted each; null
-labels aren't learned; extra columns are kept by ``predict``. An empty table gives an empty table.
+labels aren't learned; more than ``MOST_LANGUAGES`` labels are an error; extra columns are kept by ``predict``. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ from ._common import bound_batches, code_points, mix64, with_arrays
 
 #: Labelled texts to learn from, a language (expected number); n-grams a language; slots; hashes; letters in an n-gram.
 SAMPLE, GRAMS, SLOT_BITS, HASHES, ORDERS = 4000, 20_000, 18, 3, 4
+#: Labels at most; a column with more isn't one of languages.
+MOST_LANGUAGES = 2000
 _LETTER: np.ndarray | None = None
 #: Characters looked up together: the arrays of a batch fit a core's cache.
 _BATCH = 1 << 17
@@ -152,7 +154,9 @@ class Filters:
 def learn(labelled: DataFrame, per_language: int = SAMPLE, grams: int = GRAMS, share: float = 0.5, least: int = 3, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Filters:
     """Filters from the rows of ``labelled`` whose text and label aren't null."""
     rows = bound_batches(labelled).where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}  # one row a language
+    sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().limit(MOST_LANGUAGES + 1).collect()}  # one row a language
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"labels of more than {MOST_LANGUAGES} languages: not a column of languages")
     if not sizes:
         return Filters([], [], np.zeros(0))
     labels = sorted(sizes, key=lambda x: (-sizes[x], x))

@@ -1,9 +1,11 @@
 """Operator 1: the filters by brute force, held-out accuracy, odd rows."""
 
+import collections
 import random
 import zlib
 
 import numpy as np
+import pytest
 
 from clausegrid.llm import languages, registry
 
@@ -33,10 +35,13 @@ def test_gram_hashes_brute_force():
         got = sorted(int(h[i]) for h, valid in orders for i in range(a, min(b, len(h))) if valid[i])
         want = brute_grams(t)
         assert len(got) == len(want)
-        for one in set(want):
-            name.setdefault(one, None)
-    alone = {g: {int(x) for h, v in languages.gram_hashes([g])[0] for x in h[v]} for g in name if len(g) == 1}
-    assert all(len(x) >= 1 for x in alone.values())
+        # as many different hashes, equally often: a hash stands for one n-gram throughout
+        assert sorted(collections.Counter(got).values()) == sorted(collections.Counter(want).values())
+        for g, n in collections.Counter(want).items():
+            held = {h for h, k in collections.Counter(got).items() if k == n}
+            name[g] = name.get(g, held) & held
+            assert name[g]
+    assert all(len(x) >= 1 for x in name.values())
 
 
 def test_filters_correct_for_false_positives():
@@ -88,3 +93,53 @@ def test_odd_rows(spark):
     nothing = languages.learn(df.limit(0))
     assert {r.lang_pred for r in languages.predict(df, nothing).collect()} == {"und"}
     assert languages.predict(df.limit(0), filters).count() == 0
+
+
+def brute_filters(labelled, grams, share=0.5, least=3):
+    """Exact sets of n-grams in place of the filters: those frequent in a language and no rarer than ``share`` of the highest rate."""
+    counts = {}
+    for text, lang in labelled:
+        if text is not None and lang is not None:
+            counts.setdefault(lang, collections.Counter()).update(brute_grams(text))
+    rate = {lang: {g: n / sum(c.values()) for g, n in c.items() if n >= least} for lang, c in counts.items()}
+    top = collections.Counter()
+    for r in rate.values():
+        for g, f in r.items():
+            top[g] = max(top[g], f)
+    out = {}
+    for lang, r in rate.items():
+        kept = sorted((g for g, f in r.items() if f >= share * top[g]), key=lambda g: -counts[lang][g])
+        assert len(kept) <= grams  # else ties at the limit would matter
+        out[lang] = set(kept)
+    return out
+
+
+def test_predictions_brute_force(spark, sf):
+    """Corrected counts of the bit-sliced filters against exact sets, and the labels that follow."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").withColumn("held_out", languages.held_out())
+    rows = docs.collect()
+    filters = languages.learn(docs.where("NOT held_out"), grams=1 << 20)
+    exact = brute_filters([(r.text, r.lang) for r in rows if not r.held_out], 1 << 20)
+    assert set(filters.labels) == set(exact)
+    texts = [r.text for r in rows if r.text and languages.has_letter(r.text)]
+    counts, total = filters.counts(texts)
+    labels, score = filters.predict(texts)
+    for i, t in enumerate(texts):
+        grams = brute_grams(t)
+        want = np.array([sum(g in exact[lang] for g in grams) for lang in filters.labels])
+        assert total[i] == len(grams)
+        slack = 4 * np.sqrt(len(grams) * filters.rate + 1) / (1 - filters.rate)  # false positives beyond their rate
+        assert (np.abs(counts[i] - want) <= slack + 0.02 * len(grams)).all()
+        first, second = np.sort(want)[-1], np.sort(want)[-2]
+        if first - second > 2 * (slack.max() + 0.02 * len(grams)):
+            assert labels[i] == filters.labels[int(want.argmax())]
+            assert abs(score[i] - first / len(grams)) <= (slack.max() + 0.02 * len(grams)) / len(grams)
+    decided = np.mean([labels[i] == filters.labels[int(np.array([sum(g in exact[x] for g in set(brute_grams(t))) for x in filters.labels]).argmax())] for i, t in enumerate(texts[:40])])
+    assert decided > 0.9
+
+
+def test_dirty_labels_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(languages, "MOST_LANGUAGES", 3)
+    df = spark.createDataFrame([(i, "some text here", f"l{i}") for i in range(5)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="3 languages"):
+        languages.learn(df)
