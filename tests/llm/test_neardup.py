@@ -109,3 +109,15 @@ def test_components(spark):
 def test_op4_query(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert rows_of(registry.op4_minhash_near_duplicates(spark, sf)) == brute(docs, 4)
+
+
+@pytest.mark.parametrize("shape", ["path", "star", "comb"])
+def test_components_take_few_rounds(spark, monkeypatch, shape):
+    """Numbered in order, with the hub last, or both: what contraction by the smallest id would take many rounds for."""
+    n = 600
+    edges = {"path": [(i, i + 1) for i in range(n)], "star": [(n, i) for i in range(n)], "comb": [(i, i + 1) for i in range(n)] + [(i, i + 10_000) for i in range(n)]}[shape]
+    made, real = [], components.stored
+    monkeypatch.setattr(components, "stored", lambda df, label: made.append(label) or real(df, label))
+    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges + edges[:3], "a long, b long")).collect()}
+    assert set(got.values()) == {0} and len(got) == len({x for e in edges for x in e})
+    assert made.count("labels") <= 8
