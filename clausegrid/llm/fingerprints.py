@@ -3,7 +3,8 @@
 The last quarter of a text is replaced by the beginning of the next document in ascending doc_id.
 Boundaries that are doc_ids themselves cut the table into ranges; a row that begins a range also goes,
 as context, to the range before (the smallest of all to the last range), so one shuffle brings every
-row and its successor together and tasks stream through their sorted rows.
+row and its successor together and tasks stream through their sorted rows. Ranges have about equal bytes,
+and there are as many as the text needs.
 
 A fingerprint is the hex of the signature; likeness is the share of equal minima. ``near_groups``
 joins signature bands in Spark and verifies the Jaccard similarity on full shingle sets.
@@ -28,6 +29,8 @@ from .neardup import near_duplicates
 from .shingles import MinHash, batches, shingle_hashes
 
 _LOW = -(1 << 63)
+#: Bytes of text that one task gets, as far as single documents allow.
+TASK_BYTES = 256 << 20
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -53,13 +56,34 @@ def _parts(text: str, edited: str, k: int) -> tuple[bytes, bytes, bytes]:
     return head[: len(head.rstrip()) - len(words[-1])], whole[begin:], other[begin:]
 
 
+def _even(sized: DataFrame, edges: list[int] | None, n: int) -> list[int]:
+    """Those of the fine ``edges`` (of equal rows) that cut the table into about ``n`` ranges of equal bytes."""
+    if not edges:
+        return []
+    at = np.array(sorted(set(edges)), np.int64)
+
+    @F.pandas_udf("int")
+    def place(doc: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(at, doc.to_numpy(np.int64), "right"))
+
+    sums = np.zeros(len(at) + 1, np.int64)
+    for r in sized.groupBy(place("doc_id").alias("at")).agg(F.sum("size").alias("n")).collect():  # a row a fine range
+        sums[r["at"]] = r.n
+    share = max(1, -(-int(sums.sum()) // n))
+    steps = np.cumsum(sums)[:-1] // share
+    return at[np.flatnonzero(np.diff(np.concatenate(([0], steps))) > 0)].tolist()
+
+
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(pid, flag, doc_id, text) sorted in each partition: the rows of a range (flag 0) and then its context (1)."""
     spark = docs.sparkSession
     narrow = bound_batches(docs).select(F.coalesce(F.col(key).cast("long"), F.lit(_LOW)).alias("doc_id"), text_of(text).alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sized = narrow.select("doc_id", (F.octet_length("text") + 16).alias("size"))
+    total = sized.agg(F.sum("size")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
     n = 4 * parts  # ranges, dealt by hash; a few to a task even out
-    found = narrow.agg(F.min("doc_id"), F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()
+    found = narrow.agg(F.min("doc_id"), F.percentile_approx("doc_id", [i / (4 * n) for i in range(1, 4 * n)], 80 * n)).first()
+    found = (found[0], _even(sized, found[1], n))
     least = found[0]
     edges = sorted({e for e in found[1] or [] if e != least})
     last = len(edges)
