@@ -65,13 +65,31 @@ def clean(spark: SparkSession) -> None:
     _delete(spark, _own_dir(spark))
 
 
+#: Folders of the tables that ``stored`` has made, oldest first.
+_MADE: list[str] = []
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: cuts the lineage, survives lost executors."""
     path = own_folder(df.sparkSession, label)
+    _MADE.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def made_so_far() -> int:
+    return len(_MADE)
+
+
+def stored_alone(df: DataFrame, label: str, since: int) -> DataFrame:
+    """``stored``, and then all tables deleted that were stored after ``since`` (``made_so_far``): nothing but ``df`` may still be needed."""
+    out = stored(df, label)
+    for path in _MADE[since:-1]:
+        _delete(df.sparkSession, path)
+    del _MADE[since:-1]
+    return out
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a table made by ``stored`` that no later step reads."""
     spark = df.sparkSession

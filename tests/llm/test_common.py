@@ -27,3 +27,13 @@ def test_random_scramble_is_one_to_one():
     import numpy as np
 
     assert len(np.unique(_common.mix64(np.arange(100_000, dtype=np.uint64)))) == 100_000
+
+
+def test_only_the_last_table_stays(spark):
+    begun = _common.made_so_far()
+    one = _common.stored(spark.range(5), "one")
+    two = _common.stored(one.selectExpr("id + 1 AS id"), "two")
+    three = _common.stored_alone(two.where("id > 2"), "three", begun)
+    assert sorted(r.id for r in three.collect()) == [3, 4, 5] and _common.made_so_far() == begun + 1
+    with pytest.raises(Exception):
+        two.collect()
