@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausegrid.llm import languages, neardup, packing, substrings
-from clausegrid.llm._common import fresh_name, stored, table
+from clausegrid.llm._common import fresh_name, made_so_far, stored, stored_alone, table
 
 #: A document of which fewer n-grams than this share belong to its best language is in none that was learned.
 LEAST_LANGUAGE_SCORE = 0.2
@@ -22,7 +22,11 @@ LEAST_CUT = 256
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the labelled documents; rejects those without letters or in no learned language."""
+    """Learns from the labelled documents; rejects those without letters or in no learned language.
+
+    So null and empty texts go, and all documents where none is labelled. Repeated rows share their fate; other columns pass
+    unchanged, whatever their names; no rows give no rows.
+    """
     label, score = fresh_name(docs.columns, "lang_pred"), fresh_name(docs.columns, "lang_score")
     scored = stored(languages.predict(docs, languages.learn(docs), label=label, score=score), "language-scored")
     short = F.length("text") < SHORT
@@ -39,12 +43,20 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, similarity of 0.8 or more; the document of the smallest doc_id of each group stays."""
+    """Five-word shingles, similarity of 0.8 or more; the document of the smallest doc_id of each group stays.
+
+    Null texts and texts without words resemble nothing and stay. Rows that repeat the kept doc_id and rows with a null one
+    stay too. Other columns pass unchanged; no rows give no rows.
+    """
     return neardup.keep_one(docs, k=5, percent=80)
 
 
 def drop_repeated_units(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines, and runs of 20 words or more in sentences, that an earlier document (or place) has go; ``n_chars`` follows the text."""
+    """Lines, and runs of 20 words or more in sentences, that an earlier document (or place) has go; ``n_chars`` follows the text.
+
+    A null text stays null, and a text may become empty; no row goes. Rows that repeat (doc_id, text) get one result. Other
+    columns pass unchanged; no rows give no rows.
+    """
     removed = fresh_name(docs.columns, "removed")
     out = substrings.dedup_units(docs, unit="line", passages=20, removed=removed).drop(removed)
     if "n_chars" in docs.columns:
@@ -53,6 +65,7 @@ def drop_repeated_units(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row a piece of a sequence. A null or empty text is its end token alone; repeated rows are packed each; no rows give no rows."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), least=LEAST_CUT)
 
 
@@ -65,9 +78,9 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, begun = table(spark, sf_dir, "documents"), made_so_far()
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = stored_alone(stage(spark, docs, sf_dir), f"stage-{name}", begun)  # what the stage and the one before left goes
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
