@@ -37,8 +37,8 @@ from .components import connected_components
 from .shingles import MinHash, batches, shingle_hashes
 
 HASHES, BANDS, ROWS, SEED = 128, 28, 4, 4
-#: Rows and shingles of a block; members of a pivot in one task.
-BLOCK_ROWS, BLOCK_SHINGLES, PIVOT_ROWS = 512, 1_500_000, 512
+#: Rows and shingles of a block; members of a pivot in one group (of so many shingles too).
+BLOCK_ROWS, BLOCK_SHINGLES, PIVOT_ROWS = 256, 1_500_000, 256
 #: Minima compared after each step.
 STEPS = (16, 32, 48, 64, 96, 128)
 
@@ -194,7 +194,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     own_links = several.select(F.array_min("nodes").alias("a"), F.explode("nodes").alias("b"))
 
     nodes = members.where("doc_id = node").select("doc_id").distinct()
-    banded = stored(known.join(nodes, "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("bucket")).distinct(), "near-bands")
+    banded = stored(known.join(nodes, "doc_id", "left_semi").select("doc_id", "n", F.explode("bands").alias("bucket")).distinct(), "near-bands")
     shared = stored(banded.groupBy("bucket").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last").select("bucket", "pivot"), "near-shared")
     bucketed = stored(banded.join(shared, "bucket"), "near-buckets")
 
@@ -212,15 +212,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     sets = stored(only_needed(narrow, needed, "doc_id").mapInPandas(hashed, "doc_id long, shingles long, hashes binary").where("shingles > 0"), "near-sets")
 
     # every node with the smallest of each of its buckets
-    stars = bucketed.where("doc_id > pivot").select("doc_id", "pivot").distinct()
-    salts = stars.groupBy("pivot").agg(F.ceil(F.count("*") / PIVOT_ROWS).alias("salts"))
+    stars = bucketed.where("doc_id > pivot").groupBy("doc_id", "pivot").agg(F.max("n").alias("n"))
+    salts = stars.groupBy("pivot").agg(F.ceil(F.greatest(F.count("*") / PIVOT_ROWS, F.sum("n") / BLOCK_SHINGLES)).alias("salts"))
     right = stars.join(salts, "pivot").select(F.xxhash64("pivot", F.pmod(F.xxhash64("doc_id"), "salts")).alias("g"), F.lit(1).alias("side"), "doc_id", F.col("doc_id").alias("component"))
     left = salts.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")).select(F.xxhash64("pivot", "salt").alias("g"), F.lit(0).alias("side"), F.col("pivot").alias("doc_id"), F.col("pivot").alias("component"))
     first = stored(_links(left.unionByName(right), sets.drop("shingles"), percent, miss).unionByName(own_links), "near-links")
 
     # what is left: pairs of different components in one bucket
     found = connected_components(first)
-    placed = bucketed.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    placed = bucketed.select("bucket", "doc_id").distinct().join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     size = sets.groupBy("doc_id").agg(F.max("shingles").alias("shingles"))
     placed = stored(placed.join(size, "doc_id"), "near-placed")
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m"), F.sum(F.shiftright(F.xxhash64("doc_id"), 24)).alias("x"), F.bit_xor(F.xxhash64("doc_id")).alias("y")).where("low < high")

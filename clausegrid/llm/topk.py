@@ -261,21 +261,21 @@ def exact_topk(df: DataFrame, k: int = 5, query_every: int = 50, key: str = "vec
     of_queries = _numbered(blocks(queries, QUERY_BLOCK, "topk-queries"), QUERY_GROUP)
 
     def first(name: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """The k-th score of each query within its own cell."""
+        """The best of each query within the first block of its own cell."""
         out = []
+        home = int(right["block"].iloc[0]) if len(right) else -1
         for r in left.itertuples():
             q = CoverTree.load(r.tree)
             best = Best(len(q.ids), k)
-            for t in right["tree"]:
-                n = dual_search(q, CoverTree.load(t), best, np.full(len(q.ids), _NONE))
+            if home >= 0:
+                n = dual_search(q, CoverTree.load(right["tree"].iloc[0]), best, np.full(len(q.ids), _NONE))
                 if made is not None:
                     made.add(n)
-            floor = best.score[:, -1]
-            out.append((r.dim, r.block, r.grp, r.center, r.radius, r.tree, floor.tobytes(), int(floor.min())))
-        return pd.DataFrame(out, columns=["dim", "block", "grp", "center", "radius", "tree", "floor", "worst"])
+            out.append((r.dim, r.block, r.grp, r.center, r.radius, r.tree, home, best.score.tobytes(), best.id.tobytes(), int(best.score[:, -1].min())))
+        return pd.DataFrame(out, columns=["dim", "block", "grp", "center", "radius", "tree", "home", "score", "found", "worst"])
 
-    home = of_data.where("part = 0")
-    ready = of_queries.groupBy("dim", "cell").cogroup(home.groupBy("dim", "cell")).applyInPandas(first, "dim int, block long, grp long, center binary, radius double, tree binary, floor binary, worst long")
+    homes = of_data.where("part = 0")
+    ready = of_queries.groupBy("dim", "cell").cogroup(homes.groupBy("dim", "cell")).applyInPandas(first, "dim int, block long, grp long, center binary, radius double, tree binary, home long, score binary, found binary, worst long")
     ready = stored(ready, "topk-ready")
 
     def left_over(name: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -285,8 +285,9 @@ def exact_topk(df: DataFrame, k: int = 5, query_every: int = 50, key: str = "vec
             q, d = left[left["dim"] == dim], right[right["dim"] == dim]
             qc, dc = (np.frombuffer(b"".join(x["center"]), np.float64).reshape(len(x), dim) for x in (q, d))
             keep = bounds(qc, q["radius"].to_numpy(), dc, d["radius"].to_numpy()) >= q["worst"].to_numpy()[:, None]
-            i, j = np.nonzero(keep)
             qb, qg, db, dg = (x.to_numpy() for x in (q["block"], q["grp"], d["block"], d["grp"]))
+            keep &= q["home"].to_numpy()[:, None] != db  # they have met
+            i, j = np.nonzero(keep)
             out.update(zip(qg[i].tolist(), dg[j].tolist(), [0] * len(i), qb[i].tolist()))
             out.update(zip(qg[i].tolist(), dg[j].tolist(), [1] * len(j), db[j].tolist()))
         return pd.DataFrame(sorted(out), columns=["qg", "dg", "side", "block"]).astype("int64")
@@ -295,29 +296,40 @@ def exact_topk(df: DataFrame, k: int = 5, query_every: int = 50, key: str = "vec
     groups = lambda df: max(1, -(-(1 + (df.agg(F.max("grp")).first()[0] or 0)) // BOUND_GROUPS))
     n_left, n_right = groups(ready), groups(of_data)
     all_of = lambda n: F.explode(F.expr(f"sequence(0L, {n - 1}L)"))
-    q_short = ready.select("dim", "block", "grp", "center", "radius", "worst", F.expr(f"grp div {BOUND_GROUPS}").alias("a"), all_of(n_right).alias("b"))
+    q_short = ready.select("dim", "block", "grp", "center", "radius", "worst", "home", F.expr(f"grp div {BOUND_GROUPS}").alias("a"), all_of(n_right).alias("b"))
     d_short = of_data.select("dim", "block", "grp", "center", "radius", F.expr(f"grp div {BOUND_GROUPS}").alias("b"), all_of(n_left).alias("a"))
     needed = stored(q_short.groupBy("a", "b").cogroup(d_short.groupBy("a", "b")).applyInPandas(left_over, "qg long, dg long, side long, block long"), "topk-needed")
 
+    empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
+
+    def rows_of(ids: np.ndarray, score: np.ndarray, found: np.ndarray) -> pd.DataFrame:
+        have = score != _NONE
+        return pd.DataFrame({"query_id": np.repeat(ids, have.sum(1)), "vec_id": found[have], "score": score[have]})
+
     def meet(name: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        trees = [CoverTree.load(t) for t in right["tree"]]
+        out = [empty]
+        trees = [(b, CoverTree.load(t)) for b, t in zip(right["block"], right["tree"])]
         for r in left.itertuples():
-            q, floor = CoverTree.load(r.tree), np.frombuffer(r.floor, np.int64)
-            best = Best(len(q.ids), k)
-            for d in sorted((d for d in trees if d.x.shape[1] == q.x.shape[1]), key=lambda d: -float(q.center[0] @ d.center[0])):
+            q = CoverTree.load(r.tree)
+            best, floor = Best(len(q.ids), k), np.frombuffer(r.score, np.int64).reshape(-1, k)[:, -1]
+            near = [d for b, d in trees if b != r.home and d.x.shape[1] == q.x.shape[1]]
+            for d in sorted(near, key=lambda d: -float(q.center[0] @ d.center[0])):
                 n = dual_search(q, d, best, floor)
                 if made is not None:
                     made.add(n)
-            for nth in range(k):
-                have = best.score[:, nth] != _NONE
-                out.append(pd.DataFrame({"query_id": q.ids[have], "vec_id": best.id[have, nth], "score": best.score[have, nth]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
+            out.append(rows_of(q.ids, best.score, best.id))
+        return pd.concat(out)
+
+    def at_home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples():
+                yield rows_of(CoverTree.load(r.tree).ids, *(np.frombuffer(x, np.int64).reshape(-1, k) for x in (r.score, r.found)))
 
     # the stated query set against all rows, in blocks
-    left = needed.where("side = 0").select("qg", "dg", "block").join(ready.select("block", "tree", "floor"), "block")
+    left = needed.where("side = 0").select("qg", "dg", "block").join(ready.select("block", "tree", "score", "home"), "block")
     right = needed.where("side = 1").select(*(F.col(c).alias(c) for c in ("qg", "dg", "block"))).join(of_data.select("block", "tree"), "block")
-    met = left.groupBy("qg", "dg").cogroup(right.groupBy("qg", "dg")).applyInPandas(meet, "query_id long, vec_id long, score long")
+    schema = "query_id long, vec_id long, score long"
+    met = left.groupBy("qg", "dg").cogroup(right.groupBy("qg", "dg")).applyInPandas(meet, schema).unionByName(ready.select("tree", "score", "found").mapInPandas(at_home, schema))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -94,6 +94,13 @@ def test_blocks_are_pruned_before_they_meet(spark, monkeypatch):
     assert made < 0.35 * 80 * 4000
 
 
+def test_vectors_that_cannot_be_pruned_meet_once(spark):
+    x = np.random.default_rng(3).normal(0, 1, (1500, 24))
+    x /= np.sqrt((x**2).sum(1))[:, None]
+    got, made = searched(spark, x)
+    assert len(got) == 150 and made <= 30 * 1500
+
+
 def test_op6_query(spark, sf):
     rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     assert sorted(map(tuple, registry.op6_dual_tree_topk(spark, sf).collect())) == brute_topk(rows, 5, 50)
