@@ -81,13 +81,19 @@ def made_so_far() -> int:
     return len(_MADE)
 
 
-def stored_alone(df: DataFrame, label: str, since: int) -> DataFrame:
-    """``stored``, and then all tables deleted that were stored after ``since`` (``made_so_far``): nothing but ``df`` may still be needed."""
-    out = stored(df, label)
-    for path in _MADE[since:-1]:
-        _delete(df.sparkSession, path)
-    del _MADE[since:-1]
-    return out
+def made_since(begun: int) -> list[str]:
+    """The folders of the tables that were stored after ``made_so_far`` gave ``begun``."""
+    return _MADE[begun:]
+
+
+def delete_unread(folders: list[str], df: DataFrame) -> None:
+    """Delete those of ``folders`` that ``df`` doesn't read, and take them out of the list."""
+    plain = lambda p: p.removeprefix("file:").lstrip("/")
+    read = [plain(f) for f in df.inputFiles()] if folders else []
+    for path in list(folders):
+        if not any(f.startswith(plain(path) + "/") for f in read):
+            _delete(df.sparkSession, path)
+            folders.remove(path)
 
 
 def forget(df: DataFrame) -> None:

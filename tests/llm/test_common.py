@@ -29,11 +29,13 @@ def test_random_scramble_is_one_to_one():
     assert len(np.unique(_common.mix64(np.arange(100_000, dtype=np.uint64)))) == 100_000
 
 
-def test_only_the_last_table_stays(spark):
+def test_unread_tables_go(spark):
     begun = _common.made_so_far()
     one = _common.stored(spark.range(5), "one")
     two = _common.stored(one.selectExpr("id + 1 AS id"), "two")
-    three = _common.stored_alone(two.where("id > 2"), "three", begun)
-    assert sorted(r.id for r in three.collect()) == [3, 4, 5] and _common.made_so_far() == begun + 1
+    folders = _common.made_since(begun)
+    assert len(folders) == 2
+    _common.delete_unread(folders, two.where("id > 2"))
+    assert sorted(r.id for r in two.where("id > 2").collect()) == [3, 4, 5] and len(folders) == 1
     with pytest.raises(Exception):
-        two.collect()
+        one.collect()
