@@ -183,7 +183,7 @@ _RISK_ROWS = _rows(("风险编码", "risk_code"), ("审查维度", _DIMS), ("风
 _REPORT = f"""{PLACED}, {_META}, {_RISKS}, rv AS ({fx.REVIEWS_SQL}), hd AS ({fx.REPORT_HEADS_SQL}),
 rk AS (SELECT rr.doc_id, rr.seq, risk_level, '### ' || row_number() OVER (PARTITION BY rr.doc_id ORDER BY rr.seq) || '. [' || risk_level || '] ' || {_TITLES} || chr(10) || chr(10) || {_RISK_ROWS} || chr(10) || chr(10) ||
   concat_ws(chr(10), '- **风险原因**：' || reason, '- **命中原文**：' || replace(quote, chr(9), ' '), CASE WHEN review_status = 'MODIFIED' THEN '- **人工风险等级**：' || risk_level END,
-    '- **复核意见**：' || nullif(regexp_replace(review_comment, '\s+', ' ', 'g'), ''), '- **复核时间**：' || strftime(reviewed_at, '%Y-%m-%d %H:%M') || ' (UTC)') AS block
+    '- **复核意见**：' || nullif(regexp_replace(review_comment, '\\s+', ' ', 'g'), ''), '- **复核时间**：' || strftime(reviewed_at, '%Y-%m-%d %H:%M') || ' (UTC)') AS block
   FROM rr JOIN clt ON clt.doc_id = rr.doc_id AND rr.paragraph_index BETWEEN clt.start_idx AND clt.end_idx LEFT JOIN rv ON rv.doc_id = rr.doc_id AND rv.seq = rr.seq),
 ra AS (SELECT doc_id, count(*) AS total, count(*) FILTER (WHERE risk_level = 'HIGH') AS high, count(*) FILTER (WHERE risk_level = 'MEDIUM') AS medium, string_agg(block, chr(10) || chr(10) ORDER BY seq) AS blocks FROM rk GROUP BY doc_id),
 ca AS (SELECT doc_id, string_agg('### ' || (clause_index + 1) || '. ' || {_HEADING} || '（' || clause_type || '）' || chr(10) || chr(10) || trim(text), chr(10) || chr(10) ORDER BY clause_index) AS blocks FROM clt GROUP BY doc_id),
