@@ -6,12 +6,15 @@ the columns of documents. ``run`` writes each stage's rows to the shared folder
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausegrid.llm import languages, neardup, packing, substrings
-from clausegrid.llm._common import fresh_name, made_so_far, stored, stored_alone, table
+from clausegrid.llm._common import delete_unread, fresh_name, made_since, made_so_far, stored, table
 
 #: A document of which fewer n-grams than this share belong to its best language is in none that was learned.
 LEAST_LANGUAGE_SCORE = 0.2
@@ -21,6 +24,26 @@ LOWEST, LOWEST_SHORT, SHORT = 0.001, 0.0001, 200
 LEAST_CUT = 256
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Folders of the tables that stages have stored for themselves.
+_LEFT: list[str] = []
+
+
+def _tidy(stage: Stage) -> Stage:
+    """``stage``, which first deletes the tables that earlier stages left and its input doesn't read: their rows are written by then."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        delete_unread(_LEFT, docs)
+        begun = made_so_far()
+        out = stage(spark, docs, sf_dir)
+        _LEFT.extend(made_since(begun))
+        return out
+
+    return run
+
+
+@_tidy
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labelled documents; rejects those without letters or in no learned language.
 
@@ -28,9 +51,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     unchanged, whatever their names; no rows give no rows.
     """
     label, score = fresh_name(docs.columns, "lang_pred"), fresh_name(docs.columns, "lang_score")
-    scored = stored(languages.predict(docs, languages.learn(docs), label=label, score=score), "language-scored")
+    scored = languages.predict(docs, languages.learn(docs), label=label, score=score)
     short = F.length("text") < SHORT
-    own = scored.where(F.col(label) == F.col("lang")).groupBy("lang")
+    own = scored.where(F.col(label) == F.col("lang")).groupBy("lang")  # the texts are scored again for the limits, not stored
     at = lambda some, share: F.percentile_approx(F.when(some, F.col(score)), share, 100_000)
     limits = own.agg(at(~short, LOWEST).alias("long"), at(short, LOWEST_SHORT).alias("short")).collect()  # one row a language
     limit = F.lit(LEAST_LANGUAGE_SCORE)
@@ -42,6 +65,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept.select(docs.columns)
 
 
+@_tidy
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Five-word shingles, similarity of 0.8 or more; the document of the smallest doc_id of each group stays.
 
@@ -51,6 +75,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return neardup.keep_one(docs, k=5, percent=80)
 
 
+@_tidy
 def drop_repeated_units(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines, and runs of 20 words or more in sentences, that an earlier document (or place) has go; ``n_chars`` follows the text.
 
@@ -64,6 +89,7 @@ def drop_repeated_units(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return out
 
 
+@_tidy
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row a piece of a sequence. A null or empty text is its end token alone; repeated rows are packed each; no rows give no rows."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), least=LEAST_CUT)
@@ -78,9 +104,9 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, begun = table(spark, sf_dir, "documents"), made_so_far()
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored_alone(stage(spark, docs, sf_dir), f"stage-{name}", begun)  # what the stage and the one before left goes
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
