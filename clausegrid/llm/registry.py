@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, languages, masked_lm, neardup, packing, sharding, substrings, token_counts, topk
+from . import bpe, filter_audit, fingerprints, languages, masked_lm, neardup, packing, sharding, substrings, token_counts, topk
 from ._common import own_folder, table, text_of
 
 
@@ -62,7 +62,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_filters, op2_harmonic_packing, op3_masked_pseudo_likelihood, op4_minhash_near_duplicates, op5_unit_dedup, op6_dual_tree_topk, op7_histogram_sort_shards, op8_minhash_fingerprints, op9_token_counts, op10_byte_bpe)}
+def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_filters, op2_harmonic_packing, op3_masked_pseudo_likelihood, op4_minhash_near_duplicates, op5_unit_dedup, op6_dual_tree_topk, op7_histogram_sort_shards, op8_minhash_fingerprints, op9_token_counts, op10_byte_bpe, op11_filter_interactions)}
 ORACLE_SQL: dict[str, str] = {
     "op6_dual_tree_topk": """
 WITH v AS (
@@ -79,5 +83,43 @@ WITH v AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank", vec_id, score FROM s
 )
 SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 5
+""",
+    "op11_filter_interactions": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), l AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), m AS (
+  SELECT d.part, coalesce(l.good, 0) AS good, coalesce(l.bad, 0) AS bad,
+         CASE WHEN len(words) < 50 THEN 'A' ELSE '' END
+         || CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN min(d.doc_id) OVER (PARTITION BY text) < d.doc_id THEN 'E' ELSE '' END AS fails
+  FROM d LEFT JOIN l ON l.doc_id = d.doc_id
+), c AS (
+  SELECT part, fails, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM m GROUP BY part, fails
+), f AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f
+), o AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order
+  FROM f a JOIN f b ON b.f <> a.f JOIN f c ON c.f NOT IN (a.f, b.f) JOIN f d ON d.f NOT IN (a.f, b.f, c.f) JOIN f e ON e.f NOT IN (a.f, b.f, c.f, d.f)
+), s AS (
+  SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS f, filter_order[1:step - 1] AS before FROM o, (SELECT unnest(range(1, 6)) AS step)
+), x AS (
+  SELECT c.part, s.filter_order, s.step, s.f, c.n, c.good, c.bad, c.fails, contains(c.fails, s.f) AS own,
+         c.fails <> '' AND translate(c.fails, s.before, '') <> c.fails AS gone
+  FROM c, s
+), r AS (
+  SELECT part, filter_order, step, f,
+         sum(CASE WHEN own OR gone THEN 0 ELSE n END) AS kept, sum(CASE WHEN own AND NOT gone THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN own AND gone THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = f THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN own AND NOT gone THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN own AND NOT gone THEN bad ELSE 0 END) AS toxic_lost
+  FROM x GROUP BY part, filter_order, step, f
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM r
 """,
 }
