@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, filter_audit, fingerprints, languages, masked_lm, neardup, packing, sharding, substrings, token_counts, topk
+from . import bpe, divergence, filter_audit, fingerprints, languages, masked_lm, neardup, packing, sharding, substrings, token_counts, topk
 from ._common import own_folder, table, text_of
 
 
@@ -66,7 +66,11 @@ def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_filters, op2_harmonic_packing, op3_masked_pseudo_likelihood, op4_minhash_near_duplicates, op5_unit_dedup, op6_dual_tree_topk, op7_histogram_sort_shards, op8_minhash_fingerprints, op9_token_counts, op10_byte_bpe, op11_filter_interactions)}
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_filters, op2_harmonic_packing, op3_masked_pseudo_likelihood, op4_minhash_near_duplicates, op5_unit_dedup, op6_dual_tree_topk, op7_histogram_sort_shards, op8_minhash_fingerprints, op9_token_counts, op10_byte_bpe, op11_filter_interactions, op13_source_divergence)}
 ORACLE_SQL: dict[str, str] = {
     "op6_dual_tree_topk": """
 WITH v AS (
@@ -121,5 +125,36 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
        CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
        CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
 FROM r
+""",
+    "op13_source_divergence": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text,
+         row_number() OVER () AS row_no FROM documents
+), w AS (
+  SELECT lang, source, row_no, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), k AS (
+  SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT row_no) >= 30
+), c AS (
+  SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY lang, source, term
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), full_counts AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), p AS (
+  SELECT lang, source, term, n, CAST(1 + (CAST(1000000000 AS HUGEINT) * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * count(*) OVER (PARTITION BY lang, source)) AS BIGINT) AS p FROM full_counts
+), q AS (
+  SELECT lang, term, CAST(1 + (CAST(1000000000 AS HUGEINT) * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang)) AS BIGINT) AS q
+  FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY lang, term)
+), v AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(v.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN v ON v.lang = a.lang AND v.source = a.source AND v.item = b.source
+), terms AS (
+  SELECT p.lang, p.source, 'term' AS part, p.term AS item, p.p - q.q AS value FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE p.n > 0 AND p.p > q.q
+)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS "rank"
+FROM (FROM pairs UNION ALL FROM terms)
+QUALIFY part = 'pair' OR "rank" <= 50
 """,
 }
