@@ -72,6 +72,8 @@ class Chain:
 
 #: Characters of text that a task's own chains hold before they are sent on.
 HELD_CHARS = 1 << 25
+#: Bytes of text that are routed to a partition, on average; their number follows from the table's bytes.
+ROUTED_BYTES = 16 << 20
 
 
 def _own_chains(rows: Iterator) -> Iterator[tuple[int, tuple]]:
@@ -116,8 +118,8 @@ def _met_chains(rows: Iterator[tuple[int, tuple]]) -> Iterator[tuple[int | None,
 def masks(docs: DataFrame, part: str = "source", key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, mask, part, n): of which bit f is set if the row fails the f-th filter; n rows that agree in all that."""
     spark = docs.sparkSession
+    n = 1 + (docs.agg(F.sum(F.octet_length(text_of(text)).cast("long"))).first()[0] or 0) // ROUTED_BYTES
     rows: RDD = docs.select(F.col(key).cast("long").alias("doc_id"), text_of(part).alias("part"), text_of(text).alias("text")).rdd
-    n = max(rows.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     routed = rows.mapPartitions(_own_chains).repartitionAndSortWithinPartitions(n, partitionFunc=lambda fp: fp)
     return spark.createDataFrame(routed.mapPartitions(_met_chains), "doc_id long, mask int, part string, n long", verifySchema=False)
 
