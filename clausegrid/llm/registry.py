@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, divergence, filter_audit, fingerprints, languages, masked_lm, neardup, packing, sharding, substrings, token_counts, topk
+from . import bpe, byte_windows, divergence, filter_audit, fingerprints, languages, masked_lm, neardup, packing, sharding, substrings, token_counts, topk
 from ._common import own_folder, table, text_of
 
 
@@ -66,11 +66,15 @@ def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_byte_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_windows.removal_report(table(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_filters, op2_harmonic_packing, op3_masked_pseudo_likelihood, op4_minhash_near_duplicates, op5_unit_dedup, op6_dual_tree_topk, op7_histogram_sort_shards, op8_minhash_fingerprints, op9_token_counts, op10_byte_bpe, op11_filter_interactions, op13_source_divergence)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_filters, op2_harmonic_packing, op3_masked_pseudo_likelihood, op4_minhash_near_duplicates, op5_unit_dedup, op6_dual_tree_topk, op7_histogram_sort_shards, op8_minhash_fingerprints, op9_token_counts, op10_byte_bpe, op11_filter_interactions, op12_byte_windows, op13_source_divergence)}
 ORACLE_SQL: dict[str, str] = {
     "op6_dual_tree_topk": """
 WITH v AS (
