@@ -98,13 +98,13 @@ def segments(data: bytes, sizes: list[int], least: int, gram: int = GRAM, run: i
     return begin, end + least - 1, low[begin], own
 
 
-def _parts(texts: list[bytes], least: int) -> Iterator[tuple[list[tuple[int, int]], list[bytes]]]:
-    """Groups of (text, offset) and their bytes, ``BLOCK`` together; a longer text's parts overlap by ``least - 1`` bytes."""
+def _parts(texts: list[bytes], least: int, block: int) -> Iterator[tuple[list[tuple[int, int]], list[bytes]]]:
+    """Groups of (text, offset) and their bytes, ``block`` together; a longer text's parts overlap by ``least - 1`` bytes."""
     names, held, size = [], [], 0
     for i, t in enumerate(texts):
-        for at in range(0, max(1, len(t) - least + 1), BLOCK):
-            piece = t[at : at + BLOCK + least - 1]
-            if held and size + len(piece) > BLOCK:
+        for at in range(0, max(1, len(t) - least + 1), block):
+            piece = t[at : at + block + least - 1]
+            if held and size + len(piece) > block:
                 yield names, held
                 names, held, size = [], [], 0
             names.append((i, at))
@@ -120,7 +120,7 @@ def _segment_rows(least: int):
         for pdf in it:
             texts = [x.encode("utf-8", "surrogatepass") for x in pdf["text"]]
             k, t = pdf["k"].to_numpy(), pdf["t"].to_numpy()
-            for names, held in _parts(texts, least):
+            for names, held in _parts(texts, least, BLOCK):
                 data = b"".join(held)
                 sizes = [len(x) for x in held]
                 begin, end, low, own = segments(data, sizes, least)

@@ -44,12 +44,12 @@ def _engine() -> duckdb.DuckDBPyConnection:
     return con
 
 
-def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.Table]:
-    """``batch`` in pieces of about ``SLICE_BYTES`` of ``column``; a longer text is a piece of its own."""
+def _slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.Table]:
+    """``batch`` in pieces of ``most`` bytes of ``column``; a longer text is a piece of its own."""
     start, held = 0, 0
     sizes = [0 if x is None else len(x.as_buffer() or b"") for x in batch.column(column)]
     for i, n in enumerate(sizes):
-        if i > start and held + n > SLICE_BYTES:
+        if i > start and held + n > most:
             yield pa.Table.from_batches([batch.slice(start, i - start)])
             start, held = i, 0
         held += n
@@ -58,39 +58,43 @@ def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.Table]:
 
 
 def _batches(con: duckdb.DuckDBPyConnection, sql: str) -> Iterator[pa.RecordBatch]:
-    yield from con.execute(sql).to_arrow_reader(50_000)
+    yield from con.execute(sql).to_arrow_table().to_batches(50_000)
 
 
 _SUM = "SELECT lang, source, term, sum(n)::BIGINT AS n, sum(docs)::BIGINT AS docs FROM {} GROUP BY ALL"
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, term, n, docs) of a task's documents; a term comes again if the task has very many."""
-    con = _engine()
-    con.execute("CREATE TABLE counts (lang VARCHAR, source VARCHAR, term VARCHAR, n BIGINT, docs BIGINT)")
-    held = 0
-    for batch in batches:
-        for some in _slices(batch, "text"):
-            con.register("piece", some.append_column("doc", pa.array(range(some.num_rows), pa.int32())))
-            con.execute(f"""
-                INSERT INTO counts SELECT lang, source, term, sum(n), count(*) FROM (
-                  SELECT lang, source, doc, term, count(*) AS n FROM (
-                    SELECT lang, source, doc, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '{TERM}')) AS term FROM piece
-                  ) GROUP BY ALL
-                ) GROUP BY lang, source, term""")
-            con.unregister("piece")
-            if (rows := con.execute("SELECT count(*) FROM counts").fetchone()[0]) > 2 * held + SLICE_ROWS:
-                con.execute("CREATE OR REPLACE TABLE counts AS " + _SUM.format("counts"))
-                held = con.execute("SELECT count(*) FROM counts").fetchone()[0]
-                if held > 5 * SLICE_ROWS:
-                    yield from _batches(con, "FROM counts")
-                    con.execute("DELETE FROM counts")
-                    held = 0
-    yield from _batches(con, _SUM.format("counts"))
-
-
-def _by_term(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows that come sorted by (lang, term) in pieces that cut no term apart, unless it fills a piece alone."""
+def _count() -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(lang, source, term, n, docs) of a task's documents; a term comes again if the task has very many."""
+        con = _engine()
+        con.execute("CREATE TABLE counts (lang VARCHAR, source VARCHAR, term VARCHAR, n BIGINT, docs BIGINT)")
+        rows = lambda: con.execute("SELECT count(*) FROM counts").fetchall()[0][0]
+        held = 0
+        for batch in batches:
+            for some in _slices(batch, "text", SLICE_BYTES):
+                con.register("piece", some.append_column("doc", pa.array(range(some.num_rows), pa.int32())))
+                con.execute(f"""
+                    INSERT INTO counts SELECT lang, source, term, sum(n), count(*) FROM (
+                      SELECT lang, source, doc, term, count(*) AS n FROM (
+                        SELECT lang, source, doc, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '{TERM}')) AS term FROM piece
+                      ) GROUP BY ALL
+                    ) GROUP BY lang, source, term""").fetchall()
+                con.unregister("piece")
+                if rows() > 2 * held + SLICE_ROWS:
+                    con.execute("CREATE OR REPLACE TABLE counts AS " + _SUM.format("counts")).fetchall()
+                    held = rows()
+                    if held > 5 * SLICE_ROWS:
+                        yield from _batches(con, "FROM counts")
+                        con.execute("DELETE FROM counts").fetchall()
+                        held = 0
+        yield from _batches(con, _SUM.format("counts"))
+
+    return run
+
+
+def _by_term(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
+    """Rows that come sorted by (lang, term) in pieces of ``least`` rows or more that cut no term apart."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if batch.num_rows == 0:
@@ -102,7 +106,7 @@ def _by_term(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
             mid = (low + high) // 2
             low, high = (low, mid) if (lang[mid], term[mid]) == last else (mid + 1, high)
         before = (held[-1].column("lang")[-1], held[-1].column("term")[-1]) if held else None
-        if (low or before != last) and sum(b.num_rows for b in held) + low >= SLICE_ROWS // 4:
+        if (low or before != last) and sum(b.num_rows for b in held) + low >= least:
             yield pa.Table.from_batches([*held, batch.slice(0, low)])
             held = []
             batch = batch.slice(low)
@@ -115,7 +119,7 @@ def _keep(least: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(lang, source, term, n, first) of terms in ``least`` documents of the language; ``first`` is 1 once a term."""
         con = _engine()
-        for some in _by_term(batches):
+        for some in _by_term(batches, SLICE_ROWS // 4):
             con.register("piece", some)
             yield from _batches(con, f"""
                 SELECT lang, source, term, n, (row_number() OVER (PARTITION BY lang, term ORDER BY source) = 1)::BIGINT AS first
@@ -134,18 +138,19 @@ def _compare(smooth: int, scale: int, top: int) -> Callable:
         """
         con = _engine()
         con.execute("CREATE TABLE parts (kind VARCHAR, lang VARCHAR, source VARCHAR, item VARCHAR, p BIGINT, value BIGINT)")
+        rows = lambda: con.execute("SELECT count(*) FROM parts").fetchall()[0][0]
         held = 0
         merge = f"""
             SELECT kind, lang, source, item, p, sum(value)::BIGINT AS value FROM parts WHERE kind <> 'term' GROUP BY ALL
             UNION ALL
             SELECT * FROM parts WHERE kind = 'term' QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) <= {top}"""
-        for some in _by_term(batches):
+        for some in _by_term(batches, SLICE_ROWS // 4):
             con.register("piece", some)
             con.execute(f"""
                 CREATE OR REPLACE TEMP TABLE shares AS
                 SELECT lang, source, term, p0, (1 + {scale}::HUGEINT * (n + {smooth}) // (total + {smooth} * terms))::BIGINT AS p,
                        (1 + {scale}::HUGEINT * (sum(n) OVER (PARTITION BY lang, term) + {smooth}) // (lang_total + {smooth} * terms))::BIGINT AS q
-                FROM piece""")
+                FROM piece""").fetchall()
             con.execute(f"""
                 INSERT INTO parts
                 SELECT 'both', a.lang, a.source, b.source, NULL, sum(abs(a.p - b.p) - abs(a.p - b.p0) - abs(a.p0 - b.p) + abs(a.p0 - b.p0))
@@ -154,11 +159,11 @@ def _compare(smooth: int, scale: int, top: int) -> Callable:
                 SELECT 'share', lang, source, NULL, p, count(*) FROM shares GROUP BY ALL
                 UNION ALL
                 SELECT 'term', lang, source, term, NULL, p - q FROM shares WHERE p > q
-                QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, term) <= {top}""")
+                QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, term) <= {top}""").fetchall()
             con.unregister("piece")
-            if con.execute("SELECT count(*) FROM parts").fetchone()[0] > 2 * held + SLICE_ROWS:
-                con.execute("CREATE OR REPLACE TABLE parts AS " + merge)
-                held = con.execute("SELECT count(*) FROM parts").fetchone()[0]
+            if rows() > 2 * held + SLICE_ROWS:
+                con.execute("CREATE OR REPLACE TABLE parts AS " + merge).fetchall()
+                held = rows()
         yield from _batches(con, merge)
 
     return run
@@ -170,7 +175,7 @@ def divergence(docs: DataFrame, least_docs: int = 30, smooth: int = 5, scale: in
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(text_of(lang).alias("lang"), text_of(source).alias("source"), text_of(text).alias("text"))
     shards = lambda df: df.repartition(n, "lang", "term").sortWithinPartitions("lang", "term")
-    counted = rows.mapInArrow(_count, "lang string, source string, term string, n long, docs long")
+    counted = rows.mapInArrow(_count(), "lang string, source string, term string, n long, docs long")
     kept = stored(shards(counted).mapInArrow(_keep(least_docs), "lang string, source string, term string, n long, first long"), "divergence-terms")
 
     totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.sum("first").alias("terms"))

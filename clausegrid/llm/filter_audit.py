@@ -76,28 +76,31 @@ HELD_CHARS = 1 << 25
 ROUTED_BYTES = 16 << 20
 
 
-def _own_chains(rows: Iterator) -> Iterator[tuple[int, tuple]]:
-    """(fingerprint, row) of each text's smallest id in what was read together; rows that lost, and those without an id, have no text."""
-    chains: dict[int, Chain] = {}
-    held = 0
-    for ident, part, text in rows:
-        mask, parts = text_mask(text), Counter({part: 1})
-        if ident is None:
-            yield fingerprint(part), (None, None, mask, parts)
-            continue
-        key = fingerprint(text)
-        if key not in chains:
-            chains[key] = Chain()
-        n = len(chains[key].entries)
-        if lost := chains[key].add(text, ident, mask, parts):
-            yield fingerprint(str(lost[0])), (None, *lost)
-        held += len(text) * (len(chains[key].entries) - n)
-        if held > HELD_CHARS:
-            for k, chain in chains.items():
-                yield from ((k, tuple(e)) for e in chain.entries)
-            chains, held = {}, 0
-    for k, chain in chains.items():
-        yield from ((k, tuple(e)) for e in chain.entries)
+def _own_chains():
+    def run(rows: Iterator) -> Iterator[tuple[int, tuple]]:
+        """(fingerprint, row) of each text's smallest id in what was read together; rows that lost, and those without an id, have no text."""
+        chains: dict[int, Chain] = {}
+        held = 0
+        for ident, part, text in rows:
+            mask, parts = text_mask(text), Counter({part: 1})
+            if ident is None:
+                yield fingerprint(part), (None, None, mask, parts)
+                continue
+            key = fingerprint(text)
+            if key not in chains:
+                chains[key] = Chain()
+            n = len(chains[key].entries)
+            if lost := chains[key].add(text, ident, mask, parts):
+                yield fingerprint(str(lost[0])), (None, *lost)
+            held += len(text) * (len(chains[key].entries) - n)
+            if held > HELD_CHARS:
+                for k, chain in chains.items():
+                    yield from ((k, tuple(e)) for e in chain.entries)
+                chains, held = {}, 0
+        for k, chain in chains.items():
+            yield from ((k, tuple(e)) for e in chain.entries)
+
+    return run
 
 
 def _met_chains(rows: Iterator[tuple[int, tuple]]) -> Iterator[tuple[int | None, int, str, int]]:
@@ -120,7 +123,7 @@ def masks(docs: DataFrame, part: str = "source", key: str = "doc_id", text: str
     spark = docs.sparkSession
     n = 1 + (docs.agg(F.sum(F.octet_length(text_of(text)).cast("long"))).first()[0] or 0) // ROUTED_BYTES
     rows: RDD = docs.select(F.col(key).cast("long").alias("doc_id"), text_of(part).alias("part"), text_of(text).alias("text")).rdd
-    routed = rows.mapPartitions(_own_chains).repartitionAndSortWithinPartitions(n, partitionFunc=lambda fp: fp)
+    routed = rows.mapPartitions(_own_chains()).repartitionAndSortWithinPartitions(n, partitionFunc=lambda fp: fp)
     return spark.createDataFrame(routed.mapPartitions(_met_chains), "doc_id long, mask int, part string, n long", verifySchema=False)
 
 
