@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pandas as pd
@@ -65,29 +67,35 @@ def clean(spark: SparkSession) -> None:
     _delete(spark, _own_dir(spark))
 
 
-#: Folders of the tables that ``stored`` has made, oldest first.
-_MADE: list[str] = []
+#: Where ``stored`` lists the folders that it makes, while some ``owned`` block of this thread asks for it.
+_OWNER: ContextVar[list[str] | None] = ContextVar("owner", default=None)
+
+
+@contextmanager
+def owned() -> Iterator[list[str]]:
+    """The folders of the tables that ``stored`` makes within the block, in this thread; an outer block gets those that are left."""
+    folders: list[str] = []
+    outer = _OWNER.get()
+    token = _OWNER.set(folders)
+    try:
+        yield folders
+    finally:
+        _OWNER.reset(token)
+        if outer is not None:
+            outer.extend(folders)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: cuts the lineage, survives lost executors."""
     path = own_folder(df.sparkSession, label)
-    _MADE.append(path)
+    if (folders := _OWNER.get()) is not None:
+        folders.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def made_so_far() -> int:
-    return len(_MADE)
-
-
-def made_since(begun: int) -> list[str]:
-    """The folders of the tables that were stored after ``made_so_far`` gave ``begun``."""
-    return _MADE[begun:]
-
-
 def delete_unread(folders: list[str], df: DataFrame) -> None:
-    """Delete those of ``folders`` that ``df`` doesn't read, and take them out of the list."""
+    """Delete those of ``folders`` that ``df`` doesn't read, and take them out of the list; nothing else may read them."""
     plain = lambda p: p.removeprefix("file:").lstrip("/")
     read = [plain(f) for f in df.inputFiles()] if folders else []
     for path in list(folders):
@@ -146,6 +154,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def row_key(key: str = "doc_id", text: str = "text") -> tuple:
+    """Two numbers that name a row's id and text: the id (nulls have one too) and the text's hash."""
+    return F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)), F.xxhash64(text_of(text))
+
+
+def one_name(k: str, t: str):
+    """One number for both, for a Bloom filter of rows."""
+    return F.shiftrightunsigned(F.xxhash64(k, t), 1)
+
+
 def text_of(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

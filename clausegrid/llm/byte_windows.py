@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bwt
-from ._common import BLOOM_BITS, NO_ID, bound_batches, fresh_name, maybe_among, mix64, stored, text_of, with_arrays
+from ._common import BLOOM_BITS, bound_batches, fresh_name, maybe_among, mix64, one_name, row_key, stored, text_of, with_arrays
 
 #: Bytes of the k-grams whose hashes choose segments; a power of two below every ``least``.
 GRAM = 64
@@ -189,11 +189,11 @@ def _window_rows(least: int):
 
 
 def repeated_spans(docs: DataFrame, least: int, key: str = "doc_id", text: str = "text", many: int | None = None) -> DataFrame:
-    """(k, t, spans): what goes of the texts that lose something, named by ``names``; spans in order, apart from each other."""
+    """(k, t, spans): what goes of the texts that lose something, named by ``row_key``; spans in order, apart from each other."""
     if not GRAM < least < RUN:
         raise ValueError(f"windows must have more than {GRAM} and fewer than {RUN} bytes")
     many = MANY if many is None else many
-    k, t = names(key, text)
+    k, t = row_key(key, text)
     texts = bound_batches(docs).select(k.alias("k"), t.alias("t"), F.col(text).alias("text")).where(F.octet_length("text") >= least)
     rows = stored(texts.mapInPandas(_segment_rows(least), "m long, g long, k long, t long, start int, size int, own boolean"), "windows-segments")
     # m that occur once have nothing to repeat, unless within themselves
@@ -206,8 +206,7 @@ def repeated_spans(docs: DataFrame, least: int, key: str = "doc_id", text: str =
     crowd = some.groupBy("m").agg((F.count("*") > many).alias("many"))
     wanted = some.join(crowd, "m").groupBy("one.k", "one.t").agg(F.collect_list(F.struct("m", "g", "many", "one.start", "one.size")).alias("wanted"))  # bounded by a text's bytes
     wanted = stored(wanted, "windows-wanted")
-    name = lambda *c: F.shiftrightunsigned(F.xxhash64(*c), 1)
-    asked = maybe_among(wanted.select(name("k", "t").alias("doc_id")), name("k", "t"), BLOOM_BITS)
+    asked = maybe_among(wanted.select(one_name("k", "t").alias("doc_id")), one_name("k", "t"), BLOOM_BITS)
     one_each = texts.where(asked).join(wanted, ["k", "t"]).select("k", "t", "text", "wanted")
     copies = stored(one_each.mapInArrow(_fetch, "m long, g long, many boolean, data binary").dropDuplicates(["m", "g"]), "windows-copies")  # repeated rows are fetched each
 
@@ -224,11 +223,6 @@ def repeated_spans(docs: DataFrame, least: int, key: str = "doc_id", text: str =
     return lost.groupBy("k", "t").agg(F.sort_array(F.collect_set("s")).alias("spans"))  # bounded by a text's bytes
 
 
-def names(key: str, text: str) -> tuple:
-    """The two numbers that name a row: its id (nulls have one too) and its text's hash."""
-    return F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)), F.xxhash64(text_of(text))
-
-
 def joined(spans: list[dict]) -> list[tuple[int, int]]:
     """Sorted stretches with those that touch or overlap made one."""
     out: list[tuple[int, int]] = []
@@ -245,9 +239,8 @@ def remove_repeats(docs: DataFrame, least: int = 200, key: str = "doc_id", text:
     docs = docs.drop(kept, removed)
     lost = stored(repeated_spans(docs, least, key, text, many), "windows-lost")
     k, t, spans = (fresh_name([*docs.columns, kept, removed], c) for c in ("k", "t", "spans"))
-    named = docs.withColumns(dict(zip((k, t), names(key, text))))
-    name = lambda *c: F.shiftrightunsigned(F.xxhash64(*c), 1)
-    touched = maybe_among(lost.select(name("k", "t").alias("doc_id")), name(k, t), BLOOM_BITS)
+    named = docs.withColumns(dict(zip((k, t), row_key(key, text))))
+    touched = maybe_among(lost.select(one_name("k", "t").alias("doc_id")), one_name(k, t), BLOOM_BITS)
     found = named.where(touched).join(lost.select(F.col("k").alias(k), F.col("t").alias(t), F.col("spans").alias(spans)), [k, t], "left")
     kind = "array<struct<start:int,end:int>>"
     stays = text_of(text).cast("binary")

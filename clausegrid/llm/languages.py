@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import bound_batches, code_points, mix64, with_arrays
+from ._common import BLOOM_BITS, bound_batches, code_points, fresh_name, maybe_among, mix64, one_name, row_key, stored, with_arrays
 
 #: Labelled texts to learn from, a language (expected number); n-grams a language; slots; hashes; letters in an n-gram.
 SAMPLE, GRAMS, SLOT_BITS, HASHES, ORDERS = 4000, 20_000, 18, 3, 4
@@ -199,6 +199,56 @@ def predict(docs: DataFrame, filters: Filters, text: str = "text", label: str =
     return kept.mapInArrow(task, T.StructType([*kept.schema.fields, T.StructField(label, T.StringType()), T.StructField(score, T.DoubleType())]))
 
 
+def _score_limits(scored: DataFrame, share: float, least: float) -> list[tuple[str, float, float, float, float]]:
+    """For each language (label, mean, a, b, q): a text of n characters is too odd below mean + q * sqrt(a + b / n).
+
+    Scores of long texts vary by what they are about (a), those of short ones by chance too (b / n). Both are fitted to the variances
+    of the correctly predicted texts of each octave of lengths; q is the quantile ``share`` of their deviations.
+    """
+    own = scored.where((F.col("label") == F.col("lang")) & (F.col("n") > 0))
+    octaves = own.groupBy("label", F.floor(F.log2("n")).alias("octave")).agg(F.count("*").alias("rows"), F.avg("score").alias("mean"), F.var_pop("score").alias("var"), F.avg(1 / F.col("n")).alias("less"))
+    by_label: dict[str, list] = {}
+    for r in octaves.collect():  # 31 rows a language at most
+        by_label.setdefault(r.label, []).append(r)
+    fitted = []
+    for label, rows in sorted(by_label.items()):
+        w = np.array([r.rows for r in rows], float)
+        mean = float(w @ [r.mean for r in rows] / w.sum())
+        less, var = np.array([r.less for r in rows]), np.array([r["var"] + (r.mean - mean) ** 2 for r in rows])
+        x = np.stack([np.ones(len(rows)), less], 1) * np.sqrt(w)[:, None]
+        a, b = np.linalg.lstsq(x, var * np.sqrt(w), rcond=None)[0]
+        if a <= 0 or b <= 0:  # one of the two explains it
+            a, b = max(0.0, a) and float(w @ var / w.sum()), max(0.0, b) and float((w * less) @ var / ((w * less) @ less))
+        fitted.append((label, mean, max(float(a), 1e-9), max(float(b), 0.0)))
+    if not fitted:
+        return []
+    table = F.broadcast(scored.sparkSession.createDataFrame(fitted, "label string, mean double, a double, b double"))  # a row a language
+    far = ((F.col("score") - F.col("mean")) / F.sqrt(F.col("a") + F.col("b") / F.col("n"))).alias("far")
+    quantiles = own.join(table, "label").groupBy("label").agg(F.percentile_approx(far, share, 100_000).alias("q"))
+    q = {r.label: r.q for r in quantiles.select("label", "q").collect()}
+    return [(*f, q[f[0]]) for f in fitted]
+
+
+def keep_known(docs: DataFrame, filters: Filters, share: float = 0.001, least: float = 0.2, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``docs`` whose text is in a learned language: with letters, ``least`` or more of its n-grams that language's, and not odder than all but ``share`` of its own texts.
+
+    Every text is scored once; only the scores are stored. Texts that may have to go pass a shuffle, all others are told apart by a filter of fixed size.
+    Rows that repeat (doc_id, text) share their fate; null texts go. No rows give no rows.
+    """
+    k, t = row_key(key, text)
+    scored = predict(docs.select(k.alias("k"), t.alias("t"), F.length(text).alias("n"), F.col(lang).alias("lang"), F.col(text).alias("text")), filters, label="label").drop("text")
+    scored = stored(scored, "language-scores")
+    limits = scored.sparkSession.createDataFrame(_score_limits(scored, share, least), "label string, mean double, a double, b double, q double")
+    lowest = F.greatest(F.lit(least), F.col("mean") + F.col("q") * F.sqrt(F.col("a") + F.col("b") / F.greatest("n", F.lit(1))))
+    known = (F.col("label") != "und") & (F.col("score") >= F.coalesce(lowest, F.lit(least)))
+    gone = stored(scored.join(F.broadcast(limits), "label", "left").where(~known).select("k", "t").distinct(), "language-gone")
+    at_k, at_t = fresh_name(docs.columns, "k"), fresh_name(docs.columns, "t")
+    named = docs.withColumns({at_k: k, at_t: t})
+    maybe = maybe_among(gone.select(one_name("k", "t").alias("doc_id")), one_name(at_k, at_t), BLOOM_BITS)
+    cleared = named.where(maybe).join(gone.select(F.col("k").alias(at_k), F.col("t").alias(at_t)), [at_k, at_t], "left_anti")
+    return named.where(~maybe).unionByName(cleared).select(docs.columns)
+
+
 def held_out(key: str = "doc_id"):
     """Whether a document is kept from training: crc32 of its id as text, modulo 3, is 1."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 3 == 1

@@ -30,12 +30,15 @@ def test_random_scramble_is_one_to_one():
 
 
 def test_unread_tables_go(spark):
-    begun = _common.made_so_far()
-    one = _common.stored(spark.range(5), "one")
-    two = _common.stored(one.selectExpr("id + 1 AS id"), "two")
-    folders = _common.made_since(begun)
-    assert len(folders) == 2
-    _common.delete_unread(folders, two.where("id > 2"))
-    assert sorted(r.id for r in two.where("id > 2").collect()) == [3, 4, 5] and len(folders) == 1
+    with _common.owned() as outer:
+        with _common.owned() as folders:
+            one = _common.stored(spark.range(5), "one")
+            two = _common.stored(one.selectExpr("id + 1 AS id"), "two")
+            assert len(folders) == 2
+            _common.delete_unread(folders, two.where("id > 2"))
+        assert outer == folders and len(outer) == 1
+    assert sorted(r.id for r in two.where("id > 2").collect()) == [3, 4, 5]
     with pytest.raises(Exception):
         one.collect()
+    _common.stored(spark.range(2), "three")  # nobody's
+    assert len(outer) == 1

@@ -10,6 +10,7 @@ from test_tokens import check_packed
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from clausegrid.llm import _common
 
 
 def test_stages_and_run(spark, sf):
@@ -75,3 +76,20 @@ def test_unlearned_languages_and_random_letters_go(spark, sf):
     kept = {x.doc_id for x in corpus_pipeline.identify_language(spark, mixed, sf).collect()}
     assert len(foreign) > 5 and len(kept & foreign) <= 0.1 * len(foreign)
     assert len(kept & known) >= 0.99 * len(known) and not any(i >= 20_000 for i in kept)
+
+
+def test_results_outlive_other_stages(spark, sf):
+    """Two lazy results of a stage, and two runs, in one application; what they leave in the shared folder."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    half = docs.where("doc_id < 100")
+    with _common.owned() as left:
+        one, two = (corpus_pipeline.drop_repeated_units(spark, d, sf) for d in (docs, half))
+        lang = [corpus_pipeline.identify_language(spark, d, sf) for d in (docs, half)]
+        assert one.count() == docs.count() and two.count() == half.count()
+        assert lang[1].count() == half.count() and lang[0].count() == docs.count() and one.count() == docs.count()
+    assert len(left) <= 4  # at most the places of repeats, and the rejected texts, of each call
+    with _common.owned() as left:
+        first, second = corpus_pipeline.run(spark, sf), corpus_pipeline.run(spark, sf)
+        assert first.count() == second.count() > 0 and first.count() == second.count()
+    there = [p for p in left if spark._jvm.org.apache.hadoop.fs.Path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(p))]
+    assert len(there) == 2 and all("stage-substring_dedup" in p for p in there)  # what each result reads
