@@ -14,30 +14,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausegrid.llm import languages, neardup, packing, substrings
-from clausegrid.llm._common import delete_unread, fresh_name, made_since, made_so_far, stored, table
+from clausegrid.llm._common import delete_unread, fresh_name, owned, stored, table
 
 #: A document of which fewer n-grams than this share belong to its best language is in none that was learned.
 LEAST_LANGUAGE_SCORE = 0.2
-#: So is one that scores less than all but this share of its language's labelled documents; a smaller share for texts shorter than ``SHORT``.
-LOWEST, LOWEST_SHORT, SHORT = 0.001, 0.0001, 200
+#: So is one that scores less, for its length, than all but this share of its language's labelled documents.
+LOWEST = 0.001
 #: The smallest power of two at which documents are cut for packing: most keep two or three pieces, for about 1 % of padding.
 LEAST_CUT = 256
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: Folders of the tables that stages have stored for themselves.
-_LEFT: list[str] = []
 
 
 def _tidy(stage: Stage) -> Stage:
-    """``stage``, which first deletes the tables that earlier stages left and its input doesn't read: their rows are written by then."""
+    """``stage``, which deletes at its end the tables that it has stored and its result doesn't read; no other table is touched."""
 
     @functools.wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        delete_unread(_LEFT, docs)
-        begun = made_so_far()
-        out = stage(spark, docs, sf_dir)
-        _LEFT.extend(made_since(begun))
+        with owned() as made:
+            out = stage(spark, docs, sf_dir)
+            delete_unread(made, out)
         return out
 
     return run
@@ -50,19 +47,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     So null and empty texts go, and all documents where none is labelled. Repeated rows share their fate; other columns pass
     unchanged, whatever their names; no rows give no rows.
     """
-    label, score = fresh_name(docs.columns, "lang_pred"), fresh_name(docs.columns, "lang_score")
-    scored = languages.predict(docs, languages.learn(docs), label=label, score=score)
-    short = F.length("text") < SHORT
-    own = scored.where(F.col(label) == F.col("lang")).groupBy("lang")  # the texts are scored again for the limits, not stored
-    at = lambda some, share: F.percentile_approx(F.when(some, F.col(score)), share, 100_000)
-    limits = own.agg(at(~short, LOWEST).alias("long"), at(short, LOWEST_SHORT).alias("short")).collect()  # one row a language
-    limit = F.lit(LEAST_LANGUAGE_SCORE)
-    for r in limits:
-        usual = max(LEAST_LANGUAGE_SCORE, r.short if r.long is None else r.long)
-        lower = usual if r.short is None else max(LEAST_LANGUAGE_SCORE, min(usual, r.short))
-        limit = F.when(F.col(label) == r.lang, F.when(short, lower).otherwise(usual)).otherwise(limit)
-    kept = scored.where((F.col(label) != "und") & (F.col(score) >= limit))
-    return kept.select(docs.columns)
+    return languages.keep_known(docs, languages.learn(docs), LOWEST, LEAST_LANGUAGE_SCORE)
 
 
 @_tidy
@@ -104,9 +89,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages. Each one's rows replace those of the one before; the last one's table stays for the result, which reads it when it runs."""
     docs = table(spark, sf_dir, "documents")
+    left: list[str] = []  # this run's own tables
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        with owned() as made:
+            docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        left += made
+        delete_unread(left, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
