@@ -9,7 +9,8 @@ and windows are compared only between segments of equal m:
   text; copies of a bounded number of bytes share a Burrows-Wheeler transform (``bwt``), which tells their
   repeated windows;
 * an m with more than ``MANY`` different segments (a passage that very many documents share) is taken out of the
-  transforms: its windows are digested one by one and counted by Spark, so no task holds it.
+  transforms. Windows of a segment that have the chosen k-gram at about the same place share a core, so such segments are
+  split by that place and regrouped by their cores, finer and finer until few enough differ, at last window by window.
 
 Counts and minima combine before they are shuffled, joins are ones that AQE may split. Rows of segments have 48 bytes, one for
 about 70 bytes of text; texts move twice: those that a copy is fetched from, and those that lose something.
@@ -41,6 +42,8 @@ RUN = 1024
 BLOCK = 1 << 19
 #: Different segments of one m that share a transform.
 MANY = 1000
+#: Windows of a piece when a crowd of segments is split; each further split makes this many times smaller pieces.
+WIDTH, FINER = 64, 4
 #: Bytes of segments that a transform takes before the next m begins.
 TRANSFORM = 1 << 19
 
@@ -151,9 +154,6 @@ def _spans(starts: np.ndarray, least: int) -> list[list[int]]:
     return [[int(x[0]), int(x[-1]) + least] for x in np.split(starts, cut)] if len(starts) else []
 
 
-_MARKS = "m long, g long, spans array<array<int>>"
-
-
 def _transforms(least: int):
     def solve(held: list[tuple]) -> pd.DataFrame:
         spans = [_spans(x, least) for x in bwt.repeated_windows([d for *_, d in held], least)]
@@ -176,18 +176,52 @@ def _transforms(least: int):
     return run
 
 
-def _window_rows(least: int):
+def pieces(data: bytes, k: int, least: int, width: int) -> Iterator[tuple[int, int, bytes]]:
+    """(begin, end, core) of runs of a segment's windows; the core is in all windows that begin at most ``width`` places apart, counted from their first k-gram of hash ``k``.
+
+    Equal windows have that k-gram at the same place, so pieces of two segments can share a window only if they have the same core.
+    """
+    n = len(data) - least + 1
+    begin = 0
+    for p in np.flatnonzero(gram_hashes(np.frombuffer(data, np.uint8), GRAM).view(np.int64) == k).tolist():
+        while begin <= min(p, n - 1):  # windows that begin here to p have it first
+            r = (p - begin) // width
+            latest = p - r * width
+            end = min(latest, n - 1) + 1
+            yield begin, end + least - 1, r.to_bytes(4, "big") + data[latest : latest - width + 1 + least]
+            begin = end
+
+
+def _piece_rows(least: int, width: int):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """(a, b, m, g, at) for each window of a segment: its digest in two halves and its place."""
+        """(m, g, k, of_m, of_g, at, data): a piece with its core's digest as m, and where it lies in the segment (of_m, of_g)."""
+        digests = lambda some: np.array([xxhash.xxh3_64_intdigest(x) for x in some], np.uint64).view(np.int64)
         for pdf in it:
-            for m, g, data in zip(pdf["m"].tolist(), pdf["g"].tolist(), pdf["data"]):
-                n = len(data) - least + 1
-                two = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[i : i + least]) for i in range(n)), "<i8").reshape(-1, 2)
-                yield pd.DataFrame({"a": two[:, 0], "b": two[:, 1], "m": m, "g": g, "at": np.arange(n, dtype=np.int32)})
+            found = [(k, m, g, a, data[a:b], core) for m, g, k, data in zip(pdf["m"].tolist(), pdf["g"].tolist(), pdf["k"].tolist(), pdf["data"]) for a, b, core in pieces(data, k, least, width)]
+            if found:
+                k, of_m, of_g, at, data, core = zip(*found)
+                yield pd.DataFrame({"m": digests(core), "g": digests(data), "k": k, "of_m": of_m, "of_g": of_g, "at": np.array(at, np.int32), "data": data})
 
     return run
 
 
+def _marks(copies: DataFrame, least: int, many: int, width: int) -> DataFrame:
+    """(m, g, spans): the repeated stretches of different segments (m, g, k, many, data), of which those with ``many`` are split."""
+    few = copies.where("NOT many").select("m", "g", "data").repartition("m").sortWithinPartitions("m").mapInPandas(_transforms(least), "m long, g long, spans array<array<int>>")
+    crowd = copies.where("many").drop("many")
+    if crowd.isEmpty():
+        return few
+    made = stored(crowd.mapInPandas(_piece_rows(least, width), "m long, g long, k long, of_m long, of_g long, at int, data binary"), "windows-pieces")
+    different = stored(made.groupBy("m", "g").agg(F.count("*").alias("n"), F.first("k").alias("k"), F.first("data").alias("data")), "windows-different")
+    marks = different.where("n > 1").select("m", "g", F.array(F.array(F.lit(0), F.length("data"))).alias("spans"))
+    if width > 1:  # else a piece is a window, and different ones share none
+        several = different.groupBy("m").agg(F.count("*").alias("c")).where("c > 1").select("m", (F.col("c") > many).alias("many"))
+        inner = _marks(stored(different.join(several, "m").select("m", "g", "k", "many", "data"), "windows-copies"), least, many, max(1, width // FINER))
+        marks = marks.union(inner.join(marks.select("m", "g"), ["m", "g"], "left_anti"))
+    moved = F.transform("spans", lambda x: F.array(x[0] + F.col("at"), x[1] + F.col("at")))
+    return few.union(made.join(stored(marks, "windows-marks"), ["m", "g"]).select(F.col("of_m").alias("m"), F.col("of_g").alias("g"), moved.alias("spans")))
+
+
 def repeated_spans(docs: DataFrame, least: int, key: str = "doc_id", text: str = "text", many: int | None = None) -> DataFrame:
     """(k, t, spans): what goes of the texts that lose something, named by ``row_key``; spans in order, apart from each other."""
     if not GRAM < least < RUN:
@@ -210,12 +244,7 @@ def repeated_spans(docs: DataFrame, least: int, key: str = "doc_id", text: str =
     one_each = texts.where(asked).join(wanted, ["k", "t"]).select("k", "t", "text", "wanted")
     copies = stored(one_each.mapInArrow(_fetch, "m long, g long, many boolean, data binary").dropDuplicates(["m", "g"]), "windows-copies")  # repeated rows are fetched each
 
-    shared = copies.where("NOT many").drop("many").repartition("m").sortWithinPartitions("m").mapInPandas(_transforms(least), _MARKS)
-    single = stored(copies.where("many").drop("many").mapInPandas(_window_rows(least), "a long, b long, m long, g long, at int"), "windows-single")
-    twice = stored(single.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b"), "windows-twice")
-    stretch = F.array("at", F.col("at") + least)
-    crowded = single.join(twice, ["a", "b"]).groupBy("m", "g").agg(F.collect_list(stretch).alias("spans"))  # bounded by a segment's windows
-    within = shared.union(crowded).join(whole.select("m", "g"), ["m", "g"], "left_anti")
+    within = _marks(copies.withColumn("k", F.col("m")), least, many, min(WIDTH, least // 2)).join(whole.select("m", "g"), ["m", "g"], "left_anti")
     marks = stored(within.union(whole.select("m", "g", F.array(F.array(F.lit(0), F.col("one.size"))))), "windows-marks")
 
     lost = live.join(marks, ["m", "g"]).select("k", "t", F.explode("spans").alias("s"), "start")

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +70,31 @@ def test_segments_hold_each_window_once(alphabet, run):
             assert all(smallest.setdefault(w, m) == m for w in inner)  # equal windows choose the same hash
 
 
+@pytest.mark.parametrize("width", [64, 16, 4, 1])
+def test_pieces_with_equal_windows_have_equal_cores(width):
+    r = random.Random(width)
+    base = bytes(r.choice(b"abcdefgh ") for _ in range(500))
+    gram = base[240 : 240 + byte_windows.GRAM]
+    k = int(byte_windows.gram_hashes(np.frombuffer(gram, np.uint8), byte_windows.GRAM).view(np.int64)[0])
+    cores, seen = {}, 0
+    for _ in range(60):
+        a, b = r.randrange(150, 241), r.randrange(340, 420)
+        segment = bytes(r.choice(b"xyz") for _ in range(r.randrange(30))) + base[a:b] + bytes(r.choice(b"xyz") for _ in range(r.randrange(30)))
+        if len(segment) < 200 or segment.index(gram) > 136:
+            continue
+        n, begins = len(segment) - 199, []
+        if n - 1 > segment.index(gram):  # windows without it are another segment's
+            segment = segment[: segment.index(gram) + 200]
+            n = len(segment) - 199
+        for begin, end, core in byte_windows.pieces(segment, k, 200, width):
+            begins += range(begin, end - 199)
+            for i in range(begin, end - 199):
+                assert cores.setdefault(segment[i : i + 200], core) == core
+                seen += 1
+        assert begins == list(range(n))
+    assert seen > len(cores)
+
+
 def some_texts(seed, n, passage=260):
     r = random.Random(seed)
     word = lambda: "".join(r.choice("abcdeé字 ") for _ in range(r.randrange(2, 9)))
