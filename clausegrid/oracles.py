@@ -164,7 +164,12 @@ def _sentence() -> str:
 
 _TITLES = "CASE risk_code WHEN 'IP_OWNER_SUPPLIER_001' THEN '知识产权归属相对方' WHEN 'LIAB_UNLIMITED_001' THEN '我方单方承担无限责任' ELSE '预付款比例超过 30%' END"
 _DIMS = "CASE risk_code WHEN 'IP_OWNER_SUPPLIER_001' THEN '知识产权' WHEN 'LIAB_UNLIMITED_001' THEN '违约责任' ELSE '金额支付' END"
-_HEADING = "coalesce(nullif(concat_ws(' ', clause_no, title), ''), '条款 #' || clause_index)"
+_HEADING = "coalesce(nullif(concat_ws(' ', nullif(clause_no, ''), nullif(title, '')), ''), '条款 #' || clause_id)"
+#: Stored clauses and risks: a risk names its clause by id, in some documents none, in some one of another document; the clause is found by that id alone.
+_STORED = """sc AS (SELECT *, doc_id * 1048576 + clause_index AS clause_id FROM clt),
+sr AS (SELECT rr.*, CASE WHEN rr.doc_id % 5 = 0 AND rr.seq = 1 THEN NULL WHEN rr.doc_id % 7 = 3 AND rr.seq < 3 THEN (rr.doc_id + 1) * 1048576 ELSE own.clause_id END AS named
+  FROM rr LEFT JOIN sc own ON own.doc_id = rr.doc_id AND rr.paragraph_index BETWEEN own.start_idx AND own.end_idx)"""
+_LABEL = f"CASE WHEN named IS NULL THEN '未关联具体条款' WHEN clause_id IS NULL THEN '条款信息缺失（#' || named || '）' ELSE {_HEADING} END"
 
 
 def _cell(x: str) -> str:
@@ -179,14 +184,14 @@ def _rows(*rows: tuple[str, str]) -> str:
 _AMOUNT_TEXT = "coalesce(nullif(concat_ws(' ', CAST(amount AS VARCHAR), CASE WHEN amount IS NOT NULL THEN nullif(currency, '') END), ''), '—')"
 _STAGE = "CASE stage WHEN 'UPLOADED' THEN '已上传' WHEN 'PARSED' THEN '已解析' WHEN 'CLAUSED' THEN '已切分条款' WHEN 'REVIEWED' THEN '审查完成' ELSE stage END"
 _REVIEWED = "CASE coalesce(review_status, 'PENDING') WHEN 'PENDING' THEN '待复核' WHEN 'CONFIRMED' THEN '已确认' WHEN 'REJECTED' THEN '已驳回' WHEN 'MODIFIED' THEN '已修改' ELSE review_status END"
-_RISK_ROWS = _rows(("风险编码", "risk_code"), ("审查维度", _DIMS), ("风险来源", "'RULE'"), ("所属条款", _HEADING), ("定位方式", "'PARAGRAPH'"), ("原文段落", "'第 ' || paragraph_index || ' 段'"), ("人工复核", _REVIEWED))
-_REPORT = f"""{PLACED}, {_META}, {_RISKS}, rv AS ({fx.REVIEWS_SQL}), hd AS ({fx.REPORT_HEADS_SQL}),
+_RISK_ROWS = _rows(("风险编码", "risk_code"), ("审查维度", _DIMS), ("风险来源", "'RULE'"), ("所属条款", _LABEL), ("定位方式", "'PARAGRAPH'"), ("原文段落", "'第 ' || paragraph_index || ' 段'"), ("人工复核", _REVIEWED))
+_REPORT = f"""{PLACED}, {_META}, {_RISKS}, {_STORED}, rv AS ({fx.REVIEWS_SQL}), hd AS ({fx.REPORT_HEADS_SQL}),
 rk AS (SELECT rr.doc_id, rr.seq, risk_level, '### ' || row_number() OVER (PARTITION BY rr.doc_id ORDER BY rr.seq) || '. [' || risk_level || '] ' || {_TITLES} || chr(10) || chr(10) || {_RISK_ROWS} || chr(10) || chr(10) ||
   concat_ws(chr(10), '- **风险原因**：' || reason, '- **命中原文**：' || replace(quote, chr(9), ' '), CASE WHEN review_status = 'MODIFIED' THEN '- **人工风险等级**：' || risk_level END,
     '- **复核意见**：' || nullif(regexp_replace(review_comment, '\\s+', ' ', 'g'), ''), '- **复核时间**：' || strftime(reviewed_at, '%Y-%m-%d %H:%M') || ' (UTC)') AS block
-  FROM rr JOIN clt ON clt.doc_id = rr.doc_id AND rr.paragraph_index BETWEEN clt.start_idx AND clt.end_idx LEFT JOIN rv ON rv.doc_id = rr.doc_id AND rv.seq = rr.seq),
+  FROM sr rr LEFT JOIN sc ON sc.doc_id = rr.doc_id AND sc.clause_id = rr.named LEFT JOIN rv ON rv.doc_id = rr.doc_id AND rv.seq = rr.seq),
 ra AS (SELECT doc_id, count(*) AS total, count(*) FILTER (WHERE risk_level = 'HIGH') AS high, count(*) FILTER (WHERE risk_level = 'MEDIUM') AS medium, string_agg(block, chr(10) || chr(10) ORDER BY seq) AS blocks FROM rk GROUP BY doc_id),
-ca AS (SELECT doc_id, string_agg('### ' || (clause_index + 1) || '. ' || {_HEADING} || '（' || clause_type || '）' || chr(10) || chr(10) || trim(text), chr(10) || chr(10) ORDER BY clause_index) AS blocks FROM clt GROUP BY doc_id),
+ca AS (SELECT doc_id, string_agg('### ' || (clause_index + 1) || '. ' || {_HEADING} || '（' || clause_type || '）' || chr(10) || chr(10) || trim(text), chr(10) || chr(10) ORDER BY clause_index) AS blocks FROM sc GROUP BY doc_id),
 ma AS (SELECT doc_id, string_agg('| ' || field_label || ' | ' || replace(field_value, chr(10), ' ') || ' | ' || value_type || ' | REGEX |', chr(10) ORDER BY ord) AS lines FROM meta GROUP BY doc_id),
 al AS (SELECT hd.*, coalesce(ra.total, 0) AS total, coalesce(ra.high, 0) AS high, coalesce(ra.medium, 0) AS medium, 0 AS low, 0 AS other, ra.blocks AS risk_blocks, ca.blocks AS clause_blocks, ma.lines FROM hd LEFT JOIN ra ON ra.doc_id = hd.doc_id LEFT JOIN ca ON ca.doc_id = hd.doc_id LEFT JOIN ma ON ma.doc_id = hd.doc_id),
 report AS (SELECT doc_id, '# 合同审查报告' || chr(10) || chr(10) || '> 合同编号：' || {_cell('contract_no')} || ' ｜ 合同名称：' || {_cell('title')} || ' ｜ 审查任务：#' || doc_id || chr(10) || chr(10) ||
@@ -196,6 +201,12 @@ report AS (SELECT doc_id, '# 合同审查报告' || chr(10) || chr(10) || '> 合
   '## 四、风险明细' || chr(10) || chr(10) || coalesce(risk_blocks, '本次审查未发现风险。') || chr(10) || chr(10) || '## 五、条款附录' || chr(10) || chr(10) || clause_blocks || chr(10) || chr(10) ||
   '## 六、合同信息提取结果' || chr(10) || chr(10) || '| 字段 | 值 | 类型 | 提取方式 |' || chr(10) || '| --- | --- | --- | --- |' || chr(10) || lines || chr(10) AS content_md FROM al)"""
 
+#: A task's parts as JSON; what a risk names that isn't among its task's clauses is listed.
+_NESTED = f"""{PLACED}, {_META}, {_RISKS}, {_STORED},
+jc AS (SELECT doc_id, '[' || string_agg('{{"clause_id":' || clause_id || coalesce(',"clause_no":' || to_json(clause_no), '') || coalesce(',"title":' || to_json(title), '') || ',"clause_type":"' || clause_type || '","start":' || start_idx || ',"end":' || end_idx || '}}', ',' ORDER BY clause_index) || ']' AS clauses FROM sc GROUP BY doc_id),
+jr AS (SELECT doc_id, '[' || string_agg('{{"seq":' || seq || ',"risk_code":"' || risk_code || '","risk_level":"' || risk_level || '"' || coalesce(',"clause_id":' || named, '') || ',"paragraph_index":' || paragraph_index || ',"quote":' || to_json(quote) || '}}', ',' ORDER BY seq) || ']' AS risks FROM sr GROUP BY doc_id),
+jf AS (SELECT doc_id, string_agg(CAST(named AS VARCHAR), ',' ORDER BY named) AS ids FROM (SELECT DISTINCT doc_id, named FROM sr WHERE named NOT IN (SELECT clause_id FROM sc WHERE sc.doc_id = sr.doc_id)) x GROUP BY doc_id),
+jm AS (SELECT doc_id, '[' || string_agg('{{"field_key":"' || field_key || '","field_value":' || to_json(field_value) || ',"idx":' || idx || '}}', ',' ORDER BY ord) || ']' AS metadata FROM meta GROUP BY doc_id)"""
 _WRITEBACK = f"""WITH t AS ({fx.WRITEBACK_TASKS_SQL}), r AS ({fx.WRITEBACK_RISKS_SQL}),
 k AS (SELECT doc_id, count(*) AS total, count(*) FILTER (WHERE risk_level = 'HIGH') AS high, 0 AS medium, 0 AS low, count(*) FILTER (WHERE risk_level = 'ODD') AS other, string_agg('#### ' || nth || '. [' || risk_level || '] ' || risk_title || chr(10) || chr(10) || '| 项目 | 内容 |' || chr(10) || '| --- | --- |' || chr(10) || '| 风险编码 | ' || coalesce(risk_code, '—') || ' |' || chr(10) || '| 审查维度 | D |' || chr(10) || '| 风险来源 | RULE |' || chr(10) || '| 原文段落 | ' || coalesce('第 ' || paragraph_index || ' 段', '—') || ' |' || chr(10) || '| 人工复核 | ' || CASE review_status WHEN 'MODIFIED' THEN '已修改' ELSE '待复核' END || ' |' || chr(10) || chr(10) ||
   concat_ws(chr(10), '- **风险原因**：why not', '- **法律依据**：' || legal_basis, '- **命中原文**：' || quote, CASE WHEN review_status = 'MODIFIED' THEN '- **人工风险等级**：' || risk_level END, '- **复核意见**：' || review_comment), chr(10) || chr(10) ORDER BY seq) AS blocks
@@ -294,11 +305,19 @@ SELECT e.contract_type, s.version, count(r.rule_id) AS n_rules, 'OK' AS verdict
   WHEN count(*) FILTER (WHERE rule_id IS NOT NULL AND (rule_code = '' OR severity IS NULL OR expression IS NULL OR expression NOT LIKE '{{%')) > 0 THEN 'MALFORMED_RULE' ELSE 'OK' END AS verdict FROM ({fx.SNAPSHOTS_SQL}) x GROUP BY contract_type""",
     "merge_metrics": f"SELECT source, count(*) AS n_risks, count(DISTINCT doc_id) AS n_documents FROM ({_merge('true')}) m GROUP BY source",
     "anchor_metrics": f"{_LOCATED} SELECT (SELECT count(*) FROM fi) AS findings, count(*) AS resolved, (SELECT count(*) FROM fi) - count(*) AS dropped, count(*) FILTER (WHERE anchor_method = 'CLAUSE_FALLBACK') AS fallback FROM lo",
-    "workbench_nested": f"""{PLACED}, {_META}, {_RISKS},
-jc AS (SELECT doc_id, '[' || string_agg('{{"clause_index":' || clause_index || coalesce(',"clause_no":' || to_json(clause_no), '') || coalesce(',"title":' || to_json(title), '') || ',"clause_type":"' || clause_type || '","start":' || start_idx || ',"end":' || end_idx || '}}', ',' ORDER BY clause_index) || ']' AS clauses FROM clt GROUP BY doc_id),
-jr AS (SELECT rr.doc_id, '[' || string_agg('{{"seq":' || seq || ',"risk_code":"' || risk_code || '","risk_level":"' || risk_level || '","clause_index":' || clause_index || ',"paragraph_index":' || paragraph_index || ',"quote":' || to_json(quote) || '}}', ',' ORDER BY seq) || ']' AS risks FROM rr JOIN clt ON clt.doc_id = rr.doc_id AND rr.paragraph_index BETWEEN clt.start_idx AND clt.end_idx GROUP BY rr.doc_id),
-jm AS (SELECT doc_id, '[' || string_agg('{{"field_key":"' || field_key || '","field_value":' || to_json(field_value) || ',"idx":' || idx || '}}', ',' ORDER BY ord) || ']' AS metadata FROM meta GROUP BY doc_id)
-SELECT t.task_id AS doc_id, t.stage, coalesce(jc.clauses, '[]') AS clauses, coalesce(jr.risks, '[]') AS risks, coalesce(jm.metadata, '[]') AS metadata FROM ({_TASKS}) t LEFT JOIN jc ON jc.doc_id = t.task_id LEFT JOIN jr ON jr.doc_id = t.task_id LEFT JOIN jm ON jm.doc_id = t.task_id""",
+    "workbench_nested": f"""{_NESTED}
+SELECT t.task_id AS doc_id, t.stage, coalesce(jc.clauses, '[]') AS clauses, coalesce(jr.risks, '[]') AS risks, coalesce(jm.metadata, '[]') AS metadata, coalesce(jf.ids, '') AS foreign_clause_ids FROM ({_TASKS}) t LEFT JOIN jc ON jc.doc_id = t.task_id LEFT JOIN jr ON jr.doc_id = t.task_id LEFT JOIN jm ON jm.doc_id = t.task_id LEFT JOIN jf ON jf.doc_id = t.task_id""",
+    "workbench_pages": f"""{_NESTED},
+pb AS (SELECT doc_id AS file_id, '[' || string_agg('{{"order_index":' || idx || CASE WHEN block_type = 'PARAGRAPH' THEN ',"paragraph_index":' || idx ELSE '' END || ',"block_type":"' || block_type || '","text":' || to_json(text) || '}}', ',' ORDER BY idx) || ']' AS blocks FROM p GROUP BY doc_id),
+al AS (SELECT t.*, c.c_custkey AS found_contract, c.c_name, c.c_mktsegment, f.file_id AS found_file, f.file_name, f.file_ext, f.parse_status FROM ({fx.PAGE_TASKS_SQL}) t LEFT JOIN customer c ON c.c_custkey = t.contract_id AND c.c_custkey % 10 <> 0 LEFT JOIN ({fx.PAGE_FILES_SQL}) f ON f.file_id = t.file_id),
+ok AS (SELECT *, CASE WHEN found_contract IS NULL THEN 'CONTRACT_NOT_FOUND' WHEN found_file IS NULL THEN 'FILE_NOT_FOUND' END AS error_code FROM al)
+SELECT ok.task_id AS doc_id, error_code,
+  CASE WHEN error_code IS NULL THEN '{{"task_id":' || task_id || ',"status":"' || status || '","current_stage":"' || stage || '","progress":' || CASE stage WHEN 'UPLOADED' THEN 0 WHEN 'PARSED' THEN 30 WHEN 'CLAUSED' THEN 60 WHEN 'REVIEWED' THEN 100 ELSE 0 END || '}}' END AS task,
+  CASE WHEN error_code IS NULL THEN '{{"contract_id":' || contract_id || ',"contract_no":' || to_json(c_name) || ',"title":' || to_json(c_mktsegment) || '}}' END AS contract,
+  CASE WHEN error_code IS NULL THEN '{{"file_id":' || ok.file_id || ',"file_name":' || to_json(file_name) || ',"file_type":"' || CASE file_ext WHEN '.pdf' THEN 'PDF' WHEN '.docx' THEN 'DOCX' ELSE file_ext END || '","parse_status":"' || parse_status || '"}}' END AS file,
+  CASE WHEN error_code IS NULL THEN coalesce(pb.blocks, '[]') END AS blocks, CASE WHEN error_code IS NULL THEN coalesce(jc.clauses, '[]') END AS clauses, CASE WHEN error_code IS NULL THEN coalesce(jr.risks, '[]') END AS risks,
+  CASE WHEN error_code IS NULL THEN coalesce(jm.metadata, '[]') END AS metadata, CASE WHEN error_code IS NULL THEN coalesce(jf.ids, '') END AS foreign_clause_ids
+FROM ok LEFT JOIN pb ON pb.file_id = ok.file_id LEFT JOIN jc ON jc.doc_id = ok.task_id LEFT JOIN jr ON jr.doc_id = ok.task_id LEFT JOIN jm ON jm.doc_id = ok.task_id LEFT JOIN jf ON jf.doc_id = ok.task_id""",
     "contract_number_conflict": f"SELECT upload_id, contract_no, CASE WHEN contract_no IN (SELECT contract_no FROM ({fx.STORED_CONTRACTS_SQL}) c) OR row_number() OVER (PARTITION BY contract_no ORDER BY upload_id) > 1 THEN 'CONFLICT' ELSE 'OK' END AS verdict FROM ({fx.UPLOADS_SQL}) u",
     "task_reuse": f"""WITH q AS (SELECT *, sha256(concat_ws(chr(31), contract_id, sha256, coalesce(version, 'NONE'), 'ingest-v1')) AS task_key FROM ({fx.REQUESTS_SQL}) r),
 t AS (SELECT task_id, sha256(concat_ws(chr(31), contract_id, 's1', 'NONE', 'ingest-v1')) AS task_key FROM ({fx.TASKED_SQL}) x),

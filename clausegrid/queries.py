@@ -353,6 +353,18 @@ def _dossiers(spark, sf_dir):
     return dossier.dossiers(contract_paragraphs(spark, sf_dir), rules.seed_rules())
 
 
+def _stored(spark, sf_dir):
+    """Dossiers as stored; in some documents the first risk names no clause, in some the second one a clause of the next document."""
+    docs = dossier.with_clause_ids(_dossiers(spark, sf_dir))
+    foreign = (F.col("doc_id") + 1) * dossier.IDS_A_DOCUMENT
+
+    def changed(x):
+        kept = F.when((F.col("doc_id") % 5 == 0) & (x["seq"] == 1), F.lit(None)).when((F.col("doc_id") % 7 == 3) & (x["seq"] < 3), foreign).otherwise(x["r"]["clause_id"])
+        return x.withField("r", x["r"].withField("clause_id", kept))
+
+    return docs.withColumn("risks", F.transform("risks", changed))
+
+
 @query
 def workbench_flat(spark, sf_dir):
     tasks = fx.rows(spark, sf_dir, fx.TASKS_SQL).select(F.col("task_id").alias("doc_id"), "stage")
@@ -361,7 +373,7 @@ def workbench_flat(spark, sf_dir):
 
 @query
 def report_markdown(spark, sf_dir):
-    return render.render_reports(fx.rows(spark, sf_dir, fx.REPORT_HEADS_SQL), _dossiers(spark, sf_dir), fx.rows(spark, sf_dir, fx.REVIEWS_SQL))
+    return render.render_reports(fx.rows(spark, sf_dir, fx.REPORT_HEADS_SQL), _stored(spark, sf_dir), fx.rows(spark, sf_dir, fx.REVIEWS_SQL))
 
 
 @query
@@ -486,7 +498,16 @@ def anchor_metrics(spark, sf_dir):
 @query
 def workbench_nested(spark, sf_dir):
     tasks = fx.rows(spark, sf_dir, fx.TASKS_SQL).select(F.col("task_id").alias("doc_id"), "stage")
-    return readmodels.workbench_rows(tasks, _dossiers(spark, sf_dir))
+    return readmodels.workbench_rows(tasks, _stored(spark, sf_dir)).withColumn("foreign_clause_ids", F.array_join("foreign_clause_ids", ","))
+
+
+@query
+def workbench_pages(spark, sf_dir):
+    tasks, files = fx.rows(spark, sf_dir, fx.PAGE_TASKS_SQL), fx.rows(spark, sf_dir, fx.PAGE_FILES_SQL)
+    contracts = table(spark, sf_dir, "customer").where("c_custkey % 10 <> 0").select(F.col("c_custkey").alias("contract_id"), F.col("c_name").alias("contract_no"), F.col("c_mktsegment").alias("title"))
+    blocks = contract_paragraphs(spark, sf_dir).select(F.col("doc_id").alias("file_id"), F.col("idx").alias("order_index"), F.when(F.col("block_type") == "PARAGRAPH", F.col("idx")).alias("paragraph_index"), "block_type", "text")
+    out = readmodels.workbench_pages(tasks, contracts, files, blocks, _stored(spark, sf_dir))
+    return out.withColumn("foreign_clause_ids", F.array_join("foreign_clause_ids", ","))
 
 
 # intake ------------------------------------------------------------------------------------------

@@ -199,6 +199,16 @@ SELECT o_orderkey AS doc_id, 1 AS seq, CASE o_orderkey % 4 WHEN 0 THEN 'CONFIRME
   CASE WHEN o_orderkey % 3 = 0 THEN 'see' || chr(10) || ' clause' WHEN o_orderkey % 3 = 1 THEN '' END AS review_comment, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate END AS reviewed_at
 FROM orders"""
 
+#: Tasks with their contract and file, two or three a file, and the files that are still there.
+PAGE_TASKS_SQL = """
+SELECT o_orderkey AS task_id, o_custkey AS contract_id, o_orderkey - o_orderkey % 3 AS file_id,
+  CASE o_orderkey % 5 WHEN 0 THEN 'UPLOADED' WHEN 1 THEN 'PARSED' WHEN 2 THEN 'CLAUSED' WHEN 3 THEN 'ODD' ELSE 'REVIEWED' END AS stage, o_orderstatus AS status
+FROM orders"""
+PAGE_FILES_SQL = """
+SELECT o_orderkey - o_orderkey % 3 AS file_id, max('f' || CAST(o_orderkey - o_orderkey % 3 AS STRING)) AS file_name,
+  max(CASE WHEN o_orderkey % 12 < 3 THEN '.txt' WHEN o_orderkey % 12 < 6 THEN '.pdf' ELSE '.docx' END) AS file_ext, 'PARSED' AS parse_status
+FROM orders WHERE (o_orderkey - o_orderkey % 3) % 7 <> 0 GROUP BY o_orderkey - o_orderkey % 3"""
+
 #: Uploads and the contracts that are stored.
 UPLOADS_SQL = "SELECT o_orderkey AS upload_id, 'HT-' || CAST(o_custkey AS STRING) AS contract_no FROM orders"
 STORED_CONTRACTS_SQL = "SELECT 'HT-' || CAST(c_custkey * 3 AS STRING) AS contract_no FROM customer"

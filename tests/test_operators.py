@@ -265,7 +265,7 @@ def test_whole_review_and_report(spark, golden):
     out = review(golden, rules.seed_rules(), raw)
     got = {r.risk_code: (r.source, r.paragraph_index) for r in out.risks.collect()}
     assert got == {"IP_OWNER_SUPPLIER_001": ("RULE+LLM", 23), "LIAB_UNLIMITED_001": ("RULE", 30)}
-    docs = dossier.with_risks(out.dossiers, out.risks)
+    docs = dossier.with_clause_ids(dossier.with_risks(out.dossiers, out.risks))
     heads = spark.createDataFrame([(1, "reviewing", "REVIEWED", NOON, "HT-1", "采购|合同", "PURCHASE", "甲", None, Decimal("1234.50"), "CNY", "2026-01-02", None, None, " ", "a.docx", "DOCX", "PARSED", "ab12", "PARAGRAPH"), (2, "pending", "ODD", NOON, "HT-2", "t", "SALES", None, None, None, "CNY", None, None, None, "法务", "b.docx", None, "EMPTY", "cd", "PARAGRAPH")], HEADS)
     reviews = spark.createDataFrame([(1, 1, "MODIFIED", "see\nclause", NOON)], "doc_id long, seq long, review_status string, review_comment string, reviewed_at timestamp")
     md = {r.doc_id: r.content_md for r in render.render_reports(heads, docs, reviews).collect()}
@@ -275,6 +275,26 @@ def test_whole_review_and_report(spark, golden):
     assert md[2] == EMPTY_REPORT
 
 
+def test_a_risk_has_the_clause_that_its_id_names(spark, golden):
+    """Null, own and foreign ids; clauses without number and title; the paragraph decides nothing once the risk is stored."""
+    stored = dossier.with_clause_ids(dossier.dossiers(golden, rules.seed_rules()))
+    one, two = stored.first().risks
+    own = stored.first().clauses
+    assert one.r.clause_id == next(c.clause_id for c in own if c.start_idx <= one.r.paragraph_index <= c.end_idx) == dossier.IDS_A_DOCUMENT + 4
+    heads = spark.createDataFrame([(1, "reviewing", "REVIEWED", NOON, "HT-1", "t", "P", None, None, None, None, None, None, None, None, "a", "DOCX", "PARSED", "ab", "PARAGRAPH")], HEADS)
+    none = spark.createDataFrame([], "doc_id long, seq long, review_status string, review_comment string, reviewed_at timestamp")
+    tasks = spark.createDataFrame([(1,), (9,)], "doc_id long")
+    for clause_id, text, foreign in [(None, "未关联具体条款", []), (77, "条款信息缺失（#77）", [77]), (own[-1].clause_id, f"{own[-1].clause_no} {own[-1].title}", []), (own[0].clause_id, f"条款 #{own[0].clause_id}", [])]:
+        docs = stored.withColumn("risks", F.transform("risks", lambda x: x.withField("r", x["r"].withField("clause_id", F.lit(clause_id).cast("long")))))
+        md = render.render_reports(heads, docs, none).first().content_md
+        assert md.count(f"| 所属条款 | {text} |") == 2
+        got = {r.doc_id: r for r in readmodels.workbench_rows(tasks, docs).collect()}
+        assert got[1].foreign_clause_ids == foreign and got[1].risks.count(f'"clause_id":{clause_id}') == (2 if clause_id else 0)
+        assert (got[9].risks, got[9].foreign_clause_ids) == ("[]", [])
+    nowhere = stored.withColumn("risks", F.transform("risks", lambda x: x.withField("r", x["r"].withField("paragraph_index", F.lit(None).cast("int")))))
+    assert {x.r.clause_id for x in dossier.with_clause_ids(nowhere).first().risks} == {None}
+
+
 #: A report without findings, in full.
 EMPTY_REPORT = """# 合同审查报告
 
