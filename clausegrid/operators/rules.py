@@ -1,7 +1,9 @@
 """Rules as data: validation, keyword / regex / threshold evaluation and the three-state verdict.
 
-The rule catalogue is small: it is read and validated on the driver and becomes column expressions, so
-all rules are evaluated in one pass over the paragraphs, without a join with the rules.
+The rule catalogue is small (its size is checked): it is read and validated on the driver. The plan has the
+same size for any number of rules: a few rules that look at paragraphs are column expressions, more of them are
+one scan (``functions/terms.py``); what the rules say and the bounds of thresholds are one literal table, which
+an index looks up; verdicts join a row a rule to the documents.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..constants import CLAUSE_TYPES, METADATA_FIELDS, MOST_RULES, SEED_RULES
+from ..functions.terms import rule_scan
 from .clauses import with_clauses
 from .metadata import field_aggregates, known_currency
 
@@ -128,6 +131,10 @@ def _in_scope(rule: Rule) -> Column:
     return F.col("clause_type").isin(rule.target_clause_types) if rule.target_clause_types else F.lit(True)
 
 
+#: Rules that look at paragraphs and are column expressions; a larger catalogue is one scan. Both give the same rows.
+EXPRESSIONS = 8
+
+
 def _keyword_hit(rule: Rule) -> Column:
     """(quote, reason) or null: the terms in the paragraph, leftmost first, ties as in the expression."""
     words = list(dict.fromkeys(rule.expression["keywords"]))
@@ -157,19 +164,40 @@ def _regex_hit(spark: SparkSession, rule: Rule) -> Column:
     return F.when(quote != "", F.struct(quote.alias("quote"), reason.alias("reason")))
 
 
-def _hit(spark: SparkSession, rule: Rule) -> Column:
-    return _keyword_hit(rule) if rule.rule_type == "KEYWORD" else _regex_hit(spark, rule)
+def _text_rules(rules: list[Rule]) -> list[tuple[int, Rule]]:
+    return [(n, r) for n, r in enumerate(rules) if r.failure() is None and r.rule_type in ("KEYWORD", "REGEX")]
+
+
+def _found(spark: SparkSession, rules: list[Rule]) -> Column:
+    """(rule_ord, quote, reason) of each rule in scope that hits a placed paragraph, by rule, as an array."""
+    some = _text_rules(rules)
+    if len(some) > EXPRESSIONS:
+        return rule_scan(spark, [(n, r.rule_type, r.expression["keywords"] if r.rule_type == "KEYWORD" else r.expression["pattern"], r.target_clause_types) for n, r in some])("text", "clause_type")
+    hits = []
+    for n, rule in some:
+        hit = _keyword_hit(rule) if rule.rule_type == "KEYWORD" else _regex_hit(spark, rule)
+        hits.append(F.when(_in_scope(rule) & hit.isNotNull(), F.struct(F.lit(n).alias("rule_ord"), hit["quote"].alias("quote"), hit["reason"].alias("reason"))))
+    return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<struct<rule_ord:int,quote:string,reason:string>>")
+
+
+def _literal(rows: list[dict], schema: str) -> Column:
+    """A small table as one literal."""
+    return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")
+
 
+_SAYS = "risk_code:string,risk_title:string,dimension:string,risk_level:string,legal_basis:string"
 
-def _risk(rule: Rule, n: int, idx: Column, original: Column, quote: Column, reason: Column) -> Column:
+
+def _says(rule: Rule) -> dict:
+    return {"risk_code": rule.rule_code, "risk_title": rule.rule_name, "dimension": rule.dimension, "risk_level": rule.severity, "legal_basis": rule.legal_basis}
+
+
+def _risk(n: Column, says: Column, idx: Column, original: Column, quote: Column, reason: Column) -> Column:
     return F.struct(
-        F.lit(n).alias("rule_ord"),
-        F.lit(rule.rule_code).alias("risk_code"),
-        F.lit(rule.rule_name).alias("risk_title"),
-        F.lit(rule.dimension).alias("dimension"),
-        F.lit(rule.severity).alias("risk_level"),
+        n.alias("rule_ord"),
+        *(says[c].alias(c) for c in ("risk_code", "risk_title", "dimension", "risk_level")),
         reason.alias("reason"),
-        F.lit(rule.legal_basis).cast("string").alias("legal_basis"),
+        says["legal_basis"].alias("legal_basis"),
         original.alias("original_text"),
         quote.alias("quote"),
         idx.alias("paragraph_index"),
@@ -178,16 +206,8 @@ def _risk(rule: Rule, n: int, idx: Column, original: Column, quote: Column, reas
 
 def paragraph_hits(spark: SparkSession, rules: list[Rule]) -> Column:
     """The risks of keyword and regex rules in a placed paragraph, as an array."""
-    hits = []
-    for n, rule in enumerate(rules):
-        if rule.failure() is None and rule.rule_type in ("KEYWORD", "REGEX"):
-            hit = _hit(spark, rule)
-            hits.append(F.when(_in_scope(rule) & hit.isNotNull(), _risk(rule, n, F.col("idx"), F.col("text"), hit["quote"], hit["reason"])))
-    return F.array_compact(F.array(*hits)) if hits else _no_risks()
-
-
-def _no_risks() -> Column:
-    return F.filter(F.array(_risk(Rule("", "", "", "", {}, ""), 0, F.lit(0), F.lit(""), F.lit(""), F.lit(""))), lambda _: F.lit(False))
+    says = _literal([_says(r) for r in rules], _SAYS)
+    return F.transform(_found(spark, rules), lambda x: _risk(x["rule_ord"], F.get(says, x["rule_ord"]), F.col("idx"), F.col("text"), x["quote"], x["reason"]))
 
 
 def paragraph_risks(paragraphs: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -199,72 +219,91 @@ def paragraph_risks(paragraphs: DataFrame, rules: list[Rule]) -> DataFrame:
 _LABELS = {key: label for key, label, _ in METADATA_FIELDS}
 
 
-def _compared(rule: Rule) -> tuple[Column, Column, Column]:
-    """(whether a number is there, whether it passes the bound, the field's struct) from the wide metadata.
+_BOUNDS = "rule_ord:int,field:string,op:string,bound:string,about:string,wants:string,taken:string," + _SAYS
+
+
+def _bound(n: int, rule: Rule) -> dict:
+    """A threshold rule as a row: its bound exactly, if 38 digits can say it, and as a double (infinite beyond those)."""
+    x = rule.expression
+    exact = Decimal(x["value"] if isinstance(x["value"], int) else str(x["value"]))
+    fits = exact.is_finite() and abs(exact) < Decimal(10) ** 20 and -exact.as_tuple().exponent <= 18
+    try:
+        about = float(x["value"])
+    except OverflowError:  # an integer beyond all doubles
+        about = math.inf if x["value"] > 0 else -math.inf
+    wants, taken = f"规则要求 {x['field']} {x['op']} {exact}，实际值为 ", f"（取自「{_LABELS.get(x['field'], '')}」）"
+    return {"rule_ord": n, "field": x["field"], "op": x["op"], "bound": format(exact, "f") if fits else None, "about": repr(about).replace("inf", "Infinity"), "wants": wants, "taken": taken} | _says(rule)
+
+
+def _thresholds(rules: list[Rule]) -> list[dict]:
+    return [_bound(n, r) for n, r in enumerate(rules) if r.rule_type == "THRESHOLD" and r.failure() is None]
+
+
+def _items() -> Column:
+    """The metadata fields of a wide row that a threshold may ask for, by name."""
+    return F.create_map(*(x for key in _LABELS if key != "payment_terms" for x in (F.lit(key), F.struct(*(F.col(key)[c].alias(c) for c in ("value", "idx", "quote"))))))
+
+
+def _compared(rule: Column, items: Column) -> tuple[Column, Column, Column]:
+    """(whether a number is there, whether it passes the bound, the field's struct), for a row of ``_bound``.
 
     Numbers are compared exactly, as decimals of 38 digits, as far as both fit that; beyond it, and for an infinite bound, as doubles.
     """
-    x = rule.expression
-    known = x["field"] in _LABELS and x["field"] != "payment_terms"
-    item = F.col(x["field"]) if known else F.lit(None).cast("struct<value:string,idx:int,quote:string>")
+    item = F.try_element_at(items, rule["field"])
     text = F.trim(item["value"])
     there = F.coalesce(text.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"), F.lit(False))
-    about = text.try_cast("double")
-    by = {"gt": lambda a, b: a > b, "gte": lambda a, b: a >= b, "lt": lambda a, b: a < b, "lte": lambda a, b: a <= b, "eq": lambda a, b: a == b, "ne": lambda a, b: a != b}[x["op"]]
-    passes = by(about, F.lit(float(x["value"])))
-    bound = Decimal(str(x["value"]))
-    if bound.is_finite() and abs(bound) < Decimal(10) ** 20 and -bound.as_tuple().exponent <= 18:
-        short = F.length(F.regexp_extract(text, r"\.(\d*)$", 1)) <= 18
-        exact = F.when(short & ~text.rlike("[eE]"), text.try_cast("decimal(38,18)"))
-        passes = F.when(exact.isNotNull(), by(exact, F.lit(bound).cast("decimal(38,18)"))).otherwise(passes)
-    return there, there & passes, item
+
+    def passes(a: Column, b: Column) -> Column:
+        op = rule["op"]
+        return F.when(op == "gt", a > b).when(op == "gte", a >= b).when(op == "lt", a < b).when(op == "lte", a <= b).when(op == "eq", a == b).otherwise(a != b)
+
+    short = (F.length(F.regexp_extract(text, r"\.(\d*)$", 1)) <= 18) & ~text.rlike("[eE]")
+    exact, bound = F.when(short, text.try_cast("decimal(38,18)")), rule["bound"].try_cast("decimal(38,18)")
+    judged = F.when(exact.isNotNull() & bound.isNotNull(), passes(exact, bound)).otherwise(passes(text.try_cast("double"), rule["about"].cast("double")))
+    return there, there & judged, item
 
 
 def threshold_verdicts(wide: DataFrame, rules: list[Rule]) -> DataFrame:
     """One row a document and threshold rule: status, the value compared and where it was read."""
-    rows = []
-    for n, rule in enumerate(rules):
-        if rule.rule_type == "THRESHOLD" and rule.failure() is None:
-            there, passes, item = _compared(rule)
-            status = F.when(~there, "EVALUATION_FAILED").when(passes, "MATCHED").otherwise("NOT_MATCHED")
-            value = F.when(there, item["value"].try_cast("decimal(38,18)"))
-            rows.append(F.struct(F.lit(n).alias("rule_ord"), F.lit(rule.rule_code).alias("rule_code"), status.alias("status"), value.alias("value"), item["idx"].alias("paragraph_index"), item["quote"].alias("quote"), item["value"].alias("field_value")))
-    if not rows:
+    some = _thresholds(rules)
+    if not some:
         raise ValueError("no threshold rule that can be evaluated")
-    return wide.select("doc_id", F.explode(F.array(*rows)).alias("v")).select("doc_id", "v.*")
-
-
-def _threshold_hit(rule: Rule, n: int) -> tuple[Column, Column]:
-    """(status, risk or null) of a wide metadata row."""
-    there, passes, item = _compared(rule)
-    x = rule.expression
-    reason = F.concat(F.lit(f"规则要求 {x['field']} {x['op']} {Decimal(str(x['value']))}，实际值为 "), item["value"], F.lit(f"（取自「{_LABELS.get(x['field'], '')}」）"))
-    status = F.when(~there, "MISSING_INPUT").when(passes, "MATCHED").otherwise("NOT_MATCHED")
-    return status, F.when(passes, _risk(rule, n, item["idx"], item["quote"], item["quote"], reason))
+    each = wide.select("doc_id", _items().alias("_items"), F.explode(_literal(some, _BOUNDS)).alias("_r"))
+    there, passes, item = _compared(F.col("_r"), F.col("_items"))
+    status = F.when(~there, "EVALUATION_FAILED").when(passes, "MATCHED").otherwise("NOT_MATCHED")
+    value = F.when(there, item["value"].try_cast("decimal(38,18)"))
+    return each.select("doc_id", "_r.rule_ord", F.col("_r.risk_code").alias("rule_code"), status.alias("status"), value.alias("value"), item["idx"].alias("paragraph_index"), item["quote"].alias("quote"), item["value"].alias("field_value"))
 
 
 def threshold_hits(rules: list[Rule]) -> Column:
     """The risks of the threshold rules in a wide metadata row, as an array."""
-    hits = [_threshold_hit(r, n)[1] for n, r in enumerate(rules) if r.rule_type == "THRESHOLD" and r.failure() is None]
-    return F.array_compact(F.array(*hits)) if hits else _no_risks()
+    items = _items()
+
+    def hit(r: Column) -> Column:
+        _, passes, item = _compared(r, items)
+        return F.when(passes, _risk(r["rule_ord"], r, item["idx"], item["quote"], item["quote"], F.concat(r["wants"], item["value"], r["taken"])))
+
+    return F.array_compact(F.transform(_literal(_thresholds(rules), _BOUNDS), hit))
 
 
 def evaluate(paragraphs: DataFrame, rules: list[Rule]) -> DataFrame:
     """One row a document and rule: MATCHED, NOT_MATCHED or EVALUATION_FAILED with its reason, and the number of risks."""
     spark = paragraphs.sparkSession
-    counts = [F.count_if(_in_scope(r) & _hit(spark, r).isNotNull()).alias(f"n{n}") for n, r in enumerate(rules) if r.failure() is None and r.rule_type in ("KEYWORD", "REGEX")]
+    bounds = {r["rule_ord"]: r for r in _thresholds(rules)}
+    rows = [(n, r.rule_code, r.failure(), *(bounds[n][c] if n in bounds else None for c in ("field", "op", "bound", "about"))) for n, r in enumerate(rules)]
+    table = F.broadcast(spark.createDataFrame(rows, "rule_ord int, rule_code string, failure string, field string, op string, bound string, about string"))  # MOST_RULES rows at most
+    ords = F.transform(_found(spark, rules), lambda x: x["rule_ord"])
     # metadata and hits in one aggregation, on the partitioning that the clauses have made
-    docs = known_currency(with_clauses(paragraphs).groupBy("doc_id").agg(*field_aggregates(), *counts))
-    rows = []
-    for n, rule in enumerate(rules):
-        failure, count = F.lit(rule.failure()).cast("string"), F.col(f"n{n}") if f"n{n}" in docs.columns else F.lit(0)
-        if rule.failure() is None and rule.rule_type == "THRESHOLD":
-            status, _ = _threshold_hit(rule, n)
-            failure = F.when(status == "MISSING_INPUT", status)
-            count = F.when(status == "MATCHED", 1).otherwise(0).cast("long")
-        verdict = F.when(failure.isNotNull(), "EVALUATION_FAILED").when(count > 0, "MATCHED").otherwise("NOT_MATCHED")
-        rows.append(F.struct(F.lit(rule.rule_code).alias("rule_code"), verdict.alias("status"), failure.alias("failure_reason"), count.cast("long").alias("n_risks")))
-    return docs.select("doc_id", F.explode(F.array(*rows)).alias("e")).select("doc_id", "e.*")
+    docs = known_currency(with_clauses(paragraphs).groupBy("doc_id").agg(*field_aggregates(), F.flatten(F.collect_list(ords)).alias("_ords")))
+    each = docs.select("doc_id", "_ords", _items().alias("_items"), F.explode(F.sequence(F.lit(0), F.lit(len(rules) - 1))).alias("rule_ord")) if rules else docs.select("doc_id", "_ords", _items().alias("_items"), F.lit(0).alias("rule_ord")).limit(0)
+    met = each.join(table, "rule_ord")
+    there, passes, _ = _compared(F.struct("field", "op", "bound", "about"), F.col("_items"))
+    compared = F.col("field").isNotNull()
+    failure = F.coalesce("failure", F.when(compared & ~there, "MISSING_INPUT"))
+    count = F.when(compared, F.when(passes, 1).otherwise(0)).otherwise(F.size(F.filter("_ords", lambda x: x == F.col("rule_ord"))))
+    counted = met.select("doc_id", "rule_code", failure.alias("failure_reason"), count.cast("long").alias("n_risks"))
+    verdict = F.when(F.col("failure_reason").isNotNull(), "EVALUATION_FAILED").when(F.col("n_risks") > 0, "MATCHED").otherwise("NOT_MATCHED")
+    return counted.select("doc_id", "rule_code", verdict.alias("status"), "failure_reason", "n_risks")
 
 
 def rule_risks(paragraphs: DataFrame, rules: list[Rule]) -> DataFrame:

@@ -305,6 +305,8 @@ SELECT e.contract_type, s.version, count(r.rule_id) AS n_rules, 'OK' AS verdict
   WHEN count(*) FILTER (WHERE rule_id IS NOT NULL AND (rule_code = '' OR severity IS NULL OR expression IS NULL OR expression NOT LIKE '{{%')) > 0 THEN 'MALFORMED_RULE' ELSE 'OK' END AS verdict FROM ({fx.SNAPSHOTS_SQL}) x GROUP BY contract_type""",
     "merge_metrics": f"SELECT source, count(*) AS n_risks, count(DISTINCT doc_id) AS n_documents FROM ({_merge('true')}) m GROUP BY source",
     "anchor_metrics": f"{_LOCATED} SELECT (SELECT count(*) FROM fi) AS findings, count(*) AS resolved, (SELECT count(*) FROM fi) - count(*) AS dropped, count(*) FILTER (WHERE anchor_method = 'CLAUSE_FALLBACK') AS fallback FROM lo",
+    "rule_catalogue_hits": f"""{CORPUS} SELECT doc_id, 'SUPPLIER_' || s_suppkey AS risk_code, CASE WHEN s_suppkey % 2 = 0 THEN 'HIGH' ELSE 'LOW' END AS risk_level, idx AS paragraph_index, '）：' || x.s_name AS quote,
+  '命中规则关键词：「）：' || x.s_name || '」、「' || x.s_name || '」' AS reason FROM p JOIN supplier x ON contains(p.text, x.s_name) WHERE s_suppkey % 3 <> 0""",
     "workbench_nested": f"""{_NESTED}
 SELECT t.task_id AS doc_id, t.stage, coalesce(jc.clauses, '[]') AS clauses, coalesce(jr.risks, '[]') AS risks, coalesce(jm.metadata, '[]') AS metadata, coalesce(jf.ids, '') AS foreign_clause_ids FROM ({_TASKS}) t LEFT JOIN jc ON jc.doc_id = t.task_id LEFT JOIN jr ON jr.doc_id = t.task_id LEFT JOIN jm ON jm.doc_id = t.task_id LEFT JOIN jf ON jf.doc_id = t.task_id""",
     "workbench_pages": f"""{_NESTED},

@@ -188,6 +188,12 @@ def rule_risks(spark, sf_dir):
     return rules.rule_risks(contract_paragraphs(spark, sf_dir), rules.seed_rules()).select("doc_id", "seq", "risk_code", "risk_level", "paragraph_index", "original_text", "quote")
 
 
+@query
+def rule_catalogue_hits(spark, sf_dir):
+    catalogue_rules = rules.collect_rules(fx.rows(spark, sf_dir, fx.CATALOGUE_SQL))
+    return rules.paragraph_risks(contract_paragraphs(spark, sf_dir), catalogue_rules).select("doc_id", "risk_code", "risk_level", "paragraph_index", "quote", "reason")
+
+
 # findings --------------------------------------------------------------------------------------
 
 

@@ -199,6 +199,13 @@ SELECT o_orderkey AS doc_id, 1 AS seq, CASE o_orderkey % 4 WHEN 0 THEN 'CONFIRME
   CASE WHEN o_orderkey % 3 = 0 THEN 'see' || chr(10) || ' clause' WHEN o_orderkey % 3 = 1 THEN '' END AS review_comment, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate END AS reviewed_at
 FROM orders"""
 
+#: A rule for each supplier: its name and an older spelling, in all clauses, or in those of a type where it isn't.
+CATALOGUE_SQL = """
+SELECT 'SUPPLIER_' || CAST(s_suppkey AS STRING) AS rule_code, s_name AS rule_name, '主体资质' AS dimension, 'KEYWORD' AS rule_type,
+  '{"keywords": ["' || s_name || '", "' || '）：' || s_name || '"]}' AS expression, CASE WHEN s_suppkey % 2 = 0 THEN 'HIGH' ELSE 'LOW' END AS severity,
+  CASE WHEN s_suppkey % 3 = 0 THEN array('DISPUTE') END AS target_clause_types, CAST(s_suppkey AS INT) AS sort_order
+FROM supplier"""
+
 #: Tasks with their contract and file, two or three a file, and the files that are still there.
 PAGE_TASKS_SQL = """
 SELECT o_orderkey AS task_id, o_custkey AS contract_id, o_orderkey - o_orderkey % 3 AS file_id,

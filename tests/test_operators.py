@@ -1,6 +1,7 @@
 """Operators on small tables, by hand-made expectations and by properties."""
 
 import io
+import math
 import random
 import re
 import zipfile
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clausegrid import constants
+from clausegrid.functions import terms
 from clausegrid.functions import text as ft
 from clausegrid.operators import clauses, dossier, findings, keywords, merge, metadata, paragraphs, persist, readmodels, render, rules
 from clausegrid.plans.review import review
@@ -275,6 +277,59 @@ def test_whole_review_and_report(spark, golden):
     assert md[2] == EMPTY_REPORT
 
 
+def many_rules(n):
+    out = []
+    for i in range(n):
+        words = [f"词{i}", "甲方" if i % 5 == 0 else f"无{i}", "责任", "责"][: 1 + i % 4]
+        out.append(rules.Rule(f"K{i}", f"n{i}", "d", "KEYWORD", {"keywords": words}, "LOW", ["LIABILITY"] if i % 3 == 0 else [], "law" if i % 2 else None))
+    patterns = ["甲方|乙方", r"\d+%?", r"(?<=第)四", r"责\w", r"x*"]
+    out += [rules.Rule(f"R{i}", "r", "d", "REGEX", {"pattern": p}, "HIGH", ["IP"] if i == 0 else []) for i, p in enumerate(patterns)]
+    out += [rules.Rule(f"T{i}", "t", "d", "THRESHOLD", {"field": "prepay_ratio", "op": op, "value": 0.3}, "HIGH") for i, op in enumerate(("gt", "gte", "lt", "lte", "eq", "ne"))]
+    return [*out, rules.Rule("BAD", "b", "d", "REGEX", {"pattern": "("}, "LOW")]
+
+
+def test_a_scan_finds_what_expressions_find(spark, golden, monkeypatch):
+    catalogue_rules = many_rules(40)
+    seen = []
+    for most in (0, 1000):
+        monkeypatch.setattr(rules, "EXPRESSIONS", most)
+        seen.append([sorted(map(repr, f(golden, catalogue_rules).collect())) for f in (rules.paragraph_risks, rules.rule_risks, rules.evaluate)])
+    assert seen[0] == seen[1] and all(seen[0])
+    odd = spark.createDataFrame([(1, 0, "PARAGRAPH", None), (1, 1, "PARAGRAPH", ""), (1, 2, "PARAGRAPH", "aab " * 50_000), (None, 0, "PARAGRAPH", "\U0001d4b3aab")], "doc_id long, idx int, block_type string, text string")
+    some = [rules.Rule(f"K{i}", "n", "d", "KEYWORD", {"keywords": [w, "b "]}, "LOW") for i, w in enumerate(["aab", "ab", "aa", "\U0001d4b3a", "b a"])]
+    for most in (0, 1000):
+        monkeypatch.setattr(rules, "EXPRESSIONS", most)
+        seen.append(sorted(map(repr, rules.paragraph_risks(odd, some).collect())))
+    assert seen[2] == seen[3] and len(seen[2]) == 9
+    lexicon = ["aab", "b", "aab", "ab"]
+    for most in (0, 1000):
+        monkeypatch.setattr(keywords, "EXPRESSIONS", most)
+        seen.append(sorted(map(repr, keywords.keyword_hits(odd, lexicon).collect())))
+    assert seen[4] == seen[5] and len(seen[4]) == 8
+
+
+def test_plans_do_not_grow_with_the_catalogue(spark, golden):
+    sizes = []
+    for n in (30, 3000):
+        catalogue_rules = many_rules(n)
+        plans = [f(golden, catalogue_rules)._jdf.queryExecution().optimizedPlan().toString() for f in (rules.evaluate, rules.rule_risks)]
+        sizes.append([len(re.sub(r"LocalRelation.*", "", p).splitlines()) for p in plans])
+    assert sizes[0] == sizes[1]
+    hit = {r.rule_code: r.n_risks for r in rules.evaluate(golden, many_rules(3000)).collect()}
+    assert len(hit) == 3012 and sum(n > 0 for n in hit.values()) > 1000
+    with pytest.raises(ValueError):
+        terms.term_scan(spark, ["x" * (terms.MOST_CHARACTERS + 1)])
+
+
+def test_bounds_beyond_all_doubles(spark):
+    wide = metadata.wide_metadata(spark.createDataFrame([(1, 0, "PARAGRAPH", "合同总价为 1200 元")], "doc_id long, idx int, block_type string, text string"))
+    values = [10**308, 10**309, -(10**400), 10**400, 1e308, math.inf, -math.inf]
+    some = [rules.Rule(f"{op}{i}", "t", "d", "THRESHOLD", {"field": "contract_amount", "op": op, "value": v}, "LOW") for i, v in enumerate(values) for op in ("gt", "lte", "ne", "eq")]
+    got = {r.rule_code: r.status for r in rules.threshold_verdicts(wide, some).collect()}
+    by = {"gt": lambda a, b: a > b, "lte": lambda a, b: a <= b, "ne": lambda a, b: a != b, "eq": lambda a, b: a == b}
+    assert got == {f"{op}{i}": "MATCHED" if by[op](1200, v) else "NOT_MATCHED" for i, v in enumerate(values) for op in by}
+
+
 def test_a_risk_has_the_clause_that_its_id_names(spark, golden):
     """Null, own and foreign ids; clauses without number and title; the paragraph decides nothing once the risk is stored."""
     stored = dossier.with_clause_ids(dossier.dossiers(golden, rules.seed_rules()))
