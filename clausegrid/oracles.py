@@ -217,6 +217,28 @@ SELECT doc_id, '## 合同审查意见' || chr(10) || chr(10) || '> 合同编号
 _TASKS = f"SELECT * FROM ({fx.TASKS_SQL}) t"
 _LINES = "SELECT doc_id, CAST(unnest(range(len(string_split(text, chr(10))))) AS INTEGER) AS idx, unnest(string_split(text, chr(10))) AS text FROM documents"
 
+def _persist_call(n: int, which: str, before: int | None) -> str:
+    """One call: each request after the other by task_id; a file's blocks are told apart by their number here."""
+    stored = f"(SELECT file_id, max(n) AS n FROM v{before} WHERE creates GROUP BY file_id)" if before else "(SELECT 0 AS file_id, 0 AS n WHERE false)"
+    said = f"(SELECT file_id, CASE WHEN max(CASE WHEN parse_status = 'PARSED' THEN 1 ELSE 0 END) = 1 THEN 'PARSED' ELSE 'FAILED' END AS s FROM v{before} WHERE verdict = 'OK' GROUP BY file_id)" if before else "(SELECT 0 AS file_id, '' AS s WHERE false)"
+    done = f"(SELECT task_id FROM v{before} WHERE verdict = 'OK')" if before else "(SELECT 0 AS task_id WHERE false)"
+    return f"""q{n} AS (SELECT r.task_id, r.parse_status, t.file_id, CASE WHEN d.task_id IS NOT NULL THEN 'CLAUSED' ELSE t.stage END AS stage, coalesce(a.s, f.parse_status) AS was, b.n AS stored,
+  CASE WHEN r.parse_status = 'FAILED' THEN 0 WHEN r.task_id % 10 = 6 THEN 17 ELSE 18 END AS n,
+  CASE WHEN t.task_id IS NULL THEN 'TASK_NOT_FOUND' WHEN f.file_id IS NULL THEN 'FILE_NOT_FOUND' WHEN d.task_id IS NOT NULL OR t.stage IN ('CLAUSED', 'REVIEWED') THEN 'DOCUMENT_ALREADY_PERSISTED' END AS gate
+  FROM (SELECT * FROM ({fx.PERSIST_REQUESTS_SQL}) x WHERE {which}) r LEFT JOIN ({fx.PERSIST_TASKS_SQL}) t ON t.task_id = r.task_id LEFT JOIN ({fx.PERSIST_FILES_SQL}) f ON f.file_id = t.file_id
+  LEFT JOIN {stored} b ON b.file_id = t.file_id LEFT JOIN {said} a ON a.file_id = t.file_id LEFT JOIN {done} d ON d.task_id = r.task_id),
+w{n} AS (SELECT *, min(CASE WHEN gate IS NULL AND n > 0 AND stored IS NULL THEN task_id END) OVER (PARTITION BY file_id) AS maker FROM q{n}),
+x{n} AS (SELECT *, coalesce(stored, CASE WHEN task_id >= maker THEN max(CASE WHEN task_id = maker THEN n END) OVER (PARTITION BY file_id) END, 0) AS must FROM w{n}),
+y{n} AS (SELECT *, min(CASE WHEN gate IS NULL AND n = must AND parse_status = 'PARSED' THEN task_id END) OVER (PARTITION BY file_id) AS parsed FROM x{n}),
+v{n} AS (SELECT *, verdict = 'OK' AND coalesce(task_id = maker, false) AS creates FROM (SELECT *, CASE WHEN gate IS NOT NULL THEN gate WHEN parse_status = 'FAILED' AND (was = 'PARSED' OR coalesce(parsed < task_id, false)) THEN 'PARSE_STATUS_ALREADY_FINAL' WHEN n <> must THEN 'DOCUMENT_BLOCKS_CONFLICT' ELSE 'OK' END AS verdict FROM y{n}) z)"""
+
+
+def _persisted(n: int) -> str:
+    ok = lambda x: f"CAST(CASE WHEN verdict = 'OK' THEN {x} ELSE 0 END AS BIGINT)"
+    rows = lambda t: f"CASE WHEN parse_status = 'PARSED' THEN (SELECT count(*) FROM {t} WHERE {t}.doc_id = task_id) ELSE 0 END"
+    return f"SELECT task_id, verdict, {ok('CASE WHEN creates THEN n ELSE 0 END')} AS blocks_created, {ok('CASE WHEN creates THEN 0 ELSE n END')} AS blocks_reused, {ok(rows('clt'))} AS clauses_persisted, {ok(rows('meta'))} AS metadata_persisted, CASE WHEN verdict = 'OK' THEN 'CLAUSED' ELSE stage END AS current_stage, {n} AS call FROM v{n}"
+
+
 ORACLE_SQL: dict[str, str] = {
     "paragraph_scan": f"SELECT doc_id, idx, 'PARAGRAPH' AS block_type, text FROM ({_LINES}) l",
     "paragraph_normalize": f"SELECT doc_id, idx, 'PARAGRAPH' AS block_type, trim(regexp_replace(text, '{_SPACE}', ' ', 'g')) AS text FROM ({_LINES}) l",
@@ -305,6 +327,7 @@ SELECT e.contract_type, s.version, count(r.rule_id) AS n_rules, 'OK' AS verdict
   WHEN count(*) FILTER (WHERE rule_id IS NOT NULL AND (rule_code = '' OR severity IS NULL OR expression IS NULL OR expression NOT LIKE '{{%')) > 0 THEN 'MALFORMED_RULE' ELSE 'OK' END AS verdict FROM ({fx.SNAPSHOTS_SQL}) x GROUP BY contract_type""",
     "merge_metrics": f"SELECT source, count(*) AS n_risks, count(DISTINCT doc_id) AS n_documents FROM ({_merge('true')}) m GROUP BY source",
     "anchor_metrics": f"{_LOCATED} SELECT (SELECT count(*) FROM fi) AS findings, count(*) AS resolved, (SELECT count(*) FROM fi) - count(*) AS dropped, count(*) FILTER (WHERE anchor_method = 'CLAUSE_FALLBACK') AS fallback FROM lo",
+    "document_persist": f"{PLACED}, {_META}, {_persist_call(1, 'task_id % 2 = 0', None)}, {_persist_call(2, 'true', 1)} {_persisted(1)} UNION ALL {_persisted(2)}",
     "rule_catalogue_hits": f"""{CORPUS} SELECT doc_id, 'SUPPLIER_' || s_suppkey AS risk_code, CASE WHEN s_suppkey % 2 = 0 THEN 'HIGH' ELSE 'LOW' END AS risk_level, idx AS paragraph_index, '）：' || x.s_name AS quote,
   '命中规则关键词：「）：' || x.s_name || '」、「' || x.s_name || '」' AS reason FROM p JOIN supplier x ON contains(p.text, x.s_name) WHERE s_suppkey % 3 <> 0""",
     "workbench_nested": f"""{_NESTED}

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .constants import REVIEW_LABELS
+from .functions.shared import new_folder
 from .operators import catalogue, clauses, dossier, findings, intake, keywords, merge, metadata, paragraphs, persist, prompts, readmodels, render, rules, workflow
+from .plans.persistence import persist_documents
 from .sources import fixtures as fx
 from .sources.tables import contract_paragraphs, table
 
@@ -327,6 +329,24 @@ def approval_comment_dedupe(spark, sf_dir):
     return persist.dedupe_comments(fx.rows(spark, sf_dir, fx.COMMENTS_SQL))
 
 
+@query
+def document_persist(spark, sf_dir):
+    """Two calls on one store: every other document first, then all of them."""
+    p = contract_paragraphs(spark, sf_dir)
+    tasks = fx.rows(spark, sf_dir, fx.PERSIST_TASKS_SQL)
+    files = fx.rows(spark, sf_dir, fx.PERSIST_FILES_SQL)
+    requests = fx.rows(spark, sf_dir, fx.PERSIST_REQUESTS_SQL)
+    parsed = requests.where("parse_status = 'PARSED'").select("task_id")
+    of_task = lambda df: df.withColumnRenamed("doc_id", "task_id").join(parsed, "task_id")
+    path = new_folder(spark, "reviews")
+    _dossiers(spark, sf_dir).write.parquet(f"{path}-dossiers")  # both calls take them from there
+    found = spark.read.parquet(f"{path}-dossiers")
+    blocks = of_task(p.withColumnRenamed("idx", "order_index")).where("NOT (task_id % 10 = 6 AND order_index = 17)")
+    cut, fields = of_task(dossier.clauses_of(found)), of_task(dossier.metadata_of(found))
+    runs = [persist_documents(spark, path, requests.where(which), tasks, files, blocks, cut, fields).withColumn("call", F.lit(n)) for n, which in ((1, "task_id % 2 = 0"), (2, "true"))]
+    return runs[0].unionByName(runs[1])
+
+
 # read models, reports --------------------------------------------------------------------------
 
 

@@ -199,6 +199,15 @@ SELECT o_orderkey AS doc_id, 1 AS seq, CASE o_orderkey % 4 WHEN 0 THEN 'CONFIRME
   CASE WHEN o_orderkey % 3 = 0 THEN 'see' || chr(10) || ' clause' WHEN o_orderkey % 3 = 1 THEN '' END AS review_comment, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate END AS reviewed_at
 FROM orders"""
 
+#: Tasks, two a file; some are written already, some files are parsed, some gone. Requests, some of tasks that aren't there or of parses that failed.
+PERSIST_TASKS_SQL = """
+SELECT o_orderkey AS task_id, CAST(floor(o_orderkey / 4) AS BIGINT) AS file_id, CASE o_orderkey % 11 WHEN 0 THEN 'CLAUSED' WHEN 1 THEN 'REVIEWED' WHEN 2 THEN 'UPLOADED' ELSE 'PARSED' END AS stage
+FROM orders WHERE o_orderkey % 13 <> 0"""
+PERSIST_FILES_SQL = """
+SELECT CAST(floor(o_orderkey / 4) AS BIGINT) AS file_id, max(CASE WHEN floor(o_orderkey / 4) % 5 = 0 THEN 'PARSED' ELSE 'PENDING' END) AS parse_status
+FROM orders WHERE floor(o_orderkey / 4) % 17 <> 0 GROUP BY floor(o_orderkey / 4)"""
+PERSIST_REQUESTS_SQL = "SELECT o_orderkey AS task_id, CASE WHEN o_orderkey % 6 = 1 THEN 'FAILED' ELSE 'PARSED' END AS parse_status FROM orders"
+
 #: A rule for each supplier: its name and an older spelling, in all clauses, or in those of a type where it isn't.
 CATALOGUE_SQL = """
 SELECT 'SUPPLIER_' || CAST(s_suppkey AS STRING) AS rule_code, s_name AS rule_name, '主体资质' AS dimension, 'KEYWORD' AS rule_type,
