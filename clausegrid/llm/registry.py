@@ -32,7 +32,7 @@ def op4_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a document: what remains of its text, and the stretches removed (code points, start-end, in order)."""
-    out = substrings.dedup_units(table(spark, sf_dir, "documents").select("doc_id", "text"), unit="line", passages=20)
+    out = substrings.dedup_units(table(spark, sf_dir, "documents").select("doc_id", "text"), unit="line")
     stretches = F.transform("removed", lambda r: F.concat_ws("-", r["start"], r["end"]))
     gone = F.aggregate("removed", F.lit(0), lambda n, r: n + r["end"] - r["start"])
     return out.select("doc_id", "text", gone.alias("removed_chars"), F.concat_ws(",", stretches).alias("removed_spans"))

@@ -6,7 +6,7 @@ Digests are grouped over all documents; the occurrence of the smallest (doc_id,
 other one goes. Documents keep what remains, in order and unchanged, and the removed stretches as offsets
 in the original text.
 
-``passages`` finds more than that: what two documents share within lines that differ. Then the sentences
+The registered query hashes lines and nothing else; the pipeline asks for ``passages``, which finds more than that: what two documents share within lines that differ. Then the sentences
 of a line are digested too, those of ``SENTENCE`` words or more alone and shorter ones together with as
 many neighbours as make that size, and repeats go that stand in a run of at least ``passages`` words of
 them, so that a stock sentence in an otherwise new line stays. What is long without white space, or in a

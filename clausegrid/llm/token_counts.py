@@ -47,9 +47,12 @@ def _opened(path: str) -> tuple[fs.FileSystem, str]:
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 50256, width: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Flat token files below ``path``, a folder that all executors share. Gives what the files don't have: which
-    document stands where, (stream, ordinal, doc_id), stored beside them.
+    document stands where, (stream, ordinal, doc_id), stored beside them. An id that ``width`` bytes can't hold is an error.
     """
 
+    if not 0 <= end_id < 1 << 8 * width:
+        raise ValueError(f"id {end_id} doesn't fit in {width} bytes")
+
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec, number = json_tokens(tokenizer_path), TaskContext.get().partitionId()
         end = np.array([end_id], dtype=f"<u{width}").tobytes()
@@ -62,7 +65,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
                 some = pdf.iloc[at : at + 500]
                 begun = begun or system.open_output_stream(own)
                 for data in codec.encode(some["text"].tolist()):
-                    begun.write(np.frombuffer(data, "<u4").astype(f"<u{width}").tobytes() + end)
+                    ids = np.frombuffer(data, "<u4")
+                    if len(ids) and ids.max() >= 1 << 8 * width:
+                        raise ValueError(f"id {ids.max()} doesn't fit in {width} bytes")
+                    begun.write(ids.astype(f"<u{width}").tobytes() + end)
                 yield pd.DataFrame({"stream": name, "ordinal": np.arange(ordinal, ordinal + len(some)), "doc_id": some["doc_id"]})
                 ordinal += len(some)
         if begun:

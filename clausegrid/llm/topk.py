@@ -334,9 +334,15 @@ def exact_topk(df: DataFrame, k: int = 5, query_every: int = 50, key: str = "vec
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+#: Cells of all dimensions together, a row each on the driver; a table of embeddings has one dimension, or a few.
+MOST_CELLS = 1_000_000
+
+
 def _numbered(blocks: DataFrame, size: int) -> DataFrame:
     """``blocks`` with a unique ``block`` and ``grp``: runs of ``size`` or fewer of them, near cells together."""
-    per_cell = blocks.groupBy("dim", "cell").agg((F.max("part") + 1).alias("n")).orderBy("dim", "cell").collect()  # as many rows as cells and dimensions
+    per_cell = blocks.groupBy("dim", "cell").agg((F.max("part") + 1).alias("n")).orderBy("dim", "cell").limit(MOST_CELLS + 1).collect()  # as many rows as cells and dimensions
+    if len(per_cell) > MOST_CELLS:
+        raise ValueError(f"vectors of so many lengths that they make more than {MOST_CELLS} cells: not a column of embeddings")
     begin, total = [], 0
     for r in per_cell:
         begin.append((r.dim, r.cell, total))

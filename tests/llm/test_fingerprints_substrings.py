@@ -211,7 +211,7 @@ def test_dedup_brute_force(spark, unit, passages):
 
 def test_op5_query(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    want = brute_passages(docs, 20)
+    want = brute_dedup(docs, "line")
     rows = registry.op5_unit_dedup(spark, sf).collect()
     assert len(rows) == len(docs)
     for x in rows:

@@ -211,3 +211,11 @@ def test_op9_rows(spark, sf, odd, json_tok, tmp_path):
     assert token_counts.document_tokens(odd.limit(0), f"file://{tmp_path}/none", JSON).count() == 0
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
     assert {x.doc_id: x.n_tokens for x in registry.op9_token_counts(spark, sf).collect()} == {d.doc_id: len(json_tok.encode(d.text, add_special_tokens=False).ids) for d in docs}
+
+
+def test_ids_that_do_not_fit(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "some words of text")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="doesn't fit"):
+        token_counts.write_token_files(docs, f"file://{tmp_path}/a", P.path("byte_bpe_50k.json"), end_id=70_000)
+    with pytest.raises(Exception, match="doesn't fit in 1 bytes"):
+        token_counts.write_token_files(docs, f"file://{tmp_path}/b", P.path("byte_bpe_50k.json"), end_id=5, width=1).collect()
