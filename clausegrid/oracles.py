@@ -233,6 +233,18 @@ y{n} AS (SELECT *, min(CASE WHEN gate IS NULL AND n = must AND parse_status = 'P
 v{n} AS (SELECT *, verdict = 'OK' AND coalesce(task_id = maker, false) AS creates FROM (SELECT *, CASE WHEN gate IS NOT NULL THEN gate WHEN parse_status = 'FAILED' AND (was = 'PARSED' OR coalesce(parsed < task_id, false)) THEN 'PARSE_STATUS_ALREADY_FINAL' WHEN n <> must THEN 'DOCUMENT_BLOCKS_CONFLICT' ELSE 'OK' END AS verdict FROM y{n}) z)"""
 
 
+def _folded(log: str, step: str, begin: str) -> str:
+    """Each key's events one after the other; what is carried is 'state,attempts,refused'."""
+    return f"SELECT key, list_reduce(list_prepend('{begin},0,0', list(event ORDER BY seq, event)), lambda c, e: {step}) AS c FROM ({log}) x GROUP BY key"
+
+
+_CARRIED = "split_part(c, ',', 1)", "split_part(c, ',', 2)", "split_part(c, ',', 3)"
+_REFUSED = f"{_CARRIED[0]} || ',' || {_CARRIED[1]} || ',' || (CAST({_CARRIED[2]} AS BIGINT) + 1)"
+_WRITING = f"""CASE WHEN e = 'start' AND {_CARRIED[0]} IN ('none', 'not_written', 'failed') THEN 'writing,' || (CAST({_CARRIED[1]} AS BIGINT) + 1) || ',' || {_CARRIED[2]} WHEN e = 'start' AND {_CARRIED[0]} = 'writing' THEN c
+  WHEN e IN ('ok', 'error') AND {_CARRIED[0]} = 'writing' THEN CASE e WHEN 'ok' THEN 'success' ELSE 'failed' END || ',' || {_CARRIED[1]} || ',' || {_CARRIED[2]} ELSE {_REFUSED} END"""
+_MOVING = f"CASE WHEN {_CARRIED[0]} || '>' || e IN ({', '.join(repr(f'{a}>{b}') for a, b in TASK_MOVES)}) THEN e || ',' || {_CARRIED[1]} || ',' || {_CARRIED[2]} ELSE {_REFUSED} END"
+
+
 def _persisted(n: int) -> str:
     ok = lambda x: f"CAST(CASE WHEN verdict = 'OK' THEN {x} ELSE 0 END AS BIGINT)"
     rows = lambda t: f"CASE WHEN parse_status = 'PARSED' THEN (SELECT count(*) FROM {t} WHERE {t}.doc_id = task_id) ELSE 0 END"
@@ -328,6 +340,8 @@ SELECT e.contract_type, s.version, count(r.rule_id) AS n_rules, 'OK' AS verdict
     "merge_metrics": f"SELECT source, count(*) AS n_risks, count(DISTINCT doc_id) AS n_documents FROM ({_merge('true')}) m GROUP BY source",
     "anchor_metrics": f"{_LOCATED} SELECT (SELECT count(*) FROM fi) AS findings, count(*) AS resolved, (SELECT count(*) FROM fi) - count(*) AS dropped, count(*) FILTER (WHERE anchor_method = 'CLAUSE_FALLBACK') AS fallback FROM lo",
     "document_persist": f"{PLACED}, {_META}, {_persist_call(1, 'task_id % 2 = 0', None)}, {_persist_call(2, 'true', 1)} {_persisted(1)} UNION ALL {_persisted(2)}",
+    "writeback_sequence": f"SELECT key, {_CARRIED[0]} AS state, CAST({_CARRIED[1]} AS BIGINT) AS attempts, CAST({_CARRIED[2]} AS BIGINT) AS refused FROM ({_folded(fx.WRITEBACK_LOG_SQL, _WRITING, 'none')}) f",
+    "status_sequence": f"SELECT key, {_CARRIED[0]} AS state, CAST({_CARRIED[2]} AS BIGINT) AS refused FROM ({_folded(fx.STATUS_LOG_SQL, _MOVING, 'pending')}) f",
     "rule_catalogue_hits": f"""{CORPUS} SELECT doc_id, 'SUPPLIER_' || s_suppkey AS risk_code, CASE WHEN s_suppkey % 2 = 0 THEN 'HIGH' ELSE 'LOW' END AS risk_level, idx AS paragraph_index, '）：' || x.s_name AS quote,
   '命中规则关键词：「）：' || x.s_name || '」、「' || x.s_name || '」' AS reason FROM p JOIN supplier x ON contains(p.text, x.s_name) WHERE s_suppkey % 3 <> 0""",
     "workbench_nested": f"""{_NESTED}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .constants import REVIEW_LABELS
 from .functions.shared import new_folder
-from .operators import catalogue, clauses, dossier, findings, intake, keywords, merge, metadata, paragraphs, persist, prompts, readmodels, render, rules, workflow
+from .operators import catalogue, clauses, dossier, findings, intake, keywords, merge, metadata, paragraphs, persist, prompts, readmodels, render, rules, sequences, workflow
 from .plans.persistence import persist_documents
 from .sources import fixtures as fx
 from .sources.tables import contract_paragraphs, table
@@ -324,6 +324,16 @@ def writeback_transition(spark, sf_dir):
     return persist.start_writeback(fx.rows(spark, sf_dir, fx.RECORDS_SQL))
 
 
+@query
+def writeback_sequence(spark, sf_dir):
+    return sequences.run_sequences(fx.rows(spark, sf_dir, fx.WRITEBACK_LOG_SQL), sequences.WRITEBACKS)[1]
+
+
+@query
+def status_sequence(spark, sf_dir):
+    return sequences.run_sequences(fx.rows(spark, sf_dir, fx.STATUS_LOG_SQL), sequences.TASKS)[1].drop("attempts")
+
+
 @query
 def approval_comment_dedupe(spark, sf_dir):
     return persist.dedupe_comments(fx.rows(spark, sf_dir, fx.COMMENTS_SQL))

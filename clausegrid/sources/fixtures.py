@@ -208,6 +208,16 @@ SELECT CAST(floor(o_orderkey / 4) AS BIGINT) AS file_id, max(CASE WHEN floor(o_o
 FROM orders WHERE floor(o_orderkey / 4) % 17 <> 0 GROUP BY floor(o_orderkey / 4)"""
 PERSIST_REQUESTS_SQL = "SELECT o_orderkey AS task_id, CASE WHEN o_orderkey % 6 = 1 THEN 'FAILED' ELSE 'PARSED' END AS parse_status FROM orders"
 
+#: Logs of events in order, a third of them of one key.
+WRITEBACK_LOG_SQL = """
+SELECT CASE WHEN l_partkey % 3 = 0 THEN 0 ELSE l_orderkey END AS key, l_orderkey * 10 + l_linenumber AS seq,
+  CASE (l_partkey + l_linenumber) % 5 WHEN 0 THEN 'ok' WHEN 1 THEN 'error' WHEN 2 THEN 'error' ELSE 'start' END AS event
+FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem) l"""
+STATUS_LOG_SQL = """
+SELECT CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey END AS key, o_orderkey AS seq,
+  CASE o_orderkey % 7 WHEN 0 THEN 'pending' WHEN 1 THEN 'parsing' WHEN 2 THEN 'reviewing' WHEN 3 THEN 'parsing' WHEN 4 THEN 'blocked' WHEN 5 THEN 'pending' ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'completed' ELSE 'reviewing' END END AS event
+FROM orders"""
+
 #: A rule for each supplier: its name and an older spelling, in all clauses, or in those of a type where it isn't.
 CATALOGUE_SQL = """
 SELECT 'SUPPLIER_' || CAST(s_suppkey AS STRING) AS rule_code, s_name AS rule_name, '主体资质' AS dimension, 'KEYWORD' AS rule_type,
