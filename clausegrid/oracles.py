@@ -342,6 +342,11 @@ SELECT e.contract_type, s.version, count(r.rule_id) AS n_rules, 'OK' AS verdict
     "document_persist": f"{PLACED}, {_META}, {_persist_call(1, 'task_id % 2 = 0', None)}, {_persist_call(2, 'true', 1)} {_persisted(1)} UNION ALL {_persisted(2)}",
     "writeback_sequence": f"SELECT key, {_CARRIED[0]} AS state, CAST({_CARRIED[1]} AS BIGINT) AS attempts, CAST({_CARRIED[2]} AS BIGINT) AS refused FROM ({_folded(fx.WRITEBACK_LOG_SQL, _WRITING, 'none')}) f",
     "status_sequence": f"SELECT key, {_CARRIED[0]} AS state, CAST({_CARRIED[2]} AS BIGINT) AS refused FROM ({_folded(fx.STATUS_LOG_SQL, _MOVING, 'pending')}) f",
+    "docx_scan": f"""{CORPUS} SELECT o_custkey AS contract_id, CASE WHEN o_custkey % 20 = 0 THEN 'PDF' ELSE 'DOCX' END AS file_type, CASE WHEN o_custkey % 20 = 0 THEN 'FAILED' ELSE 'PARSED' END AS status, CASE WHEN o_custkey % 20 = 0 THEN 'PARSE_UNSUPPORTED_TYPE' END AS error_code,
+  CASE WHEN o_custkey % 20 = 0 THEN 0 ELSE count(*) END AS n_paragraphs, md5(CASE WHEN o_custkey % 20 = 0 THEN '' ELSE string_agg(block_type || ':' || trim(text), chr(10) ORDER BY doc_id, idx) END) AS digest
+  FROM p JOIN orders ON o_orderkey = doc_id GROUP BY o_custkey""",
+    "orphan_contracts": """SELECT c_custkey AS contract_id, CASE WHEN c_custkey % 6 = 0 THEN 'skipped_not_found' WHEN c_custkey % 5 = 0 THEN 'skipped_task_link_present' WHEN c_custkey % 4 = 1 AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 2 = 0) THEN 'skipped_file_exists'
+  WHEN c_custkey % 4 = 2 AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 3 = 0) THEN 'skipped_task_exists' ELSE 'deleted' END AS outcome FROM customer""",
     "rule_catalogue_hits": f"""{CORPUS} SELECT doc_id, 'SUPPLIER_' || s_suppkey AS risk_code, CASE WHEN s_suppkey % 2 = 0 THEN 'HIGH' ELSE 'LOW' END AS risk_level, idx AS paragraph_index, '）：' || x.s_name AS quote,
   '命中规则关键词：「）：' || x.s_name || '」、「' || x.s_name || '」' AS reason FROM p JOIN supplier x ON contains(p.text, x.s_name) WHERE s_suppkey % 3 <> 0""",
     "workbench_nested": f"""{_NESTED}

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from .constants import REVIEW_LABELS
 from .functions.shared import new_folder
-from .operators import catalogue, clauses, dossier, findings, intake, keywords, merge, metadata, paragraphs, persist, prompts, readmodels, render, rules, sequences, workflow
+from .operators import catalogue, clauses, dossier, findings, intake, keywords, merge, metadata, paragraphs, persist, prompts, readmodels, render, rules, sequences, sweep, workflow
 from .plans.persistence import persist_documents
+from .sources import docx
 from .sources import fixtures as fx
 from .sources.tables import contract_paragraphs, table
 
@@ -68,6 +69,20 @@ def block_offsets(spark, sf_dir):
     return paragraphs.block_offsets(_docs(spark, sf_dir)).select("doc_id", "idx", "char_start", "char_end")
 
 
+@query
+def docx_scan(spark, sf_dir):
+    """A file for each customer with all of its contracts, some of another type, one of more bytes than are read."""
+    of = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_custkey")
+    blocks = contract_paragraphs(spark, sf_dir).join(of, "doc_id").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("doc_id", "idx", "block_type", "text"))).alias("blocks"))
+    kind = F.when(F.col("o_custkey") % 20 == 0, "pdf").otherwise("docx")
+    path = new_folder(spark, "docx")
+    docx.write_files(blocks.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string"), F.lit("."), kind).alias("name"), "blocks"), path)
+    got = docx.read_files(spark, path, most_bytes=50 << 20)
+    text = F.array_join(F.transform("paragraphs", lambda b: F.concat(b["block_type"], F.lit(":"), b["text"])), "\n")
+    customer = F.regexp_extract("path", r"c(\d+)\.\w+$", 1).cast("long")
+    return got.select(customer.alias("contract_id"), "file_type", "status", "error_code", F.size("paragraphs").cast("long").alias("n_paragraphs"), F.md5(text).alias("digest"))
+
+
 @query
 def parse_status(spark, sf_dir):
     return paragraphs.parse_status(_docs(spark, sf_dir))
@@ -378,6 +393,15 @@ def contract_list_latest_task(spark, sf_dir):
     return readmodels.contract_list(contracts, fx.rows(spark, sf_dir, fx.TASKS_SQL))
 
 
+@query
+def orphan_contracts(spark, sf_dir):
+    contracts = table(spark, sf_dir, "customer").where("c_custkey % 6 <> 0").select(F.col("c_custkey").alias("contract_id"), F.expr("CASE WHEN c_custkey % 5 = 0 THEN c_custkey * 10 END").alias("current_task_id"))
+    orders = table(spark, sf_dir, "orders")
+    files = orders.where("o_orderkey % 2 = 0 AND o_custkey % 4 = 1").select(F.col("o_custkey").alias("contract_id"))
+    tasks = orders.where("o_orderkey % 3 = 0 AND o_custkey % 4 = 2").select(F.col("o_custkey").alias("contract_id"))
+    return sweep.orphan_contracts(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("contract_id")), contracts, files, tasks)
+
+
 @query
 def task_tree_diagnosis(spark, sf_dir):
     contracts = table(spark, sf_dir, "customer").select(F.expr("CASE WHEN c_custkey % 10 = 0 THEN c_custkey + 1000000000 ELSE c_custkey END").alias("contract_id"), F.col("c_name").alias("contract_no"), F.col("c_nationkey").alias("file_id"))

@@ -7,9 +7,12 @@ import re
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 SCHEMA = "path string, file_type string, status string, error_code string, paragraphs array<struct<idx:int,block_type:string,text:string>>"
@@ -72,5 +75,48 @@ def parse_files(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(task, SCHEMA)
 
 
-def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    return parse_files(spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path))
+def read_files(spark: SparkSession, path: str, pattern: str = "*", most_bytes: int | None = None) -> DataFrame:
+    """Files below ``path`` as ``parse_files`` has them; those of more than ``most_bytes`` aren't opened (the scan leaves them out) and are FAILED with FILE_TOO_LARGE."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    if most_bytes is None:
+        return parse_files(files)
+    kind = F.upper(F.substring_index("path", ".", -1))
+    large = files.where(F.col("length") > most_bytes).select("path", kind.alias("file_type"), F.lit("FAILED").alias("status"), F.lit("FILE_TOO_LARGE").alias("error_code"), F.array().cast("array<struct<idx:int,block_type:string,text:string>>").alias("paragraphs"))
+    return parse_files(files.where(F.col("length") <= most_bytes)).unionByName(large)
+
+
+_NAMESPACE = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+
+
+def docx_bytes(blocks: Blocks) -> bytes:
+    """A document of these paragraphs and table rows (cells divided by tabs), as small as the format allows."""
+    paragraph = lambda t: f'<w:p><w:r><w:t xml:space="preserve">{escape(t)}</w:t></w:r></w:p>'
+    row = lambda t: "<w:tr>" + "".join(f"<w:tc>{paragraph(c)}</w:tc>" for c in t.split("\t")) + "</w:tr>"
+    body, table = [], []
+    for kind, text in [*blocks, ("", "")]:
+        if kind != "TABLE_ROW" and table:
+            body.append(f"<w:tbl>{''.join(table)}</w:tbl>")
+            table = []
+        if kind == "TABLE_ROW":
+            table.append(row(text))
+        elif kind:
+            body.append(paragraph(text))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{_NAMESPACE}"><w:body>{"".join(body)}</w:body></w:document>')
+    return out.getvalue()
+
+
+def write_files(docs: DataFrame, path: str) -> int:
+    """Write a file ``name`` for each row of (name, blocks) below ``path``, a folder that all executors share; how many there are."""
+
+    def task(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = fs.FileSystem.from_uri(path)
+        store.create_dir(root)
+        for pdf in it:
+            for name, blocks in zip(pdf["name"], pdf["blocks"]):
+                with store.open_output_stream(f"{root}/{name}") as f:
+                    f.write(docx_bytes([(b["block_type"], b["text"]) for b in blocks]))
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    return docs.select("name", "blocks").mapInPandas(task, "n long").agg(F.sum("n")).first()[0] or 0

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from clausegrid import constants
 from clausegrid.functions import terms
 from clausegrid.functions import text as ft
-from clausegrid.operators import clauses, dossier, findings, keywords, merge, metadata, paragraphs, persist, readmodels, render, rules
+from clausegrid.operators import clauses, dossier, findings, keywords, merge, metadata, paragraphs, persist, readmodels, render, rules, sweep
 from clausegrid.plans.review import review
 from clausegrid.queries import QUERIES
 from clausegrid.sources import docx
@@ -254,6 +254,33 @@ def test_docx_files(spark, tmp_path):
     assert (got["c.docx"].error_code, got["d.pdf"].error_code) == ("PARSE_FAILED", "PARSE_UNSUPPORTED_TYPE")
 
 
+def test_large_files_are_not_opened(spark, tmp_path):
+    docs = spark.createDataFrame([("a.docx", [("PARAGRAPH", "x <&> y"), ("TABLE_ROW", "1\t\t2"), ("TABLE_ROW", "3"), ("PARAGRAPH", "")]), ("b.docx", [("PARAGRAPH", "".join(map(chr, range(0x4E00, 0x9000))))]), ("c.docx", [])], "name string, blocks array<struct<block_type:string,text:string>>")
+    assert docx.write_files(docs, f"file://{tmp_path}/d") == 3
+    got = docx.read_files(spark, f"file://{tmp_path}/d", most_bytes=5000)
+    rows = {r.path.rsplit("/", 1)[1]: r for r in got.collect()}
+    assert [(b.block_type, b.text) for b in rows["a.docx"].paragraphs] == [("PARAGRAPH", "x <&> y"), ("TABLE_ROW", "1\t\t2"), ("TABLE_ROW", "3"), ("PARAGRAPH", "")]
+    assert (rows["b.docx"].status, rows["b.docx"].error_code, rows["c.docx"].status) == ("FAILED", "FILE_TOO_LARGE", "EMPTY")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(length,5000)" in plan and "GreaterThan(length,5000)" in plan  # the scan leaves them out
+
+
+def test_sweep(spark, tmp_path):
+    objects = spark.createDataFrame([("a", NOON), ("b", NOON), ("c", datetime(2027, 1, 1))], "storage_key string, modified timestamp")
+    refs = spark.createDataFrame([("a",), ("a",), ("z",), (None,)], "storage_key string")
+    got = sweep.object_outcomes(objects, refs, F.lit(datetime(2026, 12, 1)))
+    assert {tuple(r) for r in got.collect()} == {("a", "referenced"), ("b", "orphan"), ("c", "too_new"), ("z", "missing")}
+    (tmp_path / "u" / "1").mkdir(parents=True)
+    (tmp_path / "u" / "1" / "x.bin").write_bytes(b"123")
+    listed = sweep.list_objects(spark, f"file://{tmp_path}/u")
+    assert [(r.storage_key, r.length) for r in listed.collect()] == [("1/x.bin", 3)] and "content" not in listed._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1]
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "contract_id long")
+    contracts = spark.createDataFrame([(1, None), (2, 7), (3, None), (4, None), (5, None)], "contract_id long, current_task_id long")
+    out = sweep.orphan_contracts(ids(1, 2, 3, 4, 9, 9, None), contracts, ids(3, 3), ids(4, 3, None))
+    assert {tuple(r) for r in out.collect()} == {(1, "deleted"), (2, "skipped_task_link_present"), (3, "skipped_file_exists"), (4, "skipped_task_exists"), (9, "skipped_not_found"), (None, "skipped_not_found")}
+    assert {r.contract_id for r in sweep.swept(contracts, out).collect()} == {2, 3, 4, 5}
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([(" a　\x1cb \n c ", "aaa", "aa"), (None, None, None)], "t string, x string, y string")
     r = df.select(ft.normalised(F.col("t")).alias("n"), ft.occurrences(F.col("x"), F.col("y")).alias("k")).collect()
