@@ -8,8 +8,9 @@ corrected count decides. The score is that count's share of the text's n-grams.
 
 A language's filter has the n-grams that are frequent in it and no rarer than ``share`` of their highest
 relative frequency in any language. It is learned from about ``SAMPLE`` labelled texts a language,
-chosen by a hash of doc_id; the n-grams are counted in Spark, and the driver gets ``GRAMS`` a language
-at most. The table is broadcast; its size is SLOTS times the bits of all languages.
+chosen by a hash of doc_id; the n-grams are counted in Spark, all that qualify enter the filter, and the masks of
+slots are combined there too. The table has ``SLOTS_A_GRAM`` slots for each n-gram of the richest language, as far as
+``MOST_BYTES`` allow (beyond that more hits are false, which the correction knows); it is broadcast.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0. Texts without a hit get
 the label most frequent in the sample. Ties go to the label more frequent there, then to the smaller
@@ -33,8 +34,10 @@ from pyspark.sql import types as T
 
 from ._common import BLOOM_BITS, bound_batches, code_points, fresh_name, maybe_among, mix64, one_name, row_key, stored, with_arrays
 
-#: Labelled texts to learn from, a language (expected number); n-grams a language; slots; hashes; letters in an n-gram.
-SAMPLE, GRAMS, SLOT_BITS, HASHES, ORDERS = 4000, 20_000, 18, 3, 4
+#: Labelled texts to learn from, a language (expected number); hashes; letters in an n-gram.
+SAMPLE, HASHES, ORDERS = 4000, 3, 4
+#: Bits of a slot's number, at least and at most (three of them come from one hash); slots an n-gram; bytes of all filters.
+SLOT_BITS, MOST_BITS, SLOTS_A_GRAM, MOST_BYTES = 18, 21, 8, 64 << 20
 #: Labels at most; a column with more isn't one of languages.
 MOST_LANGUAGES = 2000
 _LETTER: np.ndarray | None = None
@@ -86,8 +89,22 @@ def gram_hashes(texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]],
     return out, at
 
 
-def _slots(h: np.ndarray) -> list[np.ndarray]:
-    return [(h >> np.uint64(SLOT_BITS * j)).astype(np.int64) & ((1 << SLOT_BITS) - 1) for j in range(HASHES)]
+def _slots(h: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [(h >> np.uint64(bits * j)).astype(np.int64) & ((1 << bits) - 1) for j in range(HASHES)]
+
+
+def _kind(labels: int) -> type:
+    """The narrowest mask of so many languages, 64 at most."""
+    return next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if labels <= np.iinfo(k).bits)
+
+
+def slot_bits(grams: int, labels: int) -> int:
+    """The size of filters for languages of up to ``grams`` n-grams: ``SLOTS_A_GRAM`` slots each, as far as ``MOST_BYTES`` allow."""
+    width = sum(np.dtype(_kind(min(64, labels - at))).itemsize for at in range(0, labels, 64))
+    bits = SLOT_BITS
+    while bits < MOST_BITS and (1 << bits) < SLOTS_A_GRAM * grams and width << bits + 1 <= MOST_BYTES:
+        bits += 1
+    return bits
 
 
 @dataclass
@@ -97,21 +114,21 @@ class Filters:
     labels: list[str]
     planes: list[np.ndarray]
     rate: np.ndarray
+    bits: int = SLOT_BITS
 
     @classmethod
-    def build(cls, labels: list[str], grams: dict[str, np.ndarray]) -> Filters:
+    def of_planes(cls, labels: list[str], planes: list[np.ndarray], bits: int) -> Filters:
+        rate = [float(((planes[i // 64] >> planes[i // 64].dtype.type(i % 64)) & planes[i // 64].dtype.type(1)).mean()) ** HASHES for i in range(len(labels))]
+        return cls(labels, planes, np.array(rate), bits)
+
+    @classmethod
+    def build(cls, labels: list[str], grams: dict[str, np.ndarray], bits: int = SLOT_BITS) -> Filters:
         """``labels`` by falling frequency; ``grams``: hashes of each label's n-grams."""
-        planes, rate = [], []
-        for start in range(0, len(labels), 64):
-            some = labels[start : start + 64]
-            kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if len(some) <= np.iinfo(k).bits)
-            plane = np.zeros(1 << SLOT_BITS, kind)
-            for bit, label in enumerate(some):
-                for slot in _slots(grams.get(label, np.zeros(0, np.uint64))):
-                    plane[slot] |= kind(1 << bit)
-                rate.append(float(((plane >> kind(bit)) & kind(1)).mean()) ** HASHES)
-            planes.append(plane)
-        return cls(labels, planes, np.array(rate))
+        planes = [np.zeros(1 << bits, _kind(min(64, len(labels) - at))) for at in range(0, len(labels), 64)]
+        for i, label in enumerate(labels):
+            for slot in _slots(grams.get(label, np.zeros(0, np.uint64)), bits):
+                planes[i // 64][slot] |= planes[i // 64].dtype.type(1 << i % 64)
+        return cls.of_planes(labels, planes, bits)
 
     def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Corrected hits (text x language) and the number of n-grams of each text."""
@@ -126,7 +143,7 @@ class Filters:
             for h, valid in orders:
                 edges = np.minimum(at, len(valid) - 1)
                 total[start:end] += np.add.reduceat(valid, edges, dtype=np.int64)
-                slots = _slots(h)
+                slots = _slots(h, self.bits)
                 for p, plane in enumerate(self.planes):
                     mask = plane[slots[0]]
                     for s in slots[1:]:
@@ -151,7 +168,7 @@ class Filters:
         return labels, score
 
 
-def learn(labelled: DataFrame, per_language: int = SAMPLE, grams: int = GRAMS, share: float = 0.5, least: int = 3, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Filters:
+def learn(labelled: DataFrame, per_language: int = SAMPLE, share: float = 0.5, least: int = 3, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Filters:
     """Filters from the rows of ``labelled`` whose text and label aren't null."""
     rows = bound_batches(labelled).where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().limit(MOST_LANGUAGES + 1).collect()}  # one row a language
@@ -177,17 +194,32 @@ def learn(labelled: DataFrame, per_language: int = SAMPLE, grams: int = GRAMS, s
     counted = sample.mapInPandas(count, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
     of_lang, of_gram = W.partitionBy("lang"), W.partitionBy("g")
     rated = counted.withColumn("f", F.col("n") / F.sum("n").over(of_lang)).where(F.col("n") >= least).withColumn("top", F.max("f").over(of_gram))
-    best = rated.where(F.col("f") >= share * F.col("top")).withColumn("nth", F.row_number().over(of_lang.orderBy(F.desc("n"), "g"))).where(F.col("nth") <= grams)
-    found: dict[str, list[int]] = {}
-    for r in best.select("lang", "g").collect():  # ``grams`` a language at most
-        found.setdefault(r.lang, []).append(r.g)
-    return Filters.build(labels, {x: np.array(g, np.int64).view(np.uint64) for x, g in found.items()})
+    best = stored(rated.where(F.col("f") >= share * F.col("top")).select("lang", "g"), "language-grams")
+    bits = slot_bits(max((r[1] for r in best.groupBy("lang").count().collect()), default=0), len(labels))  # one row a language
+    number = {x: i for i, x in enumerate(labels)}
+
+    def set_bits(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            i = pdf["lang"].map(number).to_numpy(np.int64)
+            h = pdf["g"].to_numpy(np.int64).view(np.uint64)
+            mask = (np.uint64(1) << (i % 64).astype(np.uint64)).view(np.int64)
+            part = pd.concat([pd.DataFrame({"plane": i // 64, "slot": s, "mask": mask}) for s in _slots(h, bits)])
+            yield part
+
+    filled = best.mapInPandas(set_bits, "plane long, slot long, mask long").groupBy("plane", "slot").agg(F.bit_or("mask").alias("mask")).toPandas()  # MOST_BYTES of masks at most
+    planes = []
+    for at in range(0, len(labels), 64):
+        own = filled[filled["plane"] == at // 64]
+        plane = np.zeros(1 << bits, np.uint64)
+        plane[own["slot"].to_numpy(np.int64)] = own["mask"].to_numpy(np.int64).view(np.uint64)
+        planes.append(plane.astype(_kind(min(64, len(labels) - at))))
+    return Filters.of_planes(labels, planes, bits)
 
 
 def predict(docs: DataFrame, filters: Filters, text: str = "text", label: str = "lang_pred", score: str = "score") -> DataFrame:
     """``docs`` with the predicted label and its score; columns of these names are replaced."""
     kept = bound_batches(docs).drop(label, score)
-    shared = docs.sparkSession.sparkContext.broadcast(filters)  # bounded by SLOT_BITS and the number of labels
+    shared = docs.sparkSession.sparkContext.broadcast(filters)  # bounded by MOST_BYTES
 
     def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:

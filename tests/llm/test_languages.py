@@ -118,7 +118,7 @@ def test_predictions_brute_force(spark, sf):
     """Corrected counts of the bit-sliced filters against exact sets, and the labels that follow."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").withColumn("held_out", languages.held_out())
     rows = docs.collect()
-    filters = languages.learn(docs.where("NOT held_out"), grams=1 << 20)
+    filters = languages.learn(docs.where("NOT held_out"))
     exact = brute_filters([(r.text, r.lang) for r in rows if not r.held_out], 1 << 20)
     assert set(filters.labels) == set(exact)
     texts = [r.text for r in rows if r.text and languages.has_letter(r.text)]
@@ -143,3 +143,10 @@ def test_dirty_labels_are_refused(spark, monkeypatch):
     df = spark.createDataFrame([(i, "some text here", f"l{i}") for i in range(5)], "doc_id long, text string, lang string")
     with pytest.raises(ValueError, match="3 languages"):
         languages.learn(df)
+
+
+def test_filters_follow_the_counts():
+    assert languages.slot_bits(100, 4) == languages.SLOT_BITS and languages.slot_bits(1 << 17, 4) == 20 and languages.slot_bits(1 << 30, 4) == languages.MOST_BITS
+    for labels in (1, 8, 9, 64, 65, 2000):
+        width = sum(languages._kind(min(64, labels - at))(0).itemsize for at in range(0, labels, 64))
+        assert width << languages.slot_bits(1 << 30, labels) <= languages.MOST_BYTES
