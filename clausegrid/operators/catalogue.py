@@ -58,19 +58,30 @@ def document_batch(paragraphs: DataFrame) -> DataFrame:
 
 
 def batch_violations(blocks: DataFrame, clauses: DataFrame, metadata: DataFrame) -> DataFrame:
-    """(doc_id, ...) counts of what makes a batch unfit: repeated order, dangling or inverted references, offsets that end before they begin."""
-    known = blocks.select("doc_id", F.col("order_index").alias("_i")).distinct()
-    repeated = blocks.groupBy("doc_id", "order_index").count().groupBy("doc_id").agg(F.count_if(F.col("count") > 1).alias("repeated_order"))
-    inverted = clauses.groupBy("doc_id").agg(F.count_if(F.col("end_idx") < F.col("start_idx")).alias("inverted_clauses"))
+    """(doc_id, ...) counts of what makes a batch unfit: repeated order, dangling or inverted references, offsets that end before they begin.
+
+    Blocks and references become rows of one shape by (doc_id, place), so that one aggregation tells a reference without a block.
+    """
     if "char_start_in_block" in blocks.columns:
-        offsets = blocks.groupBy("doc_id").agg(F.count_if((F.col("char_end_in_block") < F.col("char_start_in_block")) | (F.col("char_end_global") < F.col("char_start_global"))).alias("inverted_offsets"))
+        backward = (F.col("char_end_in_block") < F.col("char_start_in_block")) | (F.col("char_end_global") < F.col("char_start_global"))
     else:
-        offsets = blocks.select("doc_id").distinct().withColumn("inverted_offsets", F.lit(0).cast("long"))
-    ends = clauses.select("doc_id", F.explode(F.array("start_idx", "end_idx")).alias("_i"))
-    dangling = ends.join(known, ["doc_id", "_i"], "left_anti").groupBy("doc_id").agg(F.count("*").alias("dangling_clauses"))
-    sources = metadata.select("doc_id", F.col("idx").alias("_i")).join(known, ["doc_id", "_i"], "left_anti").groupBy("doc_id").agg(F.count("*").alias("dangling_metadata"))
-    out = repeated.join(inverted, "doc_id", "full").join(dangling, "doc_id", "full").join(sources, "doc_id", "full").join(offsets, "doc_id", "full")
-    return out.select("doc_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("repeated_order", "inverted_clauses", "inverted_offsets", "dangling_clauses", "dangling_metadata")))
+        backward = F.lit(False)
+    names = ("blocks", "ends", "sources", "inverted", "backward")
+    row = lambda place, **n: [F.col("doc_id"), place.cast("int").alias("place"), *(F.coalesce(n.get(x, F.lit(0)).cast("long"), F.lit(0)).alias(x) for x in names)]
+    one = F.lit(1)
+    rows = blocks.select(*row(F.col("order_index"), blocks=one, backward=backward))
+    ends = clauses.select("doc_id", F.posexplode(F.array("start_idx", "end_idx")).alias("_n", "_i"), (F.col("end_idx") < F.col("start_idx")).alias("_less"))
+    rows = rows.unionByName(ends.select(*row(F.col("_i"), ends=one, inverted=F.col("_less") & (F.col("_n") == 0))))
+    rows = rows.unionByName(metadata.select(*row(F.col("idx"), sources=one)))
+    places = rows.groupBy("doc_id", "place").agg(*(F.sum(x).alias(x) for x in names))
+    nowhere = lambda x: F.sum(F.when(F.col("blocks") == 0, F.col(x)).otherwise(0))
+    return places.groupBy("doc_id").agg(
+        F.count_if(F.col("blocks") > 1).alias("repeated_order"),
+        F.sum("inverted").alias("inverted_clauses"),
+        F.sum("backward").alias("inverted_offsets"),
+        nowhere("ends").alias("dangling_clauses"),
+        nowhere("sources").alias("dangling_metadata"),
+    )
 
 
 def risk_payload(risks: DataFrame) -> DataFrame:
@@ -100,8 +111,7 @@ def merge_metrics(merged: DataFrame) -> DataFrame:
     return merged.groupBy("source").agg(F.count("*").alias("n_risks"), F.countDistinct("doc_id").alias("n_documents"))
 
 
-def anchor_metrics(findings: DataFrame, located: DataFrame) -> DataFrame:
-    """One row: findings, those that got a place, those that were dropped, and those placed by their clause alone."""
-    n = findings.agg(F.count("*").alias("findings"))
-    m = located.agg(F.count("*").alias("resolved"), F.count_if(F.col("anchor_method") == "CLAUSE_FALLBACK").alias("fallback"))
-    return n.crossJoin(m).select("findings", "resolved", (F.col("findings") - F.col("resolved")).alias("dropped"), "fallback")  # one row each
+def anchor_metrics(resolved: DataFrame) -> DataFrame:
+    """One row over all findings with their places (``findings.resolve``): findings, those placed, those dropped, those placed by their clause alone. One pass."""
+    n, placed = F.count("*"), F.count("paragraph_index")
+    return resolved.agg(n.alias("findings"), placed.alias("resolved"), (n - placed).alias("dropped"), F.count_if(F.col("anchor_method") == "CLAUSE_FALLBACK").alias("fallback"))

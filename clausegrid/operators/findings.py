@@ -67,9 +67,10 @@ def guard_json(raw: DataFrame, text: str = "raw_text") -> DataFrame:
     """Adds ``json_status`` (VALID or LLM_SCHEMA_INVALID) and ``findings`` (array of variants, null if invalid).
 
     White space of any kind and one code fence are stripped, at any line end; the rest must be a JSON object; one
-    bad finding fails the whole output; types aren't coerced. An absent ``findings`` is an empty array. Output that
-    repeats a key within an object isn't valid JSON here.
+    bad finding fails the whole output; types aren't coerced. An absent ``findings`` is an empty array. Of a key that an
+    object repeats the last value counts, as Python's parser has it; that is a setting of the session, which this makes.
     """
+    raw.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     bare = stripped(F.col(text))
     line = r"(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029])"
     unfenced = F.regexp_replace(bare, r"(?s)^.*?(?:" + line + r"|\z)", "")
@@ -91,7 +92,12 @@ def findings_rows(guarded: DataFrame) -> DataFrame:
 
 
 def locate(findings: DataFrame, placed: DataFrame) -> DataFrame:
-    """Findings with their position; those that can't be placed are gone.
+    """Findings with their position; those that can't be placed are gone."""
+    return resolve(findings, placed).where("paragraph_index IS NOT NULL")
+
+
+def resolve(findings: DataFrame, placed: DataFrame) -> DataFrame:
+    """All findings with their position, null for those that can't be placed.
 
     ``placed``: paragraphs with ``clause_index``. A quote (with its neighbours, if given) that confirms
     exactly one paragraph of the clause is CLAUSE_SCOPED there; else the clause's first paragraph with
@@ -101,7 +107,7 @@ def locate(findings: DataFrame, placed: DataFrame) -> DataFrame:
     p = placed.select("doc_id", "clause_index", F.col("idx").alias("_idx"), F.col("text").alias("_text"))
     bare = (F.col("context_before") == "") & (F.col("context_after") == "")
     confirmed = (F.col("quote") != "") & F.when(bare, F.contains("_text", F.col("quote"))).otherwise(F.contains("_text", F.col("_key")) & (occurrences(F.col("_text"), F.col("_key")) == 1))
-    met = f.join(p, ["doc_id", "clause_index"]).withColumn("_hit", confirmed)
+    met = f.join(p, ["doc_id", "clause_index"], "left").withColumn("_hit", confirmed)
     here = F.struct(F.col("_idx").alias("idx"), F.col("_text").alias("text"))
     keys = [c for c in findings.columns if c not in ("doc_id", "seq")]
     found = met.groupBy("doc_id", "seq").agg(
@@ -112,7 +118,7 @@ def locate(findings: DataFrame, placed: DataFrame) -> DataFrame:
     )
     scoped = F.col("_n") == 1
     at = F.when(scoped, F.col("_at")).otherwise(F.col("_first"))
-    out = found.withColumn("_p", at).where("_p IS NOT NULL")
+    out = found.withColumn("_p", at)
     return out.select(
         "doc_id",
         "seq",
@@ -120,7 +126,7 @@ def locate(findings: DataFrame, placed: DataFrame) -> DataFrame:
         F.when(scoped, F.col("quote")).otherwise(F.col("_p.text")).alias("quote"),
         F.col("_p.idx").alias("paragraph_index"),
         F.col("_p.text").alias("original_text"),
-        F.when(scoped, "CLAUSE_SCOPED").otherwise("CLAUSE_FALLBACK").alias("anchor_method"),
+        F.when(scoped, "CLAUSE_SCOPED").when(F.col("_p").isNotNull(), "CLAUSE_FALLBACK").alias("anchor_method"),
     )
 
 
@@ -129,9 +135,13 @@ def check_related(located: DataFrame, known_codes: list[str]) -> DataFrame:
     return located.withColumn("related_rule_code", F.when(F.col("related_rule_code").isin(known_codes), F.col("related_rule_code")))
 
 
+#: What a finding's number begins with: more than a rule risk's, which is a 32-bit integer, can be.
+AFTER_RULES = 1 << 31
+
+
 def unify(rule_risks: DataFrame, located: DataFrame) -> DataFrame:
     """Rule risks and findings in one shape; rule risks come first."""
     null = F.lit(None).cast("string")
     rules = rule_risks.withColumns({"source": F.lit("RULE"), "anchor_method": null, "related_rule_code": null}).withColumn("seq", F.col("seq").cast("long"))
-    models = located.withColumns({"source": F.lit("LLM"), "risk_code": null}).withColumn("seq", F.col("seq").cast("long") + 1_000_000)
+    models = located.withColumns({"source": F.lit("LLM"), "risk_code": null}).withColumn("seq", F.col("seq").cast("long") + AFTER_RULES)
     return rules.select(RISK_COLUMNS).unionByName(models.select(RISK_COLUMNS))

@@ -291,7 +291,7 @@ FROM orders, (VALUES ('a', 4, '违约责任', '无限责任', 'HIGH', '无限责
 WHERE o_orderkey % 13 > 10 OR (kind = 'a' AND o_orderkey % 13 = 1) OR (kind = 'b' AND o_orderkey % 13 = 10)""",
     "finding_locate": f"{_LOCATED} SELECT doc_id, seq, paragraph_index, original_text, quote, anchor_method FROM lo",
     "finding_related_code": f"{_LOCATED} SELECT doc_id, seq, related_rule_code FROM lo",
-    "risk_unify": f"{_LOCATED}, {_RISKS} SELECT doc_id, CAST(seq AS BIGINT) AS seq, 'RULE' AS source, risk_code, risk_level, paragraph_index, quote, CAST(NULL AS VARCHAR) AS anchor_method, CAST(NULL AS VARCHAR) AS related_rule_code FROM rr UNION ALL SELECT doc_id, CAST(seq + 1000000 AS BIGINT), 'LLM', NULL, risk_level, paragraph_index, quote, anchor_method, related_rule_code FROM lo",
+    "risk_unify": f"{_LOCATED}, {_RISKS} SELECT doc_id, CAST(seq AS BIGINT) AS seq, 'RULE' AS source, risk_code, risk_level, paragraph_index, quote, CAST(NULL AS VARCHAR) AS anchor_method, CAST(NULL AS VARCHAR) AS related_rule_code FROM rr UNION ALL SELECT doc_id, CAST(seq + 2147483648 AS BIGINT), 'LLM', NULL, risk_level, paragraph_index, quote, anchor_method, related_rule_code FROM lo",
     "risk_merge_rule_rule": _merge("seq IN (0, 1, 8)"),
     "risk_merge_rule_llm": _merge("seq IN (0, 2, 8, 9)"),
     "risk_merge_llm_llm": _merge("seq IN (2, 3, 5, 6)"),

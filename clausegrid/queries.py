@@ -552,7 +552,7 @@ def merge_metrics(spark, sf_dir):
 
 @query
 def anchor_metrics(spark, sf_dir):
-    return catalogue.anchor_metrics(fx.rows(spark, sf_dir, fx.FINDINGS_SQL), _located(spark, sf_dir))
+    return catalogue.anchor_metrics(findings.resolve(fx.rows(spark, sf_dir, fx.FINDINGS_SQL), clauses.with_clauses(contract_paragraphs(spark, sf_dir))))
 
 
 @query

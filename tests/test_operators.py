@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from clausegrid import constants
 from clausegrid.functions import terms
 from clausegrid.functions import text as ft
-from clausegrid.operators import clauses, dossier, findings, keywords, merge, metadata, paragraphs, persist, readmodels, render, rules, sweep
+from clausegrid.operators import catalogue, clauses, dossier, findings, keywords, merge, metadata, paragraphs, persist, readmodels, render, rules, sweep
 from clausegrid.plans.review import review
 from clausegrid.queries import QUERIES
 from clausegrid.sources import docx
@@ -548,3 +548,25 @@ def test_catalogue_comes_to_the_driver_checked(spark, monkeypatch):
         rules.collect_rules(df)
     with pytest.raises(json.JSONDecodeError):
         rules.collect_rules(df.limit(1).withColumn("expression", F.lit("{")))
+
+
+def test_the_last_of_repeated_keys_counts(spark):
+    good = '{"clause_index": 4, "dimension": "违约责任", "risk_title": "t", "risk_level": "SEVERE", "reason": "r", "quote": "q", "risk_level": "LOW"}'
+    bad = good.replace('"SEVERE"', '"HIGH"').replace('"LOW"', '"SEVERE"')
+    texts = ['{"findings": [%s]}' % good, '{"findings": [%s]}' % bad, '{"findings": [1], "findings": [%s]}' % good, '{"findings": [%s], "findings": 1}' % good]
+    raw = spark.createDataFrame(list(enumerate(texts)), "doc_id long, raw_text string")
+    got = {r.doc_id: (r.json_status, r.findings is not None and len(r.findings)) for r in findings.guard_json(raw).collect()}
+    assert got == {0: ("VALID", 1), 1: ("LLM_SCHEMA_INVALID", False), 2: ("VALID", 1), 3: ("LLM_SCHEMA_INVALID", False)}
+    assert findings.findings_rows(findings.guard_json(raw)).first().risk_level == "LOW"
+
+
+def test_findings_without_a_place_are_counted(spark, golden):
+    f = spark.createDataFrame([(1, i, c, "d", "t", "LOW", "r", None, q, "", "", None) for i, (c, q) in enumerate([(4, "知识产权归乙方"), (4, "nowhere"), (99, "x"), (4, "知识产权")])], "doc_id long, seq int, clause_index int, dimension string, risk_title string, risk_level string, reason string, legal_basis string, quote string, context_before string, context_after string, related_rule_code string")
+    placed = clauses.with_clauses(golden)
+    got = findings.resolve(f, placed)
+    assert {(r.seq, r.anchor_method) for r in got.collect()} == {(0, "CLAUSE_SCOPED"), (1, "CLAUSE_FALLBACK"), (2, None), (3, "CLAUSE_FALLBACK")}
+    assert findings.locate(f, placed).count() == 3
+    metrics = catalogue.anchor_metrics(got)
+    assert tuple(metrics.first()) == (4, 3, 1, 2)
+    plan = metrics._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
