@@ -17,7 +17,7 @@ def test_names():
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) >= 50
     if importlib.util.find_spec("clausegrid.llm"):
-        assert {int(m[1]) for q in queries if (m := re.match(r"op(\d+)_", q))} == set(range(1, 11))
+        assert {int(m[1]) for q in queries if (m := re.match(r"op(\d+)_", q))} == set(range(1, 14))
 
 
 def test_rest_does_not_import_the_subpackage():
