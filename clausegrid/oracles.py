@@ -347,6 +347,7 @@ SELECT e.contract_type, s.version, count(r.rule_id) AS n_rules, 'OK' AS verdict
   FROM p JOIN orders ON o_orderkey = doc_id GROUP BY o_custkey""",
     "orphan_contracts": """SELECT c_custkey AS contract_id, CASE WHEN c_custkey % 6 = 0 THEN 'skipped_not_found' WHEN c_custkey % 5 = 0 THEN 'skipped_task_link_present' WHEN c_custkey % 4 = 1 AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 2 = 0) THEN 'skipped_file_exists'
   WHEN c_custkey % 4 = 2 AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 3 = 0) THEN 'skipped_task_exists' ELSE 'deleted' END AS outcome FROM customer""",
+    "risks_by_task": f"{PLACED}, {_META}, {_RISKS}, {_STORED} SELECT sr.doc_id, CAST(sr.seq AS INTEGER) AS seq, sr.risk_code, sr.named AS clause_id, sc.clause_no, sc.clause_type FROM sr LEFT JOIN sc ON sc.doc_id = sr.doc_id AND sc.clause_id = sr.named",
     "rule_catalogue_hits": f"""{CORPUS} SELECT doc_id, 'SUPPLIER_' || s_suppkey AS risk_code, CASE WHEN s_suppkey % 2 = 0 THEN 'HIGH' ELSE 'LOW' END AS risk_level, idx AS paragraph_index, '）：' || x.s_name AS quote,
   '命中规则关键词：「）：' || x.s_name || '」、「' || x.s_name || '」' AS reason FROM p JOIN supplier x ON contains(p.text, x.s_name) WHERE s_suppkey % 3 <> 0""",
     "workbench_nested": f"""{_NESTED}

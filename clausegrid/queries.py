@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cache
 
@@ -12,7 +13,7 @@ from .constants import REVIEW_LABELS
 from .functions.shared import new_folder
 from .operators import catalogue, clauses, dossier, findings, intake, keywords, merge, metadata, paragraphs, persist, prompts, readmodels, render, rules, sequences, sweep, workflow
 from .plans.persistence import persist_documents
-from .sources import docx
+from .sources import docx, tables_by_task
 from .sources import fixtures as fx
 from .sources.tables import contract_paragraphs, table
 
@@ -570,6 +571,15 @@ def workbench_pages(spark, sf_dir):
     return out.withColumn("foreign_clause_ids", F.array_join("foreign_clause_ids", ","))
 
 
+@query
+def risks_by_task(spark, sf_dir):
+    name = "dossiers_" + uuid.uuid4().hex
+    path = new_folder(spark, "dossiers")
+    _stored(spark, sf_dir).write.parquet(path)
+    tables_by_task.write(spark.read.parquet(path), name)
+    return tables_by_task.risks_with_clauses(spark, name).select("doc_id", "seq", "risk_code", "clause_id", "clause_no", "clause_type")
+
+
 # intake ------------------------------------------------------------------------------------------
 
 

@@ -17,7 +17,7 @@ from clausegrid.functions import text as ft
 from clausegrid.operators import catalogue, clauses, dossier, findings, keywords, merge, metadata, paragraphs, persist, readmodels, render, rules, sweep
 from clausegrid.plans.review import review
 from clausegrid.queries import QUERIES
-from clausegrid.sources import docx
+from clausegrid.sources import docx, tables_by_task
 from clausegrid.streaming import ingest
 
 SCHEMA = "doc_id long, idx int, block_type string, text string"
@@ -570,3 +570,24 @@ def test_findings_without_a_place_are_counted(spark, golden):
     assert tuple(metrics.first()) == (4, 3, 1, 2)
     plan = metrics._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_a_task_is_read_from_its_bucket(spark, golden, monkeypatch):
+    monkeypatch.setattr(tables_by_task, "ROWS_A_BUCKET", 4)
+    many = golden.union(golden.withColumn("doc_id", F.lit(2).cast("long"))).union(golden.withColumn("doc_id", F.lit(30).cast("long")))
+    docs = dossier.with_clause_ids(dossier.dossiers(many, rules.seed_rules()))
+    assert tables_by_task.write(docs, "store_of_a_test") > 4
+    read = tables_by_task.of_task(spark, "store_of_a_test", 30)
+    assert {k: df.count() for k, df in read.items()} == {"clauses": 9, "risks": 2, "metadata": dossier.metadata_of(docs).where("doc_id = 30").count()}
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")  # else the plan doesn't say which buckets it takes
+    try:
+        plan = tables_by_task.of_task(spark, "store_of_a_test", 30)["risks"]._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        assert re.search(r"SelectedBucketsCount: 1 out of [0-9]+", plan)
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+    both = tables_by_task.risks_with_clauses(spark, "store_of_a_test")
+    assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString()
+    assert {(r.doc_id, r.seq, r.clause_no) for r in both.collect()} == {(d, s, n) for d in (1, 2, 30) for s, n in ((1, "第四条"), (2, "第六条"))}
+    assert tables_by_task.write(docs.limit(0), "store_without_rows") == 1
+
+
