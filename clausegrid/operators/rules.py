@@ -239,9 +239,11 @@ def _thresholds(rules: list[Rule]) -> list[dict]:
     return [_bound(n, r) for n, r in enumerate(rules) if r.rule_type == "THRESHOLD" and r.failure() is None]
 
 
-def _items() -> Column:
-    """The metadata fields of a wide row that a threshold may ask for, by name."""
-    return F.create_map(*(x for key in _LABELS if key != "payment_terms" for x in (F.lit(key), F.struct(*(F.col(key)[c].alias(c) for c in ("value", "idx", "quote"))))))
+def _items(some: list[dict]) -> Column:
+    """The metadata fields of a wide row that these thresholds ask for, by name."""
+    asked = [key for key in _LABELS if key != "payment_terms" and key in {r["field"] for r in some}]
+    kind = "map<string,struct<value:string,idx:int,quote:string>>"
+    return F.create_map(*(x for key in asked for x in (F.lit(key), F.struct(*(F.col(key)[c].alias(c) for c in ("value", "idx", "quote")))))).cast(kind) if asked else F.lit(None).cast(kind)
 
 
 def _compared(rule: Column, items: Column) -> tuple[Column, Column, Column]:
@@ -268,7 +270,7 @@ def threshold_verdicts(wide: DataFrame, rules: list[Rule]) -> DataFrame:
     some = _thresholds(rules)
     if not some:
         raise ValueError("no threshold rule that can be evaluated")
-    each = wide.select("doc_id", _items().alias("_items"), F.explode(_literal(some, _BOUNDS)).alias("_r"))
+    each = wide.select("doc_id", _items(some).alias("_items"), F.explode(_literal(some, _BOUNDS)).alias("_r"))
     there, passes, item = _compared(F.col("_r"), F.col("_items"))
     status = F.when(~there, "EVALUATION_FAILED").when(passes, "MATCHED").otherwise("NOT_MATCHED")
     value = F.when(there, item["value"].try_cast("decimal(38,18)"))
@@ -277,7 +279,7 @@ def threshold_verdicts(wide: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def threshold_hits(rules: list[Rule]) -> Column:
     """The risks of the threshold rules in a wide metadata row, as an array."""
-    items = _items()
+    items = _items(_thresholds(rules))
 
     def hit(r: Column) -> Column:
         _, passes, item = _compared(r, items)
@@ -295,7 +297,7 @@ def evaluate(paragraphs: DataFrame, rules: list[Rule]) -> DataFrame:
     ords = F.transform(_found(spark, rules), lambda x: x["rule_ord"])
     # metadata and hits in one aggregation, on the partitioning that the clauses have made
     docs = known_currency(with_clauses(paragraphs).groupBy("doc_id").agg(*field_aggregates(), F.flatten(F.collect_list(ords)).alias("_ords")))
-    each = docs.select("doc_id", "_ords", _items().alias("_items"), F.explode(F.sequence(F.lit(0), F.lit(len(rules) - 1))).alias("rule_ord")) if rules else docs.select("doc_id", "_ords", _items().alias("_items"), F.lit(0).alias("rule_ord")).limit(0)
+    each = docs.select("doc_id", "_ords", _items(list(bounds.values())).alias("_items"), F.explode(F.sequence(F.lit(0), F.lit(len(rules) - 1))).alias("rule_ord")) if rules else docs.select("doc_id", "_ords", _items(list(bounds.values())).alias("_items"), F.lit(0).alias("rule_ord")).limit(0)
     met = each.join(table, "rule_ord")
     there, passes, _ = _compared(F.struct("field", "op", "bound", "about"), F.col("_items"))
     compared = F.col("field").isNotNull()
