@@ -591,3 +591,16 @@ def test_a_task_is_read_from_its_bucket(spark, golden, monkeypatch):
     assert tables_by_task.write(docs.limit(0), "store_without_rows") == 1
 
 
+
+# tables of any size -------------------------------------------------------------------------------
+
+
+def test_contracts_are_dealt_before_they_are_paragraphs(spark, sf, monkeypatch):
+    from clausegrid.sources import tables
+
+    monkeypatch.setattr(tables, "CONTRACTS_A_TASK", 100)
+    n = tables.table(spark, sf, "orders").count()
+    placed = clauses.segment_clauses(tables.contract_paragraphs(spark, sf))
+    assert placed.rdd.getNumPartitions() == 1 + n // 100  # not coalesced by the size of the rows that become paragraphs
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Generate")]
