@@ -10,18 +10,22 @@ from ..constants import LEVELS
 from ..functions.text import without_spaces_folded
 from .findings import RISK_COLUMNS
 
+#: Risks that a task takes, roughly: their columns repeat and compress well, so that partitions by their shuffled size would be too large.
+RISKS_A_TASK = 250_000
+
 
 def _rank(level: Column) -> Column:
     return F.array_position(F.array(*(F.lit(x) for x in reversed(LEVELS))), level)
 
 
-def merge_risks(risks: DataFrame) -> DataFrame:
+def merge_risks(risks: DataFrame, tasks: int | None = None) -> DataFrame:
     """One row for each unit, ordered by ``seq`` (its first member).
 
     Rule risks unite by (code, paragraph, dimension), findings by (title without spaces and case,
     paragraph, dimension). A unit of findings joins a rule unit if it claims that rule only and the rule
     is claimed by it only. Rows that are merged already stay as they are. The first rule risk (else the
-    first row) is the anchor: its fields win, gaps are filled in order, the level is the highest known.
+    first row) is the anchor: its fields win, gaps are filled in order, the level is the highest known. ``tasks``: into how many partitions a
+    table of many risks is dealt by document; without it Spark goes by their shuffled size.
     """
     kind = F.col("source")
     own = F.struct(
@@ -31,11 +35,18 @@ def merge_risks(risks: DataFrame) -> DataFrame:
         F.col("dimension").alias("dimension"),
     )
     keyed = risks.withColumn("unit", own)
-    rules = keyed.where("source = 'RULE'").select("doc_id", F.col("unit").alias("rule_unit")).distinct()
     named = F.struct(F.lit("RULE").alias("kind"), F.col("related_rule_code").alias("name"), F.col("paragraph_index").alias("paragraph"), F.col("dimension").alias("dimension"))
-    claims = keyed.where("source = 'LLM' AND related_rule_code IS NOT NULL").select("doc_id", "unit", named.alias("rule_unit")).distinct().join(rules, ["doc_id", "rule_unit"])
-    alone = claims.withColumn("_u", F.count("*").over(W.partitionBy("doc_id", "unit"))).withColumn("_r", F.count("*").over(W.partitionBy("doc_id", "rule_unit"))).where("_u = 1 AND _r = 1").select("doc_id", "unit", "rule_unit")
-    united = keyed.join(alone, ["doc_id", "unit"], "left").withColumn("unit", F.coalesce("rule_unit", "unit"))
+    claims = (kind == "LLM") & F.col("related_rule_code").isNotNull() & F.col("doc_id").isNotNull()
+    # windows on one partitioning by document, as claims and rule units are as many as the risks: a join might broadcast them
+    dealt = (keyed.repartition(tasks, "doc_id") if tasks else keyed.repartition("doc_id")).withColumn("_rule", F.when(kind == "RULE", F.col("unit")).when(claims, named))
+    met, own_rows = W.partitionBy("doc_id", "_rule"), W.partitionBy("doc_id", "unit")
+    claimant = F.when(claims, F.col("unit"))
+    single = F.min(claimant).over(met).eqNullSafe(F.max(claimant).over(met))
+    claimed = dealt.withColumns({"_there": F.max(F.coalesce(kind == "RULE", F.lit(False))).over(met), "_single": single})
+    valid = claims & F.col("_there")
+    target = F.when(valid, F.col("_rule"))
+    lone = F.min(target).over(own_rows).eqNullSafe(F.max(target).over(own_rows)) & F.coalesce(F.bool_and(F.when(valid, F.col("_single"))).over(own_rows), F.lit(False))
+    united = claimed.withColumns({"_lone": lone, "_target": F.min(target).over(own_rows)}).withColumn("unit", F.when(F.col("_lone"), F.col("_target")).otherwise(F.col("unit")))
 
     order = F.struct((F.col("source") != "RULE").alias("later"), F.col("seq").alias("seq"))
     rows = F.array_sort(F.collect_list(F.struct(order.alias("order"), *(F.col(c) for c in RISK_COLUMNS if c != "doc_id"))))

@@ -604,3 +604,16 @@ def test_contracts_are_dealt_before_they_are_paragraphs(spark, sf, monkeypatch):
     assert placed.rdd.getNumPartitions() == 1 + n // 100  # not coalesced by the size of the rows that become paragraphs
     plan = placed._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan[: plan.index("Generate")]
+
+
+def test_merging_broadcasts_nothing(spark):
+    row = lambda d, seq, source, code, title, related: (d, seq, source, code, title, "X", "LOW", None, None, None, None, 3, None, related)
+    several = [
+        row(d, *x)
+        for d in range(30)
+        for x in [(0, "RULE", "A", "r", None), (1, "RULE", "B", "r", None), (2, "LLM", None, "a b", "A"), (3, "LLM", None, "ab", "A"), (4, "LLM", None, "c", "B"), (5, "LLM", None, "d", "B"), (6, "LLM", None, "e", "GONE"), (7, "LLM", None, None, None)]
+    ]
+    out = merge.merge_risks(spark.createDataFrame(several, RISKS), 7)
+    assert out.rdd.getNumPartitions() == 7
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.doc_id, r.seq, r.source) for r in out.collect()) == [(d, n, s) for d in range(30) for n, s in [(0, "RULE+LLM"), (1, "RULE"), (4, "LLM"), (5, "LLM"), (6, "LLM"), (7, "LLM")]]
