@@ -20,6 +20,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..constants import CLAUSE_TYPES, METADATA_FIELDS, MOST_RULES, SEED_RULES
+from ..functions.joins import broadcast_if_small
+from ..functions.shared import new_folder
 from ..functions.terms import rule_scan
 from .clauses import with_clauses
 from .metadata import field_aggregates, known_currency
@@ -135,13 +137,16 @@ def _in_scope(rule: Rule) -> Column:
 EXPRESSIONS = 8
 
 
+def _names(words: Column | str) -> Column:
+    return F.concat(F.lit("命中规则关键词："), F.array_join(F.transform(words, lambda w: F.concat(F.lit("「"), w, F.lit("」"))), "、"))
+
+
 def _keyword_hit(rule: Rule) -> Column:
     """(quote, reason) or null: the terms in the paragraph, leftmost first, ties as in the expression."""
     words = list(dict.fromkeys(rule.expression["keywords"]))
     at = F.array(*(F.struct(F.locate(w, F.col("text")).alias("at"), F.lit(i).alias("i"), F.lit(w).alias("w")) for i, w in enumerate(words)))
     found = F.transform(F.array_sort(F.filter(at, lambda x: x["at"] > 0)), lambda x: x["w"])
-    reason = F.concat(F.lit("命中规则关键词："), F.array_join(F.transform(found, lambda w: F.concat(F.lit("「"), w, F.lit("」"))), "、"))
-    return F.when(F.size(found) > 0, F.struct(F.get(found, F.lit(0)).alias("quote"), reason.alias("reason")))
+    return F.when(F.size(found) > 0, F.struct(F.get(found, F.lit(0)).alias("quote"), _names(found).alias("reason")))
 
 
 def _regex_hit(spark: SparkSession, rule: Rule) -> Column:
@@ -216,6 +221,66 @@ def paragraph_risks(paragraphs: DataFrame, rules: list[Rule]) -> DataFrame:
     return found.select("doc_id", "clause_index", "r.*")
 
 
+#: Characters of a keyword's anchor at most; rows of anchors that are broadcast, more of them are shuffled.
+ANCHOR = 8
+MOST_ANCHORS = 500_000
+
+
+def _grams(text: Column, n: int | Column) -> Column:
+    """The different substrings of ``n`` characters."""
+    last = F.length(text) - n + 1
+    at = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(at, lambda i: F.substr(text, i, F.lit(n) if isinstance(n, int) else n)))
+
+
+def keyword_anchors(catalogue: DataFrame) -> DataFrame:
+    """(anchor, words, anchors and what a rule says) of the keyword rules that can be evaluated: a row for each different anchor of a rule.
+
+    The anchor of a word is its substring of ``ANCHOR`` characters (the word, if it is shorter) that the fewest words of the catalogue have.
+    """
+
+    @F.udf("array<string>")
+    def words_of(code, name, dimension, expression, severity, targets):
+        rule = Rule(code, name, dimension, "KEYWORD", json.loads(expression), severity, list(targets or []))
+        return list(dict.fromkeys(rule.expression["keywords"])) if rule.failure() is None else None
+
+    law = F.col("legal_basis") if "legal_basis" in catalogue.columns else F.lit(None).cast("string")
+    says = F.struct(F.col("rule_code").alias("risk_code"), F.col("rule_name").alias("risk_title"), "dimension", F.col("severity").alias("risk_level"), law.alias("legal_basis"))
+    kept = catalogue.where("rule_type = 'KEYWORD'").withColumn("words", words_of("rule_code", "rule_name", "dimension", "expression", "severity", "target_clause_types")).where("words IS NOT NULL")
+    grams = kept.select(F.explode("words").alias("word")).distinct().select("word", F.explode(_grams(F.col("word"), F.least(F.length("word"), F.lit(ANCHOR)))).alias("gram"))
+    counts = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    chosen = grams.join(counts, "gram").groupBy("word").agg(F.min_by("gram", F.struct("n", "gram")).alias("anchor"))
+    rule = F.struct(says.alias("says"), "words", F.coalesce("target_clause_types", F.array().cast("array<string>")).alias("targets"), F.monotonically_increasing_id().alias("n"))
+    of_rule = kept.select(rule.alias("rule")).select("rule", F.explode("rule.words").alias("word")).join(chosen, "word").groupBy("rule").agg(F.array_sort(F.collect_set("anchor")).alias("anchors"))
+    return of_rule.select("rule.says", "rule.words", "rule.targets", "anchors", F.explode("anchors").alias("anchor"))
+
+
+def table_risks(paragraphs: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """As ``paragraph_risks``, without ``rule_ord``, for keyword rules in a table of any size: paragraphs meet the rules whose anchors they have."""
+    spark = paragraphs.sparkSession
+    folder = new_folder(spark, "anchors")
+    keyword_anchors(catalogue).write.parquet(folder)
+    anchors = spark.read.parquet(folder)
+    sizes = sorted(r.n for r in anchors.select(F.length("anchor").alias("n")).distinct().collect())  # ANCHOR of them at most
+    found = F.flatten(F.array(*(_grams(F.col("text"), n) for n in sizes))) if sizes else F.array().cast("array<string>")
+    met = with_clauses(paragraphs).withColumn("anchor", F.explode(found)).join(broadcast_if_small(anchors, MOST_ANCHORS), "anchor")
+    # a rule is taken up once, at the first of its anchors that the paragraph has
+    once = met.where((F.size("targets") == 0) | F.array_contains("targets", F.col("clause_type"))).where(F.get(F.filter("anchors", lambda a: F.contains("text", a)), F.lit(0)) == F.col("anchor"))
+    at = F.transform("words", lambda w, i: F.struct(F.position(w, F.col("text")).alias("at"), i.alias("i"), w.alias("w")))
+    hits = once.withColumn("_f", F.transform(F.array_sort(F.filter(at, lambda x: x["at"] > 0)), lambda x: x["w"])).where("size(_f) > 0")
+    quote = F.get("_f", F.lit(0))
+    return hits.select("doc_id", "clause_index", _risk(F.lit(0), F.col("says"), F.col("idx"), F.col("text"), quote, _names("_f")).dropFields("rule_ord").alias("r")).select("doc_id", "clause_index", "r.*")
+
+
+def catalogue_risks(paragraphs: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """``paragraph_risks`` without ``rule_ord`` for a table of rules. One that the driver may hold is one scan; else keyword rules stay a table, and only the others are collected."""
+    if catalogue.limit(MOST_RULES + 1).count() <= MOST_RULES:
+        return paragraph_risks(paragraphs, collect_rules(catalogue)).drop("rule_ord")
+    out = table_risks(paragraphs, catalogue)
+    others = collect_rules(catalogue.where("rule_type <> 'KEYWORD'"))
+    return out.unionByName(paragraph_risks(paragraphs, others).drop("rule_ord")) if others else out
+
+
 _LABELS = {key: label for key, label, _ in METADATA_FIELDS}
 
 

@@ -617,3 +617,18 @@ def test_merging_broadcasts_nothing(spark):
     assert out.rdd.getNumPartitions() == 7
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.doc_id, r.seq, r.source) for r in out.collect()) == [(d, n, s) for d in range(30) for n, s in [(0, "RULE+LLM"), (1, "RULE"), (4, "LLM"), (5, "LLM"), (6, "LLM"), (7, "LLM")]]
+
+
+def test_a_catalogue_beyond_the_driver_finds_the_same(spark, sf, monkeypatch):
+    from clausegrid.sources import tables
+
+    p = tables.contract_paragraphs(spark, sf).where("doc_id < 300")
+    words = [["甲方"], ["方", "甲方（采购方）", "甲方"], ["责任", "甲", "甲"], ["没有的词"], ["Supplier#00000000", "Supplier#000000001", "合同总价为"], ["预付款\t", "合同编号：HT-1"], []]
+    rows = [(f"R{i}", f"n{i}", "d", "KEYWORD", '{"keywords": [%s]}' % ", ".join('"%s"' % w.replace("\t", "\\t") for w in some), "HIGH", targets, i) for i, some in enumerate(words) for targets in (None, ["DISPUTE", "OTHER"], ["bad"])]
+    rows.append(("X", "x", "d", "REGEX", '{"pattern": "[0-9]{4}-"}', "LOW", None, 9))
+    table = spark.createDataFrame(rows, "rule_code string, rule_name string, dimension string, rule_type string, expression string, severity string, target_clause_types array<string>, sort_order int")
+    want = sorted(map(repr, rules.paragraph_risks(p, rules.collect_rules(table)).drop("rule_ord").collect()))
+    monkeypatch.setattr(rules, "MOST_RULES", 2)
+    assert sorted(map(repr, rules.catalogue_risks(p, table).collect())) == want and want
+    monkeypatch.setattr(rules, "MOST_ANCHORS", 0)
+    assert sorted(map(repr, rules.catalogue_risks(p, table).collect())) == want
