@@ -632,3 +632,24 @@ def test_a_catalogue_beyond_the_driver_finds_the_same(spark, sf, monkeypatch):
     assert sorted(map(repr, rules.catalogue_risks(p, table).collect())) == want and want
     monkeypatch.setattr(rules, "MOST_ANCHORS", 0)
     assert sorted(map(repr, rules.catalogue_risks(p, table).collect())) == want
+
+
+def test_documents_are_collected_in_the_order_of_the_windows(spark, sf):
+    """One aggregation, on rows that lie sorted: nothing is hashed, nothing sorted again for a group."""
+    from clausegrid.sources import tables
+
+    text = dossier.dossiers(tables.contract_paragraphs(spark, sf), rules.seed_rules())._jdf.queryExecution().executedPlan().toString()
+    after = text[: text.index("Window")]
+    assert after.count("SortAggregate") == 1 and "ObjectHashAggregate" not in after and "Sort [" not in after
+
+
+def test_dossiers_cut_the_same_clauses(spark):
+    """A paragraph without text adds no line; the payment terms are a paragraph, or the run of rows around the first percentage."""
+    rows = [(1, i, kind, text) for i, (kind, text) in enumerate([("PARAGRAPH", "第一条 付款"), ("PARAGRAPH", None), ("TABLE_ROW", "a"), ("TABLE_ROW", "30%"), ("TABLE_ROW", "b"), ("PARAGRAPH", "第二条 50%"), ("PARAGRAPH", "x")])]
+    rows += [(2, 0, "TABLE_ROW", "10%"), (2, 1, "TABLE_ROW", "c"), (3, 0, "PARAGRAPH", "y"), (3, 1, "PARAGRAPH", "20%"), (3, 2, "TABLE_ROW", "z"), (4, 0, "PARAGRAPH", "none")]
+    p = spark.createDataFrame(rows, "doc_id long, idx int, block_type string, text string")
+    docs = dossier.dossiers(p)
+    key = ["doc_id", "clause_index", "clause_no", "title", "clause_type", "start_idx", "end_idx", "text"]
+    assert sorted(map(str, dossier.clauses_of(docs).select(*key).collect())) == sorted(map(str, clauses.segment_clauses(p).select(*key).collect()))
+    got = {r.doc_id: r.payment_terms and (r.payment_terms.value, r.payment_terms.idx) for r in docs.collect()}
+    assert got == {1: ("a\n30%\nb", 2), 2: ("10%\nc", 0), 3: ("20%", 1), 4: None}
