@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..constants import CLAUSE_TYPE_WORDS, NUMBERING_MODES, OTHER, PARAGRAPH
+from ..constants import CLAUSE_TYPE_WORDS, NUMBERING_MODES, NUMBERING_SIGNS, OTHER, PARAGRAPH
 from ..functions.text import contains_any, ordered_text, stripped, unicode_pattern
 
 
@@ -19,8 +19,9 @@ def clause_type(heading: Column) -> Column:
     return out.otherwise(OTHER)
 
 
-def _opens(pattern: str) -> Column:
-    return (F.col("block_type") == PARAGRAPH) & F.col("text").rlike(unicode_pattern(pattern))
+def _number(name: str, pattern: str) -> Column:
+    """The number that opens a numbered paragraph of this mode; empty or null for all others. A text without the mode's signs isn't looked at."""
+    return F.when((F.col("block_type") == PARAGRAPH) & contains_any(F.col("text"), NUMBERING_SIGNS[name]), F.regexp_extract("text", unicode_pattern(pattern), 0))
 
 
 def _mode(hits: list[Column]) -> Column:
@@ -32,7 +33,7 @@ def _mode(hits: list[Column]) -> Column:
 
 def numbering_mode(paragraphs: DataFrame) -> DataFrame:
     """The first mode with enough numbered paragraphs (table rows don't count); null if none has."""
-    hits = [F.count_if(_opens(p)) for _, p, _ in NUMBERING_MODES]
+    hits = [F.count_if(_number(name, p) != "") for name, p, _ in NUMBERING_MODES]
     counted = paragraphs.groupBy("doc_id").agg(*(h.alias(f"n_{name.lower()}") for (name, _, _), h in zip(NUMBERING_MODES, hits)))
     return counted.withColumn("mode", _mode([F.col(f"n_{name.lower()}") for name, _, _ in NUMBERING_MODES]))
 
@@ -47,14 +48,15 @@ def with_clauses(paragraphs: DataFrame) -> DataFrame:
     whole, ordered = placed.rowsBetween(W.unboundedPreceding, W.unboundedFollowing), placed.rowsBetween(W.unboundedPreceding, 0)
     # what is grouped by document goes on in that order, without hashing or another sort
     paragraphs.sparkSession.conf.set("spark.sql.execution.replaceHashWithSortAgg", "true")
-    marks = {name: F.regexp_extract("text", unicode_pattern(p), 0) for name, p, _ in NUMBERING_MODES}
-    flagged = paragraphs.withColumns({f"_{name}": _opens(p) for name, p, _ in NUMBERING_MODES})
-    mode = _mode([F.count_if(f"_{name}").over(whole) for name, _, _ in NUMBERING_MODES])
+    # the JVM interprets methods of more than 8000 bytes; expressions whose code is longer are split into smaller ones instead
+    paragraphs.sparkSession.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    flagged = paragraphs.withColumns({f"_{name}": _number(name, p) for name, p, _ in NUMBERING_MODES})
+    mode = _mode([F.count_if(F.col(f"_{name}") != "").over(whole) for name, _, _ in NUMBERING_MODES])
     flagged = flagged.withColumn("_mode", mode)
     number = None
     for name, _, _ in NUMBERING_MODES:
-        hit = (F.col("_mode") == name) & F.col(f"_{name}")
-        number = F.when(hit, marks[name]) if number is None else number.when(hit, marks[name])
+        hit = (F.col("_mode") == name) & (F.col(f"_{name}") != "")
+        number = F.when(hit, F.col(f"_{name}")) if number is None else number.when(hit, F.col(f"_{name}"))
     flagged = flagged.withColumn("_no", number)
     opened = F.count("_no").over(ordered)
     first = F.first(F.col("_no").isNotNull()).over(ordered)

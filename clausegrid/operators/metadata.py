@@ -14,12 +14,15 @@ from ..constants import AMOUNT, CREDIT_CODE, CURRENCIES, EFFECTIVE_DATE, EXPIRE_
 from ..functions.text import contains_any, ordered_text, stripped, unicode_pattern
 
 
-def _group(pattern: str, n: int, text: str = "text") -> Column:
-    return F.regexp_extract(text, unicode_pattern(pattern), n)
+def _group(pattern: str, n: int) -> Column:
+    return F.regexp_extract("text", unicode_pattern(pattern), n)
 
 
 def _first(hit: Column, value: Column, quote: Column) -> Column:
-    """The struct of the first row with ``hit``; ``hit`` begins with a cheap test, so that patterns run on few rows."""
+    """The struct of the first row with ``hit``, which is a pattern behind a cheap test, so that patterns run on few rows.
+
+    The test is a ``when``: both sides of an AND are evaluated ahead where they repeat.
+    """
     found = F.when(hit, F.struct(value.alias("value"), F.col("idx").alias("idx"), quote.alias("quote")))
     return F.min_by(found, F.when(hit, F.col("idx")))
 
@@ -31,26 +34,30 @@ def _has(*words: str) -> Column:
 
 def _party(role: str) -> tuple[Column, Column, Column]:
     name = stripped(_group(PARTY, 2))
-    return (F.col("block_type") == PARAGRAPH) & F.startswith("text", F.lit(role)) & (_group(PARTY, 1) == role) & (name != ""), name, F.col("text")
+    return F.when((F.col("block_type") == PARAGRAPH) & F.startswith("text", F.lit(role)), (_group(PARTY, 1) == role) & (name != "")), name, F.col("text")
+
+
+def _credit_code() -> tuple[Column, Column, Column]:
+    return F.when(_has("统一社会信用代码"), _group(CREDIT_CODE, 1) != ""), _group(CREDIT_CODE, 1), _group(CREDIT_CODE, 0)
 
 
 def _amount() -> tuple[Column, Column, Column]:
     raw = F.coalesce(*(F.nullif(_group(AMOUNT, n), F.lit("")) for n in (1, 2, 3)))
-    value = F.bround(F.replace(raw, F.lit(","), F.lit("")).try_cast("decimal(38,10)"), 2).cast("decimal(38,2)").cast("string")
     marks = [t for _, tokens in CURRENCIES for t in tokens if t not in ("USD", "EUR", "HKD")]
-    return _has(*marks) & value.isNotNull(), value, _group(AMOUNT, 0)
+    value = F.when(_has(*marks), F.bround(F.replace(raw, F.lit(","), F.lit("")).try_cast("decimal(38,10)"), 2).cast("decimal(38,2)").cast("string"))
+    return value.isNotNull(), value, _group(AMOUNT, 0)
 
 
 def _date(pattern: str, *words: str) -> tuple[Column, Column, Column]:
     y, m, d = (_group(pattern, n) for n in (1, 2, 3))
-    return _has(*words) & (y != ""), F.concat_ws("-", F.lpad(y, 4, "0"), F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), _group(pattern, 0)
+    return F.when(_has(*words), y != ""), F.concat_ws("-", F.lpad(y, 4, "0"), F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), _group(pattern, 0)
 
 
 def _ratio() -> tuple[Column, Column, Column]:
     n = _group(PERCENT, 1)
     share = (n.try_cast("decimal(30,10)") / F.lit(100).cast("decimal(3,0)")).cast("decimal(38,14)").cast("string")
     plain = F.regexp_replace(F.regexp_replace(share, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    return (F.col("block_type") == TABLE_ROW) & F.contains("text", F.lit("预付")) & (n != ""), plain, F.col("text")
+    return F.when((F.col("block_type") == TABLE_ROW) & F.contains("text", F.lit("预付")), n != ""), plain, F.col("text")
 
 
 def _currency(text: Column) -> Column:
@@ -90,7 +97,7 @@ def field_aggregates() -> list[Column]:
     return [
         _first(*_party("甲方")).alias("our_party_name"),
         _first(*_party("乙方")).alias("counterparty_name"),
-        _first(_has("统一社会信用代码") & (_group(CREDIT_CODE, 1) != ""), _group(CREDIT_CODE, 1), _group(CREDIT_CODE, 0)).alias("credit_code"),
+        _first(*_credit_code()).alias("credit_code"),
         _first(amount_hit, amount, amount_quote).alias("contract_amount"),
         _first(amount_hit, _currency(F.col("text")), F.col("text")).alias("currency"),
         _first(*_date(SIGN_DATE, "签订日期", "签署日期", "签约日期")).alias("sign_date"),

@@ -653,3 +653,14 @@ def test_dossiers_cut_the_same_clauses(spark):
     assert sorted(map(str, dossier.clauses_of(docs).select(*key).collect())) == sorted(map(str, clauses.segment_clauses(p).select(*key).collect()))
     got = {r.doc_id: r.payment_terms and (r.payment_terms.value, r.payment_terms.idx) for r in docs.collect()}
     assert got == {1: ("a\n30%\nb", 2), 2: ("10%\nc", 0), 3: ("20%", 1), 4: None}
+
+
+def test_arrays_and_patterns_are_for_paragraphs_that_need_them(spark, golden):
+    placed = clauses.with_clauses(golden)
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+    for ords in (False, True):
+        found = placed.select("idx", rules._found(spark, rules.seed_rules(), ords).alias("f"))
+        assert {r.idx for r in found.where("f IS NOT NULL").collect()} == {23, 30}
+    # a test before a pattern is a condition, as both sides of an AND may be evaluated ahead
+    plan = metadata.wide_metadata(golden)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" in plan and "AND NOT (regexp_extract" not in plan
