@@ -57,11 +57,11 @@ CORPUS_SQL = (
 CONTRACTS_A_TASK = 20_000
 
 
-def contract_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, idx, block_type, text): one contract an order.
+def contracts(spark: SparkSession, sf_dir: str, key: str = "doc_id") -> DataFrame:
+    """(doc_id, o_custkey, lines): one contract an order, its lines as structs (block_type, text).
 
-    A contract's row is many times smaller than its paragraphs, so rows are dealt by document, in a number of partitions that isn't
-    coalesced by their size, before they become paragraphs: whatever works by document goes on from there without a shuffle.
+    A contract's row is many times smaller than its lines, so rows are dealt by ``key`` (doc_id or o_custkey), in a number of partitions that
+    isn't coalesced by their size, before they get them: whatever works by that key goes on from there without a shuffle.
     """
     o, c, s, li = (table(spark, sf_dir, n) for n in ("orders", "customer", "supplier", "lineitem"))
     first = li.groupBy("l_orderkey").agg(F.min("l_suppkey").alias("sk"))
@@ -71,12 +71,18 @@ def contract_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(s, s.s_suppkey == F.col("sk"), "left")
         .select(
             F.col("o_orderkey").alias("k"),
+            "o_custkey",
             "c_name",
             "s_name",
             F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("amt"),
             F.col("o_orderdate").cast("date").cast("string").alias("d"),
         )
     )
-    base = base.repartition(1 + o.count() // CONTRACTS_A_TASK, "k")
+    base = base.repartition(1 + o.count() // CONTRACTS_A_TASK, "k" if key == "doc_id" else key)
     lines = F.array(*(F.struct(F.lit(kind).alias("block_type"), F.expr(sql).alias("text")) for kind, sql in CONTRACT_LINES))
-    return base.select(F.col("k").alias("doc_id"), F.posexplode(lines).alias("idx", "line")).select("doc_id", "idx", "line.block_type", "line.text")
+    return base.select(F.col("k").alias("doc_id"), "o_custkey", lines.alias("lines"))
+
+
+def contract_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, idx, block_type, text): the lines of the contracts, dealt by document."""
+    return contracts(spark, sf_dir).select("doc_id", F.posexplode("lines").alias("idx", "line")).select("doc_id", "idx", "line.block_type", "line.text")

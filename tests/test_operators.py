@@ -664,3 +664,19 @@ def test_arrays_and_patterns_are_for_paragraphs_that_need_them(spark, golden):
     # a test before a pattern is a condition, as both sides of an AND may be evaluated ahead
     plan = metadata.wide_metadata(golden)._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract" in plan and "AND NOT (regexp_extract" not in plan
+
+
+def test_many_files_go_in_few_archives(spark, sf, tmp_path, monkeypatch):
+    got = QUERIES["docx_scan"](spark, sf)
+    assert len(got.inputFiles()) < got.count() / 10  # else a file a customer is listed and opened
+    monkeypatch.setattr(docx, "ARCHIVE_FILES", 2)
+    texts = ["a", " b  c ", "x <&> y", "".join(map(chr, range(0x4E00, 0x9000)))]
+    docs = spark.createDataFrame([(f"{i}.docx", [("PARAGRAPH", t), ("TABLE_ROW", "1\t\t2")]) for i, t in enumerate(texts)] + [("4.docx", []), ("5.pdf", [])], "name string, blocks array<struct<block_type:string,text:string>>").coalesce(1)
+    paths = docx.write_archives(docs, f"file://{tmp_path}/d")
+    assert len(paths) == 3
+    (tmp_path / "d" / "left.zip").write_bytes(b"of an aborted attempt")
+    (tmp_path / "bad.zip").write_bytes(b"no archive")
+    rows = {r.path.rsplit("/", 1)[1]: r for r in docx.read_archives(spark, [*paths, f"file://{tmp_path}/bad.zip"], most_bytes=5000).collect()}
+    assert {k: (r.status, r.error_code) for k, r in rows.items()} == {"0.docx": ("PARSED", None), "1.docx": ("PARSED", None), "2.docx": ("PARSED", None), "3.docx": ("FAILED", "FILE_TOO_LARGE"), "4.docx": ("EMPTY", None), "5.pdf": ("FAILED", "PARSE_UNSUPPORTED_TYPE"), "bad.zip": ("FAILED", "PARSE_FAILED")}
+    assert [[(b.idx, b.block_type, b.text) for b in rows[f"{i}.docx"].paragraphs] for i in range(3)] == [[(0, "PARAGRAPH", t), (1, "TABLE_ROW", "1\t\t2")] for t in ("a", "b c", "x <&> y")]
+    assert docx.read_archives(spark, []).count() == 0
