@@ -680,3 +680,26 @@ def test_many_files_go_in_few_archives(spark, sf, tmp_path, monkeypatch):
     assert {k: (r.status, r.error_code) for k, r in rows.items()} == {"0.docx": ("PARSED", None), "1.docx": ("PARSED", None), "2.docx": ("PARSED", None), "3.docx": ("FAILED", "FILE_TOO_LARGE"), "4.docx": ("EMPTY", None), "5.pdf": ("FAILED", "PARSE_UNSUPPORTED_TYPE"), "bad.zip": ("FAILED", "PARSE_FAILED")}
     assert [[(b.idx, b.block_type, b.text) for b in rows[f"{i}.docx"].paragraphs] for i in range(3)] == [[(0, "PARAGRAPH", t), (1, "TABLE_ROW", "1\t\t2")] for t in ("a", "b c", "x <&> y")]
     assert docx.read_archives(spark, []).count() == 0
+
+
+def test_dossiers_collect_only_what_paragraphs_have(spark, golden):
+    """Fields of all paragraphs aren't aggregated one by one; the values that thresholds compare are put together once a document."""
+    plan = dossier.dossiers(golden, rules.seed_rules())._jdf.queryExecution().optimizedPlan().toString()
+    assert "min_by" not in plan and plan.count("map(prepay_ratio") == 1
+    placed = next(line for line in plan.splitlines() if "collect_list" in line)
+    assert "heading" not in placed
+
+
+def test_dossiers_have_the_metadata_of_odd_documents(spark):
+    texts = [
+        ["a\tb", "x\t5%", "甲方：  ", "甲方：A", "y\t7%", "z\tq"],
+        ["总价 ,,, 元", "总价 12 元", "50 %", "1. 预付\t30%", "1. 预付\t999999999999999999999999999999999%"],
+        ["1. 预付\t999999999999999999999999999999999%", "1. 预付\t30%", "港币 7", "到期日 2020-1-123", "签订日期：2020年1月2日"],
+        ["乙方 B", "乙方：\x1c", "乙方：B\nC", "统一社会信用代码：91310115MA1K4ABC2", "自 2020-1-2 起生效", "EUR 5 元"],
+        ["%\tonly", "第一条 付款 20%", "第二条"],
+    ]
+    rows = [(doc, 3 * i, "TABLE_ROW" if "\t" in t else "PARAGRAPH", t) for doc, some in enumerate(texts) for i, t in enumerate(some)]
+    p = spark.createDataFrame([*rows, (9, 0, "PARAGRAPH", None), (9, 1, "TABLE_ROW", "1%"), (9, 2, "TABLE_ROW", None)], SCHEMA).repartition(3)
+    key = ("doc_id", "ord", "field_key", "field_value", "idx", "quote")
+    want = sorted(map(str, metadata.extract_metadata(p).select(*key).collect()))
+    assert len(want) > 10 and sorted(map(str, dossier.metadata_of(dossier.dossiers(p)).select(*key).collect())) == want
